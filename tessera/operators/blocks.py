@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import block_hash, hash_rank_key
+from tessera.session import ensure_checkpoint_dir
 
 BLOCK = "block_id"
 
@@ -199,10 +200,15 @@ def rank_within(df: DataFrame, group: str, order: str, out: str = "pos") -> Data
     per-(group, partition) counts (at most partitions + groups rows) give
     the offsets.
     """
+    # Partition ids and row ids are read twice (counts, then join back);
+    # a reliable checkpoint pins them, so AQE coalescing or a lost executor
+    # can never give the two reads different numbers.
+    ensure_checkpoint_dir(df.sparkSession)
     ordered = (df.repartitionByRange(group, order)
                .sortWithinPartitions(group, order)
                .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .checkpoint(eager=True))
     stats = ordered.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"),
                                                F.min("_mid").alias("_m0"))
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from tessera.plans import catalog_fim
+from tessera.plans import catalog_fim, catalog_ml
 
-QUERIES = {**catalog_fim.QUERIES}
-SQL = {**catalog_fim.SQL}
+QUERIES = {**catalog_fim.QUERIES, **catalog_ml.QUERIES}
+SQL = {**catalog_fim.SQL, **catalog_ml.SQL}
