@@ -46,6 +46,24 @@ def init_lowest(points: DataFrame, k: int, order: str = "row_id", col: str = BLO
             .select(col, (F.col("_r") - 1).cast("int").alias("cluster"), F.col("features").alias("center")))
 
 
+def init_farthest(points: DataFrame, k: int, order: str = "row_id", col: str = BLOCK) -> DataFrame:
+    """Initial centers by farthest-first traversal per block: the lowest
+    ``order`` point, then k-1 times the point farthest from the centers so
+    far (ties -> lowest ``order``).  One aggregate pass per center, all
+    blocks at once; deterministic."""
+    centers = _checkpointed(init_lowest(points, 1, order, col))
+    for c in range(1, k):
+        n = centers.count()
+        cs = _centers_by_block(centers, col)
+        dmin = F.array_min(F.transform("_cs", lambda s: sq_distance(F.col("features"), s["center"])))
+        far = (points.join(_bcast(cs, n), col)
+               .groupBy(col)
+               .agg(F.max_by("features", F.struct(dmin.alias("d"), (-F.col(order)).alias("o"))).alias("center"))
+               .select(col, F.lit(c).alias("cluster"), "center"))
+        centers = _checkpointed(centers.unionByName(far))
+    return centers
+
+
 def _centers_by_block(centers: DataFrame, col: str) -> DataFrame:
     return centers.groupBy(col).agg(
         F.collect_list(F.struct(F.col("cluster"), F.col("center"))).alias("_cs"))
@@ -79,11 +97,22 @@ def lloyd_step(points: DataFrame, centers: DataFrame, n_centers: int, col: str =
 
 
 def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_id",
-                 col: str = BLOCK, init: DataFrame | None = None) -> DataFrame:
-    """K5 (k-means): ``block_id, cluster, center`` after ``steps`` steps
-    from the lowest-id initialisation (fixed, repeatable)."""
+                 col: str = BLOCK, init: str | DataFrame = "farthest") -> DataFrame:
+    """K5 (k-means): ``block_id, cluster, center`` after ``steps`` steps.
+
+    ``init``: ``"farthest"`` (farthest-first from the lowest id),
+    ``"lowest"`` (the k lowest ids) or a center table; all repeatable.
+    """
     pts = materialise(points.select(col, order, "features"))
-    centers = _checkpointed(init if init is not None else init_lowest(pts, k, order, col))
+    if isinstance(init, DataFrame):
+        start = init
+    elif init == "lowest":
+        start = init_lowest(pts, k, order, col)
+    elif init == "farthest":
+        start = init_farthest(pts, k, order, col)
+    else:
+        raise ValueError("init must be 'farthest', 'lowest' or a DataFrame")
+    centers = _checkpointed(start)
     n = centers.count()
     for _ in range(steps):
         centers = _checkpointed(lloyd_step(pts, centers, n, col))
@@ -134,12 +163,12 @@ def model_centers(spark, model) -> DataFrame:
 
 
 def two_level(points: DataFrame, k: int, algo: str, block_ids: Sequence[int], steps: int = 10,
-              seed: int = 1, parallelism: int = 4, col: str = BLOCK):
+              seed: int = 1, parallelism: int = 4, col: str = BLOCK, init: str = "farthest"):
     """K5 + K6 + K7: local centers per block, pooled, clustered again.
     Returns (model, final centers, local centers)."""
     pts = points.filter(F.col(col).isin([int(b) for b in block_ids]))
     if algo == "kmeans":
-        local = local_kmeans(pts, k, steps, col=col)
+        local = local_kmeans(pts, k, steps, col=col, init=init)
     else:
         local = local_bisecting(pts, k, block_ids, seed, parallelism, col)
     model, centers = fit_centers(pooled_centers(local, k, col), k, algo, seed)

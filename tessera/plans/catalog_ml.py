@@ -145,7 +145,7 @@ def q_clf_exact(spark, sf):
 
 # ------------------------------------------------------------ clustering
 def _local(spark, sf):
-    return K.local_kmeans(vectors(spark, sf), K_LOCAL, STEPS)
+    return K.local_kmeans(vectors(spark, sf), K_LOCAL, STEPS, init="lowest")
 
 
 def _long(df: DataFrame, *keys: str) -> DataFrame:
