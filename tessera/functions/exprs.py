@@ -68,7 +68,8 @@ def untag_items(tagged) -> Column:
 
 
 def tagged_block(tagged) -> Column:
-    return F.floor(F.element_at(_c(tagged), 1) / F.lit(BLOCK_SHIFT)).cast("int")
+    # exact integer shift (a double division would round for large block ids)
+    return F.shiftright(F.element_at(_c(tagged), 1), 32).cast("int")
 
 
 def plurality(labels) -> Column:

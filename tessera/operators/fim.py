@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import itemset_key, tag_items, tagged_block, untag_items
-from tessera.operators.blocks import BLOCK, block_inventory
+from tessera.operators.blocks import BLOCK, block_inventory, materialise
 
 # Largest candidate table (rows) that recount broadcasts; above it the
 # recount becomes a shuffle join on the anchor item.
@@ -56,44 +56,80 @@ def text_lines(itemsets: DataFrame, value: str = "support") -> DataFrame:
                                        F.col(value).cast("string")).alias("value"))
 
 
-def local_thresholds(tx: DataFrame, min_support: float, threshold: str = "own",
-                     n_blocks: int | None = None, min_count: int = 1,
-                     col: str = BLOCK) -> DataFrame:
-    """P10: minimum support count per block.
+def block_sizes(tx: DataFrame, col: str = BLOCK) -> dict[int, int]:
+    """Rows per block.  One aggregate job; the result has one entry per
+    block (bounded by the block count, not by the data)."""
+    return {int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()}
 
-    * ``own``: ``floor(min_support * n_b)`` from each block's own rows;
-    * ``average``: ``floor(N * min_support / n_blocks)`` for every block
-      (``n_blocks`` defaults to the number of blocks present).
 
-    Counts are clamped to ``min_count`` (>= 1): a zero count would make
-    every subset of every basket frequent.
-    """
-    inv = block_inventory(tx, col)
+def threshold_counts(sizes: dict[int, int], min_support: float, threshold: str = "own",
+                     n_blocks: int | None = None, min_count: int = 1) -> dict[int, int]:
+    """P10 on the block sizes: ``own`` = ``floor(min_support * n_b)``;
+    ``average`` = ``floor(N * min_support / n_blocks)`` for every block.
+    Clamped to ``min_count`` (>= 1): a zero count would make every subset
+    of every basket frequent."""
     if threshold == "own":
-        thr = F.floor(F.lit(float(min_support)) * F.col("n_rows")).cast("long")
+        raw = {b: int(min_support * n) for b, n in sizes.items()}
     elif threshold == "average":
-        tot = inv.agg(F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("b")).first()
-        nb = n_blocks if n_blocks is not None else tot["b"]
-        thr = F.lit(int((tot["n"] or 0) * min_support / nb)).cast("long")
+        nb = n_blocks if n_blocks is not None else len(sizes)
+        avg = int(sum(sizes.values()) * min_support / nb) if nb else 0
+        raw = {b: avg for b in sizes}
     else:
-        raise ValueError("threshold must be 'own' or 'average'")
-    return inv.withColumn("threshold", F.greatest(thr, F.lit(int(min_count)).cast("long")))
+        raw = {}
+        if threshold not in ("own", "average"):
+            raise ValueError("threshold must be 'own' or 'average'")
+    return {b: max(c, int(min_count)) for b, c in raw.items()}
+
+
+def local_thresholds(tx: DataFrame, min_support: float, threshold: str = "own",
+                     n_blocks: int | None = None, min_count: int = 1,
+                     col: str = BLOCK, sizes: dict[int, int] | None = None) -> DataFrame:
+    """P10 as a table ``block_id, n_rows, threshold``."""
+    sizes = sizes if sizes is not None else block_sizes(tx, col)
+    thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
+    rows = [(b, sizes[b], thr[b]) for b in sorted(sizes)]
+    return tx.sparkSession.createDataFrame(rows, f"{col} INT, n_rows BIGINT, threshold BIGINT")
 
 
 # ---------------------------------------------------------------------- F3
 def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
                    n_blocks: int | None = None, min_count: int = 1,
-                   num_partitions: int | None = None, col: str = BLOCK) -> DataFrame:
+                   num_partitions: int | None = None, col: str = BLOCK,
+                   sizes: dict[int, int] | None = None,
+                   blocks_per_run: int | None = None) -> DataFrame:
     """frequent itemsets of every block on its own.
 
-    Returns ``block_id, items, support`` with ``support >= threshold_b``.
+    Returns ``block_id, items, support`` with ``support >= threshold_b``
+    (persisted: mining runs once however often the result is read).
+
+    MLlib gathers the frequent (tagged) single items on the driver: about
+    blocks x distinct items.  ``blocks_per_run`` bounds that list by mining
+    the blocks in groups (one FP-growth job per group) and unioning.
     """
-    tx = tx.select(col, "items")
-    th = local_thresholds(tx, min_support, threshold, n_blocks, min_count, col)
-    stats = th.agg(F.min("threshold").alias("c"), F.sum("n_rows").alias("n")).first()
-    if stats["n"] is None or stats["n"] == 0:
+    tx = materialise(tx.select(col, "items"))
+    sizes = sizes if sizes is not None else block_sizes(tx, col)
+    n = sum(sizes.values())
+    if n == 0:
         return tx.sparkSession.createDataFrame([], f"{col} INT, items ARRAY<INT>, support BIGINT")
-    c, n = int(stats["c"]), int(stats["n"])
+    thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
+    ids = sorted(sizes)
+    if blocks_per_run and len(ids) > blocks_per_run:
+        parts = []
+        for i in range(0, len(ids), blocks_per_run):
+            group = ids[i:i + blocks_per_run]
+            parts.append(_mine_tagged(tx.filter(F.col(col).isin(group)), {b: thr[b] for b in group},
+                                      sum(sizes[b] for b in group), num_partitions, col))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return materialise(out)
+    return materialise(_mine_tagged(tx, thr, n, num_partitions, col))
+
+
+def _mine_tagged(tx: DataFrame, thr: dict[int, int], n: int, num_partitions: int | None,
+                 col: str) -> DataFrame:
+    """One FP-growth run over block-tagged items, then per-block thresholds."""
+    c = min(thr.values())
     # MLlib takes ceil(minSupport * N) as the count; (c - 0.5) / N gives c.
     fp = FPGrowth(itemsCol="items", minSupport=(c - 0.5) / n)
     if num_partitions:
@@ -102,8 +138,9 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     found = fp.fit(tagged).freqItemsets
     local = found.select(tagged_block("items").alias(col), untag_items("items").alias("items"),
                          F.col("freq").alias("support"))
+    th = tx.sparkSession.createDataFrame(sorted(thr.items()), f"{col} INT, threshold BIGINT")
     # one threshold row per block: bounded by the block count
-    return (local.join(F.broadcast(th.select(col, "threshold")), col)
+    return (local.join(F.broadcast(th), col)
             .filter(F.col("support") >= F.col("threshold"))
             .drop("threshold"))
 
@@ -153,25 +190,42 @@ def candidates(local: DataFrame, min_length: int = 2) -> DataFrame:
 # ---------------------------------------------------------------------- F7
 def recount(tx: DataFrame, cands: DataFrame, n_rows: int | None = None,
             min_support: float | None = None,
-            broadcast_limit: int = BROADCAST_CANDIDATES) -> DataFrame:
+            broadcast_limit: int = BROADCAST_CANDIDATES, anchor: str = "rarest") -> DataFrame:
     """exact support of every candidate over ``tx``.
 
-    Each candidate is anchored on its first item; a transaction meets only
-    the candidates anchored on one of its own items, and is counted when it
-    contains all of them.  Returns ``items, support, frequency`` (every
-    candidate, support 0 included, unless ``min_support`` filters).
+    Each candidate is anchored on one of its items: ``rarest`` (least
+    frequent in ``tx``; one extra aggregate pass, smallest join) or
+    ``first``.  A transaction meets only the candidates anchored on one of
+    its own items and counts those it fully contains (``forall``).  The
+    candidate side is broadcast when its checked row count is at most
+    ``broadcast_limit``; otherwise both sides shuffle on the anchor (AQE
+    splits a hot anchor).  Returns ``items, support, frequency`` for every
+    candidate (support 0 included) unless ``min_support`` filters.
     """
-    cands = cands.select("items").distinct()
-    anchored = cands.select("items", F.element_at("items", 1).alias("anchor"))
-    n_cands = anchored.count()
-    side = F.broadcast(anchored) if n_cands <= broadcast_limit else anchored
+    cands = materialise(cands.select("items").distinct())
+    n_cands = cands.count()
+    small = n_cands <= broadcast_limit
+    if anchor == "rarest":
+        freq = (tx.select(F.explode("items").alias("item")).groupBy("item")
+                .agg(F.count(F.lit(1)).alias("_f")))
+        per_item = cands.select("items", F.explode("items").alias("item"))
+        anchored = (per_item.join(freq, "item", "left")
+                    .groupBy("items")
+                    .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("item").alias("i")))
+                         .alias("_a"))
+                    .select("items", F.col("_a")["i"].alias("anchor")))
+    elif anchor == "first":
+        anchored = cands.select("items", F.element_at("items", 1).alias("anchor"))
+    else:
+        raise ValueError("anchor must be 'rarest' or 'first'")
+    side = F.broadcast(anchored) if small else anchored
     ex = tx.select(F.col("items").alias("basket"), F.explode("items").alias("anchor"))
     hits = (ex.join(side, "anchor")
             .filter(F.forall("items", lambda x: F.array_contains(F.col("basket"), x)))
             .groupBy("items").agg(F.count(F.lit(1)).alias("support")))
     n = n_rows if n_rows is not None else tx.count()
     # hits has at most n_cands rows: the same size check decides the hint
-    hits = F.broadcast(hits) if n_cands <= broadcast_limit else hits
+    hits = F.broadcast(hits) if small else hits
     out = with_frequency(
         cands.join(hits, "items", "left").select("items", F.coalesce("support", F.lit(0)).alias("support")),
         max(n, 1))

@@ -24,9 +24,9 @@ def sum_arm(tx: DataFrame, n_first: int, min_support: float, floor: float | None
     """A: local mining of the first ``n_first`` blocks with each block's own
     threshold, summed over blocks; frequency over the rows of those blocks."""
     rows = B.first_blocks(tx, n_first)
-    n = rows.count()
-    local = fim.local_itemsets(rows, min_support, "own", num_partitions=num_partitions)
-    return fim.merge_sum(local, n, floor)
+    sizes = fim.block_sizes(rows)
+    local = fim.local_itemsets(rows, min_support, "own", num_partitions=num_partitions, sizes=sizes)
+    return fim.merge_sum(local, sum(sizes.values()), floor)
 
 
 def vote_arm(tx: DataFrame, n_blocks: int, min_support: float, vote: float, seed,
@@ -53,10 +53,10 @@ def recount_arm(tx: DataFrame, n_total: int, n_sampled: int, min_support: float,
                 broadcast_limit: int = fim.BROADCAST_CANDIDATES) -> DataFrame:
     """F6 + F7: candidates from ``n_sampled`` random blocks (average
     threshold), recounted exactly on the same rows, kept at ``min_support``."""
-    rows = B.random_blocks(tx, n_total, n_sampled, pick_seed)
-    n = rows.count()
-    local = fim.local_itemsets(rows, min_support, "average", n_blocks=n_sampled)
-    return fim.recount(rows, fim.candidates(local), n, min_support, broadcast_limit)
+    rows = B.materialise(B.random_blocks(tx, n_total, n_sampled, pick_seed))
+    sizes = fim.block_sizes(rows)
+    local = fim.local_itemsets(rows, min_support, "average", n_blocks=n_sampled, sizes=sizes)
+    return fim.recount(rows, fim.candidates(local), sum(sizes.values()), min_support, broadcast_limit)
 
 
 def exact_arm(tx: DataFrame, min_support: float, n_first: int | None = None,

@@ -11,3 +11,9 @@ from tessera.sources.tables import (  # noqa: F401
     text_lines_to_transactions,
     true_centers,
 )
+from tessera.sources.sinks import (  # noqa: F401
+    save_model,
+    write_itemsets_csv,
+    write_parquet,
+    write_text_lines,
+)

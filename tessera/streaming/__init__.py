@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The engine this package re-expresses has no stream source, watermark,
+window, state or late-data handling: every workload is a batch job over a
+blocked table.  No streaming operator is added (see README, "Not built").
+"""

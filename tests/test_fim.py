@@ -126,3 +126,18 @@ def test_arms_run(brand):
     with pytest.raises(ValueError):
         fim_runs.sweep(brand, [], 0.02)
     assert n > 0
+
+
+def test_batched_mining_equals_one_run(brand):
+    one = {(r.block_id, tuple(r["items"])): r.support for r in fim.local_itemsets(brand, 0.02, "own").collect()}
+    batched = {(r.block_id, tuple(r["items"])): r.support
+               for r in fim.local_itemsets(brand, 0.02, "own", blocks_per_run=3).collect()}
+    assert one == batched and one
+
+
+def test_recount_anchor_variants(brand):
+    cands = fim.candidates(fim.local_itemsets(brand, 0.02, "average"))
+    a = _as_dict(fim.recount(brand, cands, anchor="rarest"), "support")
+    b = _as_dict(fim.recount(brand, cands, anchor="first"), "support")
+    c = _as_dict(fim.recount(brand, cands, anchor="rarest", broadcast_limit=0), "support")
+    assert a == b == c and a
