@@ -235,7 +235,11 @@ def _pick(k: int, n_total: int = N_BLOCKS, seed=PICK_SEED, offset: int = 0, name
 
 
 def _local(src: str, p: str, threshold: str, n_blocks: int | None = None) -> str:
-    """CTEs {p}e, {p}th, {p}loc: itemsets of length 1-3 per block of ``src``."""
+    """CTEs {p}e, {p}th, {p}loc: every frequent itemset per block of ``src``.
+
+    Brute force (oracle only): each basket's subsets over the block's
+    frequent single items, enumerated by a recursive CTE, then counted.
+    """
     if threshold == "own":
         thr = f"greatest(CAST(floor({MIN_SUPPORT}::DOUBLE * count(*)) AS BIGINT), 1)"
     else:
@@ -244,15 +248,15 @@ def _local(src: str, p: str, threshold: str, n_blocks: int | None = None) -> str
     return f"""
 {p}e AS (SELECT tid, block_id, unnest(items) AS item FROM {src}),
 {p}th AS (SELECT block_id, count(*) AS n_rows, {thr} AS threshold FROM {src} GROUP BY block_id),
-{p}c AS (
-  SELECT block_id, [item] AS items, count(*) AS support FROM {p}e GROUP BY block_id, item
-  UNION ALL
-  SELECT a.block_id, [a.item, b.item], count(*) FROM {p}e a JOIN {p}e b ON a.tid = b.tid AND a.item < b.item
-  GROUP BY a.block_id, a.item, b.item
+{p}f1 AS (SELECT e.block_id, e.item FROM {p}e e JOIN {p}th t USING (block_id)
+          GROUP BY e.block_id, e.item, t.threshold HAVING count(*) >= t.threshold),
+{p}fe AS (SELECT e.tid, e.block_id, e.item FROM {p}e e JOIN {p}f1 f USING (block_id, item)),
+{p}sub(tid, block_id, items, last) AS (
+  SELECT tid, block_id, [item], item FROM {p}fe
   UNION ALL
-  SELECT a.block_id, [a.item, b.item, c.item], count(*) FROM {p}e a
-  JOIN {p}e b ON a.tid = b.tid AND a.item < b.item JOIN {p}e c ON b.tid = c.tid AND b.item < c.item
-  GROUP BY a.block_id, a.item, b.item, c.item),
+  SELECT s.tid, s.block_id, list_append(s.items, e.item), e.item
+  FROM {p}sub s JOIN {p}fe e ON e.tid = s.tid AND e.item > s.last),
+{p}c AS (SELECT block_id, items, count(*) AS support FROM {p}sub GROUP BY block_id, items),
 {p}loc AS (SELECT c.block_id, c.items, c.support FROM {p}c c JOIN {p}th t USING (block_id)
            WHERE c.support >= t.threshold)"""
 
@@ -272,17 +276,18 @@ def _sum_sql(src: str, floor: float, p: str = "s") -> str:
 
 
 def _exact_sql(src: str) -> str:
+    """CTEs xe, xc, xn, exact: every itemset with support >= ceil(s * N)
+    (brute force over basket subsets of frequent items; oracle only)."""
     return f"""
+xn AS (SELECT count(*) AS n FROM {src}),
 xe AS (SELECT tid, unnest(items) AS item FROM {src}),
-xc AS (
-  SELECT [item] AS items, count(*) AS support FROM xe GROUP BY item
+xf1 AS (SELECT item FROM xe, xn GROUP BY item, n HAVING count(*) >= CAST(ceil({MIN_SUPPORT}::DOUBLE * n) AS BIGINT)),
+xfe AS (SELECT e.tid, e.item FROM xe e JOIN xf1 f USING (item)),
+xsub(tid, items, last) AS (
+  SELECT tid, [item], item FROM xfe
   UNION ALL
-  SELECT [a.item, b.item], count(*) FROM xe a JOIN xe b ON a.tid = b.tid AND a.item < b.item
-  GROUP BY a.item, b.item
-  UNION ALL
-  SELECT [a.item, b.item, c.item], count(*) FROM xe a JOIN xe b ON a.tid = b.tid AND a.item < b.item
-  JOIN xe c ON b.tid = c.tid AND b.item < c.item GROUP BY a.item, b.item, c.item),
-xn AS (SELECT count(*) AS n FROM {src}),
+  SELECT s.tid, list_append(s.items, e.item), e.item FROM xsub s JOIN xfe e ON e.tid = s.tid AND e.item > s.last),
+xc AS (SELECT items, count(*) AS support FROM xsub GROUP BY items),
 exact AS (SELECT items, support, CAST(support AS DOUBLE) / n AS frequency FROM xc, xn
           WHERE support >= CAST(ceil({MIN_SUPPORT}::DOUBLE * n) AS BIGINT))"""
 
@@ -294,7 +299,7 @@ def _sweep_sql() -> str:
         ctes.append(_sum_sql(f"tx{s}", FLOOR, p=f"s{s}").lstrip())
         parts.append(f"SELECT {KEY} AS itemset, {s} AS size, support, frequency FROM s{s}sum "
                      f"WHERE frequency >= {FLOOR}::DOUBLE")
-    return "WITH " + BASKETS.strip() + ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+    return "WITH RECURSIVE " + BASKETS.strip() + ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
 
 
 def _plan_sql() -> str:
@@ -309,7 +314,7 @@ SELECT c.size, t.tid, t.block_id FROM tx t JOIN chosen c USING (block_id)"""
 
 
 def _w(body: str) -> str:
-    return "WITH " + BASKETS.strip() + "," + body
+    return "WITH RECURSIVE " + BASKETS.strip() + "," + body
 
 
 SQL = {
