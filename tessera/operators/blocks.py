@@ -35,9 +35,19 @@ def assign_blocks(df: DataFrame, key: str, n_blocks: int, seed, col: str = BLOCK
     return df.withColumn(col, block_hash(F.col(key), n_blocks, seed))
 
 
-def write_blocked(df: DataFrame, path: str, mode: str = "overwrite", col: str = BLOCK) -> None:
-    """Blocked table on disk: one directory per block, so block picks prune."""
-    df.repartition(col).write.mode(mode).partitionBy(col).parquet(path)
+def write_blocked(df: DataFrame, path: str, mode: str = "overwrite", col: str = BLOCK,
+                  key: str | None = None, tasks_per_block: int | None = None) -> None:
+    """Blocked table on disk: one directory per block, so block picks prune.
+
+    By default every task writes its own rows into the block directories
+    (no shuffle).  With ``key`` and ``tasks_per_block`` the rows are first
+    spread over ``tasks_per_block`` tasks per block (salted on ``key``), so
+    files are fewer and larger but no block ever lands on a single task.
+    """
+    if key is not None and tasks_per_block:
+        salt = F.pmod(F.xxhash64(F.col(key)), F.lit(int(tasks_per_block)))
+        df = df.repartition(F.col(col), salt)
+    df.write.mode(mode).partitionBy(col).parquet(path)
 
 
 # ---------------------------------------------------------------------- B1

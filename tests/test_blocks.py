@@ -123,3 +123,6 @@ def test_write_and_prune(spark, tmp_path):
     plan = picked._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "block_id" in plan
     assert picked.count() == df.filter("block_id in (1, 3)").count()
+    salted = str(tmp_path / "salted")
+    B.write_blocked(df, salted, key="tid", tasks_per_block=3)
+    assert spark.read.parquet(salted).count() == 300
