@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocks as B
 from tessera.operators import fim
+from tessera.sources import sinks
 
 
 def sum_arm(tx: DataFrame, n_first: int, min_support: float, floor: float | None = 0.01,
@@ -78,3 +79,17 @@ def sweep(tx: DataFrame, sizes: Sequence[int], min_support: float,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_result(itemsets: DataFrame, head: str, n_blocks: int, arm: str,
+                 csv_path: str | None = None, mode: str = "overwrite") -> int:
+    """S4 + S5 + P6: drop 1-itemsets, write ``<head>_<n>Block_<arm>.parquet``
+    (and a single-file CSV when ``csv_path`` is given); returns the number
+    of itemsets written."""
+    kept = fim.drop_singletons(itemsets).persist()
+    n = kept.count()
+    sinks.write_parquet(kept, f"{head}_{int(n_blocks)}Block_{arm}.parquet", mode)
+    if csv_path:
+        sinks.write_itemsets_csv(kept, csv_path, mode)
+    kept.unpersist()
+    return n

@@ -58,3 +58,14 @@ def test_centers_and_model(spark, tmp_path):
     from pyspark.ml.clustering import KMeansModel
     assert len(KMeansModel.load(mp).clusterCenters()) == 2
     assert pts.filter(F.size("features") == 2).count() == 3
+
+
+def test_write_result(spark, tmp_path):
+    from tessera.plans.fim_runs import write_result
+    df = spark.createDataFrame([([1], 7, 0.875), ([1, 2], 5, 0.625), ([1, 3], 3, 0.375)],
+                               "items ARRAY<INT>, support BIGINT, frequency DOUBLE")
+    head = str(tmp_path / "FimOutput")
+    n = write_result(df, head, 5, "ScaDist", csv_path=str(tmp_path / "csv"))
+    assert n == 2
+    assert spark.read.parquet(f"{head}_5Block_ScaDist.parquet").count() == 2
+    assert spark.read.csv(str(tmp_path / "csv")).count() == 2
