@@ -186,6 +186,37 @@ def q_scan_text_tx(spark, sf):
     return tx.select(itemset_text("items").alias("items_text"), F.size("items").alias("n_items"))
 
 
+# other basket shapes: dense (p_type, 6 items, long itemsets), sparse (p_name, 64 items)
+DENSE_SUPPORT = 0.1
+SPARSE_SUPPORT = 0.005
+SPARSE_FLOOR = 0.005
+
+
+def shaped_baskets(spark: SparkSession, sf_dir: str, attribute: str) -> DataFrame:
+    apply_defaults(spark)
+    return B.materialise(B.assign_blocks(baskets(spark, sf_dir, attribute), "tid", N_BLOCKS, SEED))
+
+
+def q_fim_vote_dense(spark, sf):
+    out = fim_runs.vote_arm(baskets(spark, sf, "p_type"), N_BLOCKS, DENSE_SUPPORT, VOTE, SEED)
+    return _keyed(out, "support", "votes")
+
+
+def q_fim_exact_dense(spark, sf):
+    return _keyed(fim_runs.exact_arm(shaped_baskets(spark, sf, "p_type"), DENSE_SUPPORT),
+                  "support", "frequency")
+
+
+def q_fim_exact_sparse(spark, sf):
+    return _keyed(fim_runs.exact_arm(shaped_baskets(spark, sf, "p_name"), SPARSE_SUPPORT),
+                  "support", "frequency")
+
+
+def q_fim_sum_sparse(spark, sf):
+    out = fim_runs.sum_arm(shaped_baskets(spark, sf, "p_name"), N_BLOCKS, SPARSE_SUPPORT, SPARSE_FLOOR)
+    return _keyed(out, "support", "frequency")
+
+
 QUERIES = {
     "baskets": q_baskets,
     "assign_blocks": q_assign_blocks,
@@ -212,6 +243,10 @@ QUERIES = {
     "itemset_key": q_itemset_key,
     "fim_sweep": q_fim_sweep,
     "scan_text_tx": q_scan_text_tx,
+    "fim_vote_dense": q_fim_vote_dense,
+    "fim_exact_dense": q_fim_exact_dense,
+    "fim_exact_sparse": q_fim_exact_sparse,
+    "fim_sum_sparse": q_fim_sum_sparse,
 }
 
 
@@ -220,12 +255,20 @@ def _hash(seed, expr: str) -> str:
     return f"('0x' || substr(md5('{seed}:' || CAST({expr} AS VARCHAR)), 1, 8))::BIGINT"
 
 
-BASKETS = f"""
-bi AS (SELECT l_orderkey AS tid, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS item
-       FROM lineitem JOIN part ON l_partkey = p_partkey),
+def _baskets_sql(attribute: str = "p_brand") -> str:
+    """CTEs bi, b0, tx: baskets of one part attribute, md5 blocks."""
+    if attribute == "p_brand":
+        item = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER)"
+    else:
+        item = f"CAST(('0x' || substr(md5(CAST({attribute} AS VARCHAR)), 1, 7))::BIGINT AS INTEGER)"
+    return f"""
+bi AS (SELECT l_orderkey AS tid, {item} AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 b0 AS (SELECT tid, list_sort(list_distinct(list(item))) AS items FROM bi GROUP BY tid),
 tx AS (SELECT tid, items, CAST({_hash(SEED, 'tid')} % {N_BLOCKS} AS INTEGER) AS block_id FROM b0)"""
 
+
+BASKETS = _baskets_sql()
+
 KEY = "'{' || array_to_string(items, ',') || '}'"
 
 
@@ -234,16 +277,17 @@ def _pick(k: int, n_total: int = N_BLOCKS, seed=PICK_SEED, offset: int = 0, name
             f"ORDER BY {_hash(seed, 'range')}, range LIMIT {k} OFFSET {offset})")
 
 
-def _local(src: str, p: str, threshold: str, n_blocks: int | None = None) -> str:
+def _local(src: str, p: str, threshold: str, n_blocks: int | None = None,
+           min_support: float = MIN_SUPPORT) -> str:
     """CTEs {p}e, {p}th, {p}loc: every frequent itemset per block of ``src``.
 
     Brute force (oracle only): each basket's subsets over the block's
     frequent single items, enumerated by a recursive CTE, then counted.
     """
     if threshold == "own":
-        thr = f"greatest(CAST(floor({MIN_SUPPORT}::DOUBLE * count(*)) AS BIGINT), 1)"
+        thr = f"greatest(CAST(floor({min_support}::DOUBLE * count(*)) AS BIGINT), 1)"
     else:
-        thr = (f"greatest((SELECT CAST(floor(count(*) * {MIN_SUPPORT}::DOUBLE / {n_blocks}) AS BIGINT)"
+        thr = (f"greatest((SELECT CAST(floor(count(*) * {min_support}::DOUBLE / {n_blocks}) AS BIGINT)"
                f" FROM {src}), 1)")
     return f"""
 {p}e AS (SELECT tid, block_id, unnest(items) AS item FROM {src}),
@@ -261,27 +305,27 @@ def _local(src: str, p: str, threshold: str, n_blocks: int | None = None) -> str
            WHERE c.support >= t.threshold)"""
 
 
-def _vote_sql(src: str, n_blocks: int) -> str:
-    return _local(src, "v", "average", n_blocks) + f""",
+def _vote_sql(src: str, n_blocks: int, min_support: float = MIN_SUPPORT) -> str:
+    return _local(src, "v", "average", n_blocks, min_support) + f""",
 vote AS (SELECT items, CAST(sum(support) // count(*) AS BIGINT) AS support, count(*) AS votes
          FROM vloc WHERE len(items) >= 2 GROUP BY items
          HAVING CAST(count(*) AS DOUBLE) >= {float(n_blocks) * VOTE})"""
 
 
-def _sum_sql(src: str, floor: float, p: str = "s") -> str:
-    return _local(src, p, "own") + f""",
+def _sum_sql(src: str, floor: float, p: str = "s", min_support: float = MIN_SUPPORT) -> str:
+    return _local(src, p, "own", min_support=min_support) + f""",
 {p}sum AS (SELECT items, CAST(sum(support) AS BIGINT) AS support,
               CAST(sum(support) AS DOUBLE) / (SELECT count(*) FROM {src}) AS frequency
        FROM {p}loc GROUP BY items)"""
 
 
-def _exact_sql(src: str) -> str:
+def _exact_sql(src: str, min_support: float = MIN_SUPPORT) -> str:
     """CTEs xe, xc, xn, exact: every itemset with support >= ceil(s * N)
     (brute force over basket subsets of frequent items; oracle only)."""
     return f"""
 xn AS (SELECT count(*) AS n FROM {src}),
 xe AS (SELECT tid, unnest(items) AS item FROM {src}),
-xf1 AS (SELECT item FROM xe, xn GROUP BY item, n HAVING count(*) >= CAST(ceil({MIN_SUPPORT}::DOUBLE * n) AS BIGINT)),
+xf1 AS (SELECT item FROM xe, xn GROUP BY item, n HAVING count(*) >= CAST(ceil({min_support}::DOUBLE * n) AS BIGINT)),
 xfe AS (SELECT e.tid, e.item FROM xe e JOIN xf1 f USING (item)),
 xsub(tid, items, last) AS (
   SELECT tid, [item], item FROM xfe
@@ -289,7 +333,7 @@ xsub(tid, items, last) AS (
   SELECT s.tid, list_append(s.items, e.item), e.item FROM xsub s JOIN xfe e ON e.tid = s.tid AND e.item > s.last),
 xc AS (SELECT items, count(*) AS support FROM xsub GROUP BY items),
 exact AS (SELECT items, support, CAST(support AS DOUBLE) / n AS frequency FROM xc, xn
-          WHERE support >= CAST(ceil({MIN_SUPPORT}::DOUBLE * n) AS BIGINT))"""
+          WHERE support >= CAST(ceil({min_support}::DOUBLE * n) AS BIGINT))"""
 
 
 def _sweep_sql() -> str:
@@ -379,3 +423,20 @@ WHERE CAST(x.support AS DOUBLE) / xn.n >= {MIN_SUPPORT}::DOUBLE"""),
     "scan_text_tx": f"WITH {BASKETS.strip()} SELECT array_to_string(items, ' ') AS items_text, "
                     f"CAST(len(items) AS INTEGER) AS n_items FROM tx",
 }
+
+
+def _shape_sql(attribute: str, body: str) -> str:
+    return "WITH RECURSIVE " + _baskets_sql(attribute).strip() + "," + body
+
+
+SQL.update({
+    "fim_vote_dense": _shape_sql("p_type", _vote_sql("tx", N_BLOCKS, DENSE_SUPPORT)
+                                 + f"\nSELECT {KEY} AS itemset, support, votes FROM vote"),
+    "fim_exact_dense": _shape_sql("p_type", _exact_sql("tx", DENSE_SUPPORT)
+                                  + f"\nSELECT {KEY} AS itemset, support, frequency FROM exact"),
+    "fim_exact_sparse": _shape_sql("p_name", _exact_sql("tx", SPARSE_SUPPORT)
+                                   + f"\nSELECT {KEY} AS itemset, support, frequency FROM exact"),
+    "fim_sum_sparse": _shape_sql("p_name", _sum_sql("tx", SPARSE_FLOOR, min_support=SPARSE_SUPPORT)
+                                 + f"\nSELECT {KEY} AS itemset, support, frequency FROM ssum "
+                                   f"WHERE frequency >= {SPARSE_FLOOR}::DOUBLE"),
+})
