@@ -64,18 +64,26 @@ class BlockModel:
     block_id: int
     model: object
     site_id: int = 0
+    n_validate: int | None = None
+    accuracy: float | None = None
 
 
 def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids: Sequence[int],
                parallelism: int = 4, label_col: str = "label", needs_two_classes: bool = False,
-               site_id: int = 0, col: str = BLOCK) -> tuple[list[BlockModel], list[int]]:
-    """Fit one model per block of ``train`` (rows already restricted to
-    the training part).  Returns (models, skipped block ids).
-
+               site_id: int = 0, col: str = BLOCK,
+               validate: DataFrame | None = None) -> tuple[list[BlockModel], list[int]]:
+    """C1 (+ C2): fit one model per block of ``train`` (rows already
+    restricted to the training part).  Returns (models, skipped block ids).
+
+    With ``validate`` rows, the same pool job then scores the block's own
+    validate rows and keeps ``n_validate`` and ``accuracy`` on the model:
+    one small job per block, never a plan with one branch per model.
     ``needs_two_classes`` skips blocks holding a single label (LR/SVM)
     instead of failing; the class census is one aggregate over all blocks.
     """
     train = materialise(with_vector(train))
+    if validate is not None:
+        validate = materialise(validate)
     skipped: list[int] = []
     ids = [int(b) for b in block_ids]
     if needs_two_classes:
@@ -86,7 +94,13 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
         ids = [b for b in ids if b not in skipped]
 
     def _fit(b):
-        return BlockModel(b, b, make_estimator().fit(train.filter(F.col(col) == F.lit(b))), site_id)
+        bm = BlockModel(b, b, make_estimator().fit(train.filter(F.col(col) == F.lit(b))), site_id)
+        if validate is not None:
+            mine = validate.filter(F.col(col) == F.lit(b))
+            hit = (F.element_at("predictions", 1) == F.col(label_col)).cast("double")
+            r = score_models([bm], mine).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("a")).first()
+            bm.n_validate, bm.accuracy = int(r["n"]), r["a"]
+        return bm
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         models = list(pool.map(_fit, ids))
@@ -144,6 +158,13 @@ def holdout_accuracy(models: Sequence[BlockModel], rows: DataFrame, order: str =
     return block_accuracy(allp, label=label)
 
 
+def accuracy_table(spark, models: Sequence[BlockModel]) -> DataFrame:
+    """C2 table ``model_id, n_validate, accuracy`` from models scored by
+    ``fit_blocks(validate=...)`` (one row per model)."""
+    rows = [(m.model_id, m.n_validate, m.accuracy) for m in models]
+    return spark.createDataFrame(rows, "model_id INT, n_validate BIGINT, accuracy DOUBLE")
+
+
 def trim_bounds(accuracies: Sequence[float], tail: float) -> tuple[float, float] | None:
     """C3 bounds: sort, ``t = max(1, int(m * tail))``, keep values in
     ``[acc[t], acc[m-t-1]]``; ``None`` (keep all) when ``m <= 2t``."""

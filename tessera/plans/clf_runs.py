@@ -39,15 +39,16 @@ def block_ensemble(train_rows: DataFrame, test_rows: DataFrame | None, algo: str
     ids = sorted(r[0] for r in rows.select(B.BLOCK).distinct().collect())
     models, skipped = E.fit_blocks(
         rows.filter(F.col("role") == "train"), lambda: E.estimator_for(algo, label, seed=seed, n_classes=n_classes),
-        ids, parallelism, label, needs_two_classes=algo in ("LR", "SVM"), site_id=site_id)
-    acc = E.holdout_accuracy(models, rows, fraction=holdout, label=label)
-    acc = B.materialise(E.trim(acc, tail, enabled=trim))
+        ids, parallelism, label, needs_two_classes=algo in ("LR", "SVM"), site_id=site_id,
+        validate=rows.filter(F.col("role") == "validate"))
+    # a block whose validate part is empty has no accuracy: it cannot be ranked
+    scored = [m for m in models if m.n_validate]
+    acc = B.materialise(E.trim(E.accuracy_table(spark, scored), tail, enabled=trim))
     kept = E.kept_models(models, acc)
     if test_rows is None:
         return EnsembleResult(kept, acc, skipped, None, None, None)
     voted = E.vote(E.score_models(kept, test_rows)).select("row_id", B.BLOCK, label, "prediction")
     per, tot = E.weighted_accuracy(voted, label)
-    _ = spark
     return EnsembleResult(kept, acc, skipped, voted, per, tot)
 
 
