@@ -70,11 +70,21 @@ def exact_arm(tx: DataFrame, min_support: float, n_first: int | None = None,
 def sweep(tx: DataFrame, sizes: Sequence[int], min_support: float,
           floor: float | None = 0.01) -> DataFrame:
     """the sum arm for every block count in ``sizes``, with a ``size``
-    column.  Sizes run one after another (each is a distributed job)."""
+    column.
+
+    With each block's own threshold a block's local itemsets do not depend
+    on the other blocks, so the first ``max(sizes)`` blocks are mined once
+    and every size is a cheap merge of its ``block_id < size`` part.
+    """
     if not sizes:
         raise ValueError("sizes must not be empty")
-    parts = [sum_arm(tx, s, min_support, floor).withColumn("size", F.lit(int(s)))
-             for s in sizes]
+    rows = B.first_blocks(tx, max(sizes))
+    bsz = fim.block_sizes(rows)
+    local = fim.local_itemsets(rows, min_support, "own", sizes=bsz)
+    parts = []
+    for s in sizes:
+        n = sum(v for b, v in bsz.items() if b < s)
+        parts.append(fim.merge_sum(B.first_blocks(local, s), n, floor).withColumn("size", F.lit(int(s))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
