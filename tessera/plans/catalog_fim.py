@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import itemset_key, itemset_text
+from tessera.functions.exprs import itemset_key, itemset_text, parse_int_line
 from tessera.operators import blocks as B
 from tessera.operators import fim
 from tessera.plans import fim_runs
@@ -140,15 +140,10 @@ def q_fim_vote_sampled(spark, sf):
     # text source: transactions rendered as lines, parsed back
     tx = blocked_baskets(spark, sf)
     lines = tx.select("tid", "block_id", itemset_text("items").alias("value"))
-    parsed = lines.select("tid", "block_id", fim_parse("value").alias("items"))
+    parsed = lines.select("tid", "block_id", parse_int_line("value").alias("items"))
     return fim_runs.sampled_vote_arm(parsed, N_BLOCKS, FRACTION, MIN_SUPPORT, VOTE, PICK_SEED)
 
 
-def fim_parse(col):
-    from tessera.functions.exprs import parse_int_line
-    return parse_int_line(col)
-
-
 def q_fim_candidates(spark, sf):
     loc = fim.local_itemsets(blocked_baskets(spark, sf), MIN_SUPPORT, "average")
     return _keyed(fim.candidates(loc))

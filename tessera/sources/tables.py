@@ -58,11 +58,11 @@ def baskets(spark: SparkSession, sf_dir: str, attribute: str = "p_brand") -> Dat
             .select(F.col("l_orderkey").alias("tid"), "items"))
 
 
-def read_text_transactions(spark: SparkSession, path: str, id_seed: int | None = None) -> DataFrame:
+def read_text_transactions(spark: SparkSession, path: str) -> DataFrame:
     """S2 + P3: text file, one transaction per line of space-separated ints.
 
-    ``tid`` is a content+position free id: a line's md5 is not unique, so
-    we use ``monotonically_increasing_id`` (stable for a given file split).
+    Lines carry no id and may repeat, so ``tid`` is
+    ``monotonically_increasing_id`` (stable for a given set of file splits).
     """
     df = spark.read.text(path)
     return df.select(F.monotonically_increasing_id().alias("tid"),

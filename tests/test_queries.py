@@ -1,8 +1,6 @@
 """Every registered query runs at sf0.001; those with a SQL twin match
 DuckDB (rows, columns and values)."""
 
-import pytest
-
 from conftest import SF_SMALL
 
 
