@@ -106,7 +106,10 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     blocks x distinct items.  ``blocks_per_run`` bounds that list by mining
     the blocks in groups (one FP-growth job per group) and unioning.
     """
-    tx = materialise(tx.select(col, "items"))
+    tx = tx.select(col, "items")
+    owned = not tx.storageLevel.useMemory and not tx.storageLevel.useDisk
+    if owned:
+        tx = materialise(tx)
     sizes = sizes if sizes is not None else block_sizes(tx, col)
     n = sum(sizes.values())
     if n == 0:
@@ -122,8 +125,14 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return materialise(out)
-    return materialise(_mine_tagged(tx, thr, n, num_partitions, col))
+    else:
+        out = _mine_tagged(tx, thr, n, num_partitions, col)
+    # keep the (small) itemsets, release the copy of the transactions
+    out = materialise(out)
+    out.count()
+    if owned:          # only drop a cache entry this call created
+        tx.unpersist()
+    return out
 
 
 def _mine_tagged(tx: DataFrame, thr: dict[int, int], n: int, num_partitions: int | None,

@@ -141,3 +141,10 @@ def test_recount_anchor_variants(brand):
     b = _as_dict(fim.recount(brand, cands, anchor="first"), "support")
     c = _as_dict(fim.recount(brand, cands, anchor="rarest", broadcast_limit=0), "support")
     assert a == b == c and a
+
+
+def test_local_mining_keeps_callers_cache(spark, brand):
+    mine = B.materialise(brand.select("block_id", "items"))
+    mine.count()
+    fim.local_itemsets(mine, 0.02, "own").count()
+    assert mine.storageLevel.useMemory or mine.storageLevel.useDisk
