@@ -108,15 +108,18 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
 
 
 def score_models(models: Sequence[BlockModel], rows: DataFrame, out: str = "predictions",
-                 features: str = "features") -> DataFrame:
+                 features: str = "features", group: int = 32) -> DataFrame:
     """Every model scores every row in one pass.
 
     Each model writes its own prediction column; probability and raw
-    columns are switched off or dropped right away, so rows stay narrow.
+    columns are dropped right away.  After every ``group`` models their
+    predictions are folded into one array column, so a row never carries
+    more than ``group`` prediction columns however large the ensemble.
     Result: the input columns plus ``predictions ARRAY<INT>`` (model order).
     """
     df = with_vector(rows, features, "vec")
-    names = []
+    folded: list[str] = []
+    pending: list[str] = []
     for i, bm in enumerate(models):
         m = bm.model.copy()
         pc = f"_p{i}"
@@ -126,9 +129,19 @@ def score_models(models: Sequence[BlockModel], rows: DataFrame, out: str = "pred
                 getattr(m, setter)(val)
         df = m.transform(df)
         df = df.drop(*[c for c in (f"_r{i}", f"_q{i}") if c in df.columns])
-        names.append(pc)
-    arr = F.array(*[F.col(n).cast("int") for n in names]) if names else F.array().cast("array<int>")
-    return df.withColumn(out, arr).drop("vec", *names)
+        pending.append(pc)
+        if len(pending) == group or i == len(models) - 1:
+            g = f"_g{len(folded)}"
+            df = df.withColumn(g, F.array(*[F.col(n).cast("int") for n in pending])).drop(*pending)
+            folded.append(g)
+            pending = []
+    if not folded:
+        arr = F.array().cast("array<int>")
+    elif len(folded) == 1:
+        arr = F.col(folded[0])
+    else:
+        arr = F.concat(*[F.col(g) for g in folded])
+    return df.withColumn(out, arr).drop("vec", *folded)
 
 
 def block_accuracy(pred: DataFrame, model_col: str = "model_id", label: str = "label",

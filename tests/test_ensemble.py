@@ -89,3 +89,12 @@ def test_multi_site_single_and_exact(spark):
     assert acc.first().accuracy > 0.9
     pred = clf_runs.exact(v.filter("block_id < 4"), v.filter("block_id >= 4"), "LR")
     assert E.weighted_accuracy(pred)[1].first().accuracy > 0.95
+
+
+def test_score_models_groups(spark):
+    v = _separable(spark)
+    models, _ = E.fit_blocks(v, lambda: E.estimator_for("DT"), [0, 1, 2, 3, 4])
+    one = E.score_models(models, v).select("row_id", "predictions")
+    grouped = E.score_models(models, v, group=2).select("row_id", "predictions")
+    assert one.exceptAll(grouped).count() == 0
+    assert grouped.filter(F.size("predictions") != 5).count() == 0
