@@ -29,6 +29,20 @@ from tessera.operators.blocks import BLOCK, block_inventory, materialise
 BROADCAST_CANDIDATES = 200_000
 
 
+# Transactions per FP-growth partition when the caller gives no count.
+TX_PER_PARTITION = 500_000
+
+
+def fp_partitions(spark, n_rows: int, num_partitions: int | None = None) -> int:
+    """Partitions of the FP-tree stage: the caller's count, else one per
+    ``TX_PER_PARTITION`` transactions and at least the default parallelism.
+    (MLlib would take the input's partition count, e.g. 200 tiny trees on
+    small data; its RDD shuffle is not coalesced by AQE.)"""
+    if num_partitions:
+        return int(num_partitions)
+    return max(spark.sparkContext.defaultParallelism, -(-int(n_rows) // TX_PER_PARTITION))
+
+
 # ---------------------------------------------------------------- P5-P8, P10
 def drop_singletons(itemsets: DataFrame) -> DataFrame:
     """Keep itemsets of length >= 2."""
@@ -140,9 +154,8 @@ def _mine_tagged(tx: DataFrame, thr: dict[int, int], n: int, num_partitions: int
     """One FP-growth run over block-tagged items, then per-block thresholds."""
     c = min(thr.values())
     # MLlib takes ceil(minSupport * N) as the count; (c - 0.5) / N gives c.
-    fp = FPGrowth(itemsCol="items", minSupport=(c - 0.5) / n)
-    if num_partitions:
-        fp = fp.setNumPartitions(int(num_partitions))
+    fp = FPGrowth(itemsCol="items", minSupport=(c - 0.5) / n,
+                  numPartitions=fp_partitions(tx.sparkSession, n, num_partitions))
     tagged = tx.select(tag_items("items", col).alias("items"))
     found = fp.fit(tagged).freqItemsets
     local = found.select(tagged_block("items").alias(col), untag_items("items").alias("items"),
@@ -160,9 +173,8 @@ def exact_itemsets(tx: DataFrame, min_support: float, num_partitions: int | None
     """exact FP-growth on the given rows: ``items, support, frequency``."""
     items = tx.select("items")
     n = n_rows if n_rows is not None else items.count()
-    fp = FPGrowth(itemsCol="items", minSupport=float(min_support))
-    if num_partitions:
-        fp = fp.setNumPartitions(int(num_partitions))
+    fp = FPGrowth(itemsCol="items", minSupport=float(min_support),
+                  numPartitions=fp_partitions(tx.sparkSession, n, num_partitions))
     found = fp.fit(items).freqItemsets
     return with_frequency(found.select(F.array_sort("items").alias("items"),
                                        F.col("freq").alias("support")), max(n, 1))
