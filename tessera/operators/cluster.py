@@ -176,10 +176,17 @@ def two_level(points: DataFrame, k: int, algo: str, block_ids: Sequence[int], st
 
 
 # ---------------------------------------------------------------------- K8-K10
+def _check_centers(centers: DataFrame, limit: int = BROADCAST_CENTERS) -> None:
+    n = centers.count()
+    if n > limit:
+        raise ValueError(f"{n} centers exceed the broadcast limit {limit}")
+
+
 def assign_nearest(points: DataFrame, centers: DataFrame, out: str = "cluster",
                    center_id: str = "center_id") -> DataFrame:
     """Nearest of a global center table (``center_id, center``); the table
-    is collected into one array row and broadcast (bounded: k centers)."""
+    is collected into one array row and broadcast (size checked: k centers)."""
+    _check_centers(centers)
     arr = centers.agg(F.collect_list(F.struct(F.col(center_id).alias("c"), F.col("center"))).alias("_cs"))
     nearest = F.array_min(F.transform(
         "_cs", lambda s: F.struct(sq_distance(F.col("features"), s["center"]).alias("d"), s["c"].alias("c"))))
@@ -191,6 +198,7 @@ def assign_nearest(points: DataFrame, centers: DataFrame, out: str = "cluster",
 def center_error(true_centers: DataFrame, predicted: DataFrame) -> DataFrame:
     """K8: for each true center the least squared distance to any predicted
     center, summed (extra predicted centers cost nothing).  One row."""
+    _check_centers(predicted)
     arr = predicted.agg(F.collect_list("center").alias("_ps"))
     per = (true_centers.withColumn("_one", F.lit(1))
            .join(F.broadcast(arr.withColumn("_one", F.lit(1))), "_one")
