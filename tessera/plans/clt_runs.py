@@ -39,7 +39,11 @@ def exact_with_plan(points: DataFrame, plan: DataFrame, sizes: Sequence[int], tr
                     k: int, algo: str = "kmeans", frac: float = 0.9, seed: int = 1,
                     model_path: str | None = None) -> DataFrame:
     """K3: blocks for each size from the plan (default ``range(size)``),
-    random row split, one MLlib fit, center error and purity."""
+    random row split, one MLlib fit, center error and purity.  No sizes:
+    one run on the whole table (reported as size 0)."""
+    if not sizes:
+        n_b = points.select(B.BLOCK).distinct().count()
+        return _union([_exact_one(points, true_centers, k, algo, frac, seed, 0, n_b, model_path)])
     out = []
     for s in sizes:
         rows = B.blocks_by_plan(points, plan, [s]).drop("size")
@@ -73,7 +77,11 @@ def blocks_with_plan(points: DataFrame, plan: DataFrame, sizes: Sequence[int], t
                      k: int, subs: float, tests: int, algo: str = "kmeans", steps: int = 10,
                      seed: int = 1) -> DataFrame:
     """Plan ids (default ``range(size + tests)``); the first
-    ``max(1, int(len * subs))`` train, the next ``tests`` ids test."""
+    ``max(1, int(len * subs))`` train, the next ``tests`` ids test.  No
+    sizes: train on every block, test on blocks ``0 .. tests-1``."""
+    if not sizes:
+        ids = sorted(r[0] for r in points.select(B.BLOCK).distinct().collect())   # one per block
+        return _union([_block_one(points, ids, list(range(tests)), true_centers, k, algo, steps, seed, 0)])
     plan_rows = {int(r["size"]): list(r["block_ids"]) for r in plan.collect()}  # plan table: tiny
     out = []
     for s in sizes:

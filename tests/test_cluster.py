@@ -76,3 +76,13 @@ def test_bisecting_and_runs(spark):
     assert r.n_train_blocks == 2 and r.purity > 0.99
     no_test = clt_runs.blocks_shuffled(v, 3, [2], tc, 3, subs=1.0, tests=0, unit=1.0)
     assert no_test.first().purity is None
+
+
+def test_runs_without_sizes_use_whole_table(spark):
+    v = _blobs(spark, n=300)
+    tc = true_centers(v)
+    plan = spark.createDataFrame([], "size INT, block_ids ARRAY<INT>")
+    ex = clt_runs.exact_with_plan(v, plan, [], tc, 3, "kmeans")
+    assert ex.first().size == 0 and ex.first().n_train_blocks == 3
+    bl = clt_runs.blocks_with_plan(v, plan, [], tc, 3, subs=1.0, tests=1)
+    assert bl.first().n_train_blocks == 3 and bl.first().purity is not None
