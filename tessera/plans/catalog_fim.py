@@ -212,6 +212,28 @@ def q_fim_sum_sparse(spark, sf):
     return _keyed(out, "support", "frequency")
 
 
+def q_row_sample(spark, sf):
+    """Bernoulli 10 % row sample (a sampling operator: rows-only)."""
+    return B.bernoulli_sample(baskets(spark, sf), 0.1, SEED).select("tid")
+
+
+def q_row_random_split(spark, sf):
+    """Spark's seeded ``randomSplit`` 90/10, tagged (rows-only)."""
+    train, test = B.random_split(baskets(spark, sf), SPLIT, SEED)
+    return (train.select("tid", F.lit("train").alias("role"))
+            .unionByName(test.select("tid", F.lit("test").alias("role"))))
+
+
+def q_fim_written(spark, sf):
+    """S4 + S5 + P6: the sum arm written as Parquet (1-itemsets dropped) and
+    a single-file CSV into the shared checkpoint folder, read back."""
+    import uuid
+    head = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fim-{uuid.uuid4().hex}"
+    fim_runs.write_result(_sum(spark, sf), head, N_BLOCKS, "ScaDist", csv_path=f"{head}.csv")
+    back = spark.read.parquet(f"{head}_{N_BLOCKS}Block_ScaDist.parquet")
+    return _keyed(back, "support", "frequency")
+
+
 QUERIES = {
     "baskets": q_baskets,
     "assign_blocks": q_assign_blocks,
@@ -242,6 +264,9 @@ QUERIES = {
     "fim_exact_dense": q_fim_exact_dense,
     "fim_exact_sparse": q_fim_exact_sparse,
     "fim_sum_sparse": q_fim_sum_sparse,
+    "row_sample": q_row_sample,
+    "row_random_split": q_row_random_split,
+    "fim_written": q_fim_written,
 }
 
 
@@ -435,3 +460,5 @@ SQL.update({
                                  + f"\nSELECT {KEY} AS itemset, support, frequency FROM ssum "
                                    f"WHERE frequency >= {SPARSE_FLOOR}::DOUBLE"),
 })
+
+SQL["fim_written"] = SQL["fim_drop_singletons"]
