@@ -36,17 +36,24 @@ def assign_blocks(df: DataFrame, key: str, n_blocks: int, seed, col: str = BLOCK
 
 
 def write_blocked(df: DataFrame, path: str, mode: str = "overwrite", col: str = BLOCK,
-                  key: str | None = None, tasks_per_block: int | None = None) -> None:
+                  key: str | None = None, tasks_per_block: int | None = None,
+                  rebalance: bool = False) -> None:
     """Blocked table on disk: one directory per block, so block picks prune.
 
-    By default every task writes its own rows into the block directories
-    (no shuffle).  With ``key`` and ``tasks_per_block`` the rows are first
-    spread over ``tasks_per_block`` tasks per block (salted on ``key``), so
-    files are fewer and larger but no block ever lands on a single task.
+    * default: every task writes its own rows into the block directories
+      (no shuffle; many small files);
+    * ``rebalance``: Spark's REBALANCE hint on ``block_id``: one shuffle,
+      AQE merges small partitions and splits a hot block's partition;
+    * ``key`` + ``tasks_per_block``: a salted shuffle with a fixed partition
+      count (never coalesced), spreading every block over up to
+      ``tasks_per_block`` tasks.
     """
     if key is not None and tasks_per_block:
         salt = F.pmod(F.xxhash64(F.col(key)), F.lit(int(tasks_per_block)))
-        df = df.repartition(F.col(col), salt)
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(tasks_per_block))
+        df = df.repartition(n, F.col(col), salt)
+    elif rebalance:
+        df = df.hint("rebalance", col)
     df.write.mode(mode).partitionBy(col).parquet(path)
 
 
