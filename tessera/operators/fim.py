@@ -29,6 +29,10 @@ from tessera.operators.blocks import BLOCK, block_inventory, materialise
 BROADCAST_CANDIDATES = 200_000
 
 
+# Cap on distinct (block, item) pairs per local FP-growth run: MLlib keeps
+# the frequent ones in a driver-side list.
+MAX_TAGGED_ITEMS = 2_000_000
+
 # Transactions per FP-growth partition when the caller gives no count.
 TX_PER_PARTITION = 500_000
 
@@ -110,15 +114,18 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
                    n_blocks: int | None = None, min_count: int = 1,
                    num_partitions: int | None = None, col: str = BLOCK,
                    sizes: dict[int, int] | None = None,
-                   blocks_per_run: int | None = None) -> DataFrame:
+                   blocks_per_run: int | None = None,
+                   max_tagged_items: int | None = MAX_TAGGED_ITEMS) -> DataFrame:
     """frequent itemsets of every block on its own.
 
     Returns ``block_id, items, support`` with ``support >= threshold_b``
     (persisted: mining runs once however often the result is read).
 
-    MLlib gathers the frequent (tagged) single items on the driver: about
-    blocks x distinct items.  ``blocks_per_run`` bounds that list by mining
-    the blocks in groups (one FP-growth job per group) and unioning.
+    MLlib gathers the frequent (tagged) single items on the driver: at most
+    the distinct (block, item) pairs.  ``blocks_per_run`` bounds that list
+    by mining the blocks in groups (one FP-growth job per group) and
+    unioning.  Left unset, one HyperLogLog pass estimates the distinct
+    pairs and picks groups that keep each run under ``max_tagged_items``.
     """
     tx = tx.select(col, "items")
     owned = not tx.storageLevel.useMemory and not tx.storageLevel.useDisk
@@ -130,6 +137,8 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
         return tx.sparkSession.createDataFrame([], f"{col} INT, items ARRAY<INT>, support BIGINT")
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
     ids = sorted(sizes)
+    if not blocks_per_run and max_tagged_items and len(ids) > 1:
+        blocks_per_run = _blocks_per_run(tx, len(ids), max_tagged_items, col)
     if blocks_per_run and len(ids) > blocks_per_run:
         parts = []
         for i in range(0, len(ids), blocks_per_run):
@@ -149,6 +158,17 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     return out
 
 
+def _blocks_per_run(tx: DataFrame, n_blocks: int, max_tagged_items: int, col: str) -> int | None:
+    """Blocks per FP-growth run so that one run's distinct (block, item)
+    pairs (HyperLogLog estimate, partially aggregated) stay under the cap."""
+    pairs = (tx.select(col, F.explode("items").alias("_i"))
+             .agg(F.approx_count_distinct(F.struct(col, "_i")).alias("d")).first()["d"] or 0)
+    if pairs <= max_tagged_items:
+        return None
+    per_block = max(1, -(-pairs // n_blocks))
+    return max(1, max_tagged_items // per_block)
+
+
 def _mine_tagged(tx: DataFrame, thr: dict[int, int], n: int, num_partitions: int | None,
                  col: str) -> DataFrame:
     """One FP-growth run over block-tagged items, then per-block thresholds."""

@@ -148,3 +148,10 @@ def test_local_mining_keeps_callers_cache(spark, brand):
     mine.count()
     fim.local_itemsets(mine, 0.02, "own").count()
     assert mine.storageLevel.useMemory or mine.storageLevel.useDisk
+
+
+def test_auto_batching_under_item_cap(brand):
+    one = {(r.block_id, tuple(r["items"])): r.support for r in fim.local_itemsets(brand, 0.02, "own").collect()}
+    capped = {(r.block_id, tuple(r["items"])): r.support
+              for r in fim.local_itemsets(brand, 0.02, "own", max_tagged_items=30).collect()}
+    assert one == capped
