@@ -229,8 +229,8 @@ def q_fim_written(spark, sf):
     a single-file CSV into the shared checkpoint folder, read back."""
     import uuid
     head = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fim-{uuid.uuid4().hex}"
-    fim_runs.write_result(_sum(spark, sf), head, N_BLOCKS, "ScaDist", csv_path=f"{head}.csv")
-    back = spark.read.parquet(f"{head}_{N_BLOCKS}Block_ScaDist.parquet")
+    fim_runs.write_result(_sum(spark, sf), head, N_BLOCKS, "sum", csv_path=f"{head}.csv")
+    back = spark.read.parquet(f"{head}_{N_BLOCKS}Block_sum.parquet")
     return _keyed(back, "support", "frequency")
 
 

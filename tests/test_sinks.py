@@ -65,7 +65,7 @@ def test_write_result(spark, tmp_path):
     df = spark.createDataFrame([([1], 7, 0.875), ([1, 2], 5, 0.625), ([1, 3], 3, 0.375)],
                                "items ARRAY<INT>, support BIGINT, frequency DOUBLE")
     head = str(tmp_path / "FimOutput")
-    n = write_result(df, head, 5, "ScaDist", csv_path=str(tmp_path / "csv"))
+    n = write_result(df, head, 5, "sum", csv_path=str(tmp_path / "csv"))
     assert n == 2
-    assert spark.read.parquet(f"{head}_5Block_ScaDist.parquet").count() == 2
+    assert spark.read.parquet(f"{head}_5Block_sum.parquet").count() == 2
     assert spark.read.csv(str(tmp_path / "csv")).count() == 2
