@@ -39,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; we read it
-    from the session.  Only when nothing is set (local tests) do we create a
-    scratch folder of our own.
+    from the session.  Only when nothing is set and the master is local
+    (tests) do we create a scratch folder of our own; on a cluster an unset
+    folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             conf_dir = None
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not reliable storage on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
