@@ -86,3 +86,18 @@ def test_runs_without_sizes_use_whole_table(spark):
     assert ex.first().size == 0 and ex.first().n_train_blocks == 3
     bl = clt_runs.blocks_with_plan(v, plan, [], tc, 3, subs=1.0, tests=1)
     assert bl.first().n_train_blocks == 3 and bl.first().purity is not None
+
+
+def test_shuffled_exact_and_planned_block_runs(spark):
+    v = _blobs(spark, n=600, blocks=4)
+    tc = true_centers(v)
+    ex = clt_runs.exact_shuffled(v, 4, [2, 4], tc, 3, unit=1.0, algo="kmeans", seed=1)
+    got = {r.size: r for r in ex.collect()}
+    assert set(got) == {2, 4} and got[4].n_train_blocks == 4
+    assert all(r.distance < 0.5 for r in got.values())
+    plan = spark.createDataFrame([(2, [0, 3, 1])], "size INT, block_ids ARRAY<INT>")
+    bl = clt_runs.blocks_with_plan(v, plan, [2, 3], tc, 3, subs=0.67, tests=1, algo="kmeans", steps=5)
+    rows = {r.size: r for r in bl.collect()}
+    assert rows[2].n_train_blocks == 2            # plan ids [0, 3, 1]: int(3 * 0.67) = 2 train, 1 test
+    assert rows[3].n_train_blocks == 2            # default range(0, 3 + 1): int(4 * 0.67) = 2
+    assert all(r.purity is not None and r.purity > 0.95 for r in rows.values())
