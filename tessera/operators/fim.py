@@ -44,7 +44,11 @@ def fp_partitions(spark, n_rows: int, num_partitions: int | None = None) -> int:
     small data; its RDD shuffle is not coalesced by AQE.)"""
     if num_partitions:
         return int(num_partitions)
-    return max(spark.sparkContext.defaultParallelism, -(-int(n_rows) // TX_PER_PARTITION))
+    try:
+        floor = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext on a Connect client
+        floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, -(-int(n_rows) // TX_PER_PARTITION))
 
 
 # ---------------------------------------------------------------- P5-P8, P10
