@@ -208,7 +208,8 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- B15
-def rank_within(df: DataFrame, group: str, order: str, out: str = "pos") -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: str, out: str = "pos",
+                size_out: str | None = None) -> DataFrame:
     """Exact 1-based position of each row by ``order`` inside its ``group``.
 
     ``order`` must be unique within a group.  Unlike a window partitioned by
@@ -230,7 +231,11 @@ def rank_within(df: DataFrame, group: str, order: str, out: str = "pos") -> Data
                                                F.min("_mid").alias("_m0"))
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (ordered.join(F.broadcast(stats.select(group, "_pid", "_off", "_m0")), [group, "_pid"])
+    keep = [group, "_pid", "_off", "_m0"]
+    if size_out:       # group sizes come free from the same small table
+        stats = stats.withColumn(size_out, F.sum("_n").over(Window.partitionBy(group)))
+        keep.append(size_out)
+    return (ordered.join(F.broadcast(stats.select(*keep)), [group, "_pid"])
             .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(1))
             .drop("_pid", "_mid", "_off", "_m0"))
 
@@ -239,13 +244,10 @@ def holdout_in_block(df: DataFrame, order: str, fraction: float = 0.9, col: str
                      out: str = "role") -> DataFrame:
     """The first ``floor(fraction * n_b)`` rows of each block (by
     ``order``) are ``train``, the rest ``validate``."""
-    sizes = block_inventory(df, col).withColumn(
-        "_cut", F.floor(F.lit(float(fraction)) * F.col("n_rows")).cast("long"))
-    ranked = rank_within(df, col, order, "_pos")
-    return (ranked.join(F.broadcast(sizes.select(col, "_cut")), col)
-            .withColumn(out, F.when(F.col("_pos") <= F.col("_cut"), F.lit("train"))
-                        .otherwise(F.lit("validate")))
-            .drop("_pos", "_cut"))
+    ranked = rank_within(df, col, order, "_pos", size_out="_n_b")
+    cut = F.floor(F.lit(float(fraction)) * F.col("_n_b")).cast("long")
+    return (ranked.withColumn(out, F.when(F.col("_pos") <= cut, F.lit("train")).otherwise(F.lit("validate")))
+            .drop("_pos", "_n_b"))
 
 
 # ---------------------------------------------------------------------- B17
