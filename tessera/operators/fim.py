@@ -78,10 +78,29 @@ def text_lines(itemsets: DataFrame, value: str = "support") -> DataFrame:
                                        F.col(value).cast("string")).alias("value"))
 
 
-def block_sizes(tx: DataFrame, col: str = BLOCK) -> dict[int, int]:
-    """Rows per block.  One aggregate job; the result has one entry per
-    block (bounded by the block count, not by the data)."""
-    return {int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()}
+class BlockSizes(dict):
+    """Rows per block (one entry per block), plus ``item_pairs``: a
+    HyperLogLog estimate of the distinct (block, item) pairs, or None."""
+
+    item_pairs: int | None = None
+
+
+def block_sizes(tx: DataFrame, col: str = BLOCK, with_items: bool = True) -> BlockSizes:
+    """Rows per block and (``with_items``) the distinct (block, item) pair
+    estimate, in one partially aggregated pass; one row per block comes
+    back (bounded by the block count, not by the data)."""
+    if not with_items:
+        out = BlockSizes({int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()})
+        return out
+    # posexplode_outer keeps empty baskets (pos NULL); pos 0 / NULL marks one row per basket
+    ex = tx.select(col, F.posexplode_outer("items").alias("_p", "_i"))
+    rows = (ex.groupBy(col)
+            .agg(F.count(F.when(F.col("_p").isNull() | (F.col("_p") == 0), 1)).alias("n_rows"),
+                 F.approx_count_distinct("_i").alias("_d"))
+            .collect())
+    out = BlockSizes({int(r[col]): int(r["n_rows"]) for r in rows})
+    out.item_pairs = int(sum(r["_d"] for r in rows))
+    return out
 
 
 def threshold_counts(sizes: dict[int, int], min_support: float, threshold: str = "own",
@@ -107,7 +126,7 @@ def local_thresholds(tx: DataFrame, min_support: float, threshold: str = "own",
                      n_blocks: int | None = None, min_count: int = 1,
                      col: str = BLOCK, sizes: dict[int, int] | None = None) -> DataFrame:
     """P10 as a table ``block_id, n_rows, threshold``."""
-    sizes = sizes if sizes is not None else block_sizes(tx, col)
+    sizes = sizes if sizes is not None else block_sizes(tx, col, with_items=False)
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
     rows = [(b, sizes[b], thr[b]) for b in sorted(sizes)]
     return tx.sparkSession.createDataFrame(rows, f"{col} INT, n_rows BIGINT, threshold BIGINT")
@@ -142,7 +161,10 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
     ids = sorted(sizes)
     if not blocks_per_run and max_tagged_items and len(ids) > 1:
-        blocks_per_run = _blocks_per_run(tx, len(ids), max_tagged_items, col)
+        pairs = getattr(sizes, "item_pairs", None)
+        if pairs is None:
+            pairs = _item_pairs(tx, col)
+        blocks_per_run = _blocks_per_run(pairs, len(ids), max_tagged_items)
     if blocks_per_run and len(ids) > blocks_per_run:
         parts = []
         for i in range(0, len(ids), blocks_per_run):
@@ -162,11 +184,15 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     return out
 
 
-def _blocks_per_run(tx: DataFrame, n_blocks: int, max_tagged_items: int, col: str) -> int | None:
+def _item_pairs(tx: DataFrame, col: str) -> int:
+    """HyperLogLog estimate of the distinct (block, item) pairs."""
+    return int(tx.select(col, F.explode("items").alias("_i"))
+               .agg(F.approx_count_distinct(F.struct(col, "_i")).alias("d")).first()["d"] or 0)
+
+
+def _blocks_per_run(pairs: int, n_blocks: int, max_tagged_items: int) -> int | None:
     """Blocks per FP-growth run so that one run's distinct (block, item)
-    pairs (HyperLogLog estimate, partially aggregated) stay under the cap."""
-    pairs = (tx.select(col, F.explode("items").alias("_i"))
-             .agg(F.approx_count_distinct(F.struct(col, "_i")).alias("d")).first()["d"] or 0)
+    pairs stay under the cap."""
     if pairs <= max_tagged_items:
         return None
     per_block = max(1, -(-pairs // n_blocks))

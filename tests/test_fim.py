@@ -155,3 +155,11 @@ def test_auto_batching_under_item_cap(brand):
     capped = {(r.block_id, tuple(r["items"])): r.support
               for r in fim.local_itemsets(brand, 0.02, "own", max_tagged_items=30).collect()}
     assert one == capped
+
+
+def test_block_sizes_count_empty_baskets(spark):
+    df = spark.createDataFrame([(0, 0, []), (1, 0, [1, 2]), (2, 1, [3]), (3, 1, [])],
+                               "tid LONG, block_id INT, items ARRAY<INT>")
+    s = fim.block_sizes(df)
+    assert dict(s) == {0: 2, 1: 2} and s.item_pairs == 3
+    assert dict(fim.block_sizes(df, with_items=False)) == {0: 2, 1: 2}
