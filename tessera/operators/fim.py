@@ -253,6 +253,14 @@ def merge_sum(local: DataFrame, n_rows: int, floor: float | None = 0.01) -> Data
 
 
 # ---------------------------------------------------------------------- F6
+def local_item_freq(local: DataFrame) -> DataFrame:
+    """``item, f``: summed local supports of the 1-itemsets (a lower bound
+    of each item's count; enough to pick a recount anchor)."""
+    return (local.filter(F.size("items") == 1)
+            .groupBy(F.element_at("items", 1).alias("item"))
+            .agg(F.sum("support").alias("f")))
+
+
 def candidates(local: DataFrame, min_length: int = 2) -> DataFrame:
     """distinct local itemsets of length >= ``min_length``."""
     return local.filter(F.size("items") >= min_length).select("items").distinct()
@@ -261,7 +269,8 @@ def candidates(local: DataFrame, min_length: int = 2) -> DataFrame:
 # ---------------------------------------------------------------------- F7
 def recount(tx: DataFrame, cands: DataFrame, n_rows: int | None = None,
             min_support: float | None = None,
-            broadcast_limit: int = BROADCAST_CANDIDATES, anchor: str = "rarest") -> DataFrame:
+            broadcast_limit: int = BROADCAST_CANDIDATES, anchor: str = "rarest",
+            item_freq: DataFrame | None = None) -> DataFrame:
     """exact support of every candidate over ``tx``.
 
     Each candidate is anchored on one of its items: ``rarest`` (least
@@ -272,13 +281,20 @@ def recount(tx: DataFrame, cands: DataFrame, n_rows: int | None = None,
     ``broadcast_limit``; otherwise both sides shuffle on the anchor (AQE
     splits a hot anchor).  Returns ``items, support, frequency`` for every
     candidate (support 0 included) unless ``min_support`` filters.
+
+    Any anchor gives the exact answer; the anchor only sizes the join.  So
+    ``item_freq`` (``item, f``), e.g. summed local 1-itemset supports, can
+    replace the counting pass over ``tx``.
     """
     cands = materialise(cands.select("items").distinct())
     n_cands = cands.count()
     small = n_cands <= broadcast_limit
     if anchor == "rarest":
-        freq = (tx.select(F.explode("items").alias("item")).groupBy("item")
-                .agg(F.count(F.lit(1)).alias("_f")))
+        if item_freq is not None:
+            freq = item_freq.select("item", F.col("f").alias("_f"))
+        else:
+            freq = (tx.select(F.explode("items").alias("item")).groupBy("item")
+                    .agg(F.count(F.lit(1)).alias("_f")))
         per_item = cands.select("items", F.explode("items").alias("item"))
         anchored = (per_item.join(freq, "item", "left")
                     .groupBy("items")

@@ -57,7 +57,8 @@ def recount_arm(tx: DataFrame, n_total: int, n_sampled: int, min_support: float,
     rows = B.materialise(B.random_blocks(tx, n_total, n_sampled, pick_seed))
     sizes = fim.block_sizes(rows)
     local = fim.local_itemsets(rows, min_support, "average", n_blocks=n_sampled, sizes=sizes)
-    return fim.recount(rows, fim.candidates(local), sum(sizes.values()), min_support, broadcast_limit)
+    return fim.recount(rows, fim.candidates(local), sum(sizes.values()), min_support, broadcast_limit,
+                       item_freq=fim.local_item_freq(local))
 
 
 def exact_arm(tx: DataFrame, min_support: float, n_first: int | None = None,

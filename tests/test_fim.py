@@ -140,7 +140,9 @@ def test_recount_anchor_variants(brand):
     a = _as_dict(fim.recount(brand, cands, anchor="rarest"), "support")
     b = _as_dict(fim.recount(brand, cands, anchor="first"), "support")
     c = _as_dict(fim.recount(brand, cands, anchor="rarest", broadcast_limit=0), "support")
-    assert a == b == c and a
+    loc = fim.local_itemsets(brand, 0.02, "average")
+    d = _as_dict(fim.recount(brand, cands, item_freq=fim.local_item_freq(loc)), "support")
+    assert a == b == c == d and a
 
 
 def test_local_mining_keeps_callers_cache(spark, brand):
