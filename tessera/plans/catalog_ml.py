@@ -21,7 +21,7 @@ from tessera.operators import cluster as K
 from tessera.operators import ensemble as E
 from tessera.plans import clf_runs, clt_runs
 from tessera.plans.catalog_fim import _hash
-from tessera.session import apply_defaults
+from tessera.session import apply_defaults, ensure_checkpoint_dir
 from tessera.sources import labelled_vectors, true_centers
 
 # fixed parameters of the registered queries
@@ -207,7 +207,9 @@ def q_clt_plan_runs(spark, sf):
     v = vectors(spark, sf)
     tc = true_centers(v)
     plan = spark.createDataFrame([(2, [0, 3]), (3, [1, 2, 4])], "size INT, block_ids ARRAY<INT>")
-    ex = clt_runs.exact_with_plan(v, plan, [2, 3, 1], tc, 10, "kmeans", HOLDOUT, SEED)
+    import uuid
+    models = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"     # S8
+    ex = clt_runs.exact_with_plan(v, plan, [2, 3, 1], tc, 10, "kmeans", HOLDOUT, SEED, model_path=models)
     bl = clt_runs.blocks_with_plan(v, plan, [2, 3], tc, 10, subs=0.7, tests=1, algo="kmeans",
                                    steps=STEPS, seed=SEED)
     return ex.unionByName(bl)
