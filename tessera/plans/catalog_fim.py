@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import itemset_key, itemset_text, parse_int_line
+from tessera.functions.exprs import itemset_key, itemset_text
 from tessera.operators import blocks as B
 from tessera.operators import fim
 from tessera.plans import fim_runs
 from tessera.session import apply_defaults, ensure_checkpoint_dir
-from tessera.sources import baskets, read_text_transactions
+from tessera.sources import baskets, read_blocked_text, read_text_transactions, write_blocked_text
 
 # fixed parameters of the registered queries
 SEED = 42            # block assignment seed
@@ -137,11 +137,13 @@ def q_fim_text_lines(spark, sf):
 
 
 def q_fim_vote_sampled(spark, sf):
-    # text source: transactions rendered as lines, parsed back
-    tx = blocked_baskets(spark, sf)
-    lines = tx.select("tid", "block_id", itemset_text("items").alias("value"))
-    parsed = lines.select("tid", "block_id", parse_int_line("value").alias("items"))
-    return fim_runs.sampled_vote_arm(parsed, N_BLOCKS, FRACTION, MIN_SUPPORT, VOTE, PICK_SEED)
+    """a blocked text source (one directory per block, written to the
+    shared folder), a seeded fraction of its blocks, vote, text lines."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/text-blocks-{uuid.uuid4().hex}"
+    write_blocked_text(blocked_baskets(spark, sf), path)
+    return fim_runs.sampled_vote_arm(read_blocked_text(spark, path), N_BLOCKS, FRACTION, MIN_SUPPORT,
+                                     VOTE, PICK_SEED)
 
 
 def q_fim_candidates(spark, sf):

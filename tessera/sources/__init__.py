@@ -5,6 +5,8 @@ from tessera.sources.tables import (  # noqa: F401
     baskets,
     labelled_vectors,
     read_blocked,
+    read_blocked_text,
+    write_blocked_text,
     read_centers,
     read_table,
     read_text_transactions,

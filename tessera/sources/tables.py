@@ -69,6 +69,21 @@ def read_text_transactions(spark: SparkSession, path: str) -> DataFrame:
                      parse_int_line(F.col("value")).alias("items"))
 
 
+def write_blocked_text(tx: DataFrame, path: str, mode: str = "overwrite", col: str = "block_id") -> None:
+    """Transactions as text lines (space-separated ints), one directory per
+    block, so a block pick prunes whole directories at the text scan."""
+    from tessera.functions.exprs import itemset_text
+    tx.select(col, itemset_text("items").alias("value")).write.mode(mode).partitionBy(col).text(path)
+
+
+def read_blocked_text(spark: SparkSession, path: str) -> DataFrame:
+    """S2 on a blocked text table: ``tid, block_id, items`` (block from the
+    directory name; ``tid`` as in ``read_text_transactions``)."""
+    df = spark.read.text(path)
+    return df.select(F.monotonically_increasing_id().alias("tid"), F.col("block_id").cast("int").alias("block_id"),
+                     parse_int_line(F.col("value")).alias("items"))
+
+
 def text_lines_to_transactions(lines: DataFrame, tid_col: str = "tid", value_col: str = "value") -> DataFrame:
     """P3 on an in-memory line table (``tid``, ``value``)."""
     return lines.select(F.col(tid_col).alias("tid"), parse_int_line(F.col(value_col)).alias("items"))

@@ -55,3 +55,14 @@ def test_recount_broadcasts_small_candidates(spark):
     p = _plan(fim.recount(tx, cands, 100))
     assert "BroadcastHashJoin" in p
     assert F is not None
+
+
+def test_blocked_text_scan_prunes_blocks(spark, tmp_path):
+    from tessera.sources import read_blocked_text, write_blocked_text
+    tx = B.assign_blocks(baskets(spark, SF_SMALL), "tid", 4, 1)
+    path = str(tmp_path / "text")
+    write_blocked_text(tx, path)
+    picked = B.blocks_by_ids(read_blocked_text(spark, path), [1, 2])
+    p = _plan(picked)
+    assert re.search(r"PartitionFilters: \[[^\]]*block_id", p)
+    assert picked.count() == tx.filter("block_id in (1, 2)").count()
