@@ -77,10 +77,11 @@ def write_blocked_text(tx: DataFrame, path: str, mode: str = "overwrite", col: s
 
 
 def read_blocked_text(spark: SparkSession, path: str) -> DataFrame:
-    """S2 on a blocked text table: ``tid, block_id, items`` (block from the
-    directory name; ``tid`` as in ``read_text_transactions``)."""
+    """S2 on a blocked text table: ``block_id, items`` (block from the
+    directory name).  No row id is added: a non-deterministic id column
+    would stop block filters from reaching the scan as partition filters."""
     df = spark.read.text(path)
-    return df.select(F.monotonically_increasing_id().alias("tid"), F.col("block_id").cast("int").alias("block_id"),
+    return df.select(F.col("block_id").cast("int").alias("block_id"),
                      parse_int_line(F.col("value")).alias("items"))
 
 
