@@ -223,6 +223,8 @@ def exact_itemsets(tx: DataFrame, min_support: float, num_partitions: int | None
     """exact FP-growth on the given rows: ``items, support, frequency``."""
     items = tx.select("items")
     n = n_rows if n_rows is not None else items.count()
+    if n == 0:
+        return tx.sparkSession.createDataFrame([], "items ARRAY<INT>, support BIGINT, frequency DOUBLE")
     fp = FPGrowth(itemsCol="items", minSupport=float(min_support),
                   numPartitions=fp_partitions(tx.sparkSession, n, num_partitions))
     found = fp.fit(items).freqItemsets

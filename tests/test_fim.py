@@ -165,3 +165,11 @@ def test_block_sizes_count_empty_baskets(spark):
     s = fim.block_sizes(df)
     assert dict(s) == {0: 2, 1: 2} and s.item_pairs == 3
     assert dict(fim.block_sizes(df, with_items=False)) == {0: 2, 1: 2}
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "tid LONG, block_id INT, items ARRAY<INT>")
+    assert fim.exact_itemsets(empty, 0.1).count() == 0
+    assert fim.local_itemsets(empty, 0.1).count() == 0
+    assert fim.merge_sum(fim.local_itemsets(empty, 0.1), 1, None).count() == 0
+    assert fim.recount(empty, empty.select("items"), 1).count() == 0
