@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import plurality
 from tessera.operators import blocks as B
 from tessera.operators import ensemble as E
 
@@ -56,17 +57,26 @@ def multi_site(sites: Sequence[tuple[DataFrame, str]], test_rows: DataFrame, n_t
                seed: int = 0, label: str = "label", parallelism: int = 4):
     """Every site has its own source and algorithm and trains its
     own trimmed ensemble on ``n_train`` random blocks; each site votes on the
-    common test rows; the site votes are unioned (C10) and voted again, one
-    vote per site (C11); then C7.  Returns (site votes, final votes, total)."""
-    per_site = []
+    common test rows, one vote per site, then the site votes are voted
+    again (C11) and weighed (C7).
+
+    All sites score the same rows, so their kept models are chained over
+    one scan and both vote levels are in-row expressions: no union and no
+    shuffle of the test rows.  Returns (per-row site votes, final votes,
+    total)."""
+    scored = test_rows
+    site_cols = []
     for i, (src, algo) in enumerate(sites):
         n_total = src.select(F.max(B.BLOCK)).first()[0] + 1
         tr_ids, _ = B.train_test_block_ids(n_total, n_train, 0, f"{seed}:{i}", strict=False)
-        res = block_ensemble(B.blocks_by_ids(src, tr_ids), test_rows, algo, tail, seed=seed,
+        res = block_ensemble(B.blocks_by_ids(src, tr_ids), None, algo, tail, seed=seed,
                              label=label, site_id=i, parallelism=parallelism)
-        per_site.append(res.votes.select("row_id", F.lit(i).alias("site_id"), "prediction"))
-    site_votes = E.union_sites(per_site)
-    final = E.vote_long(site_votes).join(test_rows.select("row_id", B.BLOCK, label), "row_id")
+        scored = E.score_models(res.models, scored, out=f"_site{i}")
+        scored = scored.withColumn(f"site_{i}", plurality(F.col(f"_site{i}"))).drop(f"_site{i}")
+        site_cols.append(f"site_{i}")
+    final = scored.withColumn("prediction", plurality(F.array(*[F.col(c) for c in site_cols])))
+    site_votes = final.select("row_id", *site_cols)
+    final = final.select("row_id", B.BLOCK, label, "prediction")
     _, tot = E.weighted_accuracy(final, label)
     return site_votes, final, tot
 

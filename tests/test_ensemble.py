@@ -85,6 +85,7 @@ def test_multi_site_single_and_exact(spark):
     other = B.assign_blocks(v.drop("block_id"), "row_id", 6, 2)
     _, final, tot = clf_runs.multi_site([(v, "DT"), (other, "LR")], v, 3, 0.2, seed=1)
     assert final.count() == v.count() and tot.first().accuracy > 0.95
+    assert "Exchange" not in final._jdf.queryExecution().executedPlan().toString()   # in-row votes
     _, acc = clf_runs.single_model(v, "DT", seed=1)
     assert acc.first().accuracy > 0.9
     pred = clf_runs.exact(v.filter("block_id < 4"), v.filter("block_id >= 4"), "LR")
