@@ -71,7 +71,8 @@ class BlockModel:
 def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids: Sequence[int],
                parallelism: int = 4, label_col: str = "label", needs_two_classes: bool = False,
                site_id: int = 0, col: str = BLOCK,
-               validate: DataFrame | None = None) -> tuple[list[BlockModel], list[int]]:
+               validate: DataFrame | None = None,
+               pool: str | None = None) -> tuple[list[BlockModel], list[int]]:
     """C1 (+ C2): fit one model per block of ``train`` (rows already
     restricted to the training part).  Returns (models, skipped block ids).
 
@@ -80,6 +81,8 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
     one small job per block, never a plan with one branch per model.
     ``needs_two_classes`` skips blocks holding a single label (LR/SVM)
     instead of failing; the class census is one aggregate over all blocks.
+    ``pool`` names a scheduler pool for the fit jobs (with
+    ``spark.scheduler.mode=FAIR`` the block jobs share the cluster fairly).
     """
     train = materialise(with_vector(train))
     if validate is not None:
@@ -94,6 +97,8 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
         ids = [b for b in ids if b not in skipped]
 
     def _fit(b):
+        if pool:
+            train.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         bm = BlockModel(b, b, make_estimator().fit(train.filter(F.col(col) == F.lit(b))), site_id)
         if validate is not None:
             mine = validate.filter(F.col(col) == F.lit(b))
