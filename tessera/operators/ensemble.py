@@ -107,8 +107,8 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
             bm.n_validate, bm.accuracy = int(r["n"]), r["a"]
         return bm
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = list(pool.map(_fit, ids))
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as workers:
+        models = list(workers.map(_fit, ids))
     return models, skipped
 
 

@@ -99,3 +99,9 @@ def test_score_models_groups(spark):
     grouped = E.score_models(models, v, group=2).select("row_id", "predictions")
     assert one.exceptAll(grouped).count() == 0
     assert grouped.filter(F.size("predictions") != 5).count() == 0
+
+
+def test_fit_blocks_in_a_scheduler_pool(spark):
+    v = _separable(spark)
+    models, _ = E.fit_blocks(v, lambda: E.estimator_for("DT"), [0, 1], pool="blocks")
+    assert [m.block_id for m in models] == [0, 1]
