@@ -10,10 +10,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-_DEFAULTS = {
+# switched on in a user's session only where unset (runtime re-planning)
+_AQE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+# extra defaults of the sessions we build ourselves (tests, bench)
+_DEFAULTS = {
+    **_AQE,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -66,8 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Turn on AQE & skew handling where the user left them unset."""
-    for k, v in _DEFAULTS.items():
+    """Turn on AQE & skew handling where the user left them unset; nothing
+    else in a user's session is touched."""
+    for k, v in _AQE.items():
         try:
             cur = spark.conf.get(k, None)
         except Exception:  # noqa: BLE001
