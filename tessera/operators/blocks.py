@@ -254,3 +254,18 @@ def holdout_in_block(df: DataFrame, order: str, fraction: float = 0.9, col: str
 def materialise(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist a frame that several jobs reuse (spills, never OOMs)."""
     return df.persist(level)
+
+
+def hold(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Persist ``df`` for a multi-pass operator unless its plan is already
+    cached; returns (frame, owned).  Pair with ``release``."""
+    lvl = df.storageLevel
+    if lvl.useMemory or lvl.useDisk:
+        return df, False
+    return materialise(df), True
+
+
+def release(df: DataFrame, owned: bool) -> None:
+    """Drop a cache entry only if ``hold`` created it."""
+    if owned:
+        df.unpersist()

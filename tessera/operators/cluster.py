@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import sq_distance
-from tessera.operators.blocks import BLOCK, materialise
+from tessera.operators.blocks import BLOCK, hold, release
 from tessera.session import ensure_checkpoint_dir
 
 # Largest center table (rows) shipped by broadcast; centers are blocks x k.
@@ -103,7 +103,7 @@ def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_i
     ``init``: ``"farthest"`` (farthest-first from the lowest id),
     ``"lowest"`` (the k lowest ids) or a center table; all repeatable.
     """
-    pts = materialise(points.select(col, order, "features"))
+    pts, owned = hold(points.select(col, order, "features"))
     if isinstance(init, DataFrame):
         start = init
     elif init == "lowest":
@@ -116,6 +116,7 @@ def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_i
     n = centers.count()
     for _ in range(steps):
         centers = _checkpointed(lloyd_step(pts, centers, n, col))
+    release(pts, owned)          # the centers are checkpointed
     return centers
 
 
@@ -124,7 +125,7 @@ def local_bisecting(points: DataFrame, k: int, block_ids: Sequence[int], seed: i
     """K5 (bisecting k-means): one MLlib fit per block from a bounded pool,
     each a distributed job over that block's rows."""
     from pyspark.ml.clustering import BisectingKMeans
-    pts = materialise(points.withColumn("vec", array_to_vector("features")))
+    pts, owned = hold(points.withColumn("vec", array_to_vector("features")))
 
     def _fit(b):
         m = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="vec").fit(
@@ -133,6 +134,7 @@ def local_bisecting(points: DataFrame, k: int, block_ids: Sequence[int], seed: i
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = [r for part in pool.map(_fit, block_ids) for r in part]
+    release(pts, owned)
     spark = points.sparkSession
     return spark.createDataFrame(rows, f"{col} INT, cluster INT, center ARRAY<DOUBLE>")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import plurality
-from tessera.operators.blocks import BLOCK, holdout_in_block, materialise
+from tessera.operators.blocks import BLOCK, hold, holdout_in_block, materialise, release
 
 ALGOS = ("RF", "DT", "LR", "SVM")
 
@@ -84,9 +84,10 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
     ``pool`` names a scheduler pool for the fit jobs (with
     ``spark.scheduler.mode=FAIR`` the block jobs share the cluster fairly).
     """
-    train = materialise(with_vector(train))
+    train, own_train = hold(with_vector(train))
+    own_val = False
     if validate is not None:
-        validate = materialise(validate)
+        validate, own_val = hold(validate)
     skipped: list[int] = []
     ids = [int(b) for b in block_ids]
     if needs_two_classes:
@@ -109,6 +110,9 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as workers:
         models = list(workers.map(_fit, ids))
+    release(train, own_train)     # models are fit and scored: rows no longer needed
+    if validate is not None:
+        release(validate, own_val)
     return models, skipped
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import itemset_key, tag_items, tagged_block, untag_items
-from tessera.operators.blocks import BLOCK, block_inventory, materialise
+from tessera.operators.blocks import BLOCK, block_inventory, hold, materialise, release
 
 # Largest candidate table (rows) that recount broadcasts; above it the
 # recount becomes a shuffle join on the anchor item.
@@ -150,10 +150,7 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     unioning.  Left unset, one HyperLogLog pass estimates the distinct
     pairs and picks groups that keep each run under ``max_tagged_items``.
     """
-    tx = tx.select(col, "items")
-    owned = not tx.storageLevel.useMemory and not tx.storageLevel.useDisk
-    if owned:
-        tx = materialise(tx)
+    tx, owned = hold(tx.select(col, "items"))
     sizes = sizes if sizes is not None else block_sizes(tx, col)
     n = sum(sizes.values())
     if n == 0:
@@ -179,8 +176,7 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     # keep the (small) itemsets, release the copy of the transactions
     out = materialise(out)
     out.count()
-    if owned:          # only drop a cache entry this call created
-        tx.unpersist()
+    release(tx, owned)           # only drops a cache entry this call created
     return out
 
 
