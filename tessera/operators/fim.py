@@ -6,13 +6,15 @@ sorted).  Outputs use ``items ARRAY<INT>`` (int-sorted) as the key.
 * F3 local mining runs **one** MLlib FP-growth over block-tagged items
   (``block_id * 2^32 + item``): an itemset can never span two blocks, every
   block is mined by the same distributed job (no whole block in one task),
-  and a hot item is split into one tagged item per block.
+  and a hot item is split into one tagged item per block.  Blocks are mined
+  in groups when the driver-side list of tagged items would grow too long.
 * F4 vote / F8 sum merges are ``groupBy(items)`` aggregations (partial
   aggregation map-side).
-* F7 exact recount joins each transaction with the candidates that contain
-  its items' first element (broadcast when the candidate set is checked to
-  be small, else a shuffle join with AQE skew splitting), then tests full
-  containment with ``forall``.
+* F7 exact recount anchors every candidate on one of its items (the rarest
+  by default) and joins each transaction with the candidates anchored on
+  its own items (broadcast when the candidate set is checked to be small,
+  else a shuffle join with AQE skew splitting), then tests full containment
+  with ``forall``.
 """
 
 from __future__ import annotations
@@ -90,8 +92,7 @@ def block_sizes(tx: DataFrame, col: str = BLOCK, with_items: bool = True) -> Blo
     estimate, in one partially aggregated pass; one row per block comes
     back (bounded by the block count, not by the data)."""
     if not with_items:
-        out = BlockSizes({int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()})
-        return out
+        return BlockSizes({int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()})
     # posexplode_outer keeps empty baskets (pos NULL); pos 0 / NULL marks one row per basket
     ex = tx.select(col, F.posexplode_outer("items").alias("_p", "_i"))
     rows = (ex.groupBy(col)
@@ -116,9 +117,7 @@ def threshold_counts(sizes: dict[int, int], min_support: float, threshold: str =
         avg = int(sum(sizes.values()) * min_support / nb) if nb else 0
         raw = {b: avg for b in sizes}
     else:
-        raw = {}
-        if threshold not in ("own", "average"):
-            raise ValueError("threshold must be 'own' or 'average'")
+        raise ValueError("threshold must be 'own' or 'average'")
     return {b: max(c, int(min_count)) for b, c in raw.items()}
 
 
@@ -154,6 +153,7 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
     sizes = sizes if sizes is not None else block_sizes(tx, col)
     n = sum(sizes.values())
     if n == 0:
+        release(tx, owned)
         return tx.sparkSession.createDataFrame([], f"{col} INT, items ARRAY<INT>, support BIGINT")
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
     ids = sorted(sizes)
