@@ -5,7 +5,9 @@ Rows are labelled vectors ``row_id, block_id, label, features ARRAY<DOUBLE>``.
 * C1 ``fit_blocks``: one MLlib fit per block, each a distributed job over
   that block's rows, submitted from a bounded thread pool.  Models are fit
   once and kept (never re-trained by later actions).
-* C2 ``block_accuracy``: hold-out accuracy from a prediction table.
+* C2 ``block_accuracy``: hold-out accuracy from a prediction table;
+  ``fit_blocks(validate=...)`` scores each block's model on its own
+  validate rows inside the block's pool job.
 * C3 ``trim``: tail trimming by value on the sorted accuracies.
 * C5 ``score_models``: chained ``transform`` with one prediction column per
   model: one scan of the test rows, no cross product, no shuffle.
@@ -163,7 +165,9 @@ def block_accuracy(pred: DataFrame, model_col: str = "model_id", label: str = "l
 def holdout_accuracy(models: Sequence[BlockModel], rows: DataFrame, order: str = "row_id",
                      fraction: float = 0.9, label: str = "label", col: str = BLOCK) -> DataFrame:
     """C2 with real models: each block model scores its own block's
-    validate rows (B15 split); one union of per-model scans."""
+    validate rows (B15 split); one union of per-model scans.  For large
+    ensembles prefer ``fit_blocks(validate=...)``, which scores each block
+    inside its own pool job instead of building one plan per model."""
     tagged = rows if "role" in rows.columns else holdout_in_block(rows, order, fraction, col)
     val = materialise(tagged.filter(F.col("role") == "validate"))
     parts = []
