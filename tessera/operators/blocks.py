@@ -185,9 +185,11 @@ def sub_blocks(df: DataFrame, key: str, factor: int = 8, seed=0, col: str = BLOC
 # ---------------------------------------------------------------------- B12-B14
 def hash_split(df: DataFrame, key: str, fraction: float, seed, out: str = "role") -> DataFrame:
     """B12, reproducible form: a row is ``train`` when its md5 bucket in
-    ``[0, 10000)`` is below ``fraction * 10000``, else ``test``."""
+    ``[0, 10000)`` is below ``fraction * 10000``, else ``test``.  The seed
+    is salted (``<seed>:split``) so the split never lines up with the block
+    assignment of the same seed."""
     cut = int(round(fraction * 10000))
-    bucket = F.pmod(hash_rank_key(seed, F.col(key)), F.lit(10000))
+    bucket = F.pmod(hash_rank_key(f"{seed}:split", F.col(key)), F.lit(10000))
     return df.withColumn(out, F.when(bucket < F.lit(cut), F.lit("train")).otherwise(F.lit("test")))
 
 

@@ -400,7 +400,7 @@ SQL = {
     "blocks_by_plan": _plan_sql(),
     "blocks_fraction": _w(f"\n{_pick(K_FRACTION)}\n"
                           "SELECT tid, block_id FROM tx WHERE block_id IN (SELECT block_id FROM pick)"),
-    "row_split": f"WITH {BASKETS.strip()} SELECT tid, CASE WHEN {_hash(SEED, 'tid')} % 10000 < "
+    "row_split": f"WITH {BASKETS.strip()} SELECT tid, CASE WHEN {_hash(f'{SEED}:split', 'tid')} % 10000 < "
                  f"{int(round(SPLIT * 10000))} THEN 'train' ELSE 'test' END AS role FROM tx",
     "block_holdout": _w(f"""
 r AS (SELECT tid, block_id, row_number() OVER (PARTITION BY block_id ORDER BY tid) AS pos,
