@@ -329,6 +329,9 @@ pur AS (SELECT block_id, CAST(sum(alln) AS BIGINT) AS n_rows,
                CAST(sum(top) AS DOUBLE) / CAST(sum(alln) AS DOUBLE) AS purity
         FROM pcl GROUP BY block_id)"""
 
+# ``round(x, 4) + 0.0``: rounding a tiny negative value gives IEEE -0.0 in
+# DuckDB and 0.0 in Spark (decimal rounding); adding 0.0 turns -0.0 into 0.0
+# and changes no other value.
 SQL = {
     "clf_block_accuracy": "WITH " + ACC.strip() + "\nSELECT model_id, n_validate, accuracy FROM acc",
     "clf_trim_models": "WITH " + ACC.strip() + "\nSELECT model_id, n_validate, accuracy, kept FROM trimmed",
@@ -340,9 +343,9 @@ SELECT round(sum(accuracy * n_rows) / sum(n_rows), 9) AS accuracy, CAST(sum(n_ro
        count(*) AS n_blocks FROM per""",
     "clf_site_vote": "WITH " + _site_sql().strip(),
     "clt_local_kmeans": "WITH " + LLOYD.strip() + f"""
-SELECT block_id, cluster, CAST(d AS INTEGER) AS dim, round(x, {DIGITS}) AS value FROM fin""",
+SELECT block_id, cluster, CAST(d AS INTEGER) AS dim, round(x, {DIGITS}) + 0.0 AS value FROM fin""",
     "clt_pooled_centers": "WITH " + LLOYD.strip() + f"""
-SELECT point_id, CAST(d AS INTEGER) AS dim, round(x, {DIGITS}) AS value FROM pool""",
+SELECT point_id, CAST(d AS INTEGER) AS dim, round(x, {DIGITS}) + 0.0 AS value FROM pool""",
     "clt_center_error": "WITH " + LLOYD.strip() + f""",
 tc AS (SELECT label AS center_id, d, avg(x) AS x FROM ve GROUP BY label, d),
 dd AS (SELECT t.center_id, p.point_id, sum((t.x - p.x) * (t.x - p.x)) AS dist

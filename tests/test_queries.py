@@ -12,8 +12,12 @@ def test_entry_smoke(spark):
 
 def test_queries_match_oracles(spark):
     import __spark_entry__ as E
-    from tools.check_oracles import check
+    import tools.check_oracles as C
     assert set(E.oracle_sql()) <= set(E.queries())
-    res = check(spark, SF_SMALL, verbose=True)
+    C.EXACT = True                     # floats must match bit for bit
+    try:
+        res = C.check(spark, SF_SMALL, verbose=True)
+    finally:
+        C.EXACT = False
     bad = {k: v for k, v in res.items() if v[0] not in ("ok", "rows-only")}
     assert not bad, bad
