@@ -44,11 +44,11 @@ class Params:
     sample_rows: int = 6_000
     rivals: int = 8
     l2: float = 1e-4
-    steps: int = 150
+    steps: int = 200
     quantile: float = 0.2
     accuracy: int = 10_000
     seed: int = 11
-    grams: Grams = Grams(bits=14, orders=(2, 3))
+    grams: Grams = Grams(bits=14, orders=(3,))
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     echo = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=len(offs) - 1)
     kinds = np.bincount(K.unique_pairs(d, h)[0], minlength=len(offs) - 1)
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    return np.stack([5 * echo / words, 3 * kinds / words, c["n_repeat_words"] / words, 10 * c["n_dup_lines"] / words, c["n_symbols"] / chars,
+    return 4 * np.stack([5 * echo / words, 3 * kinds / words, c["n_repeat_words"] / words, 10 * c["n_dup_lines"] / words, c["n_symbols"] / chars,
                      chars / words / 10, np.log1p(c["n_words"]) / 5, c["n_words"] < 10], axis=1).astype(float)
 
 
