@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bt_rank, quality_ngram, toxicity_fm
+from . import bt_rank, ngram_join, quality_ngram, toxicity_fm
 from .common import read
 
 
@@ -14,9 +14,30 @@ def _docs_labels(op):
     return lambda spark, sf_dir: op(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _docs(op):
+    return lambda spark, sf_dir: op(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity_fm": _docs_labels(toxicity_fm.op3),
     "op4_quality_ngram": _docs_labels(quality_ngram.op4),
     "op8_bradley_terry": _docs_labels(bt_rank.op8),
+    "op9_ngram_join": _docs(ngram_join.op9),
+}
+SQL: dict[str, str] = {
+    "op9_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+c AS (SELECT min(doc_id) AS rep, list_sort(sh) AS sh FROM g WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+s AS (SELECT rep, len(sh) AS n, unnest(sh) AS h FROM c),
+p AS (SELECT a.rep AS x, b.rep AS y FROM s a JOIN s b ON a.h = b.h AND a.rep < b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT g.doc_id, len(g.sh)::BIGINT AS n_shingles, coalesce(k.component_id, g.doc_id) AS component_id
+FROM g LEFT JOIN c ON list_sort(g.sh) = c.sh LEFT JOIN k ON k.rep = c.rep
+""",
 }
-SQL: dict[str, str] = {}
