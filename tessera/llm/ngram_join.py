@@ -5,7 +5,7 @@ A text's set is its distinct five-word shingles; two texts link when
 
 * Equal texts form a class first; only class representatives take part.
 * Shingles are ordered rarest first by a fixed-size table of bucket counts over
-  all documents (``2**bucket_bits`` counters, 4 MB; any global order is right,
+  all documents (``2**bucket_bits`` counters, 2 MB; any global order is right,
   the counts only make it selective).  Linked sets share a shingle among the
   first n - ceil(0.8 n) + 1 of each (prefix filter), so texts meet on those.
 * Star round: in each prefix bucket every text meets one centre, the text whose
@@ -15,8 +15,7 @@ A text's set is its distinct five-word shingles; two texts link when
   lower bound of their symmetric difference), are verified once on the whole
   texts, and joined to components.
 * Rest round: buckets that still hold two components emit the pairs across
-  components that pass the length, positional and suffix filters, once a pair
-  (at their first common shingle).  No pair that could change a component is
+  components that pass the length, suffix and positional filters, once a pair.  No pair that could change a component is
   left out, and none inside one component is made.
 
 Texts that are needed for verification are picked by a Bloom bitmap of fixed
@@ -50,7 +49,7 @@ BITS = [f"b{i}" for i in range(WORDS64)]
 class Params:
     k: int = 5
     percent: int = 80
-    bucket_bits: int = 20
+    bucket_bits: int = 19
     bloom_bits: int = 26
 
 
@@ -190,29 +189,33 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _star_pairs(post: DataFrame) -> DataFrame:
-    """Each text of a bucket with the bucket's centre; post: (s, rep, pn)."""
+def _shared_buckets(sets: DataFrame) -> DataFrame:
+    """(s, rep, pos, centre) of the prefix shingles of two texts or more; the
+    centre is the text that has it earliest in its prefix."""
+    post = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "s")).select(
+        "s", "rep", (F.col("pos").cast("long") * (1 << 32) + F.col("n")).alias("pn"))
     centre = (post.groupBy("s").agg(F.count("*").alias("c"), F.min_by("rep", "pn").alias("centre"))
               .filter("c > 1").select("s", "centre"))
-    return (post.select("s", "rep").join(centre, "s").filter("rep != centre")
-            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
+    return post.join(centre, "s").select("s", "rep", F.shiftright("pn", 32).cast("int").alias("pos"), "centre")
 
 
-def _rest_pairs(sets: DataFrame, label: DataFrame, p: Params) -> DataFrame:
+def _rest_pairs(shared: DataFrame, sets: DataFrame, label: DataFrame, p: Params) -> DataFrame:
     """Pairs of texts of different components that share a bucket and pass the
-    length, positional and suffix filters, each at its first common shingle."""
-    mine = sets.join(label, "rep")
-    open_ = (mine.select("label", F.explode("prefix").alias("s")).groupBy("s")
-             .agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s"))
-    rest = keep(mine.select("rep", "n", "label", "prefix", *BITS, F.posexplode("prefix").alias("pos", "s"))
-                .join(open_, "s", "left_semi"))
+    length, suffix and positional filters."""
+    mine = shared.join(label, "rep")
+    open_ = (mine.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .filter("lo != hi").select("s"))
+    rest = mine.select("s", "rep", "pos", "label").join(open_, "s").join(sets.select("rep", "n", *BITS), "rep")
     x, y = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
-    left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    on = ((F.col("a_s") == F.col("b_s")) & (F.col("a_rep") < F.col("b_rep")) & (F.col("a_label") != F.col("b_label"))
-          & _may_link("a_", "b_", p)
-          & ((100 + p.percent) * left >= p.percent * (F.col("a_n") + F.col("b_n")))
-          & (F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1) == F.col("a_s")))
-    return x.join(y, on).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+    on = ((F.col("a_s") == F.col("b_s")) & (F.col("a_rep") < F.col("b_rep"))
+          & (F.col("a_label") != F.col("b_label")) & _may_link("a_", "b_", p))
+    # the first common shingle has the least position on both sides
+    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    return (x.join(y, on).groupBy(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), F.col("a_n").alias("n"),
+                                  F.col("b_n").alias("m"))
+            .agg(F.min("a_pos").alias("i"), F.min("b_pos").alias("j"))
+            .filter((100 + p.percent) * left >= p.percent * (F.col("n") + F.col("m")))
+            .select("a", "b").distinct())
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
@@ -230,17 +233,17 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     one = rep.filter("rep is not null").select(F.col("rep").alias("doc_id"))
     sets = keep(prefixes(docs, counts, p).filter("n > 0").join(one, "doc_id", "left_semi")
                 .dropDuplicates(["doc_id", "n", *BITS]).withColumnRenamed("doc_id", "rep"))
-    post = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "s")).select(
-        "s", "rep", (F.col("pos").cast("long") * (1 << 32) + F.col("n")).alias("pn"))
+    shared = keep(_shared_buckets(sets))
     small = sets.select("rep", "n", *BITS)
     a, b = (small.select(*[F.col(c).alias(x if c == "rep" else f"{x}_{c}") for c in small.columns]) for x in "ab")
-    star = keep(_star_pairs(post).join(a, "a").join(b, "b").filter(_may_link("a_", "b_", p))
-                .select("a", "b").distinct())
+    star = (shared.filter("rep != centre")
+            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
+    star = keep(star.join(a, "a").join(b, "b").filter(_may_link("a_", "b_", p)).select("a", "b").distinct())
     links = keep(_verified(docs, star, p))
     roots = components(links)
     label = sets.select("rep").distinct().join(roots, F.col("rep") == F.col("node"), "left").select(
         "rep", F.coalesce("root", "rep").alias("label"))
-    more = keep(_rest_pairs(sets, label, p))
+    more = keep(_rest_pairs(shared, sets, label, p))
     roots = components(links.union(_verified(docs, more, p)))
     of_class = rep.join(roots, F.col("rep") == F.col("node"), "left").select(
         "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
