@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
             .join(F.broadcast(y), "_k")  # at most ``rows`` rows of 12 bytes
             .groupBy("_k", "y").agg(F.min("_t").alias("text"))
             .select(F.col("_k").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "y"))
+
+
+def bitmap(keys: DataFrame, bits: int, key: str = "key") -> np.ndarray:
+    """A one-hash Bloom bitmap of 64-bit keys: ``2**bits`` bits whatever their
+    number, OR-ed in the tasks; at most ``2**(bits-6)`` words reach the driver."""
+    got = (keys.select(F.shiftrightunsigned(key, 64 - bits).alias("h"))
+           .selectExpr("cast(shiftrightunsigned(h, 6) as int) as w", "shiftleft(1L, cast(h & 63 as int)) as m")
+           .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[got["w"].to_numpy()] = got["m"].to_numpy()
+    return words.view(np.uint64)
+
+
+def in_bitmap(words: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """May the (unsigned 64-bit) keys be in the bitmap?"""
+    h = keys >> np.uint64(64 - bits)
+    return ((words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """(id, text) of the documents (doc_id, text) whose id is in ``ids``, one row
+    a distinct text.  A Bloom bitmap of fixed size picks the rows in the scan,
+    so that the other texts are not shuffled; a join drops its false hits."""
+    words = bitmap(ids.select(F.xxhash64("id").alias("key")), bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = in_bitmap(words, b.column(2).to_numpy().view(np.uint64), bits)
+            yield b.select([0, 1]).filter(pa.array(hit))
+
+    some = (docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+            .filter("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, text string"))
+    return (some.join(ids, "id", "left_semi")
+            .groupBy("id", F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text")).select("id", "text"))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import keep
+from .common import keep, texts_of
 from .components import components
 
 WORDS64 = 8  # parity bitmap of 512 bits
@@ -50,7 +50,6 @@ class Params:
     k: int = 5
     percent: int = 80
     bucket_bits: int = 19
-    bloom_bits: int = 26
 
 
 def _need(n: Column, p: Params) -> Column:
@@ -138,33 +137,6 @@ def _may_link(x: str, y: str, p: Params) -> Column:
             & ((100 + t) * _apart(x, y) <= (100 - t) * (n + m)))
 
 
-def _bloom(ids: DataFrame, p: Params) -> np.ndarray:
-    """A one-hash Bloom bitmap of ids: 2**bloom_bits bits, whatever their number."""
-    got = (ids.select(F.shiftrightunsigned(F.xxhash64("id"), 64 - p.bloom_bits).alias("h"))
-           .selectExpr("cast(shiftrightunsigned(h, 6) as int) as w", "shiftleft(1L, cast(h & 63 as int)) as m")
-           .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
-    words = np.zeros(1 << (p.bloom_bits - 6), np.int64)
-    words[got["w"].to_numpy()] = got["m"].to_numpy()
-    return words
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame, p: Params) -> DataFrame:
-    """(id, text) of the documents whose id is in ids, one row a distinct text."""
-    bits = _bloom(ids, p)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column(2).to_numpy().view(K.U64) >> np.uint64(64 - p.bloom_bits)
-            word = bits[(h >> np.uint64(6)).astype(np.int64)].view(K.U64)
-            hit = (word >> (h & np.uint64(63))) & np.uint64(1)
-            yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
-
-    some = (docs.select(F.col("doc_id").alias("id"), "text").filter("id is not null")
-            .withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, text string"))
-    return (some.join(ids, "id", "left_semi")
-            .groupBy("id", F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text")).select("id", "text"))
-
-
 def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +192,7 @@ def _rest_pairs(shared: DataFrame, sets: DataFrame, label: DataFrame, p: Params)
 
 def _verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return verify(pairs, _texts_of(docs, ids, p), p)
+    return verify(pairs, keep(texts_of(docs, ids)), p)
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:

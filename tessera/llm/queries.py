@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bt_rank, ngram_join, quality_ngram, toxicity_fm
+from . import bt_rank, decontam, ngram_join, pst, quality_ngram, toxicity_fm
 from .common import read
 
 
@@ -19,8 +19,11 @@ def _docs(op):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_spaced_seeds": lambda spark, sf_dir: decontam.op2(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op3_toxicity_fm": _docs_labels(toxicity_fm.op3),
     "op4_quality_ngram": _docs_labels(quality_ngram.op4),
+    "op6_suffix_tree": _docs(pst.op6),
     "op8_bradley_terry": _docs_labels(bt_rank.op8),
     "op9_ngram_join": _docs(ngram_join.op9),
 }
