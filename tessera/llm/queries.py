@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bt_rank, decontam, ngram_join, pst, quality_ngram, toxicity_fm
+from . import bt_rank, decontam, ngram_join, pii_crf, pst, quality_ngram, toxicity_fm
 from .common import read
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_tree": _docs(pst.op6),
     "op8_bradley_terry": _docs_labels(bt_rank.op8),
     "op9_ngram_join": _docs(ngram_join.op9),
+    "op10_pii_crf": _docs(pii_crf.op10),
 }
 SQL: dict[str, str] = {
     "op9_ngram_join": r"""
