@@ -6,7 +6,8 @@ fixed to the outside label.  The chain therefore splits exactly into runs of
 such words, and Viterbi decodes all runs of a chunk at once, one numpy step a
 position.  The field is trained (full-batch Adam on the forward-backward
 gradient) on a small labelled table of at most ``sample_rows`` texts, by
-default labelled by the patterns themselves; training runs longer than
+default labelled by the patterns themselves, with copies whose phone numbers
+lack the country code; training runs longer than
 ``train_run`` words are cut there.  Texts are scanned whole.
 
 Pattern spans always stay; a decoded span is added when it overlaps none of
@@ -274,6 +275,34 @@ def labels_of(w: Words, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
     return y
 
 
+def labelled_table(texts: list[str]) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The sample texts with their pattern spans, and, for texts with phone
+    numbers, two copies in which these lack the country code (which the
+    patterns need): as written, and joined by hyphens."""
+    out = []
+    for t in texts:
+        spans = pattern_spans(t)
+        out.append((t, spans))
+        for joined in (False, True):
+            if not any(k == 3 for _, _, k in spans):
+                break
+            new, phones, at, size = [], [], 0, 0
+            for s, e, k in spans:
+                short = re.sub(r"^\+[0-9]+[ ().-]*?(?=[(0-9])", "", t[s:e]) if k == 3 and s >= at else ""
+                if len(NOT_DIGIT.sub("", short)) < 7:
+                    continue
+                short = re.sub(r"[ ().-]+", "-", short.strip("(")) if joined else short
+                new += [t[at:s], short]
+                size += s - at
+                phones.append((size, size + len(short), 3))
+                size += len(short)
+                at = e
+            copy = "".join([*new, t[at:]])
+            other = [x for x in pattern_spans(copy) if not any(a < x[1] and x[0] < b for a, b, _ in phones)]
+            out.append((copy, other + phones))
+    return out
+
+
 def train(docs: DataFrame, p: Params = Params()) -> Field | None:
     """Fit on a bounded sample of the texts that hold a digit or an @, chosen by a
     hash of the text and labelled by the patterns."""
@@ -282,11 +311,12 @@ def train(docs: DataFrame, p: Params = Params()) -> Field | None:
     some = (cue.select("text", F.xxhash64("text", F.lit("sample")).alias("_h"))
             .join(F.broadcast(pick), "_h")  # at most sample_rows rows of 8 bytes
             .groupBy("_h").agg(F.first("text").alias("text")))
-    texts = some.toArrow().sort_by("_h")["text"]
+    table = labelled_table(some.toArrow().sort_by("_h")["text"].to_pylist())
+    texts, spans = pa.array([t for t, _ in table], pa.string()), [x for _, x in table]
     parts, y, shift, base = [], [], 0, 0
     for lo, hi, data, offs in K.chunks(texts):
         w = cue_words(data, offs, p.bits)
-        y.append(labels_of(w, [pattern_spans(t) for t in texts.slice(lo, hi - lo).to_pylist()]))
+        y.append(labels_of(w, spans[lo:hi]))
         parts.append(Words(w.doc + base, w.start, w.end, w.ids, w.bounds[:-1] + shift))
         shift += len(w.doc)
         base += hi - lo

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bt_rank, decontam, ngram_join, pii_crf, pst, quality_ngram, toxicity_fm
+from . import bt_rank, decontam, ngram_join, pii_crf, pst, quality_ngram, soft_mix, toxicity_fm
 from .common import read
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity_fm": _docs_labels(toxicity_fm.op3),
     "op4_quality_ngram": _docs_labels(quality_ngram.op4),
     "op6_suffix_tree": _docs(pst.op6),
+    "op7_soft_mix": _docs_labels(soft_mix.op7),
     "op8_bradley_terry": _docs_labels(bt_rank.op8),
     "op9_ngram_join": _docs(ngram_join.op9),
     "op10_pii_crf": _docs(pii_crf.op10),
