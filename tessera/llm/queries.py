@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bt_rank, decontam, ngram_join, pii_crf, pst, quality_ngram, soft_mix, toxicity_fm
+from . import bt_rank, decontam, ngram_join, pii_crf, pst, quality_ngram, quote_link, soft_mix, toxicity_fm, url_filter
 from .common import read
 
 
@@ -19,10 +19,12 @@ def _docs(op):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_redirect_equivalence": lambda spark, sf_dir: url_filter.op1(spark, read(spark, sf_dir, "pages")),
     "op2_spaced_seeds": lambda spark, sf_dir: decontam.op2(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op3_toxicity_fm": _docs_labels(toxicity_fm.op3),
     "op4_quality_ngram": _docs_labels(quality_ngram.op4),
+    "op5_quote_link": lambda spark, sf_dir: quote_link.op5(read(spark, sf_dir, "conversations")),
     "op6_suffix_tree": _docs(pst.op6),
     "op7_soft_mix": _docs_labels(soft_mix.op7),
     "op8_bradley_terry": _docs_labels(bt_rank.op8),
@@ -30,6 +32,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_crf": _docs(pii_crf.op10),
 }
 SQL: dict[str, str] = {
+    "op1_redirect_equivalence": r"""
+WITH RECURSIVE rules(action, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+    ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, rest, translate(regexp_extract(rest, '^[^/?#]*'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+l AS (SELECT host || path || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS src, host, unnest([
+        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+      ]) AS link FROM p),
+d AS (SELECT src, replace(CASE WHEN contains(link, '://') THEN substr(link, instr(link, '://') + 3)
+        WHEN starts_with(link, '//') THEN substr(link, 3) WHEN starts_with(link, '/') THEN host || link
+        ELSE regexp_extract(src, '^([^?]*/)', 1) || link END, '&amp;', '&') AS dst FROM l WHERE link <> ''),
+n AS (SELECT src AS x, translate(regexp_extract(dst, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        || regexp_extract(dst, '^[^/?#]*([^#]*)', 1) AS y FROM d),
+e AS (SELECT x, y FROM n UNION SELECT y, x FROM n),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+m AS (SELECT b, arg_max(action, length(rhost || rpath)) AS action FROM (SELECT DISTINCT b FROM r) JOIN rules
+      ON (regexp_extract(b, '^[^/?]*') = rhost OR ends_with(regexp_extract(b, '^[^/?]*'), '.' || rhost))
+      AND starts_with(regexp_extract(b, '^[^/?]*([^?]*)', 1), rpath) GROUP BY b),
+k AS (SELECT r.a, bool_or(m.action = 'allow') AS al, bool_or(m.action = 'block') AS bl FROM r JOIN m ON r.b = m.b GROUP BY r.a),
+j AS (SELECT p.page_id, p.host, p.path, p.host || p.path || regexp_extract(p.rest, '^[^?#]*(\?[^#]*)', 1) AS node,
+        (SELECT struct_pack(rule := rhost || rpath, action := action) FROM rules
+         WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
+         ORDER BY length(rhost || rpath) DESC LIMIT 1) AS best FROM p)
+SELECT page_id, host, path, best.rule AS rule,
+  coalesce(best.action, CASE WHEN al THEN 'allow' WHEN bl THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN best IS NOT NULL THEN 'rule' WHEN al OR bl THEN 'alias' ELSE 'default' END AS via
+FROM j LEFT JOIN k ON j.node = k.a AND j.host <> ''
+""",
     "op9_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
