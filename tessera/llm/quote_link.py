@@ -30,7 +30,7 @@ from .components import components
 
 MIN_LINE = 20
 MARK = r"^[ \t]*>"
-MARKS = r"^([ \t]*>)+[ \t]?"
+MARKS = r"^[ \t>]*"
 SAID = r"^On .* wrote:[ \t]*$"
 
 
@@ -42,9 +42,10 @@ def parse(messages: DataFrame) -> DataFrame:
     """messages with ``body`` (without quotes and the line that introduces one) and
     ``passages``: array of (level, lines)."""
     def level(line: Column) -> Column:
-        return F.length(F.regexp_replace(F.regexp_extract(line, r"^([ \t]*>)*", 0), r"[^>]", ""))
+        return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), r"[^>]", ""))
 
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(level(x).alias("v"), F.regexp_replace(x, MARKS, "").alias("x")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(
+        level(x).alias("v"), F.when(level(x) > 0, F.regexp_replace(x, MARKS, "")).otherwise(x).alias("x")))
     df = messages.withColumn("_l", F.when(F.col("text").rlike(r"(?m)" + MARK), lines))
     at = lambda i: F.element_at("_l", i)
     n = F.size("_l")

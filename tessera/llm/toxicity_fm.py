@@ -43,6 +43,8 @@ class Params:
     epochs: int = 12
     batch: int = 128
     rate: float = 0.2
+    rate_v: float = 0.04
+    spread: float = 0.01
     l1: float = 5e-4
     l2: float = 1e-3
     min_df: int = 4
@@ -95,18 +97,23 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
     ds, hs = [], []
     for lo, _, data, offs in K.chunks(texts):
         d, h = terms(data, offs)
-        ds.append(d + lo)
+        ds.append((d + lo).astype(np.int32))
         hs.append(h)
     d, h = np.concatenate(ds), np.concatenate(hs)
-    vocab, inv, df = np.unique(h, return_inverse=True, return_counts=True)
-    ok = df >= p.min_df
-    new = np.cumsum(ok) - 1
-    d, at, vocab = d[ok[inv]], new[inv[ok[inv]]], vocab[ok]
+    del ds, hs
+    h_sorted = np.sort(h)
+    first = np.flatnonzero(np.append(True, h_sorted[1:] != h_sorted[:-1]))
+    vocab = h_sorted[first][np.diff(np.append(first, len(h))) >= p.min_df]
+    del h_sorted, first
     if len(vocab) == 0:
         return none
+    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1).astype(np.int32)
+    known = vocab[at] == h
+    d, at = d[known], at[known]
+    del h, known
     bounds = np.searchsorted(d, np.arange(len(y) + 1))
     rng = np.random.default_rng(p.seed)
-    w, v = np.zeros(len(vocab)), rng.normal(0, 0.01, (len(vocab), p.rank))
+    w, v = np.zeros(len(vocab)), rng.normal(0, p.spread, (len(vocab), p.rank))
     gw, gv = np.full(len(vocab), 1e-2), np.full(v.shape, 1e-2)
     b, gb = none.bias, 1.0
     for _ in range(p.epochs):
@@ -131,7 +138,7 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
             dv = np.stack([np.bincount(k, weights=near[:, f], minlength=len(u)) for f in range(p.rank)], axis=1)
             dv += p.l2 * v[u]
             gv[u] += dv ** 2
-            v[u] -= p.rate * 0.2 * dv / np.sqrt(gv[u])
+            v[u] -= p.rate_v * dv / np.sqrt(gv[u])
     return Machine(vocab, float(b), w, v)
 
 
