@@ -51,7 +51,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: all documents, with the rate at which each is to be drawn."""
     table = soft_mix.domain_table(docs, read(spark, sf_dir, "labels"))
-    return soft_mix.mix(docs, table, soft_mix.TARGETS).rows
+    return soft_mix.mix(docs, table, soft_mix.TARGETS)
 
 
 STAGES = [

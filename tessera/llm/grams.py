@@ -47,10 +47,12 @@ class Grams:
             yield ((g >> np.uint32(32 - self.bits)).astype(np.int64) + (j << self.bits))[inside], doc[:m][inside]
 
     def score(self, weights: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(offs) - 1)
+        """One score a text, or one a column of two-dimensional weights."""
+        n = len(offs) - 1
+        out = np.zeros((n, *weights.shape[1:]))
         for ids, d in self.parts(data, offs):
-            count = np.bincount(d, minlength=len(out))
-            out += SCALE * K.per_text(np.add, weights[ids], d, len(out)) / np.maximum(count, 1)
+            count = np.maximum(np.bincount(d, minlength=n), 1).reshape(-1, *[1] * (weights.ndim - 1))
+            out += SCALE * K.per_text(np.add, weights[ids], d, n) / count
         return out
 
     def rows(self, texts: pa.Array) -> Rows:

@@ -12,8 +12,10 @@ all tokens.  A step moves r_i by p_i . residual (the gradient in the token
 weighted metric) and cuts at 0; the step size is 1 / L with L the largest
 eigenvalue of sum_i t_i p_i p_i' / S, from one pass.  Documents stay where they
 are: each iteration is a narrow update and one aggregate of K sums, and only
-those K sums reach the driver.  The table is checkpointed every ``cut``
-iterations.  It stops when no share is off by more than ``tolerance`` and
+those K sums reach the driver.  The iterations run on (tokens, posterior)
+without the texts, checkpointed every ``cut`` iterations.  A rate depends on
+the row's posterior and the K residuals of each step alone, so the texts get
+theirs by replaying the steps in a last scan.  It stops when no share is off by more than ``tolerance`` and
 reports the reached shares; ``max_steps`` bounds the passes.
 
 Null and empty texts have no tokens: rate 1, no weight.  Rows of null domain
@@ -58,7 +60,7 @@ class Domains:
     bias: np.ndarray
 
     def posterior(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        z = np.stack([self.grams.score(self.weights[:, k], data, offs) for k in range(len(self.names))], axis=1) + self.bias
+        z = self.grams.score(self.weights, data, offs) + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -94,33 +96,44 @@ def train(docs: DataFrame, table: DataFrame, names: tuple[str, ...], p: Params =
     return fit(rows["text"], rows["domain"].to_pylist(), names, p)
 
 
-def memberships(docs: DataFrame, model: Domains) -> DataFrame:
-    """docs with ``tokens`` and the array ``posterior``."""
-    cols = [c for c in docs.columns if c not in ("tokens", "posterior")]
+def memberships(docs: DataFrame, model: Domains, text: bool = False, moves: list | None = None) -> DataFrame:
+    """docs with ``tokens`` and the array ``posterior``, without the text unless
+    ``text``; with ``moves`` also the ``rate`` that these steps lead to."""
+    new = {"tokens": "bigint", "posterior": "array<double>", **({} if moves is None else {"rate": "double"})}
+    cols = [c for c in docs.columns if c not in (*new, "text")] + ["text"]
     docs = docs.select(*[F.col(f"`{c}`") for c in cols])
-    i, k = cols.index("text"), len(model.names)
+    k, old = len(model.names), len(cols) - (not text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, post = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, k))
-            for lo, hi, data, offs in K.chunks(b.column(i)):
+            for lo, hi, data, offs in K.chunks(b.column(len(cols) - 1)):
                 _, _, d = K.runs(K.SOLID[data], offs)
                 tokens[lo:hi] = np.bincount(d, minlength=hi - lo)
                 post[lo:hi] = model.posterior(data, offs)
-            lists = K.int_list(post.reshape(-1), np.full(b.num_rows, k), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens), lists],
-                                             names=[*b.schema.names, "tokens", "posterior"])
+            more = [pa.array(tokens), K.int_list(post.reshape(-1), np.full(b.num_rows, k), pa.float64())]
+            if moves is not None:
+                more.append(pa.array(np.where(tokens > 0, replay(post, moves), 1.0)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:old], *more], names=[*b.schema.names[:old], *new])
 
-    like = docs.limit(0).select("*", F.lit(None).cast("bigint").alias("tokens"),
-                                F.lit(None).cast("array<double>").alias("posterior"))
+    like = docs.select(*cols[:old]).limit(0).select("*", *[F.lit(None).cast(t).alias(n) for n, t in new.items()])
     return docs.mapInArrow(run, like.schema)
 
 
+def replay(post: np.ndarray, moves: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """The rates of rows with these posteriors after the given steps."""
+    r = y = np.ones(len(post))
+    for move, beta in moves:
+        new = np.maximum(0, y - post @ move)
+        y, r = new + beta * (new - r), new
+    return r
+
+
 @dataclass(frozen=True)
 class Mix:
     rows: DataFrame  # the input with ``rate``
     shares: dict[str, float]  # reached shares
-    steps: int
+    moves: list[tuple[np.ndarray, float]]  # of each step: its move by domain and its extrapolation
 
 
 def rates(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...], p: Params = Params()) -> Mix:
@@ -134,7 +147,7 @@ def rates(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...], p:
                      *[F.sum(t * at[i]) for i in range(k)]).first()
     total = first[0] or 0.0
     if not total:
-        return Mix(rows.withColumn("rate", F.lit(1.0)), {n: 0.0 for n in names}, 0)
+        return Mix(rows.withColumn("rate", F.lit(1.0)), {n: 0.0 for n in names}, [])
     m = np.zeros((k, k))
     m[np.triu_indices(k)] = [x / total for x in first[1:1 + k * (k + 1) // 2]]
     m = m + m.T - np.diag(np.diag(m))
@@ -142,9 +155,8 @@ def rates(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...], p:
     share = np.array([x / total for x in first[-k:]])
     # rate: the last iterate; y: the extrapolated point, at which ``at_y`` holds the shares
     now = rows.withColumn("rate", F.lit(1.0)).withColumn("_y", F.lit(1.0))
-    at_y, last, theta, steps = share.copy(), share.copy(), 1.0, 0
-    while np.abs(last - want).max() > p.tolerance and steps < p.max_steps:
-        steps += 1
+    at_y, last, theta, moves = share.copy(), share.copy(), 1.0, []
+    while np.abs(last - want).max() > p.tolerance and len(moves) < p.max_steps:
         g = at_y - want
         move = F.lit(0.0)
         for j in range(k):
@@ -152,22 +164,29 @@ def rates(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...], p:
         new = F.greatest(F.lit(0.0), F.col("_y") - move)
         theta2 = (1 + np.sqrt(1 + 4 * theta * theta)) / 2
         beta = (theta - 1) / theta2
+        moves.append((size * g, beta))
         now = now.withColumn("_n", new).withColumn("_y", F.col("_n") + beta * (F.col("_n") - F.col("rate")))
         now = now.drop("rate").withColumnRenamed("_n", "rate")
-        if steps % p.cut == 0:
+        if len(moves) % p.cut == 0:
             now = keep(now)
         got = now.agg(*[F.sum(t * a * F.col("rate")) for a in at], *[F.sum(t * a * F.col("_y")) for a in at]).first()
         last, at_y = np.array(got[:k], float) / total, np.array(got[k:], float) / total
         theta = theta2
-    return Mix(now.drop("_y"), dict(zip(names, map(float, last), strict=True)), steps)
+    return Mix(now.drop("_y"), dict(zip(names, map(float, last), strict=True)), moves)
 
 
-def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float], p: Params = Params()) -> Mix:
-    """docs with tokens, posterior and rate (rows without tokens: rate 1)."""
+def fitted(docs: DataFrame, table: DataFrame, targets: dict[str, float], p: Params = Params()) -> tuple[Domains, Mix]:
+    """The classifier, and the rates of (doc_id, tokens, posterior) of all documents."""
     names = tuple(sorted(targets))
-    rows = keep(memberships(docs, train(docs, table, names, p)))
-    m = rates(rows, targets, names, p)
-    return Mix(m.rows.withColumn("rate", F.when(F.col("tokens") > 0, F.col("rate")).otherwise(1.0)), m.shares, m.steps)
+    model = train(docs, table, names, p)
+    m = rates(keep(memberships(docs.select("doc_id", "text"), model)), targets, names, p)
+    return model, Mix(m.rows.withColumn("rate", F.when(F.col("tokens") > 0, F.col("rate")).otherwise(1.0)), m.shares, m.moves)
+
+
+def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float], p: Params = Params()) -> DataFrame:
+    """docs with tokens, posterior and rate (rows without tokens: rate 1)."""
+    model, m = fitted(docs, table, targets, p)
+    return memberships(docs, model, text=True, moves=m.moves)
 
 
 #: the shares of tokens that the query and the pipeline ask for
@@ -182,7 +201,7 @@ def domain_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op7(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, tokens, the posteriors by domain, and the rate of every document."""
-    m = mix(docs.select("doc_id", "text"), domain_table(docs, labels), TARGETS, p)
+    _, m = fitted(docs, domain_table(docs, labels), TARGETS, p)
     names = sorted(TARGETS)
     return m.rows.select("doc_id", "tokens", *[F.element_at("posterior", j + 1).alias(f"p_{n}") for j, n in enumerate(names)],
                          "rate")

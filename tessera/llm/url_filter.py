@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOW, UPPER
+from .common import LOW, UPPER, keep
 from .components import components
 
 #: fixed by the query's contract
@@ -63,7 +63,8 @@ def judge(df: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = df.select("host").filter("host != ''").distinct().withColumn("_suffix", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))))
     # longest first; "allow" sorts before "block"
-    fits = hosts.join(rules, "_suffix").groupBy("host").agg(F.sort_array(F.collect_list("r")).alias("_rules"))
+    # kept, so that the join below reads it through an exchange of its own and a hot host can be split
+    fits = keep(hosts.join(rules, "_suffix").groupBy("host").agg(F.sort_array(F.collect_list("r")).alias("_rules")))
     best = F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["p"])), F.lit(0))
     return (df.join(fits, "host", "left").withColumn("_best", best)
             .withColumn("rule", F.col("_best.rule")).withColumn("by_rule", F.col("_best.verdict")).drop("_rules", "_best"))

@@ -332,12 +332,12 @@ def test_rates_reach_targets(spark):
     # the same steps in numpy
     t, r, y, theta = out.tokens.to_numpy(), np.ones(500), np.ones(500), 1.0
     size = 1 / np.linalg.eigvalsh((q * (t / t.sum())[:, None]).T @ q)[-1]
-    for _ in range(m.steps):
+    for _ in m.moves:
         g = (t[:, None] * q * y[:, None]).sum(axis=0) / t.sum() - [0.1, 0.3, 0.6]
         new = np.maximum(0, y - size * (q @ g))
         theta2 = (1 + math.sqrt(1 + 4 * theta**2)) / 2
         y, r, theta = new + (theta - 1) / theta2 * (new - r), new, theta2
-    assert np.abs(r - out.rate).max() < 1e-6
+    assert np.abs(r - out.rate).max() < 1e-6 and np.abs(soft_mix.replay(q, m.moves) - out.rate).max() < 1e-6
 
 
 def test_domains_are_learnt():
