@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from . import kernel as K
 from .linear import Rows
@@ -65,14 +64,8 @@ class Grams:
                 per.append((dd, ii, SCALE * c / np.bincount(d, minlength=n)[dd]))
             dd, ii, vv = (np.concatenate(x) for x in zip(*per, strict=True))
             order = np.argsort(dd, kind="stable")
-            ids.append(ii[order])
-            values.append(vv[order])
+            ids.append(ii[order].astype(np.int32))
+            values.append(vv[order].astype(np.float32))
             lengths.append(np.bincount(dd, minlength=n))
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        return Rows(cat(ids, np.int64), cat(values, float), cat(lengths, np.int64), self.dim)
-
-
-def collect_sample(sample: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(texts, labels, keys) of a bounded labelled sample, in key order."""
-    t = sample.select("key", "text", "y").toArrow().sort_by("key")
-    return t["text"], t["y"].to_numpy().astype(float), t["key"].to_numpy()
+        return Rows(cat(ids, np.int32), cat(values, np.float32), cat(lengths, np.int64), self.dim)

@@ -53,11 +53,16 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``limit``
     bytes; a null text counts as empty."""
     if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
+        base = 0
+        for part in col.chunks:
+            for lo, hi, data, offs in chunks(part, limit):
+                yield base + lo, base + hi, data, offs
+            base += len(part)
+        return
     if col.null_count:
         col = col.fill_null("")
     col = col.cast(pa.large_string())

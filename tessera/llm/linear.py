@@ -14,7 +14,7 @@ class Rows:
     """Rows of a sparse matrix: flat column ids and values with row bounds."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, lengths: np.ndarray, dim: int):
-        self.ids, self.values, self.dim = ids.astype(np.int32), values.astype(np.float32), dim
+        self.ids, self.values, self.dim = ids.astype(np.int32, copy=False), values.astype(np.float32, copy=False), dim
         self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.n = len(lengths)
 

@@ -311,7 +311,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Field | None:
     some = (cue.select("text", F.xxhash64("text", F.lit("sample")).alias("_h"))
             .join(F.broadcast(pick), "_h")  # at most sample_rows rows of 8 bytes
             .groupBy("_h").agg(F.first("text").alias("text")))
-    table = labelled_table(some.toArrow().sort_by("_h")["text"].to_pylist())
+    table = labelled_table(some.orderBy("_h").toArrow()["text"].to_pylist())
     texts, spans = pa.array([t for t, _ in table], pa.string()), [x for _, x in table]
     parts, y, shift, base = [], [], 0, 0
     for lo, hi, data, offs in K.chunks(texts):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import labelled_sample
+from .common import collect_sample, labelled_sample
 from .grams import Grams
 from .linear import adam, platt, sigmoid
 
@@ -79,8 +79,8 @@ def fit(texts: pa.Array, y: np.ndarray, keys: np.ndarray, p: Params = Params())
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None, p: Params = Params()) -> Model:
-    t = labelled_sample(docs, labels, label, p.sample_rows, where).select("key", "text", "y").toArrow().sort_by("key")
-    return fit(t["text"].combine_chunks(), t["y"].to_numpy().astype(float), t["key"].to_numpy(), p)
+    texts, y, keys = collect_sample(labelled_sample(docs, labels, label, p.sample_rows, where))
+    return fit(texts, y, keys, p)
 
 
 SYMBOL = np.zeros(256, dtype=bool)

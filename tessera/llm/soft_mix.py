@@ -43,7 +43,7 @@ from .linear import adam
 
 @dataclass(frozen=True)
 class Params:
-    sample_rows: int = 3_000
+    sample_rows: int = 2_000
     l2: float = 1e-4
     steps: int = 80
     tolerance: float = 1e-4
@@ -92,7 +92,7 @@ def train(docs: DataFrame, table: DataFrame, names: tuple[str, ...], p: Params =
             .orderBy(F.xxhash64("_k", F.lit("sample")), "_k").limit(p.sample_rows))
     rows = (docs.select(F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
             .join(F.broadcast(some), "_k")  # at most sample_rows rows
-            .groupBy("_k", "domain").agg(F.min("_t").alias("text"))).toArrow().sort_by("_k")
+            .groupBy("_k", "domain").agg(F.min("_t").alias("text")).orderBy("_k")).toArrow()
     return fit(rows["text"], rows["domain"].to_pylist(), names, p)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import fold, labelled_sample
+from .common import collect_sample, fold, labelled_sample
 from .linear import sigmoid
 
 THRESHOLD = 0.3
@@ -94,23 +94,24 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
     none = Machine(np.zeros(0, K.U64), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, p.rank)))
     if len(y) == 0 or y.min() == y.max():
         return none
-    ds, hs = [], []
-    for lo, _, data, offs in K.chunks(texts):
-        d, h = terms(data, offs)
-        ds.append((d + lo).astype(np.int32))
-        hs.append(h)
-    d, h = np.concatenate(ds), np.concatenate(hs)
-    del ds, hs
-    h_sorted = np.sort(h)
-    first = np.flatnonzero(np.append(True, h_sorted[1:] != h_sorted[:-1]))
-    vocab = h_sorted[first][np.diff(np.append(first, len(h))) >= p.min_df]
-    del h_sorted, first
+    # two passes over the texts, so that only the terms of the vocabulary are held
+    vocab, df = np.zeros(0, K.U64), np.zeros(0, np.int64)
+    for _, _, data, offs in K.chunks(texts):
+        h = terms(data, offs)[1]
+        vocab, inv = np.unique(np.concatenate([vocab, h]), return_inverse=True)
+        df = np.bincount(inv, weights=np.concatenate([df, np.ones(len(h))]), minlength=len(vocab)).astype(np.int64)
+    vocab = vocab[df >= p.min_df]
     if len(vocab) == 0:
         return none
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1).astype(np.int32)
-    known = vocab[at] == h
-    d, at = d[known], at[known]
-    del h, known
+    ds, ats = [], []
+    for lo, _, data, offs in K.chunks(texts):
+        d, h = terms(data, offs)
+        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1).astype(np.int32)
+        known = vocab[at] == h
+        ds.append((d + lo).astype(np.int32)[known])
+        ats.append(at[known])
+    d, at = np.concatenate(ds), np.concatenate(ats)
+    del ds, ats
     bounds = np.searchsorted(d, np.arange(len(y) + 1))
     rng = np.random.default_rng(p.seed)
     w, v = np.zeros(len(vocab)), rng.normal(0, p.spread, (len(vocab), p.rank))
@@ -145,8 +146,8 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where=None,
           p: Params = Params()) -> Machine:
     """``where``: the label rows that may be learnt from."""
-    t = labelled_sample(docs, labels, label, p.sample_rows, where).select("key", "text", "y").toArrow().sort_by("key")
-    return fit(t["text"].combine_chunks(), t["y"].to_numpy().astype(float), p)
+    texts, y, _ = collect_sample(labelled_sample(docs, labels, label, p.sample_rows, where))
+    return fit(texts, y, p)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
