@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import collect_sample, fold, keep, labelled_sample
+from .common import collect_sample, fold, keep, labelled_sample, release
 from .grams import Grams
 from .linear import adam, platt, sigmoid
 from .quality_ngram import counts
@@ -113,7 +113,10 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Ranker:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None, p: Params = Params()) -> Ranker:
     texts, y, _ = collect_sample(labelled_sample(docs, labels, label, p.sample_rows, where))
-    return fit(texts, y, p)
+    model = fit(texts, y, p)
+    del texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, ranker: Ranker, text: str = "text", out: str = "score") -> DataFrame:

@@ -55,9 +55,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
 def collect_sample(sample: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
     """(texts, labels, keys) of a bounded labelled sample, in key order."""
     t = sample.orderBy("key").select("key", "text", "y").toArrow()
+    release()
     return t["text"], t["y"].to_numpy().astype(float), t["key"].to_numpy()
 
 
+def release() -> None:
+    """Give memory that Arrow has freed back to the system: the driver is small."""
+    pa.default_memory_pool().release_unused()
+
+
 def bitmap(keys: DataFrame, bits: int, key: str = "key") -> np.ndarray:
     """A one-hash Bloom bitmap of 64-bit keys: ``2**bits`` bits whatever their
     number, OR-ed in the tasks; at most ``2**(bits-6)`` words reach the driver."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import collect_sample, labelled_sample
+from .common import collect_sample, labelled_sample, release
 from .grams import Grams
 from .linear import adam, platt, sigmoid
 
@@ -80,7 +80,10 @@ def fit(texts: pa.Array, y: np.ndarray, keys: np.ndarray, p: Params = Params())
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None, p: Params = Params()) -> Model:
     texts, y, keys = collect_sample(labelled_sample(docs, labels, label, p.sample_rows, where))
-    return fit(texts, y, keys, p)
+    model = fit(texts, y, keys, p)
+    del texts
+    release()
+    return model
 
 
 SYMBOL = np.zeros(256, dtype=bool)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import keep
+from .common import keep, release
 from .grams import Grams
 from .linear import adam
 
@@ -93,7 +93,10 @@ def train(docs: DataFrame, table: DataFrame, names: tuple[str, ...], p: Params =
     rows = (docs.select(F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
             .join(F.broadcast(some), "_k")  # at most sample_rows rows
             .groupBy("_k", "domain").agg(F.min("_t").alias("text")).orderBy("_k")).toArrow()
-    return fit(rows["text"], rows["domain"].to_pylist(), names, p)
+    model = fit(rows["text"], rows["domain"].to_pylist(), names, p)
+    del rows
+    release()
+    return model
 
 
 def memberships(docs: DataFrame, model: Domains, text: bool = False, moves: list | None = None) -> DataFrame:

@@ -29,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import collect_sample, fold, labelled_sample
+from .common import collect_sample, fold, labelled_sample, release
 from .linear import sigmoid
 
 THRESHOLD = 0.3
 STEMS = (4, 5)
+FIT_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
 class Params:
-    sample_rows: int = 10_000
+    sample_rows: int = 9_000
     rank: int = 4
     epochs: int = 12
     batch: int = 128
@@ -96,15 +97,20 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
         return none
     # two passes over the texts, so that only the terms of the vocabulary are held
     vocab, df = np.zeros(0, K.U64), np.zeros(0, np.int64)
-    for _, _, data, offs in K.chunks(texts):
-        h = terms(data, offs)[1]
-        vocab, inv = np.unique(np.concatenate([vocab, h]), return_inverse=True)
-        df = np.bincount(inv, weights=np.concatenate([df, np.ones(len(h))]), minlength=len(vocab)).astype(np.int64)
+    pending, held = [], 0
+    for _, hi, data, offs in K.chunks(texts, FIT_CHUNK):
+        pending.append(terms(data, offs)[1])
+        held += len(pending[-1])
+        if held > 1 << 20 or hi == len(texts):
+            vocab, inv = np.unique(np.concatenate([vocab, *pending]), return_inverse=True)
+            df = np.bincount(inv, weights=np.concatenate([df, np.ones(held)]), minlength=len(vocab)).astype(np.int64)
+            pending, held = [], 0
+    del inv
     vocab = vocab[df >= p.min_df]
     if len(vocab) == 0:
         return none
     ds, ats = [], []
-    for lo, _, data, offs in K.chunks(texts):
+    for lo, _, data, offs in K.chunks(texts, FIT_CHUNK):
         d, h = terms(data, offs)
         at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1).astype(np.int32)
         known = vocab[at] == h
@@ -147,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where=None,
           p: Params = Params()) -> Machine:
     """``where``: the label rows that may be learnt from."""
     texts, y, _ = collect_sample(labelled_sample(docs, labels, label, p.sample_rows, where))
-    return fit(texts, y, p)
+    model = fit(texts, y, p)
+    del texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
