@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +61,12 @@ def collect_sample(sample: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray, np.n
 
 
 def release() -> None:
-    """Give memory that Arrow has freed back to the system: the driver is small."""
+    """Give freed memory back to the system (Arrow's, and glibc's where that is
+    the C library): the driver is small."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def bitmap(keys: DataFrame, bits: int, key: str = "key") -> np.ndarray:

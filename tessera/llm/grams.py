@@ -18,6 +18,8 @@ from .linear import Rows
 
 #: lifts frequencies to a scale on which one step size suits all columns
 SCALE = 30.0
+#: bytes of sample text that the driver turns into features at a time
+FIT_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ class Grams:
 
     def rows(self, texts: pa.Array) -> Rows:
         ids, values, lengths = [], [], []
-        for _, _, data, offs in K.chunks(texts):
+        for _, _, data, offs in K.chunks(texts, FIT_CHUNK):
             n = len(offs) - 1
             per = []
             for i, d in self.parts(data, offs):

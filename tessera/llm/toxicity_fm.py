@@ -39,7 +39,7 @@ FIT_CHUNK = 1 << 18
 
 @dataclass(frozen=True)
 class Params:
-    sample_rows: int = 9_000
+    sample_rows: int = 8_000
     rank: int = 4
     epochs: int = 12
     batch: int = 128
