@@ -137,21 +137,25 @@ def blocks_by_plan(df: DataFrame, plan: DataFrame, sizes: Sequence[int], extra:
     """Size -> block ids through a plan table ``size INT, block_ids ARRAY<INT>``.
 
     A size that the plan does not list takes ``range(0, size + extra)``
-    (``extra`` = number of test blocks in the block arm).  Returns the rows
-    of every requested size, tagged with ``size``; the size x block table is
-    tiny (bounded by the parameters) and is broadcast into a semi join.
+    (``extra`` = number of test blocks in the block arm).  Size 0 that the plan
+    does not list, and an empty list in the plan, mean the whole table.
+    Returns the rows of every requested size, tagged with ``size``; the size x
+    block table is tiny (bounded by the parameters) and is broadcast into a join.
     """
     if not sizes:
         raise ValueError("sizes must not be empty (use the whole table instead)")
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(int(s),) for s in sizes], "size INT")
-    chosen = (wanted.join(plan.select(F.col("size").cast("int").alias("size"),
-                                      F.col("block_ids")), "size", "left")
-              .select("size", F.explode(F.coalesce(
-                  F.col("block_ids"),
-                  F.sequence(F.lit(0), F.col("size") + F.lit(int(extra) - 1)))).alias(col))
-              .distinct())
-    return df.join(F.broadcast(chosen), col, "inner")
+    wanted = spark.createDataFrame([(int(s),) for s in set(sizes)], "size INT")
+    listed = F.when(F.col("block_ids").isNull() & (F.col("size") > 0),
+                    F.sequence(F.lit(0), F.greatest(F.col("size") + F.lit(int(extra) - 1), F.lit(0)))
+                    ).otherwise(F.coalesce("block_ids", F.array().cast("array<int>")))
+    chosen = wanted.join(plan.select(F.col("size").cast("int").alias("size"), F.col("block_ids")),
+                         "size", "left").select("size", listed.alias("ids"))
+    whole = [r[0] for r in chosen.filter(F.size("ids") == 0).select("size").distinct().collect()]  # of the asked sizes
+    out = df.join(F.broadcast(chosen.select("size", F.explode("ids").alias(col)).distinct()), col, "inner")
+    for s in sorted(whole):
+        out = out.unionByName(df.withColumn("size", F.lit(s)))
+    return out
 
 
 # ---------------------------------------------------------------------- B7-B9

@@ -97,8 +97,9 @@ def lloyd_step(points: DataFrame, centers: DataFrame, n_centers: int, col: str =
 
 
 def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_id",
-                 col: str = BLOCK, init: str | DataFrame = "farthest") -> DataFrame:
-    """K5 (k-means): ``block_id, cluster, center`` after ``steps`` steps.
+                 col: str = BLOCK, init: str | DataFrame = "farthest", tol: float = 0.0) -> DataFrame:
+    """K5 (k-means): ``block_id, cluster, center`` once no center moves by more
+    than ``tol``, or after ``steps`` steps.
 
     ``init``: ``"farthest"`` (farthest-first from the lowest id),
     ``"lowest"`` (the k lowest ids) or a center table; all repeatable.
@@ -115,7 +116,11 @@ def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_i
     centers = _checkpointed(start)
     n = centers.count()
     for _ in range(steps):
+        old = centers.withColumnRenamed("center", "_old")
         centers = _checkpointed(lloyd_step(pts, centers, n, col))
+        far = centers.join(old, [col, "cluster"]).agg(F.max(sq_distance(F.col("center"), F.col("_old")))).first()[0]
+        if far is None or far <= tol * tol:
+            break
     release(pts, owned)          # the centers are checkpointed
     return centers
 

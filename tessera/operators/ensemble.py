@@ -42,10 +42,10 @@ def estimator_for(algo: str, label_col: str = "label", features_col: str = "vec"
                                            OneVsRest, RandomForestClassifier)
     common = dict(labelCol=label_col, featuresCol=features_col)
     if algo == "RF":
-        return RandomForestClassifier(numTrees=params.get("numTrees", 40), maxDepth=params.get("maxDepth", 8),
+        return RandomForestClassifier(numTrees=params.get("numTrees", 40), maxDepth=params.get("maxDepth", 20),
                                       seed=seed, **common)
     if algo == "DT":
-        return DecisionTreeClassifier(maxDepth=params.get("maxDepth", 8), seed=seed, **common)
+        return DecisionTreeClassifier(maxDepth=params.get("maxDepth", 20), seed=seed, **common)
     if algo == "LR":
         return LogisticRegression(maxIter=params.get("maxIter", 50), regParam=params.get("regParam", 0.0),
                                   **common)
@@ -60,6 +60,23 @@ def with_vector(df: DataFrame, features: str = "features", out: str = "vec") ->
     return df.withColumn(out, array_to_vector(F.col(features)))
 
 
+class ConstantModel:
+    """Predicts one label: the model of a block that holds no other."""
+
+    def __init__(self, label: float, prediction: str = "prediction"):
+        self.label, self.prediction = float(label), prediction
+
+    def copy(self) -> ConstantModel:
+        return ConstantModel(self.label, self.prediction)
+
+    def setPredictionCol(self, name: str) -> ConstantModel:  # noqa: N802 - MLlib's name
+        self.prediction = name
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.prediction, F.lit(self.label))
+
+
 @dataclass
 class BlockModel:
     model_id: int
@@ -81,8 +98,9 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
     With ``validate`` rows, the same pool job then scores the block's own
     validate rows and keeps ``n_validate`` and ``accuracy`` on the model:
     one small job per block, never a plan with one branch per model.
-    ``needs_two_classes`` skips blocks holding a single label (LR/SVM)
-    instead of failing; the class census is one aggregate over all blocks.
+    With ``needs_two_classes`` (LR/SVM) a block of a single label gets a
+    constant model; only blocks without rows are skipped.  The class census is
+    one aggregate over all blocks.
     ``pool`` names a scheduler pool for the fit jobs (with
     ``spark.scheduler.mode=FAIR`` the block jobs share the cluster fairly).
     """
@@ -93,16 +111,20 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
     skipped: list[int] = []
     ids = [int(b) for b in block_ids]
     if needs_two_classes:
-        census = {r[col]: r["k"] for r in
+        census = {r[col]: r for r in
                   train.filter(F.col(col).isin(ids)).groupBy(col)
-                  .agg(F.countDistinct(label_col).alias("k")).collect()}
-        skipped = [b for b in ids if census.get(b, 0) < 2]
+                  .agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).collect()}  # one row a block
+        skipped = [b for b in ids if b not in census or census[b]["lo"] is None]
         ids = [b for b in ids if b not in skipped]
+        constant = {b: ConstantModel(census[b]["lo"]) for b in ids if census[b]["lo"] == census[b]["hi"]}
+    else:
+        constant = {}
 
     def _fit(b):
         if pool:
             train.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
-        bm = BlockModel(b, b, make_estimator().fit(train.filter(F.col(col) == F.lit(b))), site_id)
+        model = constant.get(b) or make_estimator().fit(train.filter(F.col(col) == F.lit(b)))
+        bm = BlockModel(b, b, model, site_id)
         if validate is not None:
             mine = validate.filter(F.col(col) == F.lit(b))
             hit = (F.element_at("predictions", 1) == F.col(label_col)).cast("double")
@@ -162,28 +184,6 @@ def block_accuracy(pred: DataFrame, model_col: str = "model_id", label: str = "l
     return pred.groupBy(model_col).agg(F.count(F.lit(1)).alias("n_validate"), F.avg(hit).alias("accuracy"))
 
 
-def holdout_accuracy(models: Sequence[BlockModel], rows: DataFrame, order: str = "row_id",
-                     fraction: float = 0.9, label: str = "label", col: str = BLOCK) -> DataFrame:
-    """C2 with real models: each block model scores its own block's
-    validate rows (B15 split); one union of per-model scans.  For large
-    ensembles prefer ``fit_blocks(validate=...)``, which scores each block
-    inside its own pool job instead of building one plan per model."""
-    tagged = rows if "role" in rows.columns else holdout_in_block(rows, order, fraction, col)
-    val = materialise(tagged.filter(F.col("role") == "validate"))
-    parts = []
-    for bm in models:
-        mine = val.filter(F.col(col) == F.lit(bm.block_id))
-        scored = score_models([bm], mine)
-        parts.append(scored.select(F.lit(bm.model_id).alias("model_id"), F.col(label),
-                                   F.element_at("predictions", 1).alias("prediction")))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "model_id INT, n_validate BIGINT, accuracy DOUBLE")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return block_accuracy(allp, label=label)
-
-
 def accuracy_table(spark, models: Sequence[BlockModel]) -> DataFrame:
     """C2 table ``model_id, n_validate, accuracy`` from models scored by
     ``fit_blocks(validate=...)`` (one row per model)."""

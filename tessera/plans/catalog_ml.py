@@ -122,10 +122,12 @@ def q_clf_svm_blocks(spark, sf):
 
 
 def q_clf_multi_site(spark, sf):
-    """Two sites (DT on one blocking, LR on another), common test."""
-    v = _real_vectors(spark, sf)
-    site1 = B.assign_blocks(v.drop("block_id"), "row_id", N_BLOCKS, SEED + 1)
-    _, final, _ = clf_runs.multi_site([(v, "DT"), (site1, "LR")], v, n_train=3, tail=TAIL, seed=SEED)
+    """Two sites (DT on one blocking of the training blocks, LR on
+    another), voted on test blocks that neither site has seen."""
+    train, test = B.split_blocks(_real_vectors(spark, sf), N_BLOCKS, 3, 2, SEED)
+    drop = [c for c in ("block_id", "role") if c in train.columns]
+    sites = [(B.assign_blocks(train.drop(*drop), "row_id", 3, SEED + s), algo) for s, algo in ((1, "DT"), (2, "LR"))]
+    _, final, _ = clf_runs.multi_site(sites, test, n_train=3, tail=TAIL, seed=SEED)
     return final
 
 

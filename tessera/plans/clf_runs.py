@@ -26,10 +26,12 @@ class EnsembleResult:
 
 def block_ensemble(train_rows: DataFrame, test_rows: DataFrame | None, algo: str, tail: float = 0.1,
                    trim: bool = True, holdout: float = 0.9, parallelism: int = 4, seed: int = 0,
-                   svm_split: int = 8, label: str = "label", site_id: int = 0) -> EnsembleResult:
+                   svm_split: int = 8, label: str = "label", site_id: int = 0,
+                   make_estimator=None, **params) -> EnsembleResult:
     """One ensemble: fit per block (C1; SVM on 8 sub-blocks per block, B11),
     hold-out accuracy (B15 + C2), trim (C3/C4), score kept models on the
-    test rows (C5), vote (C6) and weigh the block accuracies (C7)."""
+    test rows (C5), vote (C6) and weigh the block accuracies (C7).  ``params``
+    are the learner's settings; ``make_estimator`` is a user's own learner."""
     spark = train_rows.sparkSession
     n_classes = train_rows.select(label).distinct().count()
     rows = train_rows
@@ -39,7 +41,7 @@ def block_ensemble(train_rows: DataFrame, test_rows: DataFrame | None, algo: str
     rows = B.materialise(B.holdout_in_block(rows, "row_id", holdout))
     ids = sorted(r[0] for r in rows.select(B.BLOCK).distinct().collect())
     models, skipped = E.fit_blocks(
-        rows.filter(F.col("role") == "train"), lambda: E.estimator_for(algo, label, seed=seed, n_classes=n_classes),
+        rows.filter(F.col("role") == "train"), make_estimator or (lambda: E.estimator_for(algo, label, seed=seed, n_classes=n_classes, **params)),
         ids, parallelism, label, needs_two_classes=algo in ("LR", "SVM"), site_id=site_id,
         validate=rows.filter(F.col("role") == "validate"))
     # a block whose validate part is empty has no accuracy: it cannot be ranked
@@ -54,7 +56,7 @@ def block_ensemble(train_rows: DataFrame, test_rows: DataFrame | None, algo: str
 
 
 def multi_site(sites: Sequence[tuple[DataFrame, str]], test_rows: DataFrame, n_train: int, tail: float,
-               seed: int = 0, label: str = "label", parallelism: int = 4):
+               seed: int = 0, label: str = "label", parallelism: int = 4, **params):
     """Every site has its own source and algorithm and trains its
     own trimmed ensemble on ``n_train`` random blocks; each site votes on the
     common test rows, one vote per site, then the site votes are voted
@@ -68,9 +70,9 @@ def multi_site(sites: Sequence[tuple[DataFrame, str]], test_rows: DataFrame, n_t
     site_cols = []
     for i, (src, algo) in enumerate(sites):
         n_total = src.select(F.max(B.BLOCK)).first()[0] + 1
-        tr_ids, _ = B.train_test_block_ids(n_total, n_train, 0, f"{seed}:{i}", strict=False)
+        tr_ids, _ = B.train_test_block_ids(n_total, n_train, 0, f"{seed}:{i}")
         res = block_ensemble(B.blocks_by_ids(src, tr_ids), None, algo, tail, seed=seed,
-                             label=label, site_id=i, parallelism=parallelism)
+                             label=label, site_id=i, parallelism=parallelism, **params)
         scored = E.score_models(res.models, scored, out=f"_site{i}")
         scored = scored.withColumn(f"site_{i}", plurality(F.col(f"_site{i}"))).drop(f"_site{i}")
         site_cols.append(f"site_{i}")
@@ -81,20 +83,22 @@ def multi_site(sites: Sequence[tuple[DataFrame, str]], test_rows: DataFrame, n_t
     return site_votes, final, tot
 
 
-def single_model(rows: DataFrame, algo: str, seed: int = 0, label: str = "label"):
-    """One model on a 90/10 random row split of one block; returns
-    (model, accuracy frame)."""
-    train, test = rows.randomSplit([0.9, 0.1], seed=seed)
+def single_model(rows: DataFrame, algo: str, seed: int = 0, label: str = "label", **params):
+    """One model on a 90/10 row split of one block (by a hash of the row
+    id, so that it is the same at every partitioning); returns (model,
+    accuracy frame)."""
+    tagged = B.hash_split(rows, "row_id", 0.9, seed)
+    train, test = (tagged.filter(F.col("role") == r).drop("role") for r in ("train", "test"))
     n_classes = rows.select(label).distinct().count()
-    model = E.estimator_for(algo, label, seed=seed, n_classes=n_classes).fit(E.with_vector(train))
+    model = E.estimator_for(algo, label, seed=seed, n_classes=n_classes, **params).fit(E.with_vector(train))
     scored = E.score_models([E.BlockModel(0, 0, model)], test)
     pred = scored.select(F.lit(0).alias("model_id"), label, F.element_at("predictions", 1).alias("prediction"))
     return model, E.block_accuracy(pred, label=label)
 
 
-def exact(train_rows: DataFrame, test_rows: DataFrame, algo: str, seed: int = 0, label: str = "label"):
+def exact(train_rows: DataFrame, test_rows: DataFrame, algo: str, seed: int = 0, label: str = "label", **params):
     """One model on all the training rows, scored on the test rows."""
     n_classes = train_rows.select(label).distinct().count()
-    model = E.estimator_for(algo, label, seed=seed, n_classes=n_classes).fit(E.with_vector(train_rows))
+    model = E.estimator_for(algo, label, seed=seed, n_classes=n_classes, **params).fit(E.with_vector(train_rows))
     scored = E.score_models([E.BlockModel(0, 0, model)], test_rows)
     return scored.select("row_id", B.BLOCK, label, F.element_at("predictions", 1).alias("prediction"))

@@ -24,7 +24,12 @@ def _row(spark, size, arm, n_train, dist_df, purity_df):
 
 
 def _exact_one(rows, true_centers, k, algo, frac, seed, size, n_blocks, model_path=None):
-    train, test = B.random_split(rows, frac, seed)
+    if 0 < frac < 1:
+        # by a hash of the row id: the same split at every partitioning, and after a lost executor
+        tagged = B.hash_split(rows, "row_id", frac, seed)
+        train, test = (tagged.filter(F.col("role") == r).drop("role") for r in ("train", "test"))
+    else:
+        train, test = B.random_split(rows, frac, seed)
     model, centers = K.fit_centers(train, k, algo, seed)
     if model_path:
         model.write().overwrite().save(f"{model_path}/size={size}")       # S8
@@ -53,13 +58,16 @@ def exact_with_plan(points: DataFrame, plan: DataFrame, sizes: Sequence[int], tr
 
 
 def exact_shuffled(points: DataFrame, n_total: int, sizes: Sequence[int], true_centers: DataFrame,
-                   k: int, unit: float, algo: str = "kmeans", frac: float = 0.9, seed: int = 1) -> DataFrame:
-    """K4: ``int(size * unit)`` random blocks per size, split, fit, score."""
+                   k: int, unit: float, algo: str = "kmeans", frac: float = 0.9, seed: int = 1,
+                   model_path: str | None = None) -> DataFrame:
+    """K4: ``int(size * unit)`` random blocks per size, split, fit, score.  No
+    sizes, and a size of no blocks, mean the whole table; models are saved
+    below ``model_path``."""
     out = []
-    for s in sizes:
-        n = max(1, B.blocks_for_unit(s, unit))
-        rows = B.random_blocks(points, n_total, n, f"{seed}:{s}")
-        out.append(_exact_one(rows, true_centers, k, algo, frac, seed, s, n))
+    for s in sizes or [0]:
+        n = B.blocks_for_unit(s, unit)
+        rows = B.random_blocks(points, n_total, n, f"{seed}:{s}") if n else points
+        out.append(_exact_one(rows, true_centers, k, algo, frac, seed, s, n or n_total, model_path))
     return _union(out)
 
 
@@ -82,10 +90,16 @@ def blocks_with_plan(points: DataFrame, plan: DataFrame, sizes: Sequence[int], t
     if not sizes:
         ids = sorted(r[0] for r in points.select(B.BLOCK).distinct().collect())   # one per block
         return _union([_block_one(points, ids, list(range(tests)), true_centers, k, algo, steps, seed, 0)])
-    plan_rows = {int(r["size"]): list(r["block_ids"]) for r in plan.collect()}  # plan table: tiny
+    asked = plan.filter(F.col("size").isin([int(s) for s in sizes])).collect()   # one row a size
+    plan_rows = {int(r["size"]): list(r["block_ids"]) for r in asked}
+    every = None
     out = []
     for s in sizes:
-        ids = plan_rows.get(int(s), list(range(int(s) + tests)))
+        ids = plan_rows.get(int(s), list(range(int(s) + tests)) if s else [])
+        if not ids:  # the whole table
+            every = every or sorted(r[0] for r in points.select(B.BLOCK).distinct().collect())  # one per block
+            out.append(_block_one(points, every, list(range(tests)), true_centers, k, algo, steps, seed, s))
+            continue
         t = B.train_block_count(len(ids), subs)
         out.append(_block_one(points, ids[:t], ids[t:t + tests], true_centers, k, algo, steps, seed, s))
     return _union(out)
@@ -95,9 +109,14 @@ def blocks_shuffled(points: DataFrame, n_total: int, sizes: Sequence[int], true_
                     k: int, subs: float, tests: int, unit: float, algo: str = "kmeans", steps: int = 10,
                     seed: int = 1) -> DataFrame:
     """``max(1, int(size * unit * subs))`` random train blocks and the
-    next ``tests`` as test blocks; ``tests = 0`` skips purity."""
+    next ``tests`` as test blocks; ``tests = 0`` skips purity.  No sizes, and
+    size 0, mean training on every block and testing on the first ``tests``."""
     out = []
-    for s in sizes:
+    for s in sizes or [0]:
+        if not s:
+            perm = list(range(n_total))
+            out.append(_block_one(points, perm, perm[:tests], true_centers, k, algo, steps, seed, s))
+            continue
         t = max(1, int(s * unit * subs))
         perm = B.shuffled_block_ids(n_total, f"{seed}:{s}")
         out.append(_block_one(points, perm[:t], perm[t:t + tests], true_centers, k, algo, steps, seed, s))

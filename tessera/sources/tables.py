@@ -115,10 +115,18 @@ def true_centers(vectors: DataFrame) -> DataFrame:
 
 def read_centers(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """A centers table ``name, centers ARRAY<ARRAY<DOUBLE>>``; ``file:key``
-    picks another name.  Returns ``center_id, center`` rows for one name."""
-    if key is None and ":" in path:
-        path, key = path.split(":", 1)
+    picks another name (the last ``:`` after the last ``/``, so that paths with a
+    scheme stay whole).  A table of several names needs a key; a key that the
+    table lacks is an error.  Returns ``center_id, center`` rows for one name."""
+    head, sep, tail = path.rpartition(":")
+    if key is None and sep and "/" not in tail:
+        path, key = head, tail
     df = spark.read.parquet(path)
     if key is not None:
         df = df.filter(F.col("name") == key)
+    names = [r[0] for r in df.select("name").distinct().limit(2).collect()]
+    if not names:
+        raise ValueError(f"no centers named {key!r} in {path}")
+    if len(names) > 1:
+        raise ValueError(f"{path} holds centers of several names; give one as path:name")
     return df.select(F.posexplode("centers").alias("center_id", "center"))

@@ -126,3 +126,11 @@ def test_write_and_prune(spark, tmp_path):
     salted = str(tmp_path / "salted")
     B.write_blocked(df, salted, key="tid", tasks_per_block=3)
     assert spark.read.parquet(salted).count() == 300
+
+
+def test_plan_size_zero_is_the_whole_table(spark):
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 4).cast("int").alias("block_id"))
+    plan = spark.createDataFrame([(2, [3, 1]), (5, [])], "size INT, block_ids ARRAY<INT>")
+    out = {r["size"]: r["n"] for r in B.blocks_by_plan(df, plan, [0, 1, 2, 5]).groupBy("size").agg(
+        F.count("*").alias("n")).collect()}
+    assert out == {0: 100, 1: 25, 2: 50, 5: 100}

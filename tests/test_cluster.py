@@ -101,3 +101,25 @@ def test_shuffled_exact_and_planned_block_runs(spark):
     assert rows[2].n_train_blocks == 2            # plan ids [0, 3, 1]: int(3 * 0.67) = 2 train, 1 test
     assert rows[3].n_train_blocks == 2            # default range(0, 3 + 1): int(4 * 0.67) = 2
     assert all(r.purity is not None and r.purity > 0.95 for r in rows.values())
+
+
+def test_shuffled_runs_without_sizes(spark, tmp_path):
+    from pyspark.ml.clustering import KMeansModel
+    v = _blobs(spark)
+    tc = true_centers(v)
+    path = f"file://{tmp_path}/models"
+    for sizes in ([], [0]):
+        ex = clt_runs.exact_shuffled(v, 3, sizes, tc, 3, unit=1.0, model_path=path).collect()
+        assert [(r["size"], r["n_train_blocks"]) for r in ex] == [(0, 3)]
+        bl = clt_runs.blocks_shuffled(v, 3, sizes, tc, 3, subs=1.0, tests=1, unit=1.0).collect()
+        assert [(r["size"], r["n_train_blocks"]) for r in bl] == [(0, 3)]
+    assert len(KMeansModel.load(f"{path}/size=0").clusterCenters()) == 3
+
+
+def test_lloyd_stops_when_nothing_moves(spark, monkeypatch):
+    v = _blobs(spark)
+    calls = []
+    step = K.lloyd_step
+    monkeypatch.setattr(K, "lloyd_step", lambda *a: calls.append(1) or step(*a))
+    a = sorted(map(tuple, K.local_kmeans(v, 3, steps=40).select("block_id", "cluster").collect()))
+    assert len(calls) < 20 and len(a) == 9

@@ -67,7 +67,10 @@ def test_train_only_and_single_class(spark):
     one_class = v.withColumn("label", F.when(F.col("block_id") == 0, F.lit(0)).otherwise(F.col("label")))
     models, skipped = E.fit_blocks(E.with_vector(one_class).drop("vec"), lambda: E.estimator_for("LR"),
                                    [0, 1], needs_two_classes=True)
-    assert skipped == [0] and [m.block_id for m in models] == [1]
+    # a block of one label gets a model that predicts it; only a block without rows is skipped
+    assert skipped == [] and [m.block_id for m in models] == [0, 1]
+    assert {r.predictions[0] for r in E.score_models(models, v).select("predictions").collect()} == {0}
+    assert E.fit_blocks(one_class, lambda: E.estimator_for("LR"), [0, 99], needs_two_classes=True)[1] == [99]
 
 
 def test_score_models_one_pass(spark):
@@ -82,9 +85,10 @@ def test_score_models_one_pass(spark):
 
 def test_multi_site_single_and_exact(spark):
     v = _separable(spark)
-    other = B.assign_blocks(v.drop("block_id"), "row_id", 6, 2)
-    _, final, tot = clf_runs.multi_site([(v, "DT"), (other, "LR")], v, 3, 0.2, seed=1)
-    assert final.count() == v.count() and tot.first().accuracy > 0.95
+    train, test = v.filter("block_id < 4"), v.filter("block_id >= 4")   # the sites never see the test blocks
+    sites = [(B.assign_blocks(train.drop("block_id"), "row_id", 3, s), a) for s, a in ((1, "DT"), (2, "LR"))]
+    _, final, tot = clf_runs.multi_site(sites, test, 3, 0.2, seed=1)
+    assert final.count() == test.count() and tot.first().accuracy > 0.95
     assert "Exchange" not in final._jdf.queryExecution().executedPlan().toString()   # in-row votes
     _, acc = clf_runs.single_model(v, "DT", seed=1)
     assert acc.first().accuracy > 0.9
@@ -105,3 +109,14 @@ def test_fit_blocks_in_a_scheduler_pool(spark):
     v = _separable(spark)
     models, _ = E.fit_blocks(v, lambda: E.estimator_for("DT"), [0, 1], pool="blocks")
     assert [m.block_id for m in models] == [0, 1]
+
+
+def test_settings_and_own_learner(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    v = _separable(spark)
+    assert E.estimator_for("DT").getMaxDepth() == E.estimator_for("RF").getMaxDepth() == 20
+    res = clf_runs.block_ensemble(v, None, "DT", maxDepth=1)
+    assert all(m.model.depth <= 1 for m in res.models)
+    own = clf_runs.block_ensemble(v, None, "DT", make_estimator=lambda: DecisionTreeClassifier(
+        labelCol="label", featuresCol="vec", maxDepth=0))
+    assert all(m.model.numNodes == 1 for m in own.models)

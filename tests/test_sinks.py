@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import cluster as K
+import pytest
+
 from tessera.sources import (read_centers, read_text_transactions, save_model, write_itemsets_csv,
                              write_parquet, write_text_lines)
 
@@ -50,6 +52,10 @@ def test_centers_and_model(spark, tmp_path):
     c.write.parquet(p)
     assert read_centers(spark, p, "a").count() == 2
     assert read_centers(spark, f"{p}:b").count() == 1
+    assert read_centers(spark, f"file://{p}:b").count() == 1 == read_centers(spark, f"file://{p}", "b").count()
+    for bad in (p, f"{p}:none"):     # several names and no key; no such name
+        with pytest.raises(ValueError):
+            read_centers(spark, bad)
     pts = spark.createDataFrame([([0.0, 0.1],), ([5.0, 5.1],), ([0.1, 0.0],)], "features ARRAY<DOUBLE>")
     model, _ = K.fit_centers(pts, 2, "kmeans", 1)
     mp = str(tmp_path / "model")
