@@ -3,7 +3,6 @@
 from tessera.functions.exprs import (  # noqa: F401
     block_hash,
     hash_rank_key,
-    item_id,
     itemset_key,
     itemset_text,
     parse_int_line,

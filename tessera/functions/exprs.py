@@ -1,7 +1,8 @@
 """Scalar and higher-order column expressions.
 
-Everything here builds a ``Column`` from built-in Spark SQL functions, so it
-stays inside whole-stage codegen.  The hash rules are chosen so that the same
+Everything here builds a ``Column`` from built-in Spark SQL functions and runs
+in the JVM; lambdas over array elements are interpreted, the rest is generated
+code.  The hash rules are chosen so that the same
 value can be written in plain SQL (DuckDB) for the oracle checks.
 """
 
@@ -36,11 +37,6 @@ def block_hash(key, n_blocks: int, seed) -> Column:
     return F.pmod(hash_rank_key(seed, key), F.lit(int(n_blocks))).cast("int")
 
 
-def item_id(value) -> Column:
-    """Stable 28-bit integer id of a categorical value (md5 based)."""
-    return F.conv(F.substring(F.md5(_c(value).cast("string")), 1, 7), 16, 10).cast("int")
-
-
 def itemset_key(items) -> Column:
     """Canonical ``{a,b}`` key of an (int-sorted) itemset."""
     return F.concat(F.lit("{"), F.array_join(F.array_sort(_c(items)), ","), F.lit("}"))

@@ -6,8 +6,9 @@ sorted).  Outputs use ``items ARRAY<INT>`` (int-sorted) as the key.
 * F3 local mining runs **one** MLlib FP-growth over block-tagged items
   (``block_id * 2^32 + item``): an itemset can never span two blocks, every
   block is mined by the same distributed job (no whole block in one task),
-  and a hot item is split into one tagged item per block.  Blocks are mined
-  in groups when the driver-side list of tagged items would grow too long.
+  and a hot item is split into one tagged item per block.  Blocks of like
+  thresholds share a run, so a tiny block's low count never applies to a
+  large one.
 * F4 vote / F8 sum merges are ``groupBy(items)`` aggregations (partial
   aggregation map-side).
 * F7 exact recount anchors every candidate on one of its items (the rarest
@@ -19,6 +20,9 @@ sorted).  Outputs use ``items ARRAY<INT>`` (int-sorted) as the key.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +30,12 @@ from pyspark.sql import functions as F
 from tessera.functions.exprs import itemset_key, tag_items, tagged_block, untag_items
 from tessera.operators.blocks import BLOCK, block_inventory, hold, materialise, release
 
-# Largest candidate table (rows) that recount broadcasts; above it the
+# Estimated bytes up to which recount broadcasts the candidates; above it the
 # recount becomes a shuffle join on the anchor item.
-BROADCAST_CANDIDATES = 200_000
-
+BROADCAST_CANDIDATES = 64 << 20
 
-# Cap on distinct (block, item) pairs per local FP-growth run: MLlib keeps
-# the frequent ones in a driver-side list.
-MAX_TAGGED_ITEMS = 2_000_000
+# Blocks whose thresholds lie within this factor are mined in one run.
+BAND = 1.5
 
 # Transactions per FP-growth partition when the caller gives no count.
 TX_PER_PARTITION = 500_000
@@ -74,34 +76,24 @@ def with_key(itemsets: DataFrame, out: str = "itemset") -> DataFrame:
     return itemsets.withColumn(out, itemset_key("items"))
 
 
+def with_names(itemsets: DataFrame, names: DataFrame, out: str = "names") -> DataFrame:
+    """Add the item texts in item order; ``names`` is the dictionary ``item, name``."""
+    text = (itemsets.select("items").distinct().select("items", F.explode("items").alias("item"))
+            .join(names, "item")
+            .groupBy("items").agg(F.array_sort(F.collect_list(F.struct("item", "name"))).alias("_n"))
+            .select("items", F.col("_n.name").alias(out)))
+    return itemsets.join(text, "items", "left")
+
+
 def text_lines(itemsets: DataFrame, value: str = "support") -> DataFrame:
     """S6 line form ``"{a,b}: n"``."""
     return itemsets.select(F.concat_ws(": ", itemset_key("items"),
                                        F.col(value).cast("string")).alias("value"))
 
 
-class BlockSizes(dict):
-    """Rows per block (one entry per block), plus ``item_pairs``: a
-    HyperLogLog estimate of the distinct (block, item) pairs, or None."""
-
-    item_pairs: int | None = None
-
-
-def block_sizes(tx: DataFrame, col: str = BLOCK, with_items: bool = True) -> BlockSizes:
-    """Rows per block and (``with_items``) the distinct (block, item) pair
-    estimate, in one partially aggregated pass; one row per block comes
-    back (bounded by the block count, not by the data)."""
-    if not with_items:
-        return BlockSizes({int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()})
-    # posexplode_outer keeps empty baskets (pos NULL); pos 0 / NULL marks one row per basket
-    ex = tx.select(col, F.posexplode_outer("items").alias("_p", "_i"))
-    rows = (ex.groupBy(col)
-            .agg(F.count(F.when(F.col("_p").isNull() | (F.col("_p") == 0), 1)).alias("n_rows"),
-                 F.approx_count_distinct("_i").alias("_d"))
-            .collect())
-    out = BlockSizes({int(r[col]): int(r["n_rows"]) for r in rows})
-    out.item_pairs = int(sum(r["_d"] for r in rows))
-    return out
+def block_sizes(tx: DataFrame, col: str = BLOCK) -> dict[int, int]:
+    """Rows per block (one row per block comes back)."""
+    return {int(r[col]): int(r["n_rows"]) for r in block_inventory(tx, col).collect()}
 
 
 def threshold_counts(sizes: dict[int, int], min_support: float, threshold: str = "own",
@@ -125,7 +117,7 @@ def local_thresholds(tx: DataFrame, min_support: float, threshold: str = "own",
                      n_blocks: int | None = None, min_count: int = 1,
                      col: str = BLOCK, sizes: dict[int, int] | None = None) -> DataFrame:
     """P10 as a table ``block_id, n_rows, threshold``."""
-    sizes = sizes if sizes is not None else block_sizes(tx, col, with_items=False)
+    sizes = sizes if sizes is not None else block_sizes(tx, col)
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
     rows = [(b, sizes[b], thr[b]) for b in sorted(sizes)]
     return tx.sparkSession.createDataFrame(rows, f"{col} INT, n_rows BIGINT, threshold BIGINT")
@@ -136,63 +128,45 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
                    n_blocks: int | None = None, min_count: int = 1,
                    num_partitions: int | None = None, col: str = BLOCK,
                    sizes: dict[int, int] | None = None,
-                   blocks_per_run: int | None = None,
-                   max_tagged_items: int | None = MAX_TAGGED_ITEMS) -> DataFrame:
+                   blocks_per_run: int | None = None, band: float = BAND) -> DataFrame:
     """frequent itemsets of every block on its own.
 
     Returns ``block_id, items, support`` with ``support >= threshold_b``
     (persisted: mining runs once however often the result is read).
 
-    MLlib gathers the frequent (tagged) single items on the driver: at most
-    the distinct (block, item) pairs.  ``blocks_per_run`` bounds that list
-    by mining the blocks in groups (one FP-growth job per group) and
-    unioning.  Left unset, one HyperLogLog pass estimates the distinct
-    pairs and picks groups that keep each run under ``max_tagged_items``.
+    Blocks whose thresholds lie within a factor ``band`` are mined together
+    at the least of them (``threshold_bands``).  MLlib gathers the frequent
+    tagged single items on the driver: a block has at most
+    ``n_b * mean basket length / count`` of them, so about blocks * mean
+    basket length * band / min_support, whatever the rows.
+    ``blocks_per_run`` shortens that list by mining fewer blocks at once.
     """
     tx, owned = hold(tx.select(col, "items"))
     sizes = sizes if sizes is not None else block_sizes(tx, col)
-    n = sum(sizes.values())
-    if n == 0:
+    if sum(sizes.values()) == 0:
         release(tx, owned)
         return tx.sparkSession.createDataFrame([], f"{col} INT, items ARRAY<INT>, support BIGINT")
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
-    ids = sorted(sizes)
-    if not blocks_per_run and max_tagged_items and len(ids) > 1:
-        pairs = getattr(sizes, "item_pairs", None)
-        if pairs is None:
-            pairs = _item_pairs(tx, col)
-        blocks_per_run = _blocks_per_run(pairs, len(ids), max_tagged_items)
-    if blocks_per_run and len(ids) > blocks_per_run:
-        parts = []
-        for i in range(0, len(ids), blocks_per_run):
-            group = ids[i:i + blocks_per_run]
-            parts.append(_mine_tagged(tx.filter(F.col(col).isin(group)), {b: thr[b] for b in group},
-                                      sum(sizes[b] for b in group), num_partitions, col))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-    else:
-        out = _mine_tagged(tx, thr, n, num_partitions, col)
+    step = blocks_per_run or len(thr)
+    groups = [g[i:i + step] for g in threshold_bands(thr, band) for i in range(0, len(g), step)]
+    parts = [_mine_tagged(tx if len(groups) == 1 else tx.filter(F.col(col).isin(g)), {b: thr[b] for b in g},
+                          sum(sizes[b] for b in g), num_partitions, col) for g in groups]
     # keep the (small) itemsets, release the copy of the transactions
-    out = materialise(out)
+    out = materialise(reduce(DataFrame.unionByName, parts))
     out.count()
     release(tx, owned)           # only drops a cache entry this call created
     return out
 
 
-def _item_pairs(tx: DataFrame, col: str) -> int:
-    """HyperLogLog estimate of the distinct (block, item) pairs."""
-    return int(tx.select(col, F.explode("items").alias("_i"))
-               .agg(F.approx_count_distinct(F.struct(col, "_i")).alias("d")).first()["d"] or 0)
-
-
-def _blocks_per_run(pairs: int, n_blocks: int, max_tagged_items: int) -> int | None:
-    """Blocks per FP-growth run so that one run's distinct (block, item)
-    pairs stay under the cap."""
-    if pairs <= max_tagged_items:
-        return None
-    per_block = max(1, -(-pairs // n_blocks))
-    return max(1, max_tagged_items // per_block)
+def threshold_bands(thr: dict[int, int], band: float = BAND) -> list[list[int]]:
+    """Blocks in groups whose largest threshold is at most ``band`` times the least."""
+    groups: list[list[int]] = []
+    for b in sorted(thr, key=lambda b: (thr[b], b)):
+        if groups and thr[b] <= band * thr[groups[-1][0]]:
+            groups[-1].append(b)
+        else:
+            groups.append([b])
+    return groups
 
 
 def _mine_tagged(tx: DataFrame, thr: dict[int, int], n: int, num_partitions: int | None,
@@ -228,6 +202,19 @@ def exact_itemsets(tx: DataFrame, min_support: float, num_partitions: int | None
                                        F.col("freq").alias("support")), max(n, 1))
 
 
+def exact_by_blocks(tx: DataFrame, min_support: float, col: str = BLOCK,
+                    broadcast_limit: int = BROADCAST_CANDIDATES) -> DataFrame:
+    """F1 by blocks: an itemset that is frequent in the table is frequent, at
+    the same share, in at least one block.  So the local itemsets hold every
+    answer, and one exact recount drops the others.  The trees are (block,
+    item) wide, not just as wide as the table's frequent items."""
+    sizes = block_sizes(tx, col)
+    n = sum(sizes.values())
+    local = local_itemsets(tx, min_support, "own", col=col, sizes=sizes)
+    counted = recount(tx, candidates(local, 1), n, None, broadcast_limit, item_freq=local_item_freq(local))
+    return counted.filter(F.col("support") >= math.ceil(min_support * n))
+
+
 # ---------------------------------------------------------------------- F4
 def merge_vote(local: DataFrame, n_blocks: int, vote: float = 0.5,
                min_length: int = 2) -> DataFrame:
@@ -275,7 +262,7 @@ def recount(tx: DataFrame, cands: DataFrame, n_rows: int | None = None,
     frequent in ``tx``; one extra aggregate pass, smallest join) or
     ``first``.  A transaction meets only the candidates anchored on one of
     its own items and counts those it fully contains (``forall``).  The
-    candidate side is broadcast when its checked row count is at most
+    candidate side is broadcast when its estimated bytes are at most
     ``broadcast_limit``; otherwise both sides shuffle on the anchor (AQE
     splits a hot anchor).  Returns ``items, support, frequency`` for every
     candidate (support 0 included) unless ``min_support`` filters.
@@ -285,8 +272,9 @@ def recount(tx: DataFrame, cands: DataFrame, n_rows: int | None = None,
     replace the counting pass over ``tx``.
     """
     cands = materialise(cands.select("items").distinct())
-    n_cands = cands.count()
-    small = n_cands <= broadcast_limit
+    # an unsafe row with its hash entry, and 8 bytes an item
+    n_bytes = cands.agg(F.sum(F.lit(80) + 8 * F.size("items"))).first()[0] or 0
+    small = n_bytes <= broadcast_limit
     if anchor == "rarest":
         if item_freq is not None:
             freq = item_freq.select("item", F.col("f").alias("_f"))
@@ -309,7 +297,7 @@ def recount(tx: DataFrame, cands: DataFrame, n_rows: int | None = None,
             .filter(F.forall("items", lambda x: F.array_contains(F.col("basket"), x)))
             .groupBy("items").agg(F.count(F.lit(1)).alias("support")))
     n = n_rows if n_rows is not None else tx.count()
-    # hits has at most n_cands rows: the same size check decides the hint
+    # hits has at most a row a candidate: the same size check decides the hint
     hits = F.broadcast(hits) if small else hits
     out = with_frequency(
         cands.join(hits, "items", "left").select("items", F.coalesce("support", F.lit(0)).alias("support")),

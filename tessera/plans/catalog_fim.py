@@ -15,7 +15,8 @@ from tessera.operators import blocks as B
 from tessera.operators import fim
 from tessera.plans import fim_runs
 from tessera.session import apply_defaults, ensure_checkpoint_dir
-from tessera.sources import baskets, read_blocked_text, read_text_transactions, write_blocked_text
+from tessera.sources import (baskets, item_dictionary, read_blocked, read_blocked_text, read_text_transactions,
+                             write_blocked_text)
 
 # fixed parameters of the registered queries
 SEED = 42            # block assignment seed
@@ -42,6 +43,22 @@ def blocked_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.materialise(B.assign_blocks(baskets(spark, sf_dir), "tid", N_BLOCKS, SEED))
 
 
+def stored_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocked baskets as a table of one directory a block in the shared
+    folder, so that a block pick reads only its directories."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    apply_defaults(spark)
+    B.write_blocked(B.assign_blocks(baskets(spark, sf_dir), "tid", N_BLOCKS, SEED), path)
+    return read_blocked(spark, path)
+
+
+def skewed_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two blocks: about a hundredth of the baskets and the rest."""
+    tx = B.assign_blocks(baskets(spark, sf_dir), "tid", 101, SEED)
+    return B.materialise(tx.withColumn("block_id", (F.col("block_id") > 0).cast("int")))
+
+
 def _keyed(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(itemset_key("items").alias("itemset"), *cols)
 
@@ -62,29 +79,29 @@ def q_block_inventory(spark, sf):
 
 
 def q_blocks_first_n(spark, sf):
-    return B.first_blocks(blocked_baskets(spark, sf), FIRST_N).select("tid", "block_id")
+    return B.first_blocks(stored_baskets(spark, sf), FIRST_N).select("tid", "block_id")
 
 
 def q_blocks_by_ids(spark, sf):
-    return B.blocks_by_ids(blocked_baskets(spark, sf), IDS).select("tid", "block_id")
+    return B.blocks_by_ids(stored_baskets(spark, sf), IDS).select("tid", "block_id")
 
 
 def q_blocks_random_n(spark, sf):
-    return B.random_blocks(blocked_baskets(spark, sf), N_BLOCKS, RANDOM_K, PICK_SEED).select("tid", "block_id")
+    return B.random_blocks(stored_baskets(spark, sf), N_BLOCKS, RANDOM_K, PICK_SEED).select("tid", "block_id")
 
 
 def q_block_train_test(spark, sf):
-    return B.tag_train_test(blocked_baskets(spark, sf), N_BLOCKS, N_TRAIN, N_TEST,
+    return B.tag_train_test(stored_baskets(spark, sf), N_BLOCKS, N_TRAIN, N_TEST,
                             PICK_SEED).select("tid", "block_id", "role")
 
 
 def q_blocks_by_plan(spark, sf):
     plan = spark.createDataFrame(PLAN, "size INT, block_ids ARRAY<INT>")
-    return B.blocks_by_plan(blocked_baskets(spark, sf), plan, PLAN_SIZES).select("size", "tid", "block_id")
+    return B.blocks_by_plan(stored_baskets(spark, sf), plan, PLAN_SIZES).select("size", "tid", "block_id")
 
 
 def q_blocks_fraction(spark, sf):
-    return B.fraction_of_blocks(blocked_baskets(spark, sf), N_BLOCKS, FRACTION,
+    return B.fraction_of_blocks(stored_baskets(spark, sf), N_BLOCKS, FRACTION,
                                 PICK_SEED).select("tid", "block_id")
 
 
@@ -194,24 +211,56 @@ def shaped_baskets(spark: SparkSession, sf_dir: str, attribute: str) -> DataFram
     return B.materialise(B.assign_blocks(baskets(spark, sf_dir, attribute), "tid", N_BLOCKS, SEED))
 
 
+def _named(df: DataFrame, spark: SparkSession, sf_dir: str, attribute: str, *cols: str) -> DataFrame:
+    """Itemsets as texts, so that merged items cannot hide."""
+    named = fim.with_names(df, item_dictionary(spark, sf_dir, attribute))
+    return named.select(F.array_join("names", "|").alias("itemset"), *cols)
+
+
 def q_fim_vote_dense(spark, sf):
     out = fim_runs.vote_arm(baskets(spark, sf, "p_type"), N_BLOCKS, DENSE_SUPPORT, VOTE, SEED)
-    return _keyed(out, "support", "votes")
+    return _named(out, spark, sf, "p_type", "support", "votes")
 
 
 def q_fim_exact_dense(spark, sf):
-    return _keyed(fim_runs.exact_arm(shaped_baskets(spark, sf, "p_type"), DENSE_SUPPORT),
-                  "support", "frequency")
+    out = fim_runs.exact_arm(shaped_baskets(spark, sf, "p_type"), DENSE_SUPPORT)
+    return _named(out, spark, sf, "p_type", "support", "frequency")
 
 
 def q_fim_exact_sparse(spark, sf):
-    return _keyed(fim_runs.exact_arm(shaped_baskets(spark, sf, "p_name"), SPARSE_SUPPORT),
-                  "support", "frequency")
+    out = fim_runs.exact_arm(shaped_baskets(spark, sf, "p_name"), SPARSE_SUPPORT)
+    return _named(out, spark, sf, "p_name", "support", "frequency")
 
 
 def q_fim_sum_sparse(spark, sf):
     out = fim_runs.sum_arm(shaped_baskets(spark, sf, "p_name"), N_BLOCKS, SPARSE_SUPPORT, SPARSE_FLOOR)
-    return _keyed(out, "support", "frequency")
+    return _named(out, spark, sf, "p_name", "support", "frequency")
+
+
+SKEWED_SUPPORT = 0.05
+SUPPORTS = [0.02, 0.03, 0.05]
+
+
+def q_fim_sum_skewed(spark, sf):
+    """One tiny and one large block, each mined at its own count."""
+    return _keyed(fim_runs.sum_arm(skewed_baskets(spark, sf), 2, SKEWED_SUPPORT, None), "support", "frequency")
+
+
+def q_fim_exact_blocks(spark, sf):
+    return _keyed(fim.exact_by_blocks(blocked_baskets(spark, sf), MIN_SUPPORT), "support", "frequency")
+
+
+def q_fim_sweep_exact(spark, sf):
+    return _keyed(fim_runs.sweep_exact(blocked_baskets(spark, sf), SWEEP, MIN_SUPPORT), "size", "support", "frequency")
+
+
+def q_fim_sweep_vote(spark, sf):
+    tx = B.materialise(baskets(spark, sf))
+    return _keyed(fim_runs.sweep_vote(tx, SWEEP, MIN_SUPPORT, VOTE, SEED), "size", "support", "votes")
+
+
+def q_fim_sweep_support(spark, sf):
+    return _keyed(fim_runs.sweep_support(blocked_baskets(spark, sf), SUPPORTS), "min_support", "support", "frequency")
 
 
 def q_row_sample(spark, sf):
@@ -269,6 +318,11 @@ QUERIES = {
     "row_sample": q_row_sample,
     "row_random_split": q_row_random_split,
     "fim_written": q_fim_written,
+    "fim_sum_skewed": q_fim_sum_skewed,
+    "fim_exact_blocks": q_fim_exact_blocks,
+    "fim_sweep_exact": q_fim_sweep_exact,
+    "fim_sweep_vote": q_fim_sweep_vote,
+    "fim_sweep_support": q_fim_sweep_support,
 }
 
 
@@ -280,11 +334,17 @@ def _hash(seed, expr: str) -> str:
 def _baskets_sql(attribute: str = "p_brand") -> str:
     """CTEs bi, b0, tx: baskets of one part attribute, md5 blocks."""
     if attribute == "p_brand":
-        item = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER)"
+        head = ""
+        pairs = """SELECT l_orderkey AS tid, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS item
+       FROM lineitem JOIN part ON l_partkey = p_partkey"""
     else:
-        item = f"CAST(('0x' || substr(md5(CAST({attribute} AS VARCHAR)), 1, 7))::BIGINT AS INTEGER)"
-    return f"""
-bi AS (SELECT l_orderkey AS tid, {item} AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
+        head = f"""
+names AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS item, name
+          FROM (SELECT DISTINCT CAST({attribute} AS VARCHAR) AS name FROM part) WHERE name IS NOT NULL),"""
+        pairs = f"""SELECT l_orderkey AS tid, n.item FROM lineitem JOIN part ON l_partkey = p_partkey
+       LEFT JOIN names n ON n.name = CAST({attribute} AS VARCHAR)"""
+    return head + f"""
+bi AS ({pairs}),
 b0 AS (SELECT tid, list_sort(list_distinct(list(item))) AS items FROM bi GROUP BY tid),
 tx AS (SELECT tid, items, CAST({_hash(SEED, 'tid')} % {N_BLOCKS} AS INTEGER) AS block_id FROM b0)"""
 
@@ -341,20 +401,22 @@ def _sum_sql(src: str, floor: float, p: str = "s", min_support: float = MIN_SUPP
        FROM {p}loc GROUP BY items)"""
 
 
-def _exact_sql(src: str, min_support: float = MIN_SUPPORT) -> str:
-    """CTEs xe, xc, xn, exact: every itemset with support >= ceil(s * N)
-    (brute force over basket subsets of frequent items; oracle only)."""
+def _exact_sql(src: str, min_support: float = MIN_SUPPORT, p: str = "") -> str:
+    """CTEs {p}xe, {p}xc, {p}xn, {p}exact: every itemset with support >=
+    ceil(s * N) (brute force over basket subsets of frequent items; oracle only)."""
     return f"""
-xn AS (SELECT count(*) AS n FROM {src}),
-xe AS (SELECT tid, unnest(items) AS item FROM {src}),
-xf1 AS (SELECT item FROM xe, xn GROUP BY item, n HAVING count(*) >= CAST(ceil({min_support}::DOUBLE * n) AS BIGINT)),
-xfe AS (SELECT e.tid, e.item FROM xe e JOIN xf1 f USING (item)),
-xsub(tid, items, last) AS (
-  SELECT tid, [item], item FROM xfe
+{p}xn AS (SELECT count(*) AS n FROM {src}),
+{p}xe AS (SELECT tid, unnest(items) AS item FROM {src}),
+{p}xf1 AS (SELECT item FROM {p}xe, {p}xn GROUP BY item, n
+           HAVING count(*) >= CAST(ceil({min_support}::DOUBLE * n) AS BIGINT)),
+{p}xfe AS (SELECT e.tid, e.item FROM {p}xe e JOIN {p}xf1 f USING (item)),
+{p}xsub(tid, items, last) AS (
+  SELECT tid, [item], item FROM {p}xfe
   UNION ALL
-  SELECT s.tid, list_append(s.items, e.item), e.item FROM xsub s JOIN xfe e ON e.tid = s.tid AND e.item > s.last),
-xc AS (SELECT items, count(*) AS support FROM xsub GROUP BY items),
-exact AS (SELECT items, support, CAST(support AS DOUBLE) / n AS frequency FROM xc, xn
+  SELECT s.tid, list_append(s.items, e.item), e.item
+  FROM {p}xsub s JOIN {p}xfe e ON e.tid = s.tid AND e.item > s.last),
+{p}xc AS (SELECT items, count(*) AS support FROM {p}xsub GROUP BY items),
+{p}exact AS (SELECT items, support, CAST(support AS DOUBLE) / n AS frequency FROM {p}xc, {p}xn
           WHERE support >= CAST(ceil({min_support}::DOUBLE * n) AS BIGINT))"""
 
 
@@ -451,16 +513,39 @@ def _shape_sql(attribute: str, body: str) -> str:
     return "WITH RECURSIVE " + _baskets_sql(attribute).strip() + "," + body
 
 
+NAMED = "array_to_string(list_select((SELECT list(name ORDER BY name) FROM names), items), '|')"
+
+
+def _union(parts: list[tuple[str, str]]) -> str:
+    """(CTEs, select) per value, unioned."""
+    return _w(",\n".join(c for c, _ in parts) + "\n" + "\nUNION ALL\n".join(q for _, q in parts))
+
+
 SQL.update({
     "fim_vote_dense": _shape_sql("p_type", _vote_sql("tx", N_BLOCKS, DENSE_SUPPORT)
-                                 + f"\nSELECT {KEY} AS itemset, support, votes FROM vote"),
+                                 + f"\nSELECT {NAMED} AS itemset, support, votes FROM vote"),
     "fim_exact_dense": _shape_sql("p_type", _exact_sql("tx", DENSE_SUPPORT)
-                                  + f"\nSELECT {KEY} AS itemset, support, frequency FROM exact"),
+                                  + f"\nSELECT {NAMED} AS itemset, support, frequency FROM exact"),
     "fim_exact_sparse": _shape_sql("p_name", _exact_sql("tx", SPARSE_SUPPORT)
-                                   + f"\nSELECT {KEY} AS itemset, support, frequency FROM exact"),
+                                   + f"\nSELECT {NAMED} AS itemset, support, frequency FROM exact"),
     "fim_sum_sparse": _shape_sql("p_name", _sum_sql("tx", SPARSE_FLOOR, min_support=SPARSE_SUPPORT)
-                                 + f"\nSELECT {KEY} AS itemset, support, frequency FROM ssum "
+                                 + f"\nSELECT {NAMED} AS itemset, support, frequency FROM ssum "
                                    f"WHERE frequency >= {SPARSE_FLOOR}::DOUBLE"),
+    "fim_sum_skewed": _w(f"\nkx AS (SELECT tid, items, CAST({_hash(SEED, 'tid')} % 101 > 0 AS INTEGER) AS block_id FROM b0),"
+                         + _sum_sql("kx", 0, min_support=SKEWED_SUPPORT)
+                         + f"\nSELECT {KEY} AS itemset, support, frequency FROM ssum"),
+    "fim_sweep_exact": _union([
+        (f"\ntx{n} AS (SELECT * FROM tx WHERE block_id < {n})," + _exact_sql(f"tx{n}", p=f"e{n}"),
+         f"SELECT {KEY} AS itemset, {n} AS size, support, frequency FROM e{n}exact") for n in SWEEP]),
+    "fim_sweep_vote": _union([
+        (f"\ntv{n} AS (SELECT tid, items, CAST({_hash(SEED, 'tid')} % {n} AS INTEGER) AS block_id FROM b0),"
+         + _local(f"tv{n}", f"v{n}", "average", n),
+         f"SELECT {KEY} AS itemset, {n} AS size, CAST(sum(support) // count(*) AS BIGINT) AS support, count(*) AS votes "
+         f"FROM v{n}loc WHERE len(items) >= 2 GROUP BY items HAVING count(*) >= {n * VOTE}") for n in SWEEP]),
+    "fim_sweep_support": _w(_exact_sql("tx", min(SUPPORTS))
+                            + f"\nSELECT {KEY} AS itemset, s AS min_support, support, frequency FROM exact, xn, "
+                              f"(SELECT unnest({SUPPORTS}::DOUBLE[]) AS s) WHERE support >= ceil(s * n)"),
 })
 
+SQL["fim_exact_blocks"] = SQL["fim_exact"]
 SQL["fim_written"] = SQL["fim_drop_singletons"]

@@ -5,12 +5,15 @@
 * ``sampled_vote_arm`` - text source, fraction of blocks, vote, lines  (F5)
 * ``recount_arm`` - sampled blocks, candidates, exact recount, floor   (F6+F7)
 * ``exact_arm``   - MLlib FP-growth on the same rows                   (F1/F2)
-* ``sweep``       - one result per block count, unioned                (F9)
+* ``sweep``, ``sweep_exact``, ``sweep_vote`` - one result per block count, unioned (F9)
+* ``sweep_support`` - one exact result per min-support, mined once      (F9)
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,10 +89,33 @@ def sweep(tx: DataFrame, sizes: Sequence[int], min_support: float,
     for s in sizes:
         n = sum(v for b, v in bsz.items() if b < s)
         parts.append(fim.merge_sum(B.first_blocks(local, s), n, floor).withColumn("size", F.lit(int(s))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sweep_exact(tx: DataFrame, sizes: Sequence[int], min_support: float) -> DataFrame:
+    """exact FP-growth on the first n blocks for every n in ``sizes``."""
+    if not sizes:
+        raise ValueError("sizes must not be empty")
+    return reduce(DataFrame.unionByName, [exact_arm(tx, min_support, n_first=s).withColumn("size", F.lit(int(s)))
+                                          for s in sizes])
+
+
+def sweep_vote(tx: DataFrame, sizes: Sequence[int], min_support: float, vote: float, seed) -> DataFrame:
+    """the vote arm for every block count in ``sizes`` (each re-blocks all rows)."""
+    if not sizes:
+        raise ValueError("sizes must not be empty")
+    return reduce(DataFrame.unionByName, [vote_arm(tx, s, min_support, vote, seed).withColumn("size", F.lit(int(s)))
+                                          for s in sizes])
+
+
+def sweep_support(tx: DataFrame, supports: Sequence[float]) -> DataFrame:
+    """the exact arm for every min-support; mined once, at the least one."""
+    if not supports:
+        raise ValueError("supports must not be empty")
+    n = tx.count()
+    found = B.materialise(fim.exact_itemsets(tx, min(supports), n_rows=n))
+    return reduce(DataFrame.unionByName, [found.filter(F.col("support") >= math.ceil(s * n))
+                                          .withColumn("min_support", F.lit(float(s))) for s in supports])
 
 
 def write_result(itemsets: DataFrame, head: str, n_blocks: int, arm: str,

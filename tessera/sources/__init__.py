@@ -3,6 +3,7 @@
 from tessera.sources.tables import (  # noqa: F401
     basket_items,
     baskets,
+    item_dictionary,
     labelled_vectors,
     read_blocked,
     read_blocked_text,

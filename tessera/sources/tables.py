@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import item_id, parse_int_line
+from tessera.functions.exprs import parse_int_line
+from tessera.operators.blocks import rank_within
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +29,28 @@ def read_blocked(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def item_dictionary(spark: SparkSession, sf_dir: str, attribute: str) -> DataFrame:
+    """``item INT, name``: the distinct values of a part attribute, numbered
+    from 1 in their order.  Exact (no hash can merge two values) and ranked
+    without a one-task sort."""
+    names = (read_table(spark, sf_dir, "part").select(F.col(attribute).cast("string").alias("name"))
+             .filter("name is not null").distinct().withColumn("_all", F.lit(0)))
+    return rank_within(names, "_all", "name", "item").select(F.col("item").cast("int").alias("item"), "name")
+
+
 def basket_items(spark: SparkSession, sf_dir: str, attribute: str = "p_brand") -> DataFrame:
     """(l_orderkey, item) pairs: one order line mapped to its part's attribute.
 
     ``p_brand`` -> the brand number ('Brand#7' -> 7); any other attribute
-    (``p_type``, ``p_name``) -> a stable md5-based id.
+    (``p_type``, ``p_name``) -> its number in ``item_dictionary``.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = read_table(spark, sf_dir, "part")
     if attribute == "p_brand":
-        item = F.regexp_extract(F.col("p_brand"), r"([0-9]+)", 1).cast("int")
+        pt = part.select("p_partkey", F.regexp_extract("p_brand", r"([0-9]+)", 1).cast("int").alias("item"))
     else:
-        item = item_id(F.col(attribute))
-    pt = part.select(F.col("p_partkey"), item.alias("item"))
+        pt = (part.select("p_partkey", F.col(attribute).cast("string").alias("name"))
+              .join(item_dictionary(spark, sf_dir, attribute), "name", "left").select("p_partkey", "item"))
     # part is a dimension table; AQE turns this into a broadcast join only
     # when the runtime size of the part side is below the broadcast limit.
     return li.join(pt, li.l_partkey == pt.p_partkey).select("l_orderkey", "item")

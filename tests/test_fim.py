@@ -152,19 +152,52 @@ def test_local_mining_keeps_callers_cache(spark, brand):
     assert mine.storageLevel.useMemory or mine.storageLevel.useDisk
 
 
-def test_auto_batching_under_item_cap(brand):
-    one = {(r.block_id, tuple(r["items"])): r.support for r in fim.local_itemsets(brand, 0.02, "own").collect()}
-    capped = {(r.block_id, tuple(r["items"])): r.support
-              for r in fim.local_itemsets(brand, 0.02, "own", max_tagged_items=30).collect()}
-    assert one == capped
+def test_bands_split_unlike_thresholds():
+    thr = {0: 1, 1: 100, 2: 140, 3: 151, 4: 1}
+    assert fim.threshold_bands(thr) == [[0, 4], [1, 2], [3]]
+
+
+def test_tiny_block_does_not_lower_the_others(spark, monkeypatch):
+    rows = [(i, 0 if i < 40 else 1, sorted({1, 2 + i % 3, 5 + i % 7, 12 + i % 11})) for i in range(4040)]
+    tx = spark.createDataFrame(rows, "tid LONG, block_id INT, items ARRAY<INT>")
+    mined = []
+    real = fim.FPGrowth.fit
+
+    def fit(self, df):
+        model = real(self, df)
+        mined.append(model.freqItemsets.count())
+        return model
+    monkeypatch.setattr(fim.FPGrowth, "fit", fit)
+    kept = fim.local_itemsets(tx, 0.05, "own").count()
+    assert len(mined) == 2 and kept <= sum(mined) <= 2 * kept
+
+
+def test_exact_by_blocks_equals_fp_growth(brand):
+    one = {(tuple(r["items"]), r.support) for r in fim.exact_itemsets(brand, 0.02).collect()}
+    assert {(tuple(r["items"]), r.support) for r in fim.exact_by_blocks(brand, 0.02).collect()} == one
+    assert {(tuple(r["items"]), r.support) for r in fim.exact_by_blocks(brand, 0.02, broadcast_limit=0).collect()} == one
+
+
+def test_dictionary_is_exact(spark):
+    from tessera.sources import item_dictionary, read_table
+    d = item_dictionary(spark, "/root/testdata/sf0.001", "p_name").collect()
+    want = sorted(r[0] for r in read_table(spark, "/root/testdata/sf0.001", "part").select("p_name").distinct().collect())
+    assert [r.name for r in sorted(d, key=lambda r: r["item"])] == want
+    assert sorted(r["item"] for r in d) == list(range(1, len(want) + 1))
+
+
+def test_picks_prune_directories(spark):
+    from tessera.plans import catalog_fim as C
+    for name in ("blocks_first_n", "blocks_by_ids", "blocks_random_n", "block_train_test", "blocks_fraction"):
+        plan = C.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(block_id" in plan or "PartitionFilters: [block_id" in plan, (name, plan)
+        assert "InMemoryTableScan" not in plan
 
 
 def test_block_sizes_count_empty_baskets(spark):
     df = spark.createDataFrame([(0, 0, []), (1, 0, [1, 2]), (2, 1, [3]), (3, 1, [])],
                                "tid LONG, block_id INT, items ARRAY<INT>")
-    s = fim.block_sizes(df)
-    assert dict(s) == {0: 2, 1: 2} and s.item_pairs == 3
-    assert dict(fim.block_sizes(df, with_items=False)) == {0: 2, 1: 2}
+    assert fim.block_sizes(df) == {0: 2, 1: 2}
 
 
 def test_empty_inputs(spark):
