@@ -28,12 +28,18 @@ from tessera.functions.exprs import sq_distance
 from tessera.operators.blocks import BLOCK, hold, release
 from tessera.session import ensure_checkpoint_dir
 
-# Largest center table (rows) shipped by broadcast; centers are blocks x k.
-BROADCAST_CENTERS = 1_000_000
+# Largest center table (bytes) shipped by broadcast at once.
+BROADCAST_CENTERS = 256 << 20
 
 
-def _bcast(df: DataFrame, n_rows: int, limit: int = BROADCAST_CENTERS) -> DataFrame:
-    return F.broadcast(df) if n_rows <= limit else df
+def center_bytes(centers: DataFrame) -> int:
+    """Bytes of a center table: 8 a coordinate and a few words a row."""
+    return centers.agg(F.sum(F.lit(64) + 8 * F.size("center"))).first()[0] or 0
+
+
+def _bcast(df: DataFrame, n_bytes: int, limit: int = BROADCAST_CENTERS) -> DataFrame:
+    """Broadcast up to ``limit`` bytes; above it a shuffle join, whose hot blocks AQE splits."""
+    return F.broadcast(df) if n_bytes <= limit else df
 
 
 # ---------------------------------------------------------------------- K5
@@ -53,7 +59,7 @@ def init_farthest(points: DataFrame, k: int, order: str = "row_id", col: str = B
     blocks at once; deterministic."""
     centers = _checkpointed(init_lowest(points, 1, order, col))
     for c in range(1, k):
-        n = centers.count()
+        n = center_bytes(centers)
         cs = _centers_by_block(centers, col)
         dmin = F.array_min(F.transform("_cs", lambda s: sq_distance(F.col("features"), s["center"])))
         far = (points.join(_bcast(cs, n), col)
@@ -69,11 +75,11 @@ def _centers_by_block(centers: DataFrame, col: str) -> DataFrame:
         F.collect_list(F.struct(F.col("cluster"), F.col("center"))).alias("_cs"))
 
 
-def assign_local(points: DataFrame, centers: DataFrame, n_centers: int | None = None,
+def assign_local(points: DataFrame, centers: DataFrame, n_bytes: int | None = None,
                  col: str = BLOCK, out: str = "cluster") -> DataFrame:
     """Nearest center of the point's own block (ties -> lowest cluster)."""
     cs = _centers_by_block(centers, col)
-    n = n_centers if n_centers is not None else centers.count()
+    n = n_bytes if n_bytes is not None else center_bytes(centers)
     nearest = F.array_min(F.transform(
         "_cs", lambda s: F.struct(sq_distance(F.col("features"), s["center"]).alias("d"),
                                   s["cluster"].alias("c"))))
@@ -86,13 +92,13 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lloyd_step(points: DataFrame, centers: DataFrame, n_centers: int, col: str = BLOCK) -> DataFrame:
+def lloyd_step(points: DataFrame, centers: DataFrame, n_bytes: int, col: str = BLOCK) -> DataFrame:
     """One Lloyd step for all blocks; empty clusters keep their center."""
-    assigned = assign_local(points, centers, n_centers, col)
+    assigned = assign_local(points, centers, n_bytes, col)
     means = (assigned.groupBy(col, "cluster")
              .agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
              .select(col, "cluster", vector_to_array("_m").alias("_new")))
-    return (centers.join(_bcast(means, n_centers), [col, "cluster"], "left")
+    return (centers.join(_bcast(means, n_bytes), [col, "cluster"], "left")
             .select(col, "cluster", F.coalesce("_new", "center").alias("center")))
 
 
@@ -114,7 +120,7 @@ def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_i
     else:
         raise ValueError("init must be 'farthest', 'lowest' or a DataFrame")
     centers = _checkpointed(start)
-    n = centers.count()
+    n = center_bytes(centers)
     for _ in range(steps):
         old = centers.withColumnRenamed("center", "_old")
         centers = _checkpointed(lloyd_step(pts, centers, n, col))
@@ -183,34 +189,38 @@ def two_level(points: DataFrame, k: int, algo: str, block_ids: Sequence[int], st
 
 
 # ---------------------------------------------------------------------- K8-K10
-def _check_centers(centers: DataFrame, limit: int = BROADCAST_CENTERS) -> None:
-    n = centers.count()
-    if n > limit:
-        raise ValueError(f"{n} centers exceed the broadcast limit {limit}")
+def _with_nearest(points: DataFrame, vec: str, centers: DataFrame, center_id: str, limit: int) -> DataFrame:
+    """points with ``_best`` = (distance, center) of the nearest center (ties ->
+    lowest id).  The centers come as one broadcast array row; above ``limit``
+    bytes they come in groups, a pass over the points each, and a checkpoint
+    between the passes lets a group go before the next comes."""
+    groups = max(1, -(-center_bytes(centers) // limit))
+    out = points
+    for g in range(groups):
+        part = centers if groups == 1 else centers.filter(F.pmod(F.xxhash64(center_id), F.lit(groups)) == g)
+        row = part.agg(F.collect_list(F.struct(F.col(center_id).alias("c"), F.col("center"))).alias("_cs"))
+        near = F.array_min(F.transform("_cs", lambda s: F.struct(sq_distance(F.col(vec), s["center"]).alias("d"),
+                                                                 s["c"].alias("c"))))
+        best = F.least("_best", near) if g else near
+        out = out.crossJoin(F.broadcast(row)).withColumn("_best", best).drop("_cs")   # one row
+        if g < groups - 1:
+            out = _checkpointed(out)
+    return out
 
 
 def assign_nearest(points: DataFrame, centers: DataFrame, out: str = "cluster",
-                   center_id: str = "center_id") -> DataFrame:
-    """Nearest of a global center table (``center_id, center``); the table
-    is collected into one array row and broadcast (size checked: k centers)."""
-    _check_centers(centers)
-    arr = centers.agg(F.collect_list(F.struct(F.col(center_id).alias("c"), F.col("center"))).alias("_cs"))
-    nearest = F.array_min(F.transform(
-        "_cs", lambda s: F.struct(sq_distance(F.col("features"), s["center"]).alias("d"), s["c"].alias("c"))))
-    return (points.withColumn("_one", F.lit(1))
-            .join(F.broadcast(arr.withColumn("_one", F.lit(1))), "_one")
-            .withColumn(out, nearest["c"]).drop("_cs", "_one"))
+                   center_id: str = "center_id", limit: int = BROADCAST_CENTERS) -> DataFrame:
+    """Nearest of a global center table (``center_id, center``)."""
+    return (_with_nearest(points, "features", centers, center_id, limit)
+            .withColumn(out, F.col("_best.c")).drop("_best"))
 
 
-def center_error(true_centers: DataFrame, predicted: DataFrame) -> DataFrame:
+def center_error(true_centers: DataFrame, predicted: DataFrame, limit: int = BROADCAST_CENTERS) -> DataFrame:
     """K8: for each true center the least squared distance to any predicted
     center, summed (extra predicted centers cost nothing).  One row."""
-    _check_centers(predicted)
-    arr = predicted.agg(F.collect_list("center").alias("_ps"))
-    per = (true_centers.withColumn("_one", F.lit(1))
-           .join(F.broadcast(arr.withColumn("_one", F.lit(1))), "_one")
-           .select(F.array_min(F.transform("_ps", lambda p: sq_distance(F.col("center"), p))).alias("d")))
-    return per.agg(F.sum("d").alias("distance"))
+    near = _with_nearest(true_centers.select(F.col("center").alias("_v")), "_v",
+                         predicted.select("center", F.hash("center").alias("_id")), "_id", limit)
+    return near.agg(F.sum("_best.d").alias("distance"))
 
 
 def purity(assigned: DataFrame, cluster: str = "cluster", label: str = "label",

@@ -195,13 +195,11 @@ def q_clt_local_bisecting(spark, sf):
 
 
 def q_clt_kmeans_exact(spark, sf):
-    train, _ = B.random_split(vectors(spark, sf), HOLDOUT, SEED)
-    return K.fit_centers(train, 10, "kmeans", SEED)[1]
+    return K.fit_centers(vectors(spark, sf), 10, "kmeans", SEED)[1]
 
 
 def q_clt_bisecting_exact(spark, sf):
-    train, _ = B.random_split(vectors(spark, sf), HOLDOUT, SEED)
-    return K.fit_centers(train, 10, "bisectingkmeans", SEED)[1]
+    return K.fit_centers(vectors(spark, sf), 10, "bisectingkmeans", SEED)[1]
 
 
 def q_clt_plan_runs(spark, sf):

@@ -123,3 +123,14 @@ def test_lloyd_stops_when_nothing_moves(spark, monkeypatch):
     monkeypatch.setattr(K, "lloyd_step", lambda *a: calls.append(1) or step(*a))
     a = sorted(map(tuple, K.local_kmeans(v, 3, steps=40).select("block_id", "cluster").collect()))
     assert len(calls) < 20 and len(a) == 9
+
+
+def test_centers_in_groups_equal_one_broadcast(spark):
+    pts = spark.range(300).select(F.col("id").alias("row_id"),
+                                  F.array((F.col("id") % 17).cast("double"), (F.col("id") % 5).cast("double")).alias("features"))
+    centers = spark.range(20).select(F.col("id").cast("int").alias("center_id"),
+                                     F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("center"))
+    one = {tuple(r) for r in K.assign_nearest(pts, centers).select("row_id", "cluster").collect()}
+    assert {tuple(r) for r in K.assign_nearest(pts, centers, limit=400).select("row_id", "cluster").collect()} == one
+    truth = pts.select(F.col("features").alias("center")).distinct()
+    assert K.center_error(truth, centers).first() == K.center_error(truth, centers, limit=400).first()
