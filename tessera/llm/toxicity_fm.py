@@ -9,7 +9,8 @@ mention) can weigh more, or less, than its terms do alone:
 
 It is fitted on a bounded sample of labelled rows (``sample_rows``) by
 AdaGrad with soft-thresholded weights; terms in fewer than ``min_df`` sample
-rows are left out.  The model is at most sample rows x terms large and is
+rows are left out, and only terms in ``pair_share`` of them have factors, as the
+pairs of rarer ones are mostly chance.  The model is at most sample rows x terms large and is
 shipped to the tasks; every whole text is scored in Arrow batches.
 
 Null and empty texts have no terms and score sigmoid(b).  Null ids, repeated
@@ -44,10 +45,11 @@ class Params:
     epochs: int = 12
     batch: int = 128
     rate: float = 0.2
-    rate_v: float = 0.04
+    rate_v: float = 0.02
+    pair_share: float = 0.02
     spread: float = 0.01
-    l1: float = 5e-4
-    l2: float = 1e-3
+    l1: float = 1e-3
+    l2: float = 2e-2
     min_df: int = 4
     seed: int = 7
 
@@ -106,6 +108,8 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
             df = np.bincount(inv, weights=np.concatenate([df, np.ones(held)]), minlength=len(vocab)).astype(np.int64)
             pending, held = [], 0
     del inv
+    # weights for all terms of the vocabulary, factors for the frequent ones only
+    deep = (df >= p.pair_share * len(y))[df >= p.min_df, None]
     vocab = vocab[df >= p.min_df]
     if len(vocab) == 0:
         return none
@@ -120,7 +124,7 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
     del ds, ats
     bounds = np.searchsorted(d, np.arange(len(y) + 1))
     rng = np.random.default_rng(p.seed)
-    w, v = np.zeros(len(vocab)), rng.normal(0, p.spread, (len(vocab), p.rank))
+    w, v = np.zeros(len(vocab)), rng.normal(0, p.spread, (len(vocab), p.rank)) * deep
     gw, gv = np.full(len(vocab), 1e-2), np.full(v.shape, 1e-2)
     b, gb = none.bias, 1.0
     for _ in range(p.epochs):
@@ -145,7 +149,7 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
             dv = np.stack([np.bincount(k, weights=near[:, f], minlength=len(u)) for f in range(p.rank)], axis=1)
             dv += p.l2 * v[u]
             gv[u] += dv ** 2
-            v[u] -= p.rate_v * dv / np.sqrt(gv[u])
+            v[u] -= p.rate_v * dv / np.sqrt(gv[u]) * deep[u]
     return Machine(vocab, float(b), w, v)
 
 
