@@ -21,10 +21,11 @@ from tessera.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents scored at or above its threshold go."""
+    """Operator 3: documents scored at or above its threshold go; all stay where
+    the labels are not of both classes."""
     machine = toxicity_fm.train(docs, read(spark, sf_dir, "labels"))
     scored = toxicity_fm.score(docs, machine, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity_fm.THRESHOLD).drop("_toxicity")
+    return scored.filter(~toxicity_fm.toxic(machine, "_toxicity")).drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

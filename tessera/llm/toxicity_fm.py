@@ -15,8 +15,9 @@ shipped to the tasks; every whole text is scored in Arrow batches.
 
 Null and empty texts have no terms and score sigmoid(b).  Null ids, repeated
 rows and extra columns pass through: one result row for each input row.  An
-empty table gives an empty result; without a label of both classes the score
-is the label rate.
+empty table gives an empty result.  Without labels of both classes, or without
+a term in ``min_df`` sample rows, nothing can be learnt: the score is the label
+rate, the machine is not ``usable``, and no document is predicted toxic.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -60,6 +61,7 @@ class Machine:
     bias: float
     w: np.ndarray
     v: np.ndarray
+    usable: bool = True
 
     def score(self, d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
         """Probabilities of n texts from their distinct (text, term) pairs."""
@@ -94,7 +96,8 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
     """Fit on a bounded sample (driver side, numpy)."""
     rate = (y.sum() + 1) / (len(y) + 2)
-    none = Machine(np.zeros(0, K.U64), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, p.rank)))
+    none = Machine(np.zeros(0, K.U64), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, p.rank)),
+                   usable=False)
     if len(y) == 0 or y.min() == y.max():
         return none
     # two passes over the texts, so that only the terms of the vocabulary are held
@@ -179,9 +182,14 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
     return docs.mapInArrow(run, docs.limit(0).withColumn(out, F.lit(0.0)).schema)
 
 
+def toxic(machine: Machine, score: str = "score") -> Column:
+    """Is the score at or above the threshold?  Never by a machine that is not usable."""
+    return F.lit(machine.usable) & (F.col(score) >= THRESHOLD)
+
+
 def op3(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels of fold 2 unseen."""
     machine = train(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2, p)
     s = score(docs.select("doc_id", "text"), machine)
     return s.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
-                    (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+                    toxic(machine).cast("int").alias("predicted"))

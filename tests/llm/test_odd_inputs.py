@@ -93,3 +93,15 @@ def test_stages_on_empty(spark, docs_of, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 0)], [(1, 1), (2, 1)], [(1, 0), (2, 1)]])
+def test_toxicity_needs_both_classes(spark, docs_of, tmp_path, rows):
+    """Labels that teach nothing, on non-empty documents: none goes."""
+    import corpus_pipeline
+    docs = docs_of([(i, f"clean text number {i}") for i in range(1, 6)])
+    few = spark.createDataFrame(rows, "doc_id long, toxic int")
+    few.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4, 5]
+    assert {r.predicted for r in toxicity_fm.op3(docs, few).collect()} == {0}
