@@ -1,17 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts are lower-cased runs of letters and digits.  Each fixed mask (a span of
-twelve words of which some are ignored) hashes every position of the
+five words of which one is ignored) hashes every position of the
 documents and of the benchmark, so a substituted word hides only the masks
-that look at it.  Document hashes are first looked up in a fixed-size bitmap
+that look at it.  No overlap that the rule below accepts is hidden from all
+masks: 80 per cent equal words of 5 to 15 leave a block of five words with at
+most one changed, and there is a mask for each place of it.  Document hashes are first looked up in a fixed-size bitmap
 of the benchmark's hashes inside the scan; the few that remain are joined to
 the benchmark's hash table.  A hit names a diagonal (document position minus
-item position).  Around it the aligned words are compared: the pair is
+item position).  An accepted stretch has a least number of hit positions, found by
+enumeration (``least_hits``); diagonals with fewer are dropped before texts are
+fetched.  On the others the aligned words are compared: the pair is
 verified when some stretch of ``window`` aligned words (the whole item if it
 is shorter) has at least ``percent`` per cent equal words.
 
-Items of fewer words than a mask are hashed whole; items of fewer than
-``min_words`` words are no evidence and are not searched.  Null texts, empty texts and
+Items of fewer words than a mask are hashed whole (none with the given masks);
+items of fewer than ``min_words`` words are no evidence and are not searched.  Null texts, empty texts and
 items without words hit nothing.  Rows that share a doc_id (or item_id) count
 as one; rows of null ids are left out of the result, as it names ids.
 Repeated rows give the pair once; empty tables give an empty result.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from .common import bitmap, in_bitmap, keep, texts_of
 @dataclass(frozen=True)
 class Params:
     #: 1: the word counts, 0: it is ignored
-    masks: tuple[str, ...] = ("110110110110", "111100001111", "101011011101", "111111110000")
+    masks: tuple[str, ...] = ("11110", "01111", "11011", "10111", "11101")
     window: int = 15
     percent: int = 80
     min_words: int = 5
@@ -45,6 +50,18 @@ class Params:
         return len(self.masks[0])
 
 
+def least_hits(n: int, p: Params) -> int:
+    """The least number of positions at which some mask matches, over all patterns
+    that ``overlap`` accepts of an item of n words; 0: some pattern is missed."""
+    n = min(n, p.window)
+    wrong = n - -(-n * p.percent // 100)
+    least = n
+    for out in combinations(range(n), wrong):  # fewer changes have no fewer matches
+        least = min(least, sum(any(all(c == "0" or a + j not in out for j, c in enumerate(mask)) for mask in p.masks)
+                               for a in range(n - p.span + 1)))
+    return least
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, d, _, _ = K.words(data, offs, K.ALNUM)
     return h, d
@@ -130,8 +147,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, p: Params = Params()) -> Dat
     table = keep(benchmark_seeds(bench, p).distinct())
     short = tuple(r[0] for r in table.filter(f"words < {p.span}").select("words").distinct().collect())  # below the span
     words = bitmap(table, p.bitmap_bits)
+    least = F.lit(1)
+    for n in range(p.span, p.window + 1):
+        least = F.when(F.col("words") >= n, max(1, least_hits(n, p))).otherwise(least)
     cand = (hits(docs, words, short, p).join(table, "key")
-            .groupBy("doc_id", "item_id").agg(F.collect_set(F.col("at") - F.col("pos")).alias("diags")))
+            .groupBy("doc_id", "item_id", "words", (F.col("at") - F.col("pos")).alias("diag"))
+            .agg(F.size(F.collect_set("pos")).alias("hit")).filter(F.col("hit") >= least)
+            .groupBy("doc_id", "item_id").agg(F.collect_set("diag").alias("diags")))
     cand = keep(cand)
     texts = texts_of(docs, cand.select(F.col("doc_id").alias("id")).distinct())
     items = bench.groupBy("item_id", F.xxhash64("text")).agg(F.first("text").alias("item")).select("item_id", "item")

@@ -148,6 +148,29 @@ def test_decontamination(spark, docs_of):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 12
 
 
+def test_decontamination_without_seed_condition(spark, docs_of):
+    """Every pattern of changed words that the 80 per cent rule accepts is found,
+    and each item alone in its documents; one change more hides it."""
+    p = decontam.Params()
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(5, 16)} | {40: [f"i40w{j}" for j in range(40)]}
+    rows, want = [], set()
+    for n, item in items.items():
+        wrong = min(n, 15) - math.ceil(min(n, 15) * 0.8)
+        patterns = [c for k in (wrong, wrong + 1) for c in itertools.combinations(range(n), k)] if n < 16 else []
+        patterns += [tuple(range(a, n, 5)) for a in range(5)] if n > 15 else []
+        if n == 15:
+            patterns = patterns[:455] + patterns[455::50]
+        for c in patterns:
+            w = [f"x{len(rows)}y{j}" if j in c else x for j, x in enumerate(item)]
+            rows.append((len(rows), "before it " + " ".join(w) + " after it"))
+            if len(c) <= wrong or n > 15:
+                want.add((rows[-1][0], n))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.op2(docs_of(rows), bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 800
+    assert all(decontam.least_hits(n, p) > 0 for n in range(5, 60))
+
+
 def test_machine_learns_a_pair():
     """Either term is toxic, both together are not: no additive weights can say so."""
     rng = random.Random(2)
