@@ -3,12 +3,16 @@ r"""Quotation linking and reply-ordered conversations, in DataFrame operations o
 A line that starts with ``>`` marks is quoted; the number of marks is its level.
 Consecutive lines of one level are a passage.  Passages are normalised (lower
 case, white space collapsed) and hashed, and so are the bodies of all messages
-(a message without its quotes) and their lines of ``MIN_LINE`` characters or
-more.  A passage links to the first earlier message of its conversation that
-has its hash, else to the first message of any other conversation that has it;
-where the whole passage is found nowhere, its longest line is tried.  Originals
-are reduced to one message a hash (and conversation) before the joins, so a
-passage that a third of all messages share costs one row.
+(a message without its quotes) and their parts: each line, and each paragraph
+(lines up to a blank one) as one text, however it is wrapped.  A passage links
+to the first earlier message of its conversation that has its hash, else to the
+first message of any other conversation that has it.  Where the whole passage is
+found nowhere, each of its parts is looked up in the same way, and the passage
+links to the message that holds most of its lines (then one of its own
+conversation, then the first).  In other conversations a line or paragraph must
+have ``MIN_LINE`` characters to be evidence; within a conversation any counts.
+Originals are reduced to one message a hash (and conversation) before the joins,
+so a passage that a third of all messages share costs one row.
 
 A message replies to the target of its first linked level-1 passage.
 Conversations that quote each other are one thread (connected components);
@@ -62,41 +66,57 @@ def parse(messages: DataFrame) -> DataFrame:
             .drop("_l", "_s"))
 
 
-def _longest(lines: Column) -> Column:
-    """The normalised first longest line."""
-    by = F.transform(lines, lambda x, i: F.struct(F.length(_norm(x)).alias("n"), (-i).alias("i"), _norm(x).alias("x")))
-    return F.array_max(by)["x"]
+def _parts(lines: Column) -> Column:
+    """Distinct (t, n): the normalised lines (n = 1) and the paragraphs of n lines."""
+    lines = F.transform(lines, _norm)
+    paragraphs = F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.trim(x, F.lit("\n")))
+    one = F.transform(lines, lambda x: F.struct(x.alias("t"), F.lit(1).alias("n")))
+    more = F.transform(F.filter(paragraphs, lambda x: F.contains(x, F.lit("\n"))), lambda x: F.struct(
+        F.translate(x, "\n", " ").alias("t"), F.size(F.split(x, "\n")).alias("n")))
+    return F.filter(F.array_distinct(F.concat(one, more)), lambda x: x["t"] != "")
+
+
+def _hash(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, no, level, to_conv, to_turn) of the passages that link;
     no is the place of the passage in its message."""
     known = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "body", "passages")
+    # rank 0: the whole passage, 1: a part of it; far: evidence in other conversations too
+    whole = F.struct(F.lit(0).alias("rank"), _norm(F.array_join("q.lines", " ")).alias("t"), F.lit(1).alias("n"))
+    parts = F.transform(_parts(F.col("q.lines")), lambda x: F.struct(F.lit(1).alias("rank"), x["t"].alias("t"), x["n"].alias("n")))
     quotes = (known.select("conv_id", "turn", F.posexplode("passages").alias("no", "q"))
-              .select("conv_id", "turn", "no", F.col("q.v").alias("level"),
-                      F.explode(F.array(F.struct(F.lit(0).alias("rank"), _norm(F.array_join("q.lines", " ")).alias("t")),
-                                        F.struct(F.lit(1).alias("rank"), _longest(F.col("q.lines")).alias("t")))).alias("k"))
-              .filter((F.col("k.t") != "") & ((F.col("k.rank") == 0) | (F.length("k.t") >= MIN_LINE)))
-              .select("conv_id", "turn", "no", "level", F.col("k.rank").alias("rank"), F.md5(F.col("k.t").cast("binary")).alias("h"))
+              .select("conv_id", "turn", "no", F.col("q.v").alias("level"), F.explode(F.concat(F.array(whole), parts)).alias("k"))
+              .filter("k.t != ''")
+              .select("conv_id", "turn", "no", "level", F.col("k.rank").alias("rank"), F.col("k.n").alias("n"),
+                      ((F.col("k.rank") == 0) | (F.length("k.t") >= MIN_LINE)).alias("far"), _hash(F.col("k.t")).alias("h"))
               .distinct())
     quotes = keep(quotes)
     wanted = quotes.select("h").distinct()
-    texts = F.array_union(F.array(_norm(F.col("body"))),
-                          F.filter(F.transform(F.split("body", "\n"), _norm), lambda x: F.length(x) >= MIN_LINE))
-    originals = (known.select("conv_id", "turn", F.explode(texts).alias("t")).filter("t != ''")
-                 .select("conv_id", "turn", F.md5(F.col("t").cast("binary")).alias("h")).join(wanted, "h", "left_semi"))
-    near = originals.groupBy("h", "conv_id").agg(F.min("turn").alias("near"))
-    first = near.groupBy("h").agg(F.min(F.struct("conv_id", "near")).alias("a"))
+    body = _norm(F.col("body"))
+    texts = F.array_union(F.array(body), F.transform(_parts(F.split("body", "\n")), lambda x: x["t"]))
+    originals = (known.select("conv_id", "turn", body.alias("body"), F.explode(texts).alias("t")).filter("t != ''")
+                 .select("conv_id", F.col("turn").alias("near"), _hash(F.col("t")).alias("h"),
+                         F.when((F.col("t") == F.col("body")) | (F.length("t") >= MIN_LINE), F.col("turn")).alias("far"))
+                 .join(wanted, "h", "left_semi"))
+    first_turn = originals.groupBy("h", "conv_id").agg(F.min("near").alias("near"), F.min("far").alias("far"))
+    near = first_turn.select("h", "conv_id", "near")
+    abroad = first_turn.filter("far is not null").select("h", "conv_id", F.col("far").alias("near"))
+    first = abroad.groupBy("h").agg(F.min(F.struct("conv_id", "near")).alias("a"))
     # the first message of any other conversation: of the two least conversations, the one that isn't one's own
-    second = (near.join(first, "h").filter(F.col("conv_id") != F.col("a.conv_id"))
+    second = (abroad.join(first, "h").filter(F.col("conv_id") != F.col("a.conv_id"))
               .groupBy("h").agg(F.min(F.struct("conv_id", "near")).alias("b")))
-    far = first.join(second, "h", "left")
-    found = (quotes.join(near, ["h", "conv_id"], "left").join(far, "h", "left")
+    other = first.join(second, "h", "left")
+    found = (quotes.join(near, ["h", "conv_id"], "left").join(other, "h", "left")
              .withColumn("near", F.when(F.col("near") < F.col("turn"), F.col("near")))
-             .withColumn("far", F.when(F.col("a.conv_id") != F.col("conv_id"), F.col("a")).otherwise(F.col("b")))
-             .withColumn("to", F.when(F.col("near").isNotNull(), F.struct("conv_id", "near")).otherwise(F.col("far")))
+             .withColumn("away", F.when(F.col("far"), F.when(F.col("a.conv_id") != F.col("conv_id"), F.col("a")).otherwise(F.col("b"))))
+             .withColumn("to", F.when(F.col("near").isNotNull(), F.struct("conv_id", "near")).otherwise(F.col("away")))
              .filter("to is not null"))
-    return (found.groupBy("conv_id", "turn", "no").agg(F.min(F.struct("rank", "level", "to")).alias("m"))
+    votes = found.groupBy("conv_id", "turn", "no", "rank", "to").agg(F.sum("n").alias("n"), F.min("level").alias("level"))
+    best = F.min(F.struct("rank", (-F.col("n")).alias("n"), (F.col("to.conv_id") != F.col("conv_id")).alias("away"), "to", "level"))
+    return (votes.groupBy("conv_id", "turn", "no").agg(best.alias("m"))
             .select("conv_id", "turn", "no", F.col("m.level").alias("level"), F.col("m.to.conv_id").alias("to_conv"),
                     F.col("m.to.near").alias("to_turn")))
 

@@ -415,3 +415,23 @@ def test_quotes(spark):
     assert (got[3, 0].reply_conv, got[3, 0].thread, got[3, 0].level) == (2, 1, 2)
     assert (got[4, 0].n_linked, got[4, 0].thread, got[4, 0].reply_conv) == (0, 4, None)
     assert got[5, 0].body == "no quotes" and got[5, 0].n_passages == 0
+
+
+def test_quotes_of_parts(spark):
+    """Short lines, edited lines and re-wrapped paragraphs."""
+    long = ["The first paragraph has a number of words.", "The second one is a little longer than the first.", "The third ends it."]
+    rows = [(1, 0, "Yes, at noon.\nBring the papers along with you."), (1, 1, "> Yes, at noon.\nFine."),  # a short line
+            (2, 0, "Something unrelated to all others here."), (2, 1, "one short\ntwo short\nthis line is the longest one of them\nend"),
+            (2, 2, "> one short\n> two short\n> this line is the longest one, but edited by the reply\nOk."),
+            (3, 0, "\n\n".join(long)),
+            (3, 1, "> The second one is a little\n> longer than the first.\n>\n> The third\n> ends it.\nRe-wrapped."),
+            (4, 0, "> The first paragraph has a\n> number of words.\n>\n> The second one is a little longer\n> than the first.\nElsewhere."),
+            (5, 0, "shared first line of two messages\nalpha line\nbeta line"),
+            (5, 1, "shared first line of two messages\ngamma line\ndelta line"),
+            (5, 2, "> shared first line of two messages\n> gamma line\n> delta line\n> and an added one\nMost of them."),
+            (6, 0, "> Fine\n> Yes, at noon.\n> end\nShort lines say nothing of other conversations."),
+            (7, 0, "start\n \nsecond line\nwrapped here\n\nthird"), (7, 1, "> begin\n>\n> second line wrapped here\nBack in one line.")]
+    m = spark.createDataFrame([(c, t, "r", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quote_link.op5(m).collect()}
+    want = {(1, 1): (1, 0), (2, 2): (2, 1), (3, 1): (3, 0), (4, 0): (3, 0), (5, 2): (5, 1), (7, 1): (7, 0)}
+    assert got == {(c, t): want.get((c, t), (None, None)) for c, t, _ in rows}
