@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import keep, release
 from .grams import Grams
-from .linear import adam
+from .linear import Rows, adam
 
 
 @dataclass(frozen=True)
 class Params:
-    sample_rows: int = 2_000
+    sample_rows: int = 3_000
     l2: float = 1e-4
     steps: int = 80
     tolerance: float = 1e-4
@@ -66,12 +66,16 @@ class Domains:
 
 
 def fit(texts: pa.Array, domain: list[str], names: tuple[str, ...], p: Params = Params()) -> Domains:
+    """Fit on texts in memory; ``train`` does the same from tables."""
+    return learn(p.grams.rows(texts), domain, names, p)
+
+
+def learn(x: Rows, domain: list[str], names: tuple[str, ...], p: Params) -> Domains:
     k, dim = len(names), p.grams.dim
     if len(domain) == 0:
         return Domains(names, p.grams, np.zeros((dim, k), np.float32), np.zeros(k))
     y = np.zeros((len(domain), k))
     y[np.arange(len(domain)), [names.index(d) for d in domain]] = 1
-    x = p.grams.rows(texts)
 
     def grad(w: np.ndarray) -> np.ndarray:
         w = w.reshape(dim + 1, k)
@@ -90,12 +94,31 @@ def train(docs: DataFrame, table: DataFrame, names: tuple[str, ...], p: Params =
     some = (table.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*names))
             .groupBy(F.col("doc_id").alias("_k")).agg(F.min("domain").alias("domain"))
             .orderBy(F.xxhash64("_k", F.lit("sample")), "_k").limit(p.sample_rows))
-    rows = (docs.select(F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
-            .join(F.broadcast(some), "_k")  # at most sample_rows rows
-            .groupBy("_k", "domain").agg(F.min("_t").alias("text")).orderBy("_k")).toArrow()
-    model = fit(rows["text"], rows["domain"].to_pylist(), names, p)
+    texts = (docs.select(F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
+             .join(F.broadcast(some), "_k")  # at most sample_rows rows
+             .groupBy("_k", "domain").agg(F.min("_t").alias("text")))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = p.grams.rows(b.column(2))
+            size = np.bincount(x.row, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), K.int_list(x.ids, size, pa.int32()), K.int_list(x.values, size, pa.float32())],
+                names=["_k", "domain", "ids", "vals"])
+
+    # the tasks make the features, so the driver holds no texts
+    like = texts.select("_k", "domain").limit(0).withColumn("ids", F.array().cast("array<int>")).withColumn(
+        "vals", F.array().cast("array<float>"))
+    rows = texts.mapInArrow(features, like.schema).orderBy("_k").toArrow()
+    flat = {c: np.concatenate([np.zeros(0, t), *(x.flatten().to_numpy() for x in rows[c].chunks)])
+            for c, t in (("ids", np.int32), ("vals", np.float32))}
+    size = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in rows["ids"].chunks)])
+    domain = rows["domain"].to_pylist()
     del rows
     release()
+    model = learn(Rows(flat["ids"], flat["vals"], size, p.grams.dim), domain, names, p)
+    del flat
+    release()
     return model
 
 

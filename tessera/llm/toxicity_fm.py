@@ -10,7 +10,8 @@ mention) can weigh more, or less, than its terms do alone:
 It is fitted on a bounded sample of labelled rows (``sample_rows``) by
 AdaGrad with soft-thresholded weights; terms in fewer than ``min_df`` sample
 rows are left out, and only terms in ``pair_share`` of them have factors, as the
-pairs of rarer ones are mostly chance.  The model is at most sample rows x terms large and is
+pairs of rarer ones are mostly chance.  The terms are counted and looked up in the
+tasks; the driver gets the vocabulary and the term numbers, no texts.  The model is at most sample rows x terms large and is
 shipped to the tasks; every whole text is scored in Arrow batches.
 
 Null and empty texts have no terms and score sigmoid(b).  Null ids, repeated
@@ -31,17 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import collect_sample, fold, labelled_sample, release
+from .common import fold, keep, labelled_sample, release
 from .linear import sigmoid
 
 THRESHOLD = 0.3
 STEMS = (4, 5)
-FIT_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
 class Params:
-    sample_rows: int = 8_000
+    sample_rows: int = 10_000
     rank: int = 4
     epochs: int = 12
     batch: int = 128
@@ -93,39 +93,37 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, h
 
 
+def numbers(vocab: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the vocabulary of the terms of all texts, number of terms of each text)."""
+    ats, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for lo, hi, data, offs in K.chunks(texts):
+        d, h = terms(data, offs)
+        at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0)).astype(np.int32)
+        known = vocab[at] == h if len(vocab) else np.zeros(len(h), bool)
+        ats.append(at[known])
+        sizes.append(np.bincount(d[known], minlength=hi - lo))
+    return np.concatenate(ats), np.concatenate(sizes)
+
+
 def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
-    """Fit on a bounded sample (driver side, numpy)."""
+    """Fit on texts in memory; ``train`` does the same from tables."""
+    hs = [np.zeros(0, K.U64), *(terms(data, offs)[1] for _, _, data, offs in K.chunks(texts))]
+    vocab, df = np.unique(np.concatenate(hs), return_counts=True)
+    vocab, df = vocab[df >= p.min_df], df[df >= p.min_df]
+    return learn(vocab, df, *numbers(vocab, texts), y, p)
+
+
+def learn(vocab: np.ndarray, df: np.ndarray, at: np.ndarray, size: np.ndarray, y: np.ndarray, p: Params) -> Machine:
+    """The machine from the vocabulary, the sample rows that have each term, and the
+    rows' terms (``numbers``)."""
     rate = (y.sum() + 1) / (len(y) + 2)
     none = Machine(np.zeros(0, K.U64), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, p.rank)),
                    usable=False)
-    if len(y) == 0 or y.min() == y.max():
+    if len(y) == 0 or y.min() == y.max() or len(vocab) == 0:
         return none
-    # two passes over the texts, so that only the terms of the vocabulary are held
-    vocab, df = np.zeros(0, K.U64), np.zeros(0, np.int64)
-    pending, held = [], 0
-    for _, hi, data, offs in K.chunks(texts, FIT_CHUNK):
-        pending.append(terms(data, offs)[1])
-        held += len(pending[-1])
-        if held > 1 << 20 or hi == len(texts):
-            vocab, inv = np.unique(np.concatenate([vocab, *pending]), return_inverse=True)
-            df = np.bincount(inv, weights=np.concatenate([df, np.ones(held)]), minlength=len(vocab)).astype(np.int64)
-            pending, held = [], 0
-    del inv
     # weights for all terms of the vocabulary, factors for the frequent ones only
-    deep = (df >= p.pair_share * len(y))[df >= p.min_df, None]
-    vocab = vocab[df >= p.min_df]
-    if len(vocab) == 0:
-        return none
-    ds, ats = [], []
-    for lo, _, data, offs in K.chunks(texts, FIT_CHUNK):
-        d, h = terms(data, offs)
-        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1).astype(np.int32)
-        known = vocab[at] == h
-        ds.append((d + lo).astype(np.int32)[known])
-        ats.append(at[known])
-    d, at = np.concatenate(ds), np.concatenate(ats)
-    del ds, ats
-    bounds = np.searchsorted(d, np.arange(len(y) + 1))
+    deep = (df >= p.pair_share * len(y))[:, None]
+    bounds = np.concatenate([[0], np.cumsum(size)])
     rng = np.random.default_rng(p.seed)
     w, v = np.zeros(len(vocab)), rng.normal(0, p.spread, (len(vocab), p.rank)) * deep
     gw, gv = np.full(len(vocab), 1e-2), np.full(v.shape, 1e-2)
@@ -159,9 +157,34 @@ def fit(texts: pa.Array, y: np.ndarray, p: Params = Params()) -> Machine:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where=None,
           p: Params = Params()) -> Machine:
     """``where``: the label rows that may be learnt from."""
-    texts, y, _ = collect_sample(labelled_sample(docs, labels, label, p.sample_rows, where))
-    model = fit(texts, y, p)
-    del texts
+    sample = keep(labelled_sample(docs, labels, label, p.sample_rows, where).select("key", "y", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offs in K.chunks(b.column(0)):
+                u, c = np.unique(terms(data, offs)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(u)), pa.array(c)], names=["term", "c"])
+
+    found = (sample.select("text").mapInArrow(count, "term long, c long").groupBy("term").agg(F.sum("c").alias("c"))
+             .filter(F.col("c") >= p.min_df).toArrow())  # at most 1 / min_df of the sample's terms
+    vocab, df = found["term"].to_numpy().view(K.U64), found["c"].to_numpy()
+    order = np.argsort(vocab)
+    vocab, df = vocab[order], df[order]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), K.int_list(*numbers(vocab, b.column(2)), pa.int32())],
+                                             names=["key", "y", "at"])
+
+    like = sample.select("key", "y").limit(0).withColumn("at", F.array().cast("array<int>"))
+    rows = sample.mapInArrow(look_up, like.schema).orderBy("key").toArrow()
+    y, lists = rows["y"].to_numpy().astype(float), rows["at"].chunks
+    at = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in lists)])
+    size = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in lists)])
+    del rows, lists, found
+    release()
+    model = learn(vocab, df, at, size, y, p)
+    del at, size
     release()
     return model
 

@@ -185,6 +185,38 @@ def test_machine_learns_a_pair():
     assert ((s > 0.5) == (np.array(y[2000:]) > 0)).mean() > 0.98
 
 
+def test_sample_sizes_and_fits_from_tables(spark, docs_of, monkeypatch):
+    """10,000 and 3,000 labelled rows are learnt from, and as from texts in memory."""
+    texts, rng, v = some_texts(10_200, 12, vocabulary=40, size=(3, 6))
+    toxic = [int("a" in t.split()[0]) for t in texts]
+    rows = list(enumerate(texts))
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    seen = {}
+
+    def spied(module, at):
+        def learn(*args, was=module.learn):
+            seen[module] = len(args[at])
+            return was(*args)
+        monkeypatch.setattr(module, "learn", learn)
+
+    spied(toxicity_fm, 4)
+    spied(soft_mix, 1)
+    p = toxicity_fm.Params(epochs=2)
+    m = toxicity_fm.train(docs_of(rows), labels, p=p)
+    assert seen[toxicity_fm] == 10_000 and m.usable
+    table = spark.createDataFrame([(i, "ab"[y]) for i, y in enumerate(toxic[:3_300])], "doc_id long, domain string")
+    soft_mix.train(docs_of(rows[:3_300]), table, ("a", "b"), soft_mix.Params(steps=2))
+    assert seen[soft_mix] == 3_000
+    some = rows[:300]
+    got = toxicity_fm.train(docs_of(some), labels.filter("doc_id < 300"), p=p)
+    want = toxicity_fm.fit(pa.array(texts[:300]), np.array(toxic[:300], float), p)
+    assert (got.terms == want.terms).all() and got.bias == want.bias and (got.w == want.w).all() and (got.v == want.v).all()
+    q = soft_mix.Params(steps=3)
+    got = soft_mix.train(docs_of(some), table.filter("doc_id < 300"), ("a", "b"), q)
+    want = soft_mix.fit(pa.array(texts[:300]), ["ab"[y] for y in toxic[:300]], ("a", "b"), q)
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.bias, want.bias)
+
+
 def labelled(n=400, seed=4):
     texts, rng, _ = some_texts(n, seed, vocabulary=80)
     y = np.arange(n) % 2
