@@ -2,15 +2,20 @@
 
 Rows are labelled vectors ``row_id, block_id, label, features ARRAY<DOUBLE>``.
 
-* C1 ``fit_blocks``: one MLlib fit per block, each a distributed job over
-  that block's rows, submitted from a bounded thread pool.  Models are fit
-  once and kept (never re-trained by later actions).
+* C1 ``fit_together``: the trees, forests, logistic regressions and SVMs of
+  all blocks advance in the same jobs (``block_trees``, ``block_linear``); the
+  models are a table.  ``fit_blocks`` is for a user's own MLlib estimator: one
+  fit per block, each a distributed job over that block's rows, submitted from a
+  bounded thread pool.  Models are fit once and kept (never re-trained by later
+  actions).
 * C2 ``block_accuracy``: hold-out accuracy from a prediction table;
   ``fit_blocks(validate=...)`` scores each block's model on its own
   validate rows inside the block's pool job.
 * C3 ``trim``: tail trimming by value on the sorted accuracies.
 * C5 ``score_models``: chained ``transform`` with one prediction column per
   model: one scan of the test rows, no cross product, no shuffle.
+  ``vote_counts`` (model tables): one pass over the test rows a part of the
+  models of bounded bytes, adding up the votes of each class.
 * C6/C11 ``vote``: in-row plurality (tie -> smallest label).
 * C7 ``weighted_accuracy``: per-block accuracy and the size-weighted total.
 """
@@ -21,12 +26,18 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions.exprs import plurality
-from tessera.operators.blocks import BLOCK, hold, holdout_in_block, materialise, release
+from tessera.operators.block_linear import LinearSettings, Planes, fit_planes
+from tessera.operators.block_trees import Forests, TreeSettings, fit_forests
+from tessera.operators.blocks import BLOCK, hold, materialise, release
+from tessera.operators.lockstep import matrix
 
 ALGOS = ("RF", "DT", "LR", "SVM")
 
@@ -140,6 +151,107 @@ def fit_blocks(train: DataFrame, make_estimator: Callable[[], object], block_ids
     return models, skipped
 
 
+# ------------------------------------------------------- all blocks together
+#: bytes of models that one pass over the test rows takes along
+MODEL_BYTES = 64 << 20
+
+
+@dataclass
+class BlockModels:
+    """The models of all blocks as a table, with the labels they tell apart."""
+
+    fit: Forests | Planes
+    labels: list
+
+    @property
+    def accuracy(self) -> DataFrame:
+        return self.fit.accuracy
+
+    def keep(self, kept: DataFrame) -> BlockModels:
+        """The models listed in ``kept`` (``model_id``)."""
+        return BlockModels(self.fit.keep(kept), self.labels)
+
+    def __iter__(self):
+        """One ``BlockModel`` a block; its ``model`` is the block's row of ``summary``."""
+        for r in self.fit.summary().orderBy("model_id").collect():
+            yield BlockModel(r["model_id"], r["model_id"], r)
+
+
+def label_values(rows: DataFrame, label: str = "label") -> list:
+    """The labels in ascending order (a list as long as the classes)."""
+    return sorted(r[0] for r in rows.filter(F.col(label).isNotNull()).select(label).distinct().collect())
+
+
+def fit_together(rows: DataFrame, algo: str, labels: list, label: str = "label", order: str = "row_id",
+                 seed: int = 0, col: str = BLOCK, features: str = "features", **params) -> BlockModels:
+    """C1 + C2 for all blocks in jobs whose number does not depend on the
+    blocks.  ``rows`` have a ``role``: ``train`` rows are learnt, ``validate`` rows
+    measure their block's model.  Rows without a label are left out."""
+    y = (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1).cast("int")
+    rows = rows.filter(F.col(label).isNotNull()).select(F.col(col).cast("int").alias(col), order, "role", y.alias("y"),
+                                                        F.col(features).alias("features"))
+    d = rows.select(F.max(F.size("features"))).first()[0] or 0
+    k = max(2, len(labels))
+    if algo in ("DT", "RF"):
+        return BlockModels(fit_forests(rows, TreeSettings.of(algo, d, seed, **params), d, k, order, col), labels)
+    if algo in ("LR", "SVM"):
+        return BlockModels(fit_planes(rows, LinearSettings.of(algo, **params), d, k, order, col), labels)
+    raise ValueError(f"unknown algorithm {algo!r}; one of {ALGOS}")
+
+
+def _model_parts(models: BlockModels, limit: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of model ids whose rows take up to ``limit`` bytes."""
+    sizes = models.fit.table().groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).orderBy("model_id").collect()  # a row a model
+    parts, used = [], 0
+    for r in sizes:
+        size = r["n"] * models.fit.row_bytes
+        if parts and used + size <= limit:
+            parts[-1], used = (parts[-1][0], r["model_id"]), used + size
+        else:
+            parts.append((r["model_id"], r["model_id"]))
+            used = size
+    return parts
+
+
+def vote_counts(models: BlockModels, rows: DataFrame, out: str = "votes", features: str = "features",
+                limit: int = MODEL_BYTES) -> DataFrame:
+    """C5 for model tables: the number of models that predict each label, as an
+    array in the order of ``models.labels``.  A part of the models (up to
+    ``limit`` bytes) goes to the tasks at a time and adds its votes; no shuffle."""
+    k = max(2, len(models.labels))
+    df = rows.withColumn(out, F.array_repeat(F.lit(0), k))
+    schema = df.schema
+    schema[out].dataType = ArrayType(IntegerType())
+    at, vec = df.columns.index(out), df.columns.index(features)
+    for lo, hi in _model_parts(models, limit):
+        score = models.fit.scorer(models.fit.table().filter(F.col("model_id").between(lo, hi)).toArrow())
+
+        def run(batches, score=score):
+            for batch in batches:
+                n = len(batch)
+                cols = batch.columns
+                if n:
+                    pred = score(matrix(pa.chunked_array([cols[vec]])))
+                    cell = np.arange(n)[:, None] * k + pred
+                    votes = np.bincount(cell.ravel(), minlength=n * k) + matrix(pa.chunked_array([cols[at]])).ravel().astype(np.int64)
+                    cols[at] = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(votes, pa.int32()))
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+        df = df.mapInArrow(run, schema)
+    return df
+
+
+def voted(models: BlockModels | Sequence[BlockModel], rows: DataFrame, out: str = "prediction") -> DataFrame:
+    """C5 + C6: the label that most of the models predict (ties: the smallest)."""
+    if not isinstance(models, BlockModels):
+        return vote(score_models(models, rows, out="_predictions"), "_predictions", out).drop("_predictions")
+    if not models.labels:
+        return rows.withColumn(out, F.lit(None).cast("int"))
+    values = F.array(*[F.lit(v) for v in models.labels])
+    top = F.array_position("_votes", F.array_max("_votes")).cast("int")
+    return vote_counts(models, rows, "_votes").withColumn(out, F.element_at(values, top)).drop("_votes")
+
+
 def score_models(models: Sequence[BlockModel], rows: DataFrame, out: str = "predictions",
                  features: str = "features", group: int = 32) -> DataFrame:
     """Every model scores every row in one pass.

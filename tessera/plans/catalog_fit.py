@@ -6,6 +6,11 @@ in steps of five with a gap at 25, and the label says on which side of the gap a
 row lies; any tree, forest or separating plane must then predict the label.
 Clustering: a row lies on one of seven points, given by its line number; seven
 centers must then be those points, at center error 0 and purity 1.
+
+The ``fit_noisy_*`` queries have a share of wrong labels that grows with the
+block, which no learner can follow (one informative feature of two values), so
+that accuracies, trimming, weights and purities differ by block; ``fit_center_error``
+shifts the true centers by a known step.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import hash_rank_key
 from tessera.operators import blocks as B
 from tessera.operators import cluster as K
 from tessera.operators import ensemble as E
@@ -50,6 +56,24 @@ def ruled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       feats.alias("features")))
 
 
+def noisy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which side of 25 the quantity lies on; the label says otherwise for
+    (4 + 6 * block) of 100 rows, by a hash of the row."""
+    high = (F.col("l_quantity") >= 25).cast("int")
+    wrong = (F.pmod(hash_rank_key(f"{SEED}:noise", F.col("row_id")), F.lit(100)) < 4 + 6 * F.col("block_id")).cast("int")
+    return B.materialise(_lines(spark, sf_dir).select(
+        "row_id", "block_id", (high.bitwiseXOR(wrong)).alias("label"), F.array(high.cast("double"), F.lit(1.0)).alias("features")))
+
+
+def noisy_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven points, labelled with the next point's number for (4 + 6 * block) of
+    100 rows."""
+    n = F.col("l_linenumber")
+    wrong = (F.pmod(hash_rank_key(f"{SEED}:noise", F.col("row_id")), F.lit(100)) < 4 + 6 * F.col("block_id")).cast("int")
+    return B.materialise(_lines(spark, sf_dir).select(
+        "row_id", "block_id", (n + wrong).cast("int").alias("label"), F.array((10 * n).cast("double"), (n * n).cast("double")).alias("features")))
+
+
 def _train_test(v: DataFrame) -> tuple[DataFrame, DataFrame]:
     return B.blocks_by_ids(v, PICKED[0]), B.blocks_by_ids(v, PICKED[1])
 
@@ -95,7 +119,45 @@ def q_fit_exact_model(spark, sf):
     return clf_runs.exact(tr, te, "LR", seed=SEED)
 
 
+def q_fit_noisy_models(spark, sf):
+    """The trees' accuracies differ by block, so the tails are trimmed."""
+    return clf_runs.block_ensemble(noisy_rows(spark, sf), None, "DT", tail=0.2, seed=SEED).accuracy
+
+
+def q_fit_noisy_keep_all(spark, sf):
+    """C4: the same accuracies from logistic regressions, nothing trimmed."""
+    return clf_runs.block_ensemble(noisy_rows(spark, sf), None, "LR", tail=0.2, trim=False, seed=SEED).accuracy
+
+
+def q_fit_noisy_votes(spark, sf):
+    """Forests of the train blocks; accuracy of each test block."""
+    tr, te = _train_test(noisy_rows(spark, sf))
+    return clf_runs.block_ensemble(tr, te, "RF", tail=0.2, seed=SEED, numTrees=5).per_block
+
+
+def q_fit_noisy_total(spark, sf):
+    """SVMs of sub-blocks; the size-weighted accuracy of the test blocks."""
+    tr, te = _train_test(noisy_rows(spark, sf))
+    tot = clf_runs.block_ensemble(tr, te, "SVM", tail=0.2, seed=SEED).total
+    return tot.select(F.round("accuracy", 9).alias("accuracy"), "n_rows", "n_blocks")
+
+
 # ------------------------------------------------------------ clustering
+def q_fit_noisy_purity(spark, sf):
+    """K5, K9: local centers of each block, purity of their clusters."""
+    v = noisy_points(spark, sf)
+    return K.purity(K.assign_local(v, K.local_kmeans(v, N_POINTS)))
+
+
+def q_fit_center_error(spark, sf):
+    """K1, K8: the true centers lie (0.3, 0.4) beside the fitted ones."""
+    v = ruled_points(spark, sf)
+    step = F.array(F.lit(0.3), F.lit(0.4))
+    truth = _truth(v).withColumn("center", F.zip_with("center", step, lambda a, b: a + b))
+    centers = K.fit_centers(v, N_POINTS, "kmeans", SEED)[1]
+    return K.center_error(truth, centers).select(F.round("distance", 6).alias("distance"))
+
+
 def _xy(centers: DataFrame, *keys: str) -> DataFrame:
     return centers.select(*keys, *[F.round(F.col("center")[i], 6).alias(c) for i, c in enumerate("xy")])
 
@@ -176,7 +238,25 @@ def _runs(rows, saved: bool) -> str:
             f"FROM lineitem) SELECT arm, size, n_train_blocks, 0.0::DOUBLE AS distance, 1.0::DOUBLE AS purity{col} FROM runs, k")
 
 
+_NOISY = _V + f""",
+w AS (SELECT *, CAST({_hash(f'{SEED}:noise', 'row_id')} % 100 < 4 + 6 * block_id AS INTEGER) AS wrong FROM v),
+p AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY row_id) AS pos, count(*) OVER (PARTITION BY block_id) AS n_b FROM w),
+a AS (SELECT block_id AS model_id, count(*) AS n_validate, avg(CAST(1 - wrong AS DOUBLE)) AS accuracy FROM p
+      WHERE pos > floor(0.9::DOUBLE * n_b) GROUP BY block_id)"""
 SQL = {
+    "fit_noisy_models": _NOISY + """,
+o AS (SELECT list(accuracy ORDER BY accuracy) AS l FROM a)
+SELECT a.*, accuracy BETWEEN l[2] AND l[len(l) - 1] AS kept FROM a, o""",
+    "fit_noisy_keep_all": _NOISY + " SELECT *, true AS kept FROM a",
+    "fit_noisy_votes": _NOISY + f""" SELECT block_id, count(*) AS n_rows, avg(CAST(1 - wrong AS DOUBLE)) AS accuracy
+FROM w WHERE {_TEST} GROUP BY block_id""",
+    "fit_noisy_total": _NOISY + f""" SELECT round(avg(CAST(1 - wrong AS DOUBLE)), 9) AS accuracy, count(*) AS n_rows,
+count(DISTINCT block_id) AS n_blocks FROM w WHERE {_TEST}""",
+    "fit_noisy_purity": _NOISY + """,
+c AS (SELECT block_id, n, n + wrong AS label, count(*) AS m FROM w GROUP BY ALL),
+t AS (SELECT block_id, n, max(m) AS top, sum(m) AS alls FROM c GROUP BY block_id, n)
+SELECT block_id, CAST(sum(alls) AS BIGINT) AS n_rows, sum(top) / sum(alls) AS purity FROM t GROUP BY block_id""",
+    "fit_center_error": "SELECT round(0.25::DOUBLE * count(DISTINCT l_linenumber), 6) AS distance FROM lineitem",
     "fit_block_models": _MODELS,
     "fit_keep_all": _MODELS,
     "fit_forest_votes": _VOTES,

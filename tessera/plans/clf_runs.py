@@ -16,7 +16,7 @@ from tessera.operators import ensemble as E
 
 @dataclass
 class EnsembleResult:
-    models: list            # kept BlockModel list
+    models: object          # kept models: a BlockModels table, or a BlockModel list of a user's own learner
     accuracy: DataFrame     # model_id, n_validate, accuracy, kept
     skipped: list           # blocks skipped (single class)
     votes: DataFrame | None  # row_id, block_id, label, prediction (None: no test set, C8)
@@ -31,26 +31,31 @@ def block_ensemble(train_rows: DataFrame, test_rows: DataFrame | None, algo: str
     """One ensemble: fit per block (C1; SVM on 8 sub-blocks per block, B11),
     hold-out accuracy (B15 + C2), trim (C3/C4), score kept models on the
     test rows (C5), vote (C6) and weigh the block accuracies (C7).  ``params``
-    are the learner's settings; ``make_estimator`` is a user's own learner."""
+    are the learner's settings.  The four learners fit all blocks together;
+    ``make_estimator`` is a user's own learner, fit block by block."""
     spark = train_rows.sparkSession
-    n_classes = train_rows.select(label).distinct().count()
     rows = train_rows
     if algo == "SVM":
         rows = (B.sub_blocks(rows, "row_id", svm_split, seed)
                 .drop(B.BLOCK).withColumnRenamed("sub_block_id", B.BLOCK))
-    rows = B.materialise(B.holdout_in_block(rows, "row_id", holdout))
-    ids = sorted(r[0] for r in rows.select(B.BLOCK).distinct().collect())
-    models, skipped = E.fit_blocks(
-        rows.filter(F.col("role") == "train"), make_estimator or (lambda: E.estimator_for(algo, label, seed=seed, n_classes=n_classes, **params)),
-        ids, parallelism, label, needs_two_classes=algo in ("LR", "SVM"), site_id=site_id,
-        validate=rows.filter(F.col("role") == "validate"))
+    rows = B.holdout_in_block(rows, "row_id", holdout)
+    if make_estimator is None:
+        models = E.fit_together(rows, algo, E.label_values(train_rows, label), label, seed=seed, **params)
+        found, skipped = models.accuracy, []
+    else:
+        rows = B.materialise(rows)
+        ids = sorted(r[0] for r in rows.select(B.BLOCK).distinct().collect())
+        models, skipped = E.fit_blocks(
+            rows.filter(F.col("role") == "train"), make_estimator, ids, parallelism, label, site_id=site_id,
+            validate=rows.filter(F.col("role") == "validate"))
+        rows.unpersist()
+        found = E.accuracy_table(spark, models)
     # a block whose validate part is empty has no accuracy: it cannot be ranked
-    scored = [m for m in models if m.n_validate]
-    acc = B.materialise(E.trim(E.accuracy_table(spark, scored), tail, enabled=trim))
-    kept = E.kept_models(models, acc)
+    acc = B.materialise(E.trim(found.filter("n_validate > 0"), tail, enabled=trim))
+    kept = models.keep(acc.filter("kept")) if make_estimator is None else E.kept_models(models, acc)
     if test_rows is None:
         return EnsembleResult(kept, acc, skipped, None, None, None)
-    voted = E.vote(E.score_models(kept, test_rows)).select("row_id", B.BLOCK, label, "prediction")
+    voted = E.voted(kept, test_rows).select("row_id", B.BLOCK, label, "prediction")
     per, tot = E.weighted_accuracy(voted, label)
     return EnsembleResult(kept, acc, skipped, voted, per, tot)
 
@@ -62,9 +67,9 @@ def multi_site(sites: Sequence[tuple[DataFrame, str]], test_rows: DataFrame, n_t
     common test rows, one vote per site, then the site votes are voted
     again (C11) and weighed (C7).
 
-    All sites score the same rows, so their kept models are chained over
-    one scan and both vote levels are in-row expressions: no union and no
-    shuffle of the test rows.  Returns (per-row site votes, final votes,
+    All sites score the same rows, so their kept models pass over one scan
+    and the site votes are voted in the row: no union and no shuffle of the test
+    rows.  Returns (per-row site votes, final votes,
     total)."""
     scored = test_rows
     site_cols = []
@@ -73,8 +78,7 @@ def multi_site(sites: Sequence[tuple[DataFrame, str]], test_rows: DataFrame, n_t
         tr_ids, _ = B.train_test_block_ids(n_total, n_train, 0, f"{seed}:{i}")
         res = block_ensemble(B.blocks_by_ids(src, tr_ids), None, algo, tail, seed=seed,
                              label=label, site_id=i, parallelism=parallelism, **params)
-        scored = E.score_models(res.models, scored, out=f"_site{i}")
-        scored = scored.withColumn(f"site_{i}", plurality(F.col(f"_site{i}"))).drop(f"_site{i}")
+        scored = E.voted(res.models, scored, f"site_{i}")
         site_cols.append(f"site_{i}")
     final = scored.withColumn("prediction", plurality(F.array(*[F.col(c) for c in site_cols])))
     site_votes = final.select("row_id", *site_cols)
