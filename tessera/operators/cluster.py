@@ -3,33 +3,34 @@
 Points are ``row_id, block_id, label, features ARRAY<DOUBLE>``; centers are
 ``block_id, cluster, center ARRAY<DOUBLE>`` (local) or ``center_id, center``.
 
-* K5 ``local_kmeans`` runs Lloyd's algorithm for **all blocks in one job
-  per step**: each point meets its own block's centers through a broadcast
-  of the (blocks x k) center table, the nearest center is an in-row
-  ``array_min`` over ``(distance, cluster)`` structs (ties -> lowest id),
-  and new centers are ``Summarizer.mean`` per ``(block, cluster)``
-  (partially aggregated).  The tiny center table is checkpointed to the
-  shared checkpoint folder after every step, so lineage stays short and a
-  lost executor never replays earlier steps.
+* K5 ``local_kmeans`` and ``local_bisecting`` advance **all blocks in one job
+  per step** (``block_centers``): points are dealt to chunks once, a chunk meets
+  its own block's centers, finds the nearest by matrix products (ties -> lowest
+  id) and returns sums, which Spark adds by ``(block, cluster)``.  The tiny
+  center table is checkpointed to the shared checkpoint folder after every
+  step, so lineage stays short and a lost executor never replays earlier steps.
 * K7 second level: MLlib KMeans / BisectingKMeans on the pooled centers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import sq_distance
-from tessera.operators.blocks import BLOCK, hold, release
-from tessera.session import ensure_checkpoint_dir
+from tessera.operators.block_centers import (bisect_large, bisect_whole, distances, farthest_step, kmeans_whole,
+                                             lloyd_sums, nearest)
+from tessera.operators.blocks import BLOCK
+from tessera.operators.lockstep import CHUNK_ROWS, Dealt, checkpointed, deal, matrix
 
-# Largest center table (bytes) shipped by broadcast at once.
-BROADCAST_CENTERS = 256 << 20
+# Largest center table (bytes) shipped at once.
+BROADCAST_CENTERS = 64 << 20
 
 
 def center_bytes(centers: DataFrame) -> int:
@@ -52,21 +53,18 @@ def init_lowest(points: DataFrame, k: int, order: str = "row_id", col: str = BLO
             .select(col, (F.col("_r") - 1).cast("int").alias("cluster"), F.col("features").alias("center")))
 
 
-def init_farthest(points: DataFrame, k: int, order: str = "row_id", col: str = BLOCK) -> DataFrame:
+def init_farthest(points: DataFrame | Dealt, k: int, order: str = "row_id", col: str = BLOCK) -> DataFrame:
     """Initial centers by farthest-first traversal per block: the lowest
     ``order`` point, then k-1 times the point farthest from the centers so
-    far (ties -> lowest ``order``).  One aggregate pass per center, all
-    blocks at once; deterministic."""
-    centers = _checkpointed(init_lowest(points, 1, order, col))
+    far (ties -> lowest ``order``).  One pass per center, all blocks at once;
+    deterministic."""
+    dealt = points if isinstance(points, Dealt) else deal(points.select(col, order, "features"), order, col)
+    centers = checkpointed(init_lowest(dealt.rows, 1, order, col).join(F.broadcast(dealt.sizes.select(col)), col, "left_semi"))
     for c in range(1, k):
-        n = center_bytes(centers)
-        cs = _centers_by_block(centers, col)
-        dmin = F.array_min(F.transform("_cs", lambda s: sq_distance(F.col("features"), s["center"])))
-        far = (points.join(_bcast(cs, n), col)
-               .groupBy(col)
-               .agg(F.max_by("features", F.struct(dmin.alias("d"), (-F.col(order)).alias("o"))).alias("center"))
-               .select(col, F.lit(c).alias("cluster"), "center"))
-        centers = _checkpointed(centers.unionByName(far))
+        far = farthest_step(dealt, centers, order)
+        centers = checkpointed(centers.unionByName(far.select(col, F.lit(c).alias("cluster"), "center")))
+    if dealt is not points:
+        dealt.release()
     return centers
 
 
@@ -87,67 +85,70 @@ def assign_local(points: DataFrame, centers: DataFrame, n_bytes: int | None = No
             .withColumn(out, nearest["c"]).drop("_cs"))
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def lloyd_step(points: DataFrame, centers: DataFrame, n_bytes: int, col: str = BLOCK) -> DataFrame:
-    """One Lloyd step for all blocks; empty clusters keep their center."""
-    assigned = assign_local(points, centers, n_bytes, col)
-    means = (assigned.groupBy(col, "cluster")
-             .agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
-             .select(col, "cluster", vector_to_array("_m").alias("_new")))
-    return (centers.join(_bcast(means, n_bytes), [col, "cluster"], "left")
-            .select(col, "cluster", F.coalesce("_new", "center").alias("center")))
+def lloyd_step(points: DataFrame | Dealt, centers: DataFrame, n_bytes: int, col: str = BLOCK) -> DataFrame:
+    """One Lloyd step for all blocks; empty clusters keep their center.
+    ``n_bytes`` is the size of the center table (``center_bytes``)."""
+    dealt = points if isinstance(points, Dealt) else deal(points.select(col, "features"), "features", col)
+    means = lloyd_sums(dealt, centers)
+    out = (centers.join(_bcast(means, n_bytes), [col, "cluster"], "left")
+           .select(col, "cluster", F.coalesce("_new", "center").alias("center")))
+    if dealt is not points:
+        out = checkpointed(out)
+        dealt.release()
+    return out
 
 
 def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_id",
-                 col: str = BLOCK, init: str | DataFrame = "farthest", tol: float = 0.0) -> DataFrame:
+                 col: str = BLOCK, init: str | DataFrame = "farthest", tol: float = 0.0,
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """K5 (k-means): ``block_id, cluster, center`` once no center moves by more
     than ``tol``, or after ``steps`` steps.
 
     ``init``: ``"farthest"`` (farthest-first from the lowest id),
     ``"lowest"`` (the k lowest ids) or a center table; all repeatable.
+    A block that fits one chunk takes all its steps in one job.
     """
-    pts, owned = hold(points.select(col, order, "features"))
-    if isinstance(init, DataFrame):
-        start = init
-    elif init == "lowest":
-        start = init_lowest(pts, k, order, col)
-    elif init == "farthest":
-        start = init_farthest(pts, k, order, col)
-    else:
+    if not isinstance(init, DataFrame) and init not in ("lowest", "farthest"):
         raise ValueError("init must be 'farthest', 'lowest' or a DataFrame")
-    centers = _checkpointed(start)
-    n = center_bytes(centers)
-    for _ in range(steps):
-        old = centers.withColumnRenamed("center", "_old")
-        centers = _checkpointed(lloyd_step(pts, centers, n, col))
-        far = centers.join(old, [col, "cluster"]).agg(F.max(sq_distance(F.col("center"), F.col("_old")))).first()[0]
-        if far is None or far <= tol * tol:
-            break
-    release(pts, owned)          # the centers are checkpointed
-    return centers
-
-
-def local_bisecting(points: DataFrame, k: int, block_ids: Sequence[int], seed: int = 1,
-                    parallelism: int = 4, col: str = BLOCK, max_iter: int = 20) -> DataFrame:
-    """K5 (bisecting k-means): one MLlib fit per block from a bounded pool,
-    each a distributed job over that block's rows."""
-    from pyspark.ml.clustering import BisectingKMeans
-    pts, owned = hold(points.withColumn("vec", array_to_vector("features")))
+    given = init if isinstance(init, DataFrame) else None
+    dealt = deal(points.select(F.col(col).cast("int").alias(col), order, "features"), order, col, chunk_rows)
+    whole, large = dealt.split()
+    out = checkpointed(kmeans_whole(whole, given, k, steps, order, init == "farthest" if given is None else False, tol))
+    if large.any():
+        mine = F.broadcast(large.sizes.select(col))
+        start = given if given is not None else (
+            init_lowest(large.rows, k, order, col) if init == "lowest" else init_farthest(large, k, order, col))
+        centers = checkpointed(start.join(mine, col, "left_semi"))
+        n = center_bytes(centers)
+        for _ in range(steps):
+            old = centers.withColumnRenamed("center", "_old")
+            centers = checkpointed(lloyd_step(large, centers, n, col))
+            far = centers.join(old, [col, "cluster"]).agg(F.max(sq_distance(F.col("center"), F.col("_old")))).first()[0]
+            if far is None or far <= tol * tol:
+                break
+        out = checkpointed(out.unionByName(centers.select(*out.columns)))
+    dealt.release()              # the centers are checkpointed
+    return out
 
-    def _fit(b):
-        m = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="vec").fit(
-            pts.filter(F.col(col) == F.lit(int(b))))
-        return [(int(b), i, [float(x) for x in c]) for i, c in enumerate(m.clusterCenters())]
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = [r for part in pool.map(_fit, block_ids) for r in part]
-    release(pts, owned)
-    spark = points.sparkSession
-    return spark.createDataFrame(rows, f"{col} INT, cluster INT, center ARRAY<DOUBLE>")
+def local_bisecting(points: DataFrame, k: int, block_ids: Sequence[int] | None = None, seed: int = 1,
+                    parallelism: int = 4, col: str = BLOCK, max_iter: int = 20, order: str = "row_id",
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """K5 (bisecting k-means): ``block_id, cluster, center``.  The largest
+    leaves of every block are cut in two until it has k, all blocks together.
+    Starts are farthest points, so nothing is drawn: ``seed`` and
+    ``parallelism`` are kept for callers and have no effect."""
+    pts = points if block_ids is None else points.filter(F.col(col).isin([int(b) for b in block_ids]))
+    dealt = deal(pts.select(F.col(col).cast("int").alias(col), order, "features"), order, col, chunk_rows)
+    whole, large = dealt.split()
+    out = checkpointed(bisect_whole(whole, k, order, max_iter))
+    if large.any():
+        out = checkpointed(out.unionByName(bisect_large(large, k, order, max_iter)))
+    dealt.release()
+    # leaves in the order of the tree
+    depth = F.log2("node").cast("int")
+    place = F.col("node") / F.pow(F.lit(2.0), depth)
+    return out.select(col, (F.row_number().over(Window.partitionBy(col).orderBy(place, "node")) - 1).alias("cluster"), "center")
 
 
 # ---------------------------------------------------------------------- K6, K7
@@ -191,21 +192,39 @@ def two_level(points: DataFrame, k: int, algo: str, block_ids: Sequence[int], st
 # ---------------------------------------------------------------------- K8-K10
 def _with_nearest(points: DataFrame, vec: str, centers: DataFrame, center_id: str, limit: int) -> DataFrame:
     """points with ``_best`` = (distance, center) of the nearest center (ties ->
-    lowest id).  The centers come as one broadcast array row; above ``limit``
-    bytes they come in groups, a pass over the points each, and a checkpoint
-    between the passes lets a group go before the next comes."""
+    lowest id).  The centers go to the tasks in groups of up to ``limit`` bytes;
+    each keeps the best so far, in one pass over the points and without a shuffle."""
     groups = max(1, -(-center_bytes(centers) // limit))
-    out = points
+    kind = centers.schema[center_id].dataType
+    out = points.withColumn("_d", F.lit(None).cast("double")).withColumn("_c", F.lit(None).cast(kind))
+    schema, at = out.schema, points.columns.index(vec)
     for g in range(groups):
         part = centers if groups == 1 else centers.filter(F.pmod(F.xxhash64(center_id), F.lit(groups)) == g)
-        row = part.agg(F.collect_list(F.struct(F.col(center_id).alias("c"), F.col("center"))).alias("_cs"))
-        near = F.array_min(F.transform("_cs", lambda s: F.struct(sq_distance(F.col(vec), s["center"]).alias("d"),
-                                                                 s["c"].alias("c"))))
-        best = F.least("_best", near) if g else near
-        out = out.crossJoin(F.broadcast(row)).withColumn("_best", best).drop("_cs")   # one row
-        if g < groups - 1:
-            out = _checkpointed(out)
-    return out
+        table = part.select(F.col(center_id).alias("c"), "center").orderBy("c").toArrow()
+        if not len(table):
+            continue
+        ids, where = table["c"].combine_chunks(), matrix(table["center"])
+
+        def run(batches, ids=ids, where=where):
+            for batch in batches:
+                cols = batch.columns
+                real = np.flatnonzero(cols[at].is_valid().to_numpy(zero_copy_only=False))
+                x = matrix(pa.chunked_array([cols[at].take(pa.array(real))]))
+                if len(real):
+                    best = nearest(x, where)
+                    d = np.full(len(batch), np.nan)
+                    d[real] = distances(x, where[best])
+                    to = np.zeros(len(batch), np.int64)
+                    to[real] = best
+                    new_d, new_c = pa.array(d, mask=np.isnan(d)), ids.take(pa.array(to, mask=np.isnan(d)))
+                    old_d, old_c = cols[-2], cols[-1]
+                    closer = pc.or_kleene(pc.is_null(old_d), pc.or_kleene(pc.less(new_d, old_d), pc.and_kleene(
+                        pc.equal(new_d, old_d), pc.less(new_c, old_c)))).fill_null(False)
+                    cols[-2:] = [pc.if_else(closer, new_d, old_d), pc.if_else(closer, new_c, old_c)]
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+        out = out.mapInArrow(run, schema)
+    return out.withColumn("_best", F.struct(F.col("_d").alias("d"), F.col("_c").alias("c"))).drop("_d", "_c")
 
 
 def assign_nearest(points: DataFrame, centers: DataFrame, out: str = "cluster",
