@@ -188,7 +188,7 @@ def _one(text: str | None) -> np.ndarray:
 def clean(docs: DataFrame, bench: DataFrame, p: Params = Params()) -> DataFrame:
     """docs without the contaminated documents."""
     bad = contaminated(docs, bench, p).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 
 def op2(docs: DataFrame, bench: DataFrame, p: Params = Params()) -> DataFrame:

@@ -334,6 +334,19 @@ FULL = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), re.compile(r"[0-9]+(\.[
         re.compile(r"[0-9][0-9 .-]{10,}[0-9]"), re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]"))
 
 
+def passes(kind: int, span: str) -> bool:
+    """The checks of the patterns, on a span of the field: an address has four parts
+    up to 255, a card 14 to 19 digits passing Luhn, a phone up to 15 digits."""
+    digits = [int(x) for x in span if x in "0123456789"]
+    if kind == 1:
+        parts = span.split(".")
+        return len(parts) == 4 and all(len(x) <= 255 and int(x) <= 255 for x in parts)
+    if kind == 2:
+        twice = [x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(digits))]
+        return 14 <= len(digits) <= 19 and sum(twice) % 10 == 0
+    return kind == 0 or len(digits) <= 15
+
+
 def added(w: Words, labels: np.ndarray, texts: list[str | None], base: list[list]) -> list[list[tuple[int, int, int]]]:
     """The decoded entities of each text that overlap no pattern span."""
     out: list[list] = [[] for _ in texts]
@@ -352,7 +365,7 @@ def added(w: Words, labels: np.ndarray, texts: list[str | None], base: list[list
             s += 1
         while s < e and not LAST[k].match(text[e - 1]):
             e -= 1
-        if s < e and FULL[k].fullmatch(text, s, e) and not any(a < e and s < b for a, b, _ in base[d]):
+        if s < e and FULL[k].fullmatch(text, s, e) and passes(k, text[s:e]) and not any(a < e and s < b for a, b, _ in base[d]):
             out[d].append((s, e, k))
     return out
 

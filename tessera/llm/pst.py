@@ -278,7 +278,8 @@ def score(docs: DataFrame, tree: Tree, w: Words, beta: float) -> DataFrame:
                 tree_sum = np.add.reduceat(lp, last - np.bincount(d, minlength=n))
                 known = np.bincount(dh, minlength=n) + (w.ends > 0)
                 size = ((np.bincount(d, minlength=n) + 1) << 32) + known
-                row = K.mix(K.per_text(np.add, K.mix(h, 11), d, n), 12)
+                place = (np.arange(len(h)) - np.searchsorted(d, d)).astype(K.U64)     # so that the order of the words counts
+                row = K.mix(K.per_text(np.add, K.mix(h ^ K.mix(place, 14), 11), d, n), 12)
                 rare = np.flatnonzero(~hot)
                 at = np.concatenate([np.arange(n), d[rare]])
                 zeros = np.zeros(len(rare))

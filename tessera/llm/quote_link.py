@@ -81,16 +81,18 @@ def _hash(text: Column) -> Column:
 
 
 def links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, no, level, to_conv, to_turn) of the passages that link;
-    no is the place of the passage in its message."""
-    known = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "body", "passages")
+    """(conv_id, turn, own, no, level, to_conv, to_turn) of the passages that link;
+    own signs the text of the message, as two may share conv_id and turn; no is the
+    place of the passage in its message."""
+    known = (parsed.filter("conv_id is not null and turn is not null")
+             .select("conv_id", "turn", "body", "passages", F.xxhash64("text").alias("own")))
     # rank 0: the whole passage, 1: a part of it; far: evidence in other conversations too
     whole = F.struct(F.lit(0).alias("rank"), _norm(F.array_join("q.lines", " ")).alias("t"), F.lit(1).alias("n"))
     parts = F.transform(_parts(F.col("q.lines")), lambda x: F.struct(F.lit(1).alias("rank"), x["t"].alias("t"), x["n"].alias("n")))
-    quotes = (known.select("conv_id", "turn", F.posexplode("passages").alias("no", "q"))
-              .select("conv_id", "turn", "no", F.col("q.v").alias("level"), F.explode(F.concat(F.array(whole), parts)).alias("k"))
+    quotes = (known.select("conv_id", "turn", "own", F.posexplode("passages").alias("no", "q"))
+              .select("conv_id", "turn", "own", "no", F.col("q.v").alias("level"), F.explode(F.concat(F.array(whole), parts)).alias("k"))
               .filter("k.t != ''")
-              .select("conv_id", "turn", "no", "level", F.col("k.rank").alias("rank"), F.col("k.n").alias("n"),
+              .select("conv_id", "turn", "own", "no", "level", F.col("k.rank").alias("rank"), F.col("k.n").alias("n"),
                       ((F.col("k.rank") == 0) | (F.length("k.t") >= MIN_LINE)).alias("far"), _hash(F.col("k.t")).alias("h"))
               .distinct())
     quotes = keep(quotes)
@@ -114,10 +116,10 @@ def links(parsed: DataFrame) -> DataFrame:
              .withColumn("away", F.when(F.col("far"), F.when(F.col("a.conv_id") != F.col("conv_id"), F.col("a")).otherwise(F.col("b"))))
              .withColumn("to", F.when(F.col("near").isNotNull(), F.struct("conv_id", "near")).otherwise(F.col("away")))
              .filter("to is not null"))
-    votes = found.groupBy("conv_id", "turn", "no", "rank", "to").agg(F.sum("n").alias("n"), F.min("level").alias("level"))
+    votes = found.groupBy("conv_id", "turn", "own", "no", "rank", "to").agg(F.sum("n").alias("n"), F.min("level").alias("level"))
     best = F.min(F.struct("rank", (-F.col("n")).alias("n"), (F.col("to.conv_id") != F.col("conv_id")).alias("away"), "to", "level"))
-    return (votes.groupBy("conv_id", "turn", "no").agg(best.alias("m"))
-            .select("conv_id", "turn", "no", F.col("m.level").alias("level"), F.col("m.to.conv_id").alias("to_conv"),
+    return (votes.groupBy("conv_id", "turn", "own", "no").agg(best.alias("m"))
+            .select("conv_id", "turn", "own", "no", F.col("m.level").alias("level"), F.col("m.to.conv_id").alias("to_conv"),
                     F.col("m.to.near").alias("to_turn")))
 
 
@@ -146,14 +148,15 @@ def conversations(messages: DataFrame) -> DataFrame:
     reply_turn, thread and level of every message."""
     parsed = parse(messages.select("conv_id", "turn", "role", "text"))
     found = keep(links(parsed))
-    own = found.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(
+    own = found.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("own").alias("_o")).agg(
         F.count("*").alias("n_linked"),
         F.min(F.when(F.col("level") == 1, F.struct("no", "to_conv", "to_turn"))).alias("r"))
     across = found.filter("conv_id != to_conv").select(F.col("conv_id").alias("conv"), F.col("to_conv").alias("parent"))
     roots = components(across, "conv", "parent")
     place = roots.join(levels(across).withColumnRenamed("conv", "node"), "node", "left").select(
         F.col("node").alias("_n"), "root", "level")
-    out = (parsed.join(own, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    out = (parsed.join(own, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))
+                       & (F.xxhash64("text") == F.col("_o")), "left")
            .join(place, F.col("conv_id") == F.col("_n"), "left"))
     return out.select(
         "conv_id", "turn", "role", "body", F.size("passages").cast("long").alias("n_passages"),

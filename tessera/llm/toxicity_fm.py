@@ -18,7 +18,8 @@ Null and empty texts have no terms and score sigmoid(b).  Null ids, repeated
 rows and extra columns pass through: one result row for each input row.  An
 empty table gives an empty result.  Without labels of both classes, or without
 a term in ``min_df`` sample rows, nothing can be learnt: the score is the label
-rate, the machine is not ``usable``, and no document is predicted toxic.
+rate, but half the threshold at most, so no document is predicted toxic, and the
+machine is not ``usable``.
 """
 
 from __future__ import annotations
@@ -117,7 +118,8 @@ def learn(vocab: np.ndarray, df: np.ndarray, at: np.ndarray, size: np.ndarray, y
     """The machine from the vocabulary, the sample rows that have each term, and the
     rows' terms (``numbers``)."""
     rate = (y.sum() + 1) / (len(y) + 2)
-    none = Machine(np.zeros(0, K.U64), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, p.rank)),
+    low = min(rate, THRESHOLD / 2)          # nothing learnt: nothing is predicted
+    none = Machine(np.zeros(0, K.U64), float(np.log(low / (1 - low))), np.zeros(0), np.zeros((0, p.rank)),
                    usable=False)
     if len(y) == 0 or y.min() == y.max() or len(vocab) == 0:
         return none
@@ -215,4 +217,4 @@ def op3(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     machine = train(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2, p)
     s = score(docs.select("doc_id", "text"), machine)
     return s.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
-                    toxic(machine).cast("int").alias("predicted"))
+                    (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
