@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import itemset_key, tag_items, tagged_block, untag_items
+from tessera.operators.block_mining import mine_blocks
 from tessera.operators.blocks import BLOCK, block_inventory, hold, materialise, release
 
 # Estimated bytes up to which recount broadcasts the candidates; above it the
@@ -128,13 +129,16 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
                    n_blocks: int | None = None, min_count: int = 1,
                    num_partitions: int | None = None, col: str = BLOCK,
                    sizes: dict[int, int] | None = None,
-                   blocks_per_run: int | None = None, band: float = BAND) -> DataFrame:
+                   blocks_per_run: int | None = None, band: float = BAND, miner: str = "bitmaps") -> DataFrame:
     """frequent itemsets of every block on its own.
 
     Returns ``block_id, items, support`` with ``support >= threshold_b``
-    (persisted: mining runs once however often the result is read).
+    (checkpointed or persisted: mining runs once however often the result is read).
 
-    Blocks whose thresholds lie within a factor ``band`` are mined together
+    ``miner="bitmaps"`` grows the itemsets of all blocks together
+    (``block_mining``): nothing but the block sizes is on the driver, whatever the
+    number of blocks and items.  ``miner="trees"``, and items that are not ints, take
+    MLlib's FP-growth over block-tagged items: blocks whose thresholds lie within a factor ``band`` are mined together
     at the least of them (``threshold_bands``).  MLlib gathers the frequent
     tagged single items on the driver: a block has at most
     ``n_b * mean basket length / count`` of them, so about blocks * mean
@@ -147,6 +151,10 @@ def local_itemsets(tx: DataFrame, min_support: float, threshold: str = "own",
         release(tx, owned)
         return tx.sparkSession.createDataFrame([], f"{col} INT, items ARRAY<INT>, support BIGINT")
     thr = threshold_counts(sizes, min_support, threshold, n_blocks, min_count)
+    if miner == "bitmaps" and int_items(tx):
+        out = mine_blocks(tx, tx.sparkSession.createDataFrame(sorted(thr.items()), f"{col} INT, threshold BIGINT"), col)
+        release(tx, owned)
+        return out
     step = blocks_per_run or len(thr)
     groups = [g[i:i + step] for g in threshold_bands(thr, band) for i in range(0, len(g), step)]
     parts = [_mine_tagged(tx if len(groups) == 1 else tx.filter(F.col(col).isin(g)), {b: thr[b] for b in g},
@@ -188,13 +196,22 @@ def _mine_tagged(tx: DataFrame, thr: dict[int, int], n: int, num_partitions: int
 
 
 # ---------------------------------------------------------------------- F1, F2
+def int_items(tx: DataFrame) -> bool:
+    return tx.schema["items"].dataType.simpleString() == "array<int>"
+
+
 def exact_itemsets(tx: DataFrame, min_support: float, num_partitions: int | None = None,
-                   n_rows: int | None = None) -> DataFrame:
-    """exact FP-growth on the given rows: ``items, support, frequency``."""
+                   n_rows: int | None = None, miner: str = "bitmaps") -> DataFrame:
+    """exact frequent itemsets of the given rows: ``items, support, frequency``.
+    The rows are one block of many chunks; ``miner="trees"``, and items that are
+    not ints, take MLlib's FP-growth, as wide as the frequent items."""
     items = tx.select("items")
     n = n_rows if n_rows is not None else items.count()
     if n == 0:
         return tx.sparkSession.createDataFrame([], "items ARRAY<INT>, support BIGINT, frequency DOUBLE")
+    if miner == "bitmaps" and int_items(tx):
+        least = tx.sparkSession.createDataFrame([(0, max(1, math.ceil(min_support * n)))], f"{BLOCK} INT, threshold BIGINT")
+        return with_frequency(mine_blocks(items.withColumn(BLOCK, F.lit(0)), least).select("items", "support"), max(n, 1))
     fp = FPGrowth(itemsCol="items", minSupport=float(min_support),
                   numPartitions=fp_partitions(tx.sparkSession, n, num_partitions))
     found = fp.fit(items).freqItemsets
