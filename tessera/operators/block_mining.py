@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.blocks import BLOCK
+from tessera.operators.blocks import BLOCK, materialise
 from tessera.operators.lockstep import CHUNK_ROWS, Dealt, checkpointed, deal
 
 #: (row, item) pairs counted at once
@@ -121,7 +121,10 @@ def mine_blocks(tx: DataFrame, thresholds: DataFrame, col: str = BLOCK, chunk_ro
     baskets = (tx.filter(F.size("items") > 0).groupBy(F.col(col).cast("int").alias(col), F.array_sort("items").alias("items"))
                .agg(F.count(F.lit(1)).alias("w")))
     thresholds = thresholds.select(F.col(col).cast("int").alias(col), F.col("threshold").cast("long").alias("threshold"))
+    baskets = materialise(baskets)
     dealt = deal(baskets, "items", col, chunk_rows)
+    dealt.rows.count()
+    baskets.unpersist()
     whole, large = dealt.split()
 
     def all_lengths(rows: pa.Table, state: pa.Table) -> pa.Table:

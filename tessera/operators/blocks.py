@@ -16,7 +16,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import block_hash, hash_rank_key
@@ -213,6 +213,34 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
+def _draw(key, seed) -> Column:
+    """60 bits of ``md5('<seed>:draw:<key>')``: a row's place in a random order that
+    is the same at every partitioning."""
+    text = F.concat(F.lit(f"{seed}:draw:"), F.col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def hash_sample(df: DataFrame, key: str, fraction: float, seed) -> DataFrame:
+    """B14, reproducible form: each row with probability ``fraction``, by the draw of
+    its key.  Narrow; a larger fraction keeps all rows of a smaller one."""
+    return df.filter(_draw(key, seed) < F.lit(int(fraction * 2**60)))
+
+
+def exact_split(df: DataFrame, key: str, fraction: float, seed, out: str = "role") -> DataFrame:
+    """B12 of exact size: the ``floor(fraction * n)`` rows of the lowest draws are
+    ``train``, the others ``test`` (keys unique); without replacement, by counting
+    (``nth_in_group``), so no row is moved.  ``fraction < 0`` keeps all for
+    training (B13)."""
+    if fraction == 0:
+        raise ValueError("fraction must not be 0")
+    if fraction < 0 or fraction >= 1:
+        return df.withColumn(out, F.lit("train"))
+    drawn = df.withColumn("_draw", _draw(key, seed))
+    cut = nth_in_group(drawn.withColumn("_all", F.lit(0)), "_all", "_draw", fraction).first()    # one row
+    last = cut["nth"] if cut is not None and cut["nth"] is not None else -1
+    return drawn.withColumn(out, F.when(F.col("_draw") <= F.lit(last), F.lit("train")).otherwise(F.lit("test"))).drop("_draw")
+
+
 # ---------------------------------------------------------------------- B15
 def rank_within(df: DataFrame, group: str, order: str, out: str = "pos",
                 size_out: str | None = None) -> DataFrame:
@@ -257,7 +285,7 @@ def nth_in_group(df: DataFrame, group: str, order: str, fraction: float, cells:
     all groups).  Values must lie within 2^62 of 0.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(F.col(group).alias("g"), F.col(order).cast("long").alias("v")).filter("v is not null")
+    rows = materialise(df.select(F.col(group).alias("g"), F.col(order).cast("long").alias("v")).filter("v is not null"))   # 16 bytes a row
     found = (rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
              .withColumn("want", F.floor(F.lit(float(fraction)) * F.col("n")).cast("long")).checkpoint(eager=True))
     bins = min(4096, max(16, cells // max(1, found.count())))
@@ -273,6 +301,7 @@ def nth_in_group(df: DataFrame, group: str, order: str, fraction: float, cells:
         found = moved.select("g", "n", F.expr("if(bin is null, lo, lo + bin * step)").alias("lo"),
                              F.expr("if(bin is null, hi, least(hi, lo + (bin + 1) * step - 1))").alias("hi"),
                              F.expr("want - coalesce(before, 0)").alias("want")).checkpoint(eager=True)
+    rows.unpersist()
     return found.select(F.col("g").alias(group), "n", F.when(F.col("want") > 0, F.col("lo")).alias("nth"))
 
 

@@ -190,7 +190,8 @@ def fit_together(rows: DataFrame, algo: str, labels: list, label: str = "label",
     y = (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1).cast("int")
     rows = rows.filter(F.col(label).isNotNull()).select(F.col(col).cast("int").alias(col), order, "role", y.alias("y"),
                                                         F.col(features).alias("features"))
-    d = rows.select(F.max(F.size("features"))).first()[0] or 0
+    one = rows.filter("features is not null").select(F.size("features")).first()      # all rows have as many
+    d = one[0] if one else 0
     k = max(2, len(labels))
     if algo in ("DT", "RF"):
         return BlockModels(fit_forests(rows, TreeSettings.of(algo, d, seed, **params), d, k, order, col), labels)

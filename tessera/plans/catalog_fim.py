@@ -15,8 +15,8 @@ from tessera.operators import blocks as B
 from tessera.operators import fim
 from tessera.plans import fim_runs
 from tessera.session import apply_defaults, ensure_checkpoint_dir
-from tessera.sources import (baskets, item_dictionary, read_blocked, read_blocked_text, read_text_transactions,
-                             write_blocked_text)
+from tessera.sources import (baskets, item_dictionary, read_blocked, read_blocked_text, read_centers, read_table,
+                             read_text_transactions, write_blocked_text, write_itemsets_csv, write_text_lines)
 
 # fixed parameters of the registered queries
 SEED = 42            # block assignment seed
@@ -264,15 +264,53 @@ def q_fim_sweep_support(spark, sf):
 
 
 def q_row_sample(spark, sf):
-    """Bernoulli 10 % row sample (a sampling operator: rows-only)."""
-    return B.bernoulli_sample(baskets(spark, sf), 0.1, SEED).select("tid")
+    """10 % row sample by the draw of the row."""
+    return B.hash_sample(baskets(spark, sf), "tid", 0.1, SEED).select("tid")
 
 
 def q_row_random_split(spark, sf):
-    """Spark's seeded ``randomSplit`` 90/10, tagged (rows-only)."""
-    train, test = B.random_split(baskets(spark, sf), SPLIT, SEED)
-    return (train.select("tid", F.lit("train").alias("role"))
-            .unionByName(test.select("tid", F.lit("test").alias("role"))))
+    """Random split of exact size, 90/10."""
+    return B.exact_split(baskets(spark, sf), "tid", SPLIT, SEED).select("tid", "role")
+
+
+def q_row_all_train(spark, sf):
+    """A negative fraction keeps every row for training."""
+    return B.exact_split(baskets(spark, sf), "tid", -1.0, SEED).select("tid", "role")
+
+
+def q_block_merge(spark, sf):
+    """All blocks merged into one."""
+    return B.assign_blocks(blocked_baskets(spark, sf).drop("block_id"), "tid", 1, SEED).select("tid", "block_id")
+
+
+def q_fim_csv(spark, sf):
+    """The exact itemsets through a single CSV file, every value read back."""
+    path = _scratch(spark, "csv")
+    write_itemsets_csv(fim.exact_itemsets(baskets(spark, sf), MIN_SUPPORT), path)
+    return spark.read.schema("items STRING, support LONG, frequency DOUBLE").csv(path)
+
+
+def q_fim_lines(spark, sf):
+    """The exact itemsets through a single text file, every line read back."""
+    path = _scratch(spark, "lines")
+    write_text_lines(fim.exact_itemsets(baskets(spark, sf), MIN_SUPPORT), path)
+    return spark.read.text(path)
+
+
+def q_centers_by_name(spark, sf):
+    """Centers stored under two names, one of them read by ``path:name``."""
+    v = read_table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.avg("l_quantity").alias("q"))
+    for_name = lambda name, shift: v.agg(F.lit(name).alias("name"), F.transform(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))),
+        lambda x: F.array(x["l_linenumber"].cast("double"), F.round(x["q"] + shift, 6).cast("double"))).alias("centers"))
+    path = _scratch(spark, "centers")
+    for_name("plain", 0).unionByName(for_name("shifted", 1)).write.parquet(path)
+    return read_centers(spark, f"{path}:shifted").select("center_id", F.col("center")[0].alias("x"), F.col("center")[1].alias("y"))
+
+
+def _scratch(spark, what: str) -> str:
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def q_fim_written(spark, sf):
@@ -317,6 +355,11 @@ QUERIES = {
     "fim_sum_sparse": q_fim_sum_sparse,
     "row_sample": q_row_sample,
     "row_random_split": q_row_random_split,
+    "row_all_train": q_row_all_train,
+    "block_merge": q_block_merge,
+    "fim_csv": q_fim_csv,
+    "fim_lines": q_fim_lines,
+    "centers_by_name": q_centers_by_name,
     "fim_written": q_fim_written,
     "fim_sum_skewed": q_fim_sum_skewed,
     "fim_exact_blocks": q_fim_exact_blocks,
@@ -327,6 +370,10 @@ QUERIES = {
 
 
 # ------------------------------------------------------------------ SQL twins
+def _draw(expr: str) -> str:
+    return f"('0x' || substr(md5('{SEED}:draw:' || CAST({expr} AS VARCHAR)), 1, 15))::BIGINT"
+
+
 def _hash(seed, expr: str) -> str:
     return f"('0x' || substr(md5('{seed}:' || CAST({expr} AS VARCHAR)), 1, 8))::BIGINT"
 
@@ -464,6 +511,14 @@ SQL = {
                           "SELECT tid, block_id FROM tx WHERE block_id IN (SELECT block_id FROM pick)"),
     "row_split": f"WITH {BASKETS.strip()} SELECT tid, CASE WHEN {_hash(f'{SEED}:split', 'tid')} % 10000 < "
                  f"{int(round(SPLIT * 10000))} THEN 'train' ELSE 'test' END AS role FROM tx",
+    "row_sample": f"WITH {BASKETS.strip()} SELECT tid FROM tx WHERE {_draw('tid')} < {int(0.1 * 2**60)}",
+    "row_random_split": f"""WITH {BASKETS.strip()},
+r AS (SELECT tid, row_number() OVER (ORDER BY {_draw('tid')}) AS pos, count(*) OVER () AS n FROM tx)
+SELECT tid, CASE WHEN pos <= CAST(floor({SPLIT}::DOUBLE * n) AS BIGINT) THEN 'train' ELSE 'test' END AS role FROM r""",
+    "row_all_train": f"WITH {BASKETS.strip()} SELECT tid, 'train' AS role FROM tx",
+    "block_merge": f"WITH {BASKETS.strip()} SELECT tid, 0 AS block_id FROM tx",
+    "centers_by_name": """SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS center_id,
+CAST(l_linenumber AS DOUBLE) AS x, CAST(round(avg(l_quantity) + 1, 6) AS DOUBLE) AS y FROM lineitem GROUP BY l_linenumber""",
     "block_holdout": _w(f"""
 r AS (SELECT tid, block_id, row_number() OVER (PARTITION BY block_id ORDER BY tid) AS pos,
              count(*) OVER (PARTITION BY block_id) AS n FROM tx)
@@ -549,3 +604,5 @@ SQL.update({
 
 SQL["fim_exact_blocks"] = SQL["fim_exact"]
 SQL["fim_written"] = SQL["fim_drop_singletons"]
+SQL["fim_csv"] = f"SELECT '[' || replace(trim(itemset, '{{}}'), ',', ', ') || ']' AS items, support, frequency FROM ({SQL['fim_exact']})"
+SQL["fim_lines"] = f"SELECT itemset || ': ' || support AS value FROM ({SQL['fim_exact']})"
