@@ -176,3 +176,34 @@ def _mined_by_length(dealt: Dealt, thresholds: DataFrame, kind: str) -> DataFram
         last = checkpointed(frequent(dealt.step(state, behind(size), kind)))
         out, size = out.unionByName(last), size + 1
     return out
+
+
+def supports_by_block(tx: DataFrame, itemsets: DataFrame, col: str = BLOCK, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``block, items, support``: how often each of ``itemsets`` (``items``,
+    ascending) occurs in every block that holds it, in one job."""
+    baskets = materialise(tx.filter(F.size("items") > 0).groupBy(F.col(col).cast("int").alias(col), F.array_sort("items").alias("items"))
+                          .agg(F.count(F.lit(1)).alias("w")))
+    dealt = deal(baskets, "items", col, chunk_rows)
+    state = itemsets.select("items").distinct().crossJoin(F.broadcast(dealt.sizes.select(col)))     # 4 bytes a block
+
+    def count(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(rows) or not len(wanted):
+            return _table(col, 0, [])
+        lists = wanted["items"].combine_chunks()
+        length = lists.value_lengths().to_numpy()
+        kept, parts = Baskets(rows, np.unique(lists.flatten().to_numpy())), []
+        for size in np.unique(length[length > 0]):
+            sets = kept.numbers(lists.filter(pa.array(length == size)).flatten().to_numpy().reshape(-1, size).astype(np.int64))
+            n = np.zeros(len(sets))
+            step = max(1, PAIRS // max(1, kept.n))
+            for lo in range(0, len(sets), step):
+                found = np.bitwise_and.reduce(kept.bits[sets[lo:lo + step]], axis=1)
+                n[lo:lo + step] = np.unpackbits(found, axis=1, count=kept.n) @ kept.weight
+            parts.append((kept.ids[sets[n > 0]] if len(sets) else sets, n[n > 0]))
+        return _table(col, rows[col][0].as_py(), parts)
+
+    found = dealt.step(state, count, f"{col} int, items array<int>, support long")
+    out = checkpointed(found.groupBy(col, "items").agg(F.sum("support").alias("support")))
+    dealt.release()
+    baskets.unpersist()
+    return out

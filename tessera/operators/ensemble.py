@@ -22,9 +22,10 @@ Rows are labelled vectors ``row_id, block_id, label, features ARRAY<DOUBLE>``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,25 @@ class BlockModels:
         """The models listed in ``kept`` (``model_id``)."""
         return BlockModels(self.fit.keep(kept), self.labels)
 
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """The kept models, their accuracies, settings and labels below ``path``."""
+        fit = self.fit
+        table = fit.nodes if isinstance(fit, Forests) else fit.theta
+        table.write.mode(mode).parquet(f"{path}/models")
+        fit.accuracy.write.mode(mode).parquet(f"{path}/accuracy")
+        about = {"kind": type(fit).__name__, "settings": asdict(fit.settings), "n_classes": fit.n_classes, "col": fit.col,
+                 "labels": self.labels, "n_features": getattr(fit, "n_features", None)}
+        table.sparkSession.createDataFrame([(json.dumps(about),)], "value STRING").coalesce(1).write.mode(mode).text(f"{path}/about")
+
+    @staticmethod
+    def load(spark, path: str) -> BlockModels:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        table, accuracy = spark.read.parquet(f"{path}/models"), spark.read.parquet(f"{path}/accuracy")
+        k, col = about["n_classes"], about["col"]
+        if about["kind"] == "Forests":
+            return BlockModels(Forests(table, accuracy, TreeSettings(**about["settings"]), k, col), about["labels"])
+        return BlockModels(Planes(table, accuracy, LinearSettings(**about["settings"]), k, about["n_features"], col), about["labels"])
+
     def __iter__(self):
         """One ``BlockModel`` a block; its ``model`` is the block's row of ``summary``."""
         for r in self.fit.summary().orderBy("model_id").collect():

@@ -263,6 +263,11 @@ def q_fim_sweep_support(spark, sf):
     return _keyed(fim_runs.sweep_support(blocked_baskets(spark, sf), SUPPORTS), "min_support", "support", "frequency")
 
 
+def q_fim_sweep_support_vote(spark, sf):
+    """the vote arm at several min-supports."""
+    return _keyed(fim_runs.sweep_support_vote(baskets(spark, sf), SUPPORTS, N_BLOCKS, VOTE, SEED), "min_support", "support", "votes")
+
+
 def q_row_sample(spark, sf):
     """10 % row sample by the draw of the row."""
     return B.hash_sample(baskets(spark, sf), "tid", 0.1, SEED).select("tid")
@@ -366,6 +371,7 @@ QUERIES = {
     "fim_sweep_exact": q_fim_sweep_exact,
     "fim_sweep_vote": q_fim_sweep_vote,
     "fim_sweep_support": q_fim_sweep_support,
+    "fim_sweep_support_vote": q_fim_sweep_support_vote,
 }
 
 
@@ -597,6 +603,10 @@ SQL.update({
          + _local(f"tv{n}", f"v{n}", "average", n),
          f"SELECT {KEY} AS itemset, {n} AS size, CAST(sum(support) // count(*) AS BIGINT) AS support, count(*) AS votes "
          f"FROM v{n}loc WHERE len(items) >= 2 GROUP BY items HAVING count(*) >= {n * VOTE}") for n in SWEEP]),
+    "fim_sweep_support_vote": _union([
+        (_local("tx", f"p{i}", "average", N_BLOCKS, s),
+         f"SELECT {KEY} AS itemset, {s}::DOUBLE AS min_support, CAST(sum(support) // count(*) AS BIGINT) AS support, count(*) AS votes "
+         f"FROM p{i}loc WHERE len(items) >= 2 GROUP BY items HAVING count(*) >= {N_BLOCKS * VOTE}") for i, s in enumerate(SUPPORTS)]),
     "fim_sweep_support": _w(_exact_sql("tx", min(SUPPORTS))
                             + f"\nSELECT {KEY} AS itemset, s AS min_support, support, frequency FROM exact, xn, "
                               f"(SELECT unnest({SUPPORTS}::DOUBLE[]) AS s) WHERE support >= ceil(s * n)"),

@@ -6,7 +6,7 @@
 * ``recount_arm`` - sampled blocks, candidates, exact recount, floor   (F6+F7)
 * ``exact_arm``   - MLlib FP-growth on the same rows                   (F1/F2)
 * ``sweep``, ``sweep_exact``, ``sweep_vote`` - one result per block count, unioned (F9)
-* ``sweep_support`` - one exact result per min-support, mined once      (F9)
+* ``sweep_support``, ``sweep_support_vote`` - one exact or voted result per min-support, mined once (F9)
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocks as B
 from tessera.operators import fim
+from tessera.operators.block_mining import supports_by_block
 from tessera.sources import sinks
 
 
@@ -93,11 +94,26 @@ def sweep(tx: DataFrame, sizes: Sequence[int], min_support: float,
 
 
 def sweep_exact(tx: DataFrame, sizes: Sequence[int], min_support: float) -> DataFrame:
-    """exact FP-growth on the first n blocks for every n in ``sizes``."""
+    """the exact arm on the first n blocks for every n in ``sizes``, from one
+    mining: what is frequent in some first blocks is frequent, at the same share,
+    in one of them, so the local itemsets hold every answer; their supports by
+    block, added up to each size, decide."""
     if not sizes:
         raise ValueError("sizes must not be empty")
-    return reduce(DataFrame.unionByName, [exact_arm(tx, min_support, n_first=s).withColumn("size", F.lit(int(s)))
-                                          for s in sizes])
+    rows = B.first_blocks(tx, max(sizes))
+    if not fim.int_items(rows):
+        return reduce(DataFrame.unionByName, [exact_arm(tx, min_support, n_first=s).withColumn("size", F.lit(int(s)))
+                                              for s in sizes])
+    bsz = fim.block_sizes(rows)
+    local = fim.local_itemsets(rows, min_support, "own", sizes=bsz)
+    upto = [F.sum(F.when(F.col(B.BLOCK) < s, F.col("support"))).alias(f"s{i}") for i, s in enumerate(sizes)]
+    counted = B.materialise(supports_by_block(rows, local).groupBy("items").agg(*upto))
+    parts = []
+    for i, s in enumerate(sizes):
+        n = sum(v for b, v in bsz.items() if b < s)
+        found = counted.select("items", F.col(f"s{i}").alias("support")).filter(F.col("support") >= max(1, math.ceil(min_support * n)))
+        parts.append(fim.with_frequency(found, max(n, 1)).withColumn("size", F.lit(int(s))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sweep_vote(tx: DataFrame, sizes: Sequence[int], min_support: float, vote: float, seed) -> DataFrame:
@@ -118,6 +134,24 @@ def sweep_support(tx: DataFrame, supports: Sequence[float]) -> DataFrame:
                                           .withColumn("min_support", F.lit(float(s))) for s in supports])
 
 
+def sweep_support_vote(tx: DataFrame, supports: Sequence[float], n_blocks: int, vote: float, seed,
+                       key: str = "tid") -> DataFrame:
+    """the vote arm for every min-support, with a ``min_support`` column.  The
+    blocks are mined once, at the least support; a larger one raises the
+    blocks' common threshold."""
+    if not supports:
+        raise ValueError("supports must not be empty")
+    rows = B.materialise(B.assign_blocks(tx.drop(B.BLOCK), key, n_blocks, seed))
+    sizes = fim.block_sizes(rows)
+    local = fim.local_itemsets(rows, min(supports), "average", n_blocks=n_blocks, sizes=sizes)
+    rows.unpersist()
+    parts = []
+    for s in supports:
+        least = max(fim.threshold_counts(sizes, s, "average", n_blocks).values(), default=1)
+        parts.append(fim.merge_vote(local.filter(F.col("support") >= least), n_blocks, vote).withColumn("min_support", F.lit(float(s))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_result(itemsets: DataFrame, head: str, n_blocks: int, arm: str,
                  csv_path: str | None = None, mode: str = "overwrite") -> int:
     """S4 + S5 + P6: drop 1-itemsets, write ``<head>_<n>Block_<arm>.parquet``

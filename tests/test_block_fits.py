@@ -164,3 +164,15 @@ def test_cut_by_counting(spark, fraction):
         assert got[b] == (len(mine), mine[want - 1] if want else None)
     plan = B.holdout_in_block(df, "row_id", fraction)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("algo", ["RF", "LR"])
+def test_saved_ensemble(spark, tmp_path, algo):
+    _, df = _rows(spark)
+    df = df.withColumnRenamed("y", "label")
+    models = E.fit_together(df, algo, [0, 1, 2], **({"numTrees": 3} if algo == "RF" else {}))
+    models.keep(models.accuracy.filter("model_id < 2")).save(f"file://{tmp_path}/ensemble")
+    back = E.BlockModels.load(spark, f"file://{tmp_path}/ensemble")
+    assert [m.block_id for m in back] == [0, 1] and back.accuracy.count() == 3 and back.labels == [0, 1, 2]
+    want, got = (sorted((r.row_id, r.prediction) for r in E.voted(m, df).collect()) for m in (models.keep(models.accuracy.filter("model_id < 2")), back))
+    assert want == got
