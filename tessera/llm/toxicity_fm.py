@@ -8,9 +8,12 @@ mention) can weigh more, or less, than its terms do alone:
     z = b + sum_i w_i + sum_{i<j} <v_i, v_j>
 
 It is fitted on a bounded sample of labelled rows (``sample_rows``) by
-AdaGrad with soft-thresholded weights; terms in fewer than ``min_df`` sample
-rows are left out, and only terms in ``pair_share`` of them have factors, as the
-pairs of rarer ones are mostly chance.  The terms are counted and looked up in the
+AdaGrad with soft-thresholded weights.  Every term of the vocabulary, those in
+``min_df`` sample rows or more, has a weight and factors.  The weights go first
+(``warm`` epochs); then the factors join, shrunk by penalty / (rows with the term),
+so that a rare term needs more evidence, under penalties that fall from one
+stage of ``stage`` epochs to the next: strong pairs are learnt before weak ones,
+and what is left for chance pairs to explain is small.  The terms are counted and looked up in the
 tasks; the driver gets the vocabulary and the term numbers, no texts.  The model is at most sample rows x terms large and is
 shipped to the tasks; every whole text is scored in Arrow batches.
 
@@ -44,14 +47,14 @@ STEMS = (4, 5)
 class Params:
     sample_rows: int = 10_000
     rank: int = 4
-    epochs: int = 12
+    warm: int = 10
+    stage: int = 5
+    penalties: tuple[float, ...] = (10.0, 1.0, 0.1)
     batch: int = 128
     rate: float = 0.2
-    rate_v: float = 0.02
-    pair_share: float = 0.02
-    spread: float = 0.01
+    rate_v: float = 0.05
+    spread: float = 0.02
     l1: float = 1e-3
-    l2: float = 2e-2
     min_df: int = 4
     seed: int = 7
 
@@ -123,14 +126,14 @@ def learn(vocab: np.ndarray, df: np.ndarray, at: np.ndarray, size: np.ndarray, y
                    usable=False)
     if len(y) == 0 or y.min() == y.max() or len(vocab) == 0:
         return none
-    # weights for all terms of the vocabulary, factors for the frequent ones only
-    deep = (df >= p.pair_share * len(y))[:, None]
     bounds = np.concatenate([[0], np.cumsum(size)])
     rng = np.random.default_rng(p.seed)
-    w, v = np.zeros(len(vocab)), rng.normal(0, p.spread, (len(vocab), p.rank)) * deep
-    gw, gv = np.full(len(vocab), 1e-2), np.full(v.shape, 1e-2)
+    w, v = np.zeros(len(vocab)), np.zeros((len(vocab), p.rank))
+    gw, gv = np.full(len(vocab), 1e-2), np.full(v.shape, 1e-6)
     b, gb = none.bias, 1.0
-    for _ in range(p.epochs):
+    for shrink in [None] * p.warm + [x for x in p.penalties for _ in range(p.stage)]:
+        if shrink is not None and not v.any():
+            v = rng.normal(0, p.spread, v.shape)
         perm = rng.permutation(len(y))
         for lo in range(0, len(y), p.batch):
             rows = np.sort(perm[lo:lo + p.batch])
@@ -138,7 +141,10 @@ def learn(vocab: np.ndarray, df: np.ndarray, at: np.ndarray, size: np.ndarray, y
             dd = np.repeat(np.arange(len(rows)), size)
             flat = np.repeat(bounds[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             ids = at[flat]
-            z, s = _raw(b, w, v, dd, ids, len(rows))
+            if shrink is None:
+                z = b + K.per_text(np.add, w[ids], dd, len(rows))
+            else:
+                z, s = _raw(b, w, v, dd, ids, len(rows))
             g = (sigmoid(z) - y[rows]) / len(rows)
             gb += g.sum() ** 2
             b -= p.rate * g.sum() / np.sqrt(gb)
@@ -148,11 +154,13 @@ def learn(vocab: np.ndarray, df: np.ndarray, at: np.ndarray, size: np.ndarray, y
             step = p.rate / np.sqrt(gw[u])
             x = w[u] - step * dw
             w[u] = np.sign(x) * np.maximum(np.abs(x) - step * p.l1, 0)
+            if shrink is None:
+                continue
             near = g[dd, None] * (s[dd] - v[ids])
             dv = np.stack([np.bincount(k, weights=near[:, f], minlength=len(u)) for f in range(p.rank)], axis=1)
-            dv += p.l2 * v[u]
             gv[u] += dv ** 2
-            v[u] -= p.rate_v * dv / np.sqrt(gv[u]) * deep[u]
+            step = p.rate_v / np.sqrt(gv[u])
+            v[u] = (v[u] - step * dv) / (1 + step * shrink / df[u][:, None])
     return Machine(vocab, float(b), w, v)
 
 

@@ -185,6 +185,40 @@ def test_machine_learns_a_pair():
     assert ((s > 0.5) == (np.array(y[2000:]) > 0)).mean() > 0.98
 
 
+def rare_pair(rows: int, share: float, seed: int):
+    """Texts of 12 words; an insult or a group word, each in ``share`` of the rows, is toxic unless
+    the other one is there too, in half of these rows."""
+    rng = np.random.default_rng(seed)
+    texts, y, both = [], [], []
+    for r in rng.random(rows).tolist():
+        a, b = r < share, r < share / 2 or share <= r < 1.5 * share
+        words = [f"w{z % 2000}q" for z in rng.zipf(1.3, 12)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        y.append(float(a != b))
+        both.append(a and b)
+    return pa.array(texts), np.array(y), np.array(both)
+
+
+def predicted(m, texts: pa.Array) -> np.ndarray:
+    out = np.zeros(len(texts), bool)
+    for lo, hi, data, offs in K.chunks(texts):
+        out[lo:hi] = m.score(*toxicity_fm.terms(data, offs), hi - lo) >= toxicity_fm.THRESHOLD
+    return out
+
+
+@pytest.mark.parametrize("share, found", [(0.05, 0.95), (0.015, 0.85), (0.005, 0.5)])
+def test_machine_learns_a_rare_pair(share, found):
+    """Terms in half a per cent of the sample rows still have a pair weight."""
+    m = toxicity_fm.fit(*rare_pair(10_000, share, 3)[:2])
+    texts, y, both = rare_pair(10_000, share, 4)
+    got = predicted(m, texts)
+    assert both.sum() >= 15 and (~got[both]).mean() >= 0.9
+    assert got[y > 0].mean() >= found and got[y == 0].mean() < 0.005
+    alone = toxicity_fm.Machine(m.terms, m.bias, m.w, m.v * 0)
+    assert predicted(alone, texts)[both].mean() > 0.9     # the weights alone are wrong about the pair
+
+
 def test_sample_sizes_and_fits_from_tables(spark, docs_of, monkeypatch):
     """10,000 and 3,000 labelled rows are learnt from, and as from texts in memory."""
     texts, rng, v = some_texts(10_200, 12, vocabulary=40, size=(3, 6))
@@ -201,7 +235,7 @@ def test_sample_sizes_and_fits_from_tables(spark, docs_of, monkeypatch):
 
     spied(toxicity_fm, 4)
     spied(soft_mix, 1)
-    p = toxicity_fm.Params(epochs=2)
+    p = toxicity_fm.Params(warm=2, stage=1)
     m = toxicity_fm.train(docs_of(rows), labels, p=p)
     assert seen[toxicity_fm] == 10_000 and m.usable
     table = spark.createDataFrame([(i, "ab"[y]) for i, y in enumerate(toxic[:3_300])], "doc_id long, domain string")
