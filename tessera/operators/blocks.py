@@ -152,7 +152,9 @@ def blocks_by_plan(df: DataFrame, plan: DataFrame, sizes: Sequence[int], extra:
     chosen = wanted.join(plan.select(F.col("size").cast("int").alias("size"), F.col("block_ids")),
                          "size", "left").select("size", listed.alias("ids"))
     whole = [r[0] for r in chosen.filter(F.size("ids") == 0).select("size").distinct().collect()]  # of the asked sizes
-    out = df.join(F.broadcast(chosen.select("size", F.explode("ids").alias(col)).distinct()), col, "inner")
+    # true of every id: it lets the scan of a partitioned table take the ids from the broadcast and skip the other blocks
+    ids = chosen.select("size", F.explode("ids").alias(col)).distinct().filter(F.col(col) >= -2**31)
+    out = df.join(F.broadcast(ids), col, "inner")
     for s in sorted(whole):
         out = out.unionByName(df.withColumn("size", F.lit(s)))
     return out

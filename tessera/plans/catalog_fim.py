@@ -15,8 +15,9 @@ from tessera.operators import blocks as B
 from tessera.operators import fim
 from tessera.plans import fim_runs
 from tessera.session import apply_defaults, ensure_checkpoint_dir
-from tessera.sources import (baskets, item_dictionary, read_blocked, read_blocked_text, read_centers, read_table,
-                             read_text_transactions, write_blocked_text, write_itemsets_csv, write_text_lines)
+from tessera.sources import (baskets, item_dictionary, read_blocked, read_blocked_text, read_blocks, read_centers,
+                             read_table, read_text_transactions, stored_inventory, write_blocked_text, write_itemsets_csv,
+                             write_manifest, write_text_lines)
 
 # fixed parameters of the registered queries
 SEED = 42            # block assignment seed
@@ -43,14 +44,19 @@ def blocked_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.materialise(B.assign_blocks(baskets(spark, sf_dir), "tid", N_BLOCKS, SEED))
 
 
-def stored_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocked baskets as a table of one directory a block in the shared
-    folder, so that a block pick reads only its directories."""
+def write_baskets(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the blocked baskets, written as one directory a block in the shared folder."""
     import uuid
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
     apply_defaults(spark)
     B.write_blocked(B.assign_blocks(baskets(spark, sf_dir), "tid", N_BLOCKS, SEED), path)
-    return read_blocked(spark, path)
+    return path
+
+
+def stored_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocked baskets as a table of one directory a block in the shared
+    folder, so that a block pick reads only its directories."""
+    return read_blocked(spark, write_baskets(spark, sf_dir))
 
 
 def skewed_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +84,20 @@ def q_block_inventory(spark, sf):
     return B.block_inventory(blocked_baskets(spark, sf))
 
 
+def q_block_manifest(spark, sf):
+    """B1 from the stored manifest; the table is not scanned."""
+    path = write_baskets(spark, sf)
+    write_manifest(spark, path)
+    return stored_inventory(spark, path)
+
+
+def q_blocks_listed(spark, sf):
+    """B4 through the manifest: only the chosen blocks' directories are listed."""
+    path = write_baskets(spark, sf)
+    write_manifest(spark, path)
+    return read_blocks(spark, path, B.random_block_ids(N_BLOCKS, RANDOM_K, PICK_SEED)).select("tid", "block_id")
+
+
 def q_blocks_first_n(spark, sf):
     return B.first_blocks(stored_baskets(spark, sf), FIRST_N).select("tid", "block_id")
 
@@ -332,6 +352,8 @@ QUERIES = {
     "baskets": q_baskets,
     "assign_blocks": q_assign_blocks,
     "block_inventory": q_block_inventory,
+    "block_manifest": q_block_manifest,
+    "blocks_listed": q_blocks_listed,
     "blocks_first_n": q_blocks_first_n,
     "blocks_by_ids": q_blocks_by_ids,
     "blocks_random_n": q_blocks_random_n,
@@ -503,6 +525,9 @@ SQL = {
                f"CAST(len(items) AS INTEGER) AS n_items FROM tx",
     "assign_blocks": f"WITH {BASKETS.strip()} SELECT tid, block_id FROM tx",
     "block_inventory": f"WITH {BASKETS.strip()} SELECT block_id, count(*) AS n_rows FROM tx GROUP BY block_id",
+    "block_manifest": f"WITH {BASKETS.strip()} SELECT block_id, count(*) AS n_rows FROM tx GROUP BY block_id",
+    "blocks_listed": _w(f"\n{_pick(RANDOM_K)}\nSELECT tid, block_id FROM tx WHERE block_id IN "
+                        f"(SELECT block_id FROM pick)"),
     "blocks_first_n": f"WITH {BASKETS.strip()} SELECT tid, block_id FROM tx WHERE block_id < {FIRST_N}",
     "blocks_by_ids": f"WITH {BASKETS.strip()} SELECT tid, block_id FROM tx WHERE block_id IN "
                      f"({', '.join(map(str, IDS))})",

@@ -14,6 +14,13 @@ from tessera.sources.tables import (  # noqa: F401
     text_lines_to_transactions,
     true_centers,
 )
+from tessera.sources.manifest import (  # noqa: F401
+    manifest_changes,
+    read_blocks,
+    read_manifest,
+    stored_inventory,
+    write_manifest,
+)
 from tessera.sources.sinks import (  # noqa: F401
     save_model,
     write_itemsets_csv,
