@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.lockstep import Dealt, checkpointed, matrix
+from tessera.operators.lockstep import Dealt, checkpointed, matrix, mixed
 
 #: bytes of distances held at once
 AT_ONCE = 8 << 20
@@ -121,6 +121,91 @@ def farthest_step(dealt: Dealt, centers: DataFrame, order: str) -> DataFrame:
     return found.groupBy(col).agg(F.max_by("features", F.struct("d", (-F.col(order)).alias("o"))).alias("center"))
 
 
+def draw_far(dealt: Dealt, centers: DataFrame, order: str, size: int, *salts: int) -> DataFrame:
+    """``block, cluster, center``: ``size`` rows of each block, drawn without replacement with
+    chances in proportion to their squared distance from the block's centers; rows
+    on a center are never drawn.  ``cluster`` numbers them from 0.
+
+    A row's key is an exponential of rate d**2 made from its id, and the smallest
+    keys win (Efraimidis and Spirakis 2006): no total is needed first, and a chunk
+    sends its own ``size`` smallest only.  The same rows win however they are dealt.
+    """
+    col = dealt.col
+
+    def run(rows: pa.Table, state: pa.Table) -> pa.Table:
+        keys = np.zeros(0)
+        if len(rows) and len(state):
+            rows, state = rows.sort_by(order), state.sort_by("cluster")
+            x, c = matrix(rows["features"]), matrix(state["center"])
+            d = distances(x, c[nearest(x, c)])
+            h = mixed(rows[order].to_numpy().astype(float).view(np.uint64), *salts)
+            u = ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+            with np.errstate(divide="ignore"):
+                keys = np.where(d > 0, -np.log(u) / d, np.inf)
+            some = np.argsort(keys, kind="stable")[:size]
+            some = some[np.isfinite(keys[some])]
+            rows, keys = rows.take(pa.array(some)), keys[some]
+        else:
+            rows = rows.slice(0, 0)
+        return rows.select([col, order, "features"]).append_column("key", pa.array(keys, pa.float64()))
+
+    kind = dealt.rows.schema[order].dataType.simpleString()
+    found = dealt.step(centers, run, f"{col} int, `{order}` {kind}, features array<double>, key double")
+    place = F.row_number().over(Window.partitionBy(col).orderBy("key", order))
+    return (found.withColumn("_r", place).filter(F.col("_r") <= size)
+            .select(col, (F.col("_r") - 1).cast("int").alias("cluster"), F.col("features").alias("center")))
+
+
+def weights(dealt: Dealt, centers: DataFrame) -> DataFrame:
+    """``block, cluster, n``: rows nearest to each center that has any."""
+    col = dealt.col
+
+    def run(rows: pa.Table, state: pa.Table) -> pa.Table:
+        ids, n, block = np.zeros(0, int), np.zeros(0, int), 0
+        if len(rows) and len(state):
+            state = state.sort_by("cluster")
+            at = nearest(matrix(rows["features"]), matrix(state["center"]))
+            some, n = np.unique(at, return_counts=True)
+            ids, block = state["cluster"].to_numpy()[some], rows[col][0].as_py()
+        return pa.table({col: pa.array(np.full(len(ids), block), pa.int32()), "cluster": pa.array(ids, pa.int32()),
+                         "n": pa.array(n, pa.int64())})
+
+    return dealt.step(centers, run, f"{col} int, cluster int, n long").groupBy(col, "cluster").agg(F.sum("n").alias("n"))
+
+
+def spread_out(x: np.ndarray, w: np.ndarray, k: int, steps: int = 20) -> np.ndarray:
+    """``k`` centers of weighted points: the heaviest, then k - 1 times the one of the
+    largest weight times squared distance from those so far, then weighted Lloyd
+    steps.  With fewer distinct points the picked ones are repeated."""
+    picked, d = [int(w.argmax())], np.full(len(x), np.inf)
+    while len(picked) < k:
+        d = np.minimum(d, distances(x, x[picked[-1]]))
+        if not (w * d).any():
+            break
+        picked.append(int((w * d).argmax()))
+    centers = x[picked]
+    for _ in range(steps):
+        share = (nearest(x, centers) == np.arange(len(centers))[:, None]) * w
+        n = share.sum(axis=1)
+        new = np.where(n[:, None] > 0, share @ x / np.maximum(n, 1)[:, None], centers)
+        if (new == centers).all():
+            break
+        centers = new
+    return centers[np.arange(k) % len(centers)]
+
+
+def pick_of(candidates: DataFrame, k: int, col: str) -> DataFrame:
+    """``block, cluster, center``: ``k`` centers from each block's weighted candidates
+    (``cluster, center, n``), whose number parameters bound."""
+    def run(rows: pa.Table) -> pa.Table:
+        block, rows = rows[col][0].as_py(), rows.sort_by("cluster")
+        centers = spread_out(matrix(rows["center"]), rows["n"].to_numpy().astype(float), k)
+        return pa.table({col: pa.array([block] * k, pa.int32()), "cluster": pa.array(range(k), pa.int32()),
+                         "center": pa.array(centers.tolist(), pa.list_(pa.float64()))})
+
+    return candidates.groupBy(col).applyInArrow(run, f"{col} int, cluster int, center array<double>")
+
+
 def lloyd_sums(dealt: Dealt, centers: DataFrame) -> DataFrame:
     """``block, cluster, _new``: the mean of the rows nearest to each center."""
     col = dealt.col

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import sq_distance
-from tessera.operators.block_centers import (bisect_large, bisect_whole, distances, farthest_step, kmeans_whole,
-                                             lloyd_sums, nearest)
+from tessera.operators.block_centers import (bisect_large, bisect_whole, distances, draw_far, farthest_step, kmeans_whole,
+                                             lloyd_sums, nearest, pick_of, weights)
 from tessera.operators.blocks import BLOCK
 from tessera.operators.lockstep import CHUNK_ROWS, Dealt, checkpointed, deal, matrix
 
@@ -68,6 +68,32 @@ def init_farthest(points: DataFrame | Dealt, k: int, order: str = "row_id", col:
     return centers
 
 
+def init_oversampled(points: DataFrame | Dealt, k: int, order: str = "row_id", col: str = BLOCK, rounds: int = 4,
+                     over: float = 2.0, seed: int = 0) -> DataFrame:
+    """Initial centers by oversampling (k-means||, Bahmani et al. 2012), all blocks at once.
+
+    From each block's lowest ``order`` row on, each of ``rounds`` passes adds
+    ``over * k`` rows drawn by their squared distance from the candidates so far.
+    One more pass weighs the candidates by the rows nearest to them, and ``k``
+    centers are picked from these ``rounds * over * k + 1`` a block.  The passes do
+    not depend on ``k`` (``init_farthest`` takes one a center).  The draws
+    depend on ``seed`` and the rows' ids alone.
+    """
+    if rounds < 1 or over <= 0:
+        raise ValueError("rounds and over must be positive")
+    size = int(np.ceil(over * k))
+    dealt = points if isinstance(points, Dealt) else deal(points.select(col, order, "features"), order, col)
+    found = checkpointed(init_lowest(dealt.rows, 1, order, col).join(F.broadcast(dealt.sizes.select(col)), col, "left_semi"))
+    for r in range(rounds):
+        drawn = draw_far(dealt, found, order, size, seed, r)
+        found = checkpointed(found.unionByName(drawn.withColumn("cluster", F.col("cluster") + (1 + r * size))))
+    weighed = found.join(weights(dealt, found), [col, "cluster"], "left").fillna(0, ["n"])
+    centers = checkpointed(pick_of(weighed, k, col))
+    if dealt is not points:
+        dealt.release()
+    return centers
+
+
 def _centers_by_block(centers: DataFrame, col: str) -> DataFrame:
     return centers.groupBy(col).agg(
         F.collect_list(F.struct(F.col("cluster"), F.col("center"))).alias("_cs"))
@@ -105,13 +131,16 @@ def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_i
     than ``tol``, or after ``steps`` steps.
 
     ``init``: ``"farthest"`` (farthest-first from the lowest id),
-    ``"lowest"`` (the k lowest ids) or a center table; all repeatable.
+    ``"lowest"`` (the k lowest ids), ``"oversampled"`` (``init_oversampled``, for many
+    centers or outliers) or a center table; all repeatable.
     A block that fits one chunk takes all its steps in one job.
     """
-    if not isinstance(init, DataFrame) and init not in ("lowest", "farthest"):
-        raise ValueError("init must be 'farthest', 'lowest' or a DataFrame")
+    if not isinstance(init, DataFrame) and init not in ("lowest", "farthest", "oversampled"):
+        raise ValueError("init must be 'farthest', 'lowest', 'oversampled' or a DataFrame")
     given = init if isinstance(init, DataFrame) else None
     dealt = deal(points.select(F.col(col).cast("int").alias(col), order, "features"), order, col, chunk_rows)
+    if isinstance(init, str) and init == "oversampled":
+        given = init_oversampled(dealt, k, order, col)
     whole, large = dealt.split()
     out = checkpointed(kmeans_whole(whole, given, k, steps, order, init == "farthest" if given is None else False, tol))
     if large.any():

@@ -177,6 +177,11 @@ def q_fit_local_bisecting(spark, sf):
     return _xy(K.local_bisecting(ruled_points(spark, sf), N_POINTS, list(range(N_BLOCKS)), SEED), "block_id")
 
 
+def q_fit_oversampled_kmeans(spark, sf):
+    """K5: local k-means of each block from an oversampled start."""
+    return _xy(K.local_kmeans(ruled_points(spark, sf), N_POINTS, init="oversampled"), "block_id")
+
+
 def q_fit_two_level(spark, sf):
     """K5-K7: local centers of all blocks, pooled and clustered again."""
     return _xy(K.two_level(ruled_points(spark, sf), N_POINTS, "kmeans", list(range(N_BLOCKS)), seed=SEED)[1])
@@ -269,6 +274,7 @@ WHERE {_hash(f'{SEED}:split', 'row_id')} % 10000 >= 9000""",
     "fit_bisecting": _POINTS,
     "fit_two_level": _POINTS,
     "fit_local_bisecting": _V + " SELECT DISTINCT block_id, 10.0::DOUBLE * n AS x, 1.0::DOUBLE * n * n AS y FROM v",
+    "fit_oversampled_kmeans": _V + " SELECT DISTINCT block_id, 10.0::DOUBLE * n AS x, 1.0::DOUBLE * n * n AS y FROM v",
     "fit_plan_runs": _runs(PLAN_RUNS, True),
     "fit_shuffle_runs": _runs(SHUFFLE_RUNS, False),
 }
