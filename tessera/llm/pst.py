@@ -1,42 +1,44 @@
-"""Language-model scoring by a probabilistic suffix tree.
-
-A text is the token sequence of its words (A-Z lower-cased) and one end token.
-The tree's symbols are the UTF-8 bytes of that sequence, each word closed by a
-space byte and the text by an end byte, so the probability of a text is a
-proper product over its tokens and no word is unknown.
-
-Learning: all windows of ``depth + 1`` bytes of the training texts are counted
-(in the tasks, then summed in a shuffle that grows with the corpus); shorter
-contexts are marginals of the same counts.  Nodes whose count is below
-``p_min`` of all symbols are dropped, which bounds the tree by (depth + 1) /
-p_min counts (Ron, Singer and Tishby 1996).  A context is retained when its
-next-symbol distribution diverges from that of its longest retained suffix:
-
-    n(s) * KL( P(. | s) || P(. | suffix(s)) ) >= min_gain        (in nats)
-
-and so are all suffixes of a retained one.  Distributions are smoothed along
-the path: P(a | s) = (n(s, a) + alpha P(a | parent)) / (n(s) + alpha); the root
-mixes with the uniform distribution over 257 symbols.  Scoring walks every byte of
-every whole text; the longest retained suffix is the state that gives its
-probability, and the sum over the text is ``tree_score``.
-
-``score`` has the outcomes of the base score: the known tokens, and one unknown
-token.  A known token's probability mixes the tree's product over its bytes with
-its own training frequency (a Dirichlet prior of ``blend`` times the number of
-kinds of tokens); the unknown token has the share of words seen once, n1
-(Good-Turing):
-
-    P(w) = (1 - u) (c(w) + beta P_tree(w)) / (N + beta),  P(unknown) = u = (n1 + 1) / (N + 2)
-
-Both this and the base score need the count of every word.  Words of at least
-``hot`` of all training tokens are at most 1 / hot and are shipped; the other
-occurrences are joined to the counts, so no join key is hot.  Words are keyed
-by a 64-bit hash.
-
-Null and empty texts consist of the end token.  Rows of null id are in fold
-null: they train nothing, held_out is null.  Repeated rows give one result
-each; empty tables an empty result; without training texts all counts are 0
-and the tree is uniform.
+"""Language-model scoring by a probabilistic suffix tree of words.
+
+A text is a start mark and the token sequence of its words (A-Z lower-cased) and
+one end token; the start mark is context only.  Outcomes are those of the base
+score: the known tokens and one unknown one, so the probability of a text is a
+proper product over its tokens.
+
+Learning.  The root gives a known token its share and the unknown token the
+share of words seen once, n1 (Good-Turing):
+
+    P(a) = (1 - u) c(a) / N,   P(unknown) = u = (n1 + 1) / (N + 2)
+
+A context is the last 1 to ``depth`` tokens (or the start of the text and what
+follows).  Contexts seen ``min_context`` times or more are candidates, an absolute number,
+so the tree grows with the corpus.  Each level is one pass: the (context, token) pairs whose
+context is a candidate are counted in the tasks and summed in a shuffle; pairs seen ``min_pair`` times or
+more are the context's own symbols, the rest of its count goes to its suffix:
+
+    P(a | s) = (n(s, a) + b(s) P(a | suffix)) / (n(s) + alpha),   b(s) = n(s) + alpha - sum of own n(s, a)
+
+The divergence test retains a context when its distribution raises the log
+likelihood of its own occurrences over that of its longest retained suffix (in nats)
+
+    sum of n(s, a) ln(P(a | s) / P(a | suffix)), over own symbols and the rest,  >= min_gain
+
+A context that is not retained takes over its suffix' distribution.
+
+Scoring.  The longest retained suffix of the tokens before is the state that gives a token's
+probability.  In logarithms that is a sum of one value an n-gram: of the
+token itself, of each retained context (log b / (n + alpha)), and of each of its
+own symbols (what P lies above the share of the suffix).  The tree is therefore
+one table (key, c, value) in the checkpoint folder, joined to the n-grams of the
+corpus.  N-grams of at least ``hot`` of all training tokens (at most (depth + 1) / hot rows) and a Bloom
+bitmap of fixed size of all others are shipped, so no join key is hot and n-grams
+that the tree does not hold are not shuffled; where the bitmap is full, more rows are, with the same result.
+N-grams are keyed by 64-bit hashes.
+
+Null and empty texts consist of the end token; very long ones are walked whole, a task holds one
+at a time.  Rows of null id are in fold null: they train nothing, held_out is null.  Repeated rows
+give one result each; only doc_id and text are read, whatever other columns there are; empty
+tables give an empty result; without training texts all counts are 0 and every token is unknown, u = 1/2.
 """
 
 from __future__ import annotations
@@ -50,284 +52,248 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import fold, keep
+from .common import bitmap, fold, in_bitmap, keep
 
-END = 1  # the byte of the end token; texts hold it rarely, and it is then a symbol like others
-SPACE = 32
+START, END = K.U64(0x5354415254), K.U64(0x454E44)  # keys of the start mark and the end token
 
 
 @dataclass(frozen=True)
 class Params:
-    depth: int = 5
-    p_min: float = 2e-6
+    depth: int = 2
+    min_context: int = 8
+    min_pair: int = 2
     min_gain: float = 6.0
-    alpha: float = 4.0
-    hot: float = 5e-7
-    blend: float = 0.5
+    alpha: float = 2.0
+    hot: float = 1e-6
+    bits: int = 26
 
 
-def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the normal form: lower-cased words, each followed by a
-    space, and the end byte."""
-    low = K.LOWER[data]
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, text index, place in the text) of the start mark, the words and the end token of each text."""
+    h, d, _, _ = K.words(data, offs)
     n = len(offs) - 1
-    s, e, d = K.runs(K.SOLID[data], offs)
-    # keep word bytes and put one space byte after each word
-    solid = K.SOLID[data]
-    size = np.bincount(d, weights=e - s, minlength=n).astype(np.int64) + np.bincount(d, minlength=n) + 1
-    out_offs = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(out_offs[-1], SPACE, dtype=np.uint8)
-    rank = np.cumsum(solid) - 1  # word bytes before
-    word = np.cumsum(np.bincount(s, minlength=len(data) + 1)[:len(data)]) - 1
-    doc = np.repeat(np.arange(n), np.diff(offs))
-    at = rank + word + doc  # one space a closed word, one end byte a closed text
-    out[at[solid]] = low[solid]
-    out[out_offs[1:] - 1] = END
-    return out, out_offs
-
-
-def windows(data: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
-    """For each symbol: itself in the low byte, the symbol before it in the next
-    one, and so on; 0 before the start of a text."""
-    key = data.astype(K.U64)
-    place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
-    for j in range(1, depth + 1):
-        prev = np.zeros(len(data), K.U64)
-        prev[j:] = data[:-j]
-        prev[place < j] = 0
-        key |= prev << K.U64(8 * j)
-    return key
-
-
-def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(inv, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
-
-
-def counted(batches: Iterator[pa.RecordBatch], of, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Sum (key, count) over the chunks of a task; memory is bounded by
-    ``limit`` pending keys, after which the partial sums are sent on."""
-    keys, counts, held = [], [], 0
+    size = np.bincount(d, minlength=n) + 2
+    last = np.cumsum(size) - 1
+    seq = np.empty(int(size.sum()), K.U64)
+    doc = np.repeat(np.arange(n), size)
+    place = np.arange(len(seq)) - (last - size + 1)[doc]
+    seq[last], seq[last - size + 1] = END, START
+    word = np.ones(len(seq), bool)
+    word[last] = word[last - size + 1] = False
+    seq[word] = h
+    return seq, doc, place
+
+
+def pair(ctx: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from those of all but its last token and all but its first."""
+    return K.mix(ctx ^ K.mix(parent, 21), 22)
+
+
+def grams(seq: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Keys of the n-grams of 1 to depth + 1 tokens that end at each place (the first ``level`` places of a
+    text hold none of that level)."""
+    out = [seq]
+    for _ in range(depth):
+        before = np.roll(out[-1], 1)
+        out.append(pair(before, out[-1]))
+    return out
+
+
+def sums(batches: Iterator[pa.RecordBatch], of, names: list[str], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Count equal rows of the key columns that ``of`` gives for a chunk; memory is bounded by ``limit``
+    pending rows, after which the partial sums are sent on."""
+    parts, held = [], 0
+
+    def merged():
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        key = cols[0] if len(names) == 1 else pair(cols[0], cols[1])
+        order = np.argsort(key)
+        at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+        return [*(c[order[at]] for c in cols[:-1]), np.add.reduceat(cols[-1][order], at) if len(at) else cols[-1]]
+
+    def rows(cols):
+        for i in range(0, len(cols[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([*(pa.array(K.signed(c[i:i + (1 << 16)])) for c in cols[:-1]),
+                                              pa.array(cols[-1][i:i + (1 << 16)])], names=[*names, "c"])
+
     for b in batches:
         for _, _, data, offs in K.chunks(b.column(0)):
-            u, c = np.unique(of(data, offs), return_counts=True)
-            keys.append(u)
-            counts.append(c)
-            held += len(u)
+            cols = of(data, offs)
+            parts.append([*cols, np.ones(len(cols[0]), np.int64)])
+            held += len(cols[0])
             if held > limit:
-                u, c = merge(keys, counts)
-                keys, counts, held = [u], [c], len(u)
+                parts = [merged()]
+                held = len(parts[0][0])
                 if held > limit // 2:
-                    yield from _rows(u, c)
-                    keys, counts, held = [], [], 0
-    if keys:
-        yield from _rows(*merge(keys, counts))
-
-
-def _rows(u: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(u), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(K.signed(u[i:i + (1 << 16)])), pa.array(c[i:i + (1 << 16)])],
-                                         names=["key", "c"])
-
-
-@dataclass(frozen=True)
-class Tree:
-    """One sorted table a depth: packed (context, symbol) keys with the log10
-    probability, and packed contexts with log10(alpha / (n + alpha))."""
-    depth: int
-    root: np.ndarray  # log10 P(a | empty), 256 + the unseen
-    contexts: tuple[np.ndarray, ...]
-    pairs: tuple[np.ndarray, ...]
-    prob: tuple[np.ndarray, ...]
-    left: tuple[np.ndarray, ...]
-
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the low byte of each key after its context."""
-        out = self.root[(key & K.U64(255)).astype(np.int64)]
-        p = 10.0 ** out
-        alive = np.arange(len(key))
-        for d in range(1, self.depth + 1):
-            full = key[alive] & K.U64((1 << (8 * (d + 1))) - 1)
-            i, known = _find(self.contexts[d - 1], full >> K.U64(8))
-            alive, i, full = alive[known], i[known], full[known]
-            if len(alive) == 0:
-                break
-            p[alive] *= self.left[d - 1][i]  # alpha P(a | parent) / (n + alpha)
-            j, seen = _find(self.pairs[d - 1], full)
-            p[alive[seen]] += self.prob[d - 1][j[seen]]  # n(s, a) / (n + alpha)
-        return np.log10(p)
-
-
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(table) == 0:
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return i, table[i] == x
-
-
-def build(level: np.ndarray, key: np.ndarray, count: np.ndarray, p: Params) -> Tree:
-    """The tree from (level, packed context and symbol, count) rows; level is the
-    context length.  A context's n is the sum of its counted symbols."""
-    root = np.zeros(256)
-    at = level == 0
-    root[(key[at] & K.U64(255)).astype(np.int64)] = count[at]
-    root = np.log10((root + p.alpha / 257) / (root.sum() + p.alpha))
-    empty = np.zeros(0, K.U64)
-    tree = Tree(0, root, (), (), (), ())
-    nodes = []
-    for d in range(1, p.depth + 1):
-        k, c = key[level == d], count[level == d]
-        order = np.argsort(k)
-        k, c = k[order], c[order].astype(float)
-        s, inv = np.unique(k >> K.U64(8), return_inverse=True) if len(k) else (empty, np.zeros(0, np.int64))
-        n = np.bincount(inv, weights=c, minlength=len(s))
-        # the smoothed parent is the tree so far: all suffixes of a context are in it
-        parent = 10.0 ** tree.log10(k & K.U64((1 << (8 * d)) - 1)) if len(k) else np.zeros(0)
-        own = (c + p.alpha * parent) / (n[inv] + p.alpha)
-        gain = np.bincount(inv, weights=c * np.log(own / parent), minlength=len(s))
-        nodes.append((s, k, c, n, inv, gain))
-        tree = _with(tree, d, s, k, c / (n[inv] + p.alpha), p.alpha / (n + p.alpha))
-    # retain by divergence, deepest first; suffixes of a retained context stay
-    kept, need = [None] * p.depth, empty
-    for d in range(p.depth, 0, -1):
-        s, _, _, _, _, gain = nodes[d - 1]
-        keep_ = (gain >= p.min_gain) | np.isin(s, need)
-        kept[d - 1] = keep_
-        need = np.unique(s[keep_] & K.U64((1 << (8 * (d - 1))) - 1)) if d > 1 else empty
-    tree = Tree(0, root, (), (), (), ())
-    for d in range(1, p.depth + 1):
-        s, k, c, n, inv, _ = nodes[d - 1]
-        row = kept[d - 1]
-        tree = _with(tree, d, s[row], k[row[inv]], (c / (n[inv] + p.alpha))[row[inv]], (p.alpha / (n + p.alpha))[row])
-    return tree
+                    yield from rows(parts[0])
+                    parts, held = [], 0
+    if parts:
+        yield from rows(merged())
 
 
-def _with(t: Tree, d: int, s, k, prob, left) -> Tree:
-    return Tree(d, t.root, (*t.contexts, s), (*t.pairs, k), (*t.prob, prob), (*t.left, left))
-
-
-def train(texts: DataFrame, p: Params = Params()) -> Tree:
-    """Learn from all rows of ``texts`` (column text)."""
-    depth = p.depth
-
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(key, c) of every word of all rows of ``texts``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(batches, lambda data, offs: windows(*symbols(data, offs), depth))
+        yield from sums(batches, lambda data, offs: [K.words(data, offs)[0]], ["key"])
+    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
-    top = keep(texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    total = top.agg(F.sum("c")).first()[0] or 0
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("level"), F.col("key").bitwiseAND(
-        F.lit((1 << (8 * (d + 1))) - 1)).alias("k")) for d in range(depth + 1)]))
-    rows = (top.select(levels.alias("x"), "c").groupBy("x.level", "x.k").agg(F.sum("c").alias("c"))
-            .filter(F.col("c") >= max(1, int(np.ceil(p.p_min * total)))))
-    rows = rows.toArrow()  # at most (depth + 1) / p_min rows
-    return build(rows["level"].to_numpy(), rows["k"].to_numpy().astype(np.int64).view(K.U64), rows["c"].to_numpy(), p)
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Add the n-gram's key to (ctx, parent, ...)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, parent = (b.column(i).to_numpy().view(K.U64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(pair(ctx, parent))), *b.columns], names=["key", *b.schema.names])
+    return rows.mapInArrow(run, "key long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+
+
+def level(texts: DataFrame, prev: DataFrame, d: int, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Contexts of d tokens from the level before (key, c, p): the n-grams (key, ctx, c, p, value) and the
+    retained contexts (ctx, share), value and share in log10."""
+    contexts = prev.filter(F.col("c") >= p.min_context)
+    may = bitmap(contexts, p.bits), bitmap(prev.filter(F.col("c") >= p.min_pair), p.bits)
+    bits = p.bits
+
+    def of(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        seq, _, place = tokens(data, offs)
+        g = grams(seq, d - 1)[-1]
+        at = np.flatnonzero(place >= d)
+        at = at[in_bitmap(may[0], g[at - 1], bits)]
+        at = at[in_bitmap(may[1], g[at], bits)]
+        return [g[at - 1], g[at]]
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, c) of every word of all rows of ``texts``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(batches, lambda data, offs: K.words(data, offs)[0])
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        yield from sums(batches, of, ["ctx", "parent"])
+
+    seen = (texts.select("text").mapInArrow(run, "ctx long, parent long, c long").groupBy("ctx", "parent")
+            .agg(F.sum("c").alias("c")).filter(F.col("c") >= p.min_pair))
+    rows = keep(seen.join(prev.select(F.col("key").alias("parent"), F.col("p").alias("q")), "parent")
+                .join(contexts.select(F.col("key").alias("ctx"), F.col("c").alias("n")), "ctx"))
+    state = rows.groupBy("ctx").agg(F.max("n").alias("n"), F.sum("c").alias("own")).select(
+        "ctx", (F.col("n") + p.alpha).alias("all"), (F.col("n") - F.col("own")).alias("rest"),
+        (F.col("n") + p.alpha - F.col("own")).alias("b"))
+    rows = rows.drop("n").join(state, "ctx").withColumn("own", (F.col("c") + F.col("b") * F.col("q")) / F.col("all"))
+    gain = (F.sum(F.col("c") * F.ln(F.col("own") / F.col("q"))) + F.max(F.col("rest") * F.ln(F.col("b") / F.col("all"))))
+    kept = keep(rows.groupBy("ctx").agg(gain.alias("gain"), F.max(F.log10(F.col("b") / F.col("all"))).alias("share"))
+                .filter(F.col("gain") >= p.min_gain).select("ctx", "share"))
+    rows = rows.join(kept, "ctx", "left").select(
+        "ctx", "parent", "c", F.when(F.col("share").isNull(), F.col("q")).otherwise(F.col("own")).alias("p"),
+        F.when(F.col("share").isNull(), 0.0).otherwise(F.log10("own") - F.log10("q") - F.col("share")).alias("value"))
+    return keep(_keyed(rows)), kept
 
 
 @dataclass(frozen=True)
-class Words:
-    """Training counts: the hot words (sorted hashes), the end token, all tokens,
-    and the kinds of tokens."""
-    keys: np.ndarray
-    counts: np.ndarray
+class Totals:
+    """Training counts: end tokens, all tokens, kinds of tokens, and u."""
     ends: int
     total: int
     kinds: int
-    unknown: float  # u
+    unknown: float
+
+
+def train(texts: DataFrame, p: Params = Params()) -> tuple[DataFrame, Totals]:
+    """The tree's table (key, words, c, value) from all rows of ``texts``; c counts the n-gram, words is the
+    count of a token and 0 for longer ones and the start."""
+    spark = texts.sparkSession
+    counts = keep(word_counts(texts))
+    ends = texts.count()
+    n, kinds, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    t = Totals(ends, n + ends, kinds + (ends > 0), (once + 1) / (n + ends + 2))
+    marks = spark.createDataFrame([(int(START), 0, ends), (int(END), ends, ends)], "key long, words long, c long")
+    root = counts.select("key", F.col("c").alias("words"), "c").union(marks.filter("c > 0"))
+    share = F.col("c") * ((1 - t.unknown) / max(t.total, 1))
+    root = root.withColumn("p", share).withColumn("value", F.when(F.col("words") > 0, F.log10("p")).otherwise(0.0))
+    parts, prev = [root.select("key", "words", "c", "value")], root
+    for d in range(1, p.depth + 1):
+        prev, kept = level(texts, prev, d, p)
+        parts.append(prev.select("key", F.lit(0).cast("long").alias("words"), "c", "value"))
+        parts.append(kept.select(F.col("ctx").alias("key"), F.lit(0).cast("long"), F.lit(0).cast("long"), "share"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return keep(out.groupBy("key").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("value").alias("value"))
+                .filter("words > 0 or value != 0")), t
 
-    def log10(self, c: np.ndarray, lp: np.ndarray, beta: float) -> np.ndarray:
-        """log10 of P(w) from training counts and log10 P_tree."""
-        known = (1 - self.unknown) * (c + beta * 10.0 ** np.maximum(lp, -300)) / (self.total + beta)
-        return np.log10(np.where(c > 0, known, self.unknown))
+
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(table) == 0:
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return i, table[i] == x
 
 
-def score(docs: DataFrame, tree: Tree, w: Words, beta: float) -> DataFrame:
-    """Two sorts of rows.  One a text: its sums over hot words and the end token
-    (base, score), n = tokens * 2**32 + known ones, and a key that spreads them.
-    One an occurrence of another word: its key, and log10 P_tree as score; n is 0.
-    ``row`` signs the text."""
-    den = np.log10(w.total + w.kinds + 1.0)
-    depth = tree.depth
+def score(docs: DataFrame, tree: DataFrame, t: Totals, p: Params) -> DataFrame:
+    """Two sorts of rows.  One a text: its sums over what the task knows (base, score),
+    n = tokens * 2**32 + known ones, and a key that spreads them.  One an occurrence of another n-gram that the
+    tree may hold: its key, and n = -1 for a token, 0 for longer ones.  ``row`` signs the text."""
+    hot = tree.filter((F.col("c") >= max(1.0, p.hot * t.total)) | F.col("key").isin(int(START), int(END)))
+    got = hot.select("key", "words", "value").toArrow()  # at most (depth + 1) / hot rows of 24 bytes
+    keys = got["key"].to_numpy().view(K.U64)
+    order = np.argsort(keys)
+    keys, count, value = keys[order], got["words"].to_numpy()[order], got["value"].to_numpy()[order]
+    may = bitmap(tree.filter(F.col("c") < max(1.0, p.hot * t.total)), p.bits)
+    den, unknown = np.log10(t.total + t.kinds + 1.0), np.log10(t.unknown)
+    depth, bits = p.depth, p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in K.chunks(b.column(1)):
                 n = hi - lo
-                h, d, _, _ = K.words(data, offs)
-                sym, so = symbols(data, offs)
-                u, inv = np.unique(windows(sym, so, depth), return_inverse=True)
-                new = np.append(True, sym[:-1] == SPACE)
-                new[so[:-1]] = True
-                lp = np.add.reduceat(tree.log10(u)[inv], np.flatnonzero(new))  # one a token
-                last = np.cumsum(np.bincount(d, minlength=n) + 1) - 1
-                of_word = np.ones(len(lp), bool)
-                of_word[last] = False
-                lw = lp[of_word]
-                i, hot = _find(w.keys, h)
-                c, dh, lh = w.counts[i[hot]], d[hot], lw[hot]
-                base = np.bincount(dh, weights=np.log10(c + 1.0), minlength=n) - den * (np.bincount(dh, minlength=n) + 1)
-                base += np.log10(w.ends + 1.0)
-                mine = np.bincount(dh, weights=w.log10(c, lh, beta), minlength=n) + w.log10(
-                    np.full(n, w.ends), lp[last], beta)
-                tree_sum = np.add.reduceat(lp, last - np.bincount(d, minlength=n))
-                known = np.bincount(dh, minlength=n) + (w.ends > 0)
-                size = ((np.bincount(d, minlength=n) + 1) << 32) + known
-                place = (np.arange(len(h)) - np.searchsorted(d, d)).astype(K.U64)     # so that the order of the words counts
-                row = K.mix(K.per_text(np.add, K.mix(h ^ K.mix(place, 14), 11), d, n), 12)
-                rare = np.flatnonzero(~hot)
-                at = np.concatenate([np.arange(n), d[rare]])
-                zeros = np.zeros(len(rare))
+                seq, doc, place = tokens(data, offs)
+                size = np.bincount(doc, minlength=n) - 1
+                row = K.mix(K.per_text(np.add, K.mix(seq ^ K.mix(place.astype(K.U64), 14), 11), doc, n), 12)
+                base, mine, known = -den * size, np.zeros(n), np.zeros(n, np.int64)
+                later_key, later_doc, later_n = [K.mix(row, 13)], [np.arange(n)], []
+                for d, g in enumerate(grams(seq, depth)):
+                    at = np.flatnonzero(place >= d)
+                    key, of = g[at], doc[at]
+                    i, hit = _find(keys, key)
+                    mine += np.bincount(of[hit], weights=value[i[hit]], minlength=n)
+                    rest = ~hit & in_bitmap(may, key, bits)
+                    if d == 0:
+                        c = count[i[hit]]
+                        base += np.bincount(of[hit], weights=np.log10(c + 1.0), minlength=n)
+                        known += np.bincount(of[hit][c > 0], minlength=n)
+                        new = ~hit & ~rest & (place[at] > 0)
+                        mine += unknown * np.bincount(of[new], minlength=n)
+                        rest &= place[at] > 0
+                    later_key.append(key[rest])
+                    later_doc.append(of[rest])
+                    later_n.append(np.full(int(rest.sum()), -1 if d == 0 else 0, np.int64))
+                key, at = np.concatenate(later_key), np.concatenate(later_doc)
+                zeros = np.zeros(len(at) - n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(np.concatenate([K.mix(row, 13), h[rare]]))), b.column(0).slice(lo, n).take(pa.array(at)),
-                     pa.array(K.signed(row[at])), pa.array(np.concatenate([size, zeros.astype(np.int64)])),
-                     pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([mine, lw[rare]])),
-                     pa.array(np.concatenate([tree_sum, zeros]))],
-                    names=["key", "doc_id", "row", "n", "base", "score", "tree"])
+                    [pa.array(K.signed(key)), b.column(0).slice(lo, n).take(pa.array(at)), pa.array(K.signed(row[at])),
+                     pa.array(np.concatenate([(size << 32) + known, *later_n])),
+                     pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([mine, zeros]))],
+                    names=["key", "doc_id", "row", "n", "base", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "key long, doc_id long, row long, n long, base double, score double, tree double")
+        run, "key long, doc_id long, row long, n long, base double, score double")
 
 
 def lm_scores(docs: DataFrame, learn, p: Params = Params()) -> DataFrame:
-    """n_tokens, n_known, train_tokens, base_score, score and tree_score of every row of docs
+    """n_tokens, n_known, train_tokens, base_score and score of every row of docs
     (doc_id, text); ``learn`` is the condition of the training rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.filter(learn)
-    ends = texts.count()
-    counts = keep(word_counts(texts))
-    n_words, kinds, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    total, kinds = n_words + ends, kinds + (ends > 0)
-    hot = counts.filter(F.col("c") >= max(1.0, p.hot * total)).toArrow()  # at most 1 / hot rows
-    keys = hot["key"].to_numpy().view(K.U64)
-    order = np.argsort(keys)
-    w = Words(keys[order], hot["c"].to_numpy()[order], ends, total, kinds, (once + 1) / (total + 2))
-    beta = p.blend * kinds if kinds else 1.0
-    rows = score(docs, train(texts, p), w, beta).join(counts, "key", "left")
-    own, c = F.col("n") > 0, F.coalesce("c", F.lit(0))
-    base = F.log10(c + 1) - F.lit(float(np.log10(total + kinds + 1)))
-    known = (1 - w.unknown) * (c + beta * F.pow(F.lit(10.0), F.greatest("score", F.lit(-300.0)))) / (total + beta)
-    mixed = F.log10(F.when(c > 0, known).otherwise(w.unknown))
+    tree, t = train(docs.filter(learn), p)
+    rows = score(docs, tree, t, p).join(tree.select("key", "words", "value"), "key", "left")
+    own, token, c = F.col("n") > 0, F.col("n") < 0, F.coalesce("words", F.lit(0))
+    value = F.coalesce("value", F.when(token, F.lit(float(np.log10(t.unknown)))).otherwise(0.0))
     # rows of one id and text share their occurrences: m of them, so the sums are m-fold
     out = rows.groupBy("doc_id", "row").agg(
-        F.sum(own.cast("long")).alias("m"), F.max("n").alias("n"),
-        F.sum(F.when(~own & F.col("c").isNotNull(), 1).otherwise(0)).alias("more"),
-        F.sum(F.when(own, F.col("base")).otherwise(base)).alias("base"),
-        F.sum(F.when(own, F.col("score")).otherwise(mixed)).alias("score"), F.max(F.when(own, F.col("tree"))).alias("tree_score"))
+        F.sum(own.cast("long")).alias("m"), F.max("n").alias("n"), F.count_if(token & (c > 0)).alias("more"),
+        F.sum(F.when(own, F.col("base")).when(token, F.log10(c + 1)).otherwise(0.0)).alias("base"),
+        F.sum(F.when(own, F.col("score")).otherwise(value)).alias("score"))
     return out.select(
         "doc_id", F.shiftright("n", 32).alias("n_tokens"),
         (F.col("n").bitwiseAND(F.lit(2**32 - 1)) + (F.col("more") / F.col("m")).cast("long")).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"),
-        (F.col("score") / F.col("m")).alias("score"), "tree_score",
+        F.lit(int(t.total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"),
+        (F.col("score") / F.col("m")).alias("score"),
         F.explode(F.array_repeat(F.lit(0), F.col("m").cast("int"))).alias("_m")).drop("_m")
 
 
 def op6(docs: DataFrame, p: Params = Params()) -> DataFrame:
     s = lm_scores(docs, fold(F.col("doc_id"), 7) != 2, p)
     return s.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
-                    "train_tokens", "base_score", "score", "tree_score")
+                    "train_tokens", "base_score", "score")

@@ -284,59 +284,85 @@ def test_quantile(spark):
     assert kept == sum(i % 100 >= 29 for i in range(1000))
 
 
-def test_suffix_tree_against_counts():
-    """The tree's states and probabilities from plain counting."""
-    p = pst.Params(depth=2, p_min=1e-9, min_gain=1.0)
-    texts = ["ab ab ac", "ba ab", "abab c", ""]
-    stream = [("".join(w + " " for w in words(t)) + "\x01") for t in texts]
-    top: Counter = Counter()
-    for s in stream:
-        for i in range(len(s)):
-            for d in range(3):
-                ctx = ("\0\0" + s[:i])[len(s[:i]) + 2 - d:]
-                top[(d, ctx, s[i])] += 1
-    key = [sum(ord(c) << (8 * j) for j, c in enumerate([a, *reversed(ctx)])) for (d, ctx, a) in top]
-    tree = pst.build(np.array([d for d, _, _ in top]), np.array(key, dtype=np.uint64), np.array(list(top.values())), p)
-
-    def n(ctx, a=None):
-        return sum(c for (d, x, b), c in top.items() if d == len(ctx) and x == ctx and a in (None, b))
-
-    def full(ctx, a):  # smoothed along all suffixes
-        if not ctx:
-            return (n("", a) + p.alpha / 257) / (n("") + p.alpha)
-        return (n(ctx, a) + p.alpha * full(ctx[1:], a)) / (n(ctx) + p.alpha)
-
-    contexts = {x for d, x, _ in top if d}
-    symbols = {a for _, _, a in top}
-    keep = {x for x in contexts if sum(n(x, a) * math.log(full(x, a) / full(x[1:], a)) for a in symbols if n(x, a)) >= p.min_gain}
-    keep |= {x[1:] for x in keep if len(x) > 1}
-    got = {"".join(chr((int(s) >> (8 * j)) & 255) for j in reversed(range(d))) for d in (1, 2) for s in tree.contexts[d - 1]}
-    assert got == keep and 0 < len(keep) < len(contexts)
-    for s in stream:
-        col = pa.array([s])
-        for _, _, data, offs in K.chunks(col):
-            lp = tree.log10(pst.windows(data, offs, 2))
-        for i, a in enumerate(s):
-            ctx = ("\0\0" + s[:i])[-2:]
-            while ctx and ctx not in keep:
-                ctx = ctx[1:]
-            assert abs(10 ** lp[i] - full(ctx, a)) < 1e-9
-
-
-def test_symbols_normal_form():
-    texts = ["  A b\n\tC", "", "x"]
-    for _, _, data, offs in K.chunks(pa.array(texts)):
-        s, o = pst.symbols(data, offs)
-    assert [bytes(s[a:b]) for a, b in zip(o, o[1:], strict=False)] == [b"a b c \x01", b"\x01", b"x \x01"]
+def brute_tree(texts, p):
+    """P(a | tokens before) by plain counting: root, candidates, own symbols, divergence test."""
+    streams = [["<s>", *words(t), None] for t in texts]
+    count = Counter(tuple(s[i:j]) for s in streams for i in range(len(s)) for j in range(i + 1, min(len(s), i + p.depth + 1) + 1))
+    total, once = sum(len(s) - 1 for s in streams), sum(c == 1 for g, c in count.items() if len(g) == 1 and g[0] not in ("<s>", None))
+    unknown = (once + 1) / (total + 2)
+    retained = {}
+
+    def prob(a, before):
+        before = tuple(before)[-p.depth:]
+        if not before:
+            return (1 - unknown) * count[(a,)] / total if count[(a,)] and a != "<s>" else unknown
+        rest = prob(a, before[1:])
+        if before not in retained:
+            return rest
+        own, b = retained[before]
+        return (own.get(a, 0) + b * rest) / (count[before] + p.alpha)
+
+    for d in range(1, p.depth + 1):
+        level = {}
+        for ctx in {g for g in count if len(g) == d and g[-1] is not None and count[g] >= p.min_context}:
+            own = {g[-1]: c for g, c in count.items() if len(g) == d + 1 and g[:-1] == ctx and c >= p.min_pair}
+            n, b = count[ctx], count[ctx] + p.alpha - sum(own.values())
+            gain = sum(c * math.log((c + b * q) / (n + p.alpha) / q) for c, q in ((c, prob(a, ctx[1:])) for a, c in own.items()))
+            gain += (n - sum(own.values())) * math.log(b / (n + p.alpha))
+            if own and gain >= p.min_gain:
+                level[ctx] = own, b
+        retained.update(level)
+    return prob, retained, {g[0] for g in count if len(g) == 1 and g[0] != "<s>"}
+
+
+@pytest.mark.parametrize("hot", [1e-9, 0.01, 1.0])
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_suffix_tree_against_brute_force(spark, docs_of, hot, depth):
+    """The whole score, by another way: contexts, retained ones, smoothing, sum over the text."""
+    rng = np.random.default_rng(depth)
+    phrases = ["a m b", "c m d", "one two three four", "six two three nine"]    # the last word needs 2 or 3 before it
+    texts = [" ".join(phrases[rng.integers(4)] if rng.random() < 0.7 else f"w{rng.integers(40)}" for _ in range(8)) for _ in range(80)]
+    rows = list(enumerate([*texts, "", None, "never seen", "six two never three"]))
+    p = pst.Params(hot=hot, depth=depth, min_gain=2.0)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    prob, retained, known = brute_tree([t for (i, t), h in zip(rows, held, strict=True) if not h], p)
+    assert {len(s) for s in retained} == set(range(1, depth + 1))
+    for ctx in [*retained, ("w1",), ("b", "w2")]:    # a distribution over the known tokens and one unknown one
+        assert abs(sum(prob(a, ctx) for a in known) + prob("<unk>", ctx) - 1) < 1e-9
+    got = {r.doc_id: r.score for r in pst.op6(docs_of(rows), p).collect()}
+    for i, t in rows:
+        s = ["<s>", *words(t), None]
+        assert abs(got[i] - sum(math.log10(prob(s[j], s[:j])) for j in range(1, len(s)))) < 1e-6
+
+
+def test_suffix_tree_grows_with_the_corpus(docs_of):
+    """Twice as many texts of as many new words: twice the nodes, whatever the share of each."""
+    def nodes(parts):
+        rows = [(p * 100 + i, " ".join(f"{w}{p}" for w in "a b c a d e a b c".split())) for p in range(parts) for i in range(20)]
+        return pst.train(docs_of(rows))[0].filter("words = 0").count()
+    small, large = nodes(4), nodes(8)
+    assert small > 4 and large >= 2 * small - 2
+
+
+def test_context_decides_the_score(docs_of):
+    """Held-out texts in a known order beat the same words shuffled, and the base score."""
+    held = next(i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    other = next(i for i in range(held + 1, held + 100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, "the old man and the sea are far from the new town") for i in range(60)]
+    rows += [(i, f"x{i} y{i} the town") for i in range(60, 120)]
+    rows += [(held, rows[0][1]), (other, " ".join(sorted(rows[0][1].split())))]
+    got = {r.doc_id: r for r in pst.op6(docs_of(rows)).collect()}
+    assert got[held].score > got[other].score + 3 and got[held].score > got[held].base_score + 3
+    assert abs(got[held].base_score - got[other].base_score) < 1e-9
 
 
 @pytest.mark.parametrize("hot", [1e-9, 0.02, 1.0])
 def test_lm_scores(spark, docs_of, hot):
     texts, _, _ = some_texts(60, 8, vocabulary=40)
     rows = list(enumerate([*texts, "", None, texts[0]]))
-    p = pst.Params(hot=hot, p_min=1e-9)
+    p = pst.Params(hot=hot)
     got = {r.doc_id: r for r in (pst.op6(docs_of(rows), p)).collect()}
-    other = {r.doc_id: r for r in (pst.op6(docs_of(rows), pst.Params(hot=0.1, p_min=1e-9))).collect()}
+    other = {r.doc_id: r for r in (pst.op6(docs_of(rows), pst.Params(hot=0.1))).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     seen = Counter(w for i, t in rows if not held[i] for w in [*words(t), None])
     n, v = sum(seen.values()), len(seen)
@@ -346,7 +372,7 @@ def test_lm_scores(spark, docs_of, hot):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(seen[w] > 0 for w in ws), n)
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - other[i].score) < 1e-6
-        assert r.score < 0 and r.tree_score < 0
+        assert r.score < 0
 
 
 PII = ["mail a.b+c@x-y.co.uk, and a@b @c.d x@y.z@w.v", "10.0.0.1 1.2.3.4.5.6.7.8 300.1.1.1 1.2.3",
