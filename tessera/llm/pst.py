@@ -43,16 +43,18 @@ tables give an empty result; without training texts all counts are 0 and every t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bitmap, fold, in_bitmap, keep
+from ..session import ensure_checkpoint_dir
+from .common import bitmap, fold, in_bitmap
 
 START, END = K.U64(0x5354415254), K.U64(0x454E44)  # keys of the start mark and the end token
 
@@ -106,9 +108,12 @@ def sums(batches: Iterator[pa.RecordBatch], of, names: list[str], limit: int = 1
 
     def merged():
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        key = cols[0] if len(names) == 1 else pair(cols[0], cols[1])
-        order = np.argsort(key)
-        at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+        order = np.lexsort(cols[-2::-1])    # by the first column: its repeats lie together and compress in the shuffle
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in cols[:-1]:
+            new[1:] |= c[order][1:] != c[order][:-1]
+        at = np.flatnonzero(new)
         return [*(c[order[at]] for c in cols[:-1]), np.add.reduceat(cols[-1][order], at) if len(at) else cols[-1]]
 
     def rows(cols):
@@ -147,8 +152,19 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
 
 
-def level(texts: DataFrame, prev: DataFrame, d: int, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Contexts of d tokens from the level before (key, c, p): the n-grams (key, ctx, c, p, value) and the
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends here, in a third of the bytes of checkpoint()."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def level(texts: DataFrame, prev: DataFrame, d: int, p: Params, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Contexts of d tokens from the level before (key, c, p): the n-grams (key, c, p, value) and the
     retained contexts (ctx, share), value and share in log10."""
     contexts = prev.filter(F.col("c") >= p.min_context)
     may = bitmap(contexts, p.bits), bitmap(prev.filter(F.col("c") >= p.min_pair), p.bits)
@@ -167,19 +183,20 @@ def level(texts: DataFrame, prev: DataFrame, d: int, p: Params) -> tuple[DataFra
 
     seen = (texts.select("text").mapInArrow(run, "ctx long, parent long, c long").groupBy("ctx", "parent")
             .agg(F.sum("c").alias("c")).filter(F.col("c") >= p.min_pair))
-    rows = keep(seen.join(prev.select(F.col("key").alias("parent"), F.col("p").alias("q")), "parent")
-                .join(contexts.select(F.col("key").alias("ctx"), F.col("c").alias("n")), "ctx"))
-    state = rows.groupBy("ctx").agg(F.max("n").alias("n"), F.sum("c").alias("own")).select(
-        "ctx", (F.col("n") + p.alpha).alias("all"), (F.col("n") - F.col("own")).alias("rest"),
-        (F.col("n") + p.alpha - F.col("own")).alias("b"))
-    rows = rows.drop("n").join(state, "ctx").withColumn("own", (F.col("c") + F.col("b") * F.col("q")) / F.col("all"))
-    gain = (F.sum(F.col("c") * F.ln(F.col("own") / F.col("q"))) + F.max(F.col("rest") * F.ln(F.col("b") / F.col("all"))))
-    kept = keep(rows.groupBy("ctx").agg(gain.alias("gain"), F.max(F.log10(F.col("b") / F.col("all"))).alias("share"))
-                .filter(F.col("gain") >= p.min_gain).select("ctx", "share"))
+    rows = stored(seen.join(prev.select(F.col("key").alias("parent"), F.col("p").alias("q")), "parent"), f"{folder}/seen{d}")
+    n, c, q, b = (F.col(x) for x in "ncqb")
+    state = (rows.groupBy("ctx").agg(F.sum("c").alias("own"))
+             .join(contexts.select(F.col("key").alias("ctx"), F.col("c").alias("n")), "ctx")
+             .select("ctx", "n", (n + p.alpha - F.col("own")).alias("b")))
+    every = n + p.alpha
+    gain = F.sum(c * F.ln((c + b * q) / every / q)) + F.max((b - p.alpha) * F.ln(b / every))
+    kept = stored(rows.join(state, "ctx").groupBy("ctx", "n", "b").agg(gain.alias("gain")).filter(F.col("gain") >= p.min_gain)
+                  .select("ctx", "n", "b", F.log10(b / every).alias("share")), f"{folder}/kept{d}")
+    own = F.when(F.col("share").isNull(), q).otherwise((c + b * q) / every)
     rows = rows.join(kept, "ctx", "left").select(
-        "ctx", "parent", "c", F.when(F.col("share").isNull(), F.col("q")).otherwise(F.col("own")).alias("p"),
-        F.when(F.col("share").isNull(), 0.0).otherwise(F.log10("own") - F.log10("q") - F.col("share")).alias("value"))
-    return keep(_keyed(rows)), kept
+        "ctx", "parent", "c", own.alias("p"),
+        F.when(F.col("share").isNull(), 0.0).otherwise(F.log10(own) - F.log10(q) - F.col("share")).alias("value"))
+    return stored(_keyed(rows).drop("ctx", "parent"), f"{folder}/level{d}"), kept.select("ctx", "share")
 
 
 @dataclass(frozen=True)
@@ -195,7 +212,8 @@ def train(texts: DataFrame, p: Params = Params()) -> tuple[DataFrame, Totals]:
     """The tree's table (key, words, c, value) from all rows of ``texts``; c counts the n-gram, words is the
     count of a token and 0 for longer ones and the start."""
     spark = texts.sparkSession
-    counts = keep(word_counts(texts))
+    folder = f"{ensure_checkpoint_dir(spark)}/pst-{uuid.uuid4().hex}"
+    counts = stored(word_counts(texts), f"{folder}/words")
     ends = texts.count()
     n, kinds, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     t = Totals(ends, n + ends, kinds + (ends > 0), (once + 1) / (n + ends + 2))
@@ -205,14 +223,16 @@ def train(texts: DataFrame, p: Params = Params()) -> tuple[DataFrame, Totals]:
     root = root.withColumn("p", share).withColumn("value", F.when(F.col("words") > 0, F.log10("p")).otherwise(0.0))
     parts, prev = [root.select("key", "words", "c", "value")], root
     for d in range(1, p.depth + 1):
-        prev, kept = level(texts, prev, d, p)
+        prev, kept = level(texts, prev, d, p, folder)
         parts.append(prev.select("key", F.lit(0).cast("long").alias("words"), "c", "value"))
         parts.append(kept.select(F.col("ctx").alias("key"), F.lit(0).cast("long"), F.lit(0).cast("long"), "share"))
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    return keep(out.groupBy("key").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("value").alias("value"))
-                .filter("words > 0 or value != 0")), t
+    out = out.groupBy("key").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("value").alias("value"))
+    tree = stored(out.filter("words > 0 or value != 0"), f"{folder}-tree")
+    _remove(spark, folder)
+    return tree, t
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
