@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -34,21 +33,25 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     step = max(1, AT_ONCE // (8 * len(centers)))
     for lo in range(0, len(x), step):
         part = x[lo:lo + step]
-        xx = (part * part).sum(axis=1)
-        d = xx[:, None] - 2 * (part @ centers.T) + cc
-        best = d.argmin(axis=1)
-        near = d <= (d[np.arange(len(part)), best] + 1e-9 * (xx + cc.max()))[:, None]
-        for r in np.flatnonzero(near.sum(axis=1) > 1):
-            some = np.flatnonzero(near[r])
-            best[r] = some[((part[r] - centers[some]) ** 2).sum(axis=1).argmin()]
+        xx = np.einsum("ij,ij->i", part, part)
+        d = centers @ part.T                      # a row a center: the steps below run along the rows
+        d *= -2
+        d += cc[:, None]
+        d += xx
+        low = d.min(axis=0)
+        near = d <= low + 1e-9 * (xx + cc.max())
+        best = near.argmax(axis=0) if len(centers) > 64 else np.zeros(len(part), np.int64)
+        for c in range(1, len(centers) if len(centers) <= 64 else 0):
+            best[d[c] == low] = c
+        tied = np.flatnonzero(near.sum(axis=0) > 1)
+        few = max(1, AT_ONCE // (8 * centers.size))
+        for at in (tied[i:i + few] for i in range(0, len(tied), few)):
+            exact = ((part[at, None] - centers) ** 2).sum(axis=2)
+            best[at] = np.where(near[:, at].T, exact, np.inf).argmin(axis=1)
         out[lo:lo + step] = best
     return out
 
 
-def _sorted(rows: pa.Table, order: str) -> np.ndarray:
-    return matrix(rows["features"].take(pc.sort_indices(rows, sort_keys=[(order, "ascending")])))
-
-
 def _means(x: np.ndarray, at: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Means of the rows of each center; a center without rows stays."""
     hot = at == np.arange(len(centers))[:, None]
@@ -85,7 +88,7 @@ def kmeans_whole(dealt: Dealt, start: DataFrame | None, k: int, steps: int, orde
         if not len(rows) or not len(state):
             ids, centers, block = np.zeros(0, int), np.zeros((0, 0)), 0
         else:
-            x, block = _sorted(rows, order), rows[col][0].as_py()
+            x, block = matrix(rows["features"]), rows[col][0].as_py()
             if given:
                 state = state.sort_by("cluster")
                 ids, centers = state["cluster"].to_numpy(), matrix(state["center"])
@@ -100,6 +103,19 @@ def kmeans_whole(dealt: Dealt, start: DataFrame | None, k: int, steps: int, orde
     return dealt.step(state, run, f"{col} int, cluster int, center array<double>")
 
 
+def lowest_step(dealt: Dealt, k: int, order: str) -> DataFrame:
+    """``block, order, features``: rows that hold each block's ``k`` lowest, nulls first."""
+    col = dealt.col
+
+    def run(rows: pa.Table, state: pa.Table) -> pa.Table:
+        ids = len(rows) - rows[order].null_count           # a chunk holds its null ids last
+        found = pa.concat_tables([rows.slice(ids, k), rows.slice(0, min(k, ids))])
+        return found.select([col, order, "features"])
+
+    kind = dealt.schema[order].dataType.simpleString()
+    return dealt.step(dealt.sizes.select(col), run, f"{col} int, `{order}` {kind}, features array<double>")
+
+
 def farthest_step(dealt: Dealt, centers: DataFrame, order: str) -> DataFrame:
     """``block, center``: each block's row farthest from its centers so far (ties:
     the lowest ``order``)."""
@@ -108,7 +124,6 @@ def farthest_step(dealt: Dealt, centers: DataFrame, order: str) -> DataFrame:
     def run(rows: pa.Table, state: pa.Table) -> pa.Table:
         rows = rows.slice(0, len(rows) if len(state) else 0)
         if len(rows):
-            rows = rows.sort_by(order)
             x, c = matrix(rows["features"]), matrix(state["center"])
             d = np.min([distances(x, one) for one in c], axis=0)
             rows = rows.slice(int(d.argmax()), 1).append_column("d", pa.array([float(d.max())]))
@@ -116,7 +131,7 @@ def farthest_step(dealt: Dealt, centers: DataFrame, order: str) -> DataFrame:
             rows = rows.append_column("d", pa.array([], pa.float64()))
         return rows.select([col, order, "features", "d"])
 
-    kind = dealt.rows.schema[order].dataType.simpleString()
+    kind = dealt.schema[order].dataType.simpleString()
     found = dealt.step(centers, run, f"{col} int, `{order}` {kind}, features array<double>, d double")
     return found.groupBy(col).agg(F.max_by("features", F.struct("d", (-F.col(order)).alias("o"))).alias("center"))
 
@@ -135,7 +150,7 @@ def draw_far(dealt: Dealt, centers: DataFrame, order: str, size: int, *salts: in
     def run(rows: pa.Table, state: pa.Table) -> pa.Table:
         keys = np.zeros(0)
         if len(rows) and len(state):
-            rows, state = rows.sort_by(order), state.sort_by("cluster")
+            state = state.sort_by("cluster")
             x, c = matrix(rows["features"]), matrix(state["center"])
             d = distances(x, c[nearest(x, c)])
             h = mixed(rows[order].to_numpy().astype(float).view(np.uint64), *salts)
@@ -149,7 +164,7 @@ def draw_far(dealt: Dealt, centers: DataFrame, order: str, size: int, *salts: in
             rows = rows.slice(0, 0)
         return rows.select([col, order, "features"]).append_column("key", pa.array(keys, pa.float64()))
 
-    kind = dealt.rows.schema[order].dataType.simpleString()
+    kind = dealt.schema[order].dataType.simpleString()
     found = dealt.step(centers, run, f"{col} int, `{order}` {kind}, features array<double>, key double")
     place = F.row_number().over(Window.partitionBy(col).orderBy("key", order))
     return (found.withColumn("_r", place).filter(F.col("_r") <= size)
@@ -266,7 +281,7 @@ def bisect_whole(dealt: Dealt, k: int, order: str, max_iter: int) -> DataFrame:
     col = dealt.col
 
     def run(rows: pa.Table, state: pa.Table) -> pa.Table:
-        got = _bisect(_sorted(rows, order), k, max_iter) if len(rows) and len(state) else []
+        got = _bisect(matrix(rows["features"]), k, max_iter) if len(rows) and len(state) else []
         block = state[col][0].as_py() if len(state) else 0
         return pa.table({col: pa.array([block] * len(got), pa.int32()), "node": pa.array([n for n, _ in got], pa.int64()),
                          "center": pa.array([c.tolist() for _, c in got], pa.list_(pa.float64()))})
@@ -298,7 +313,6 @@ def bisect_large(dealt: Dealt, k: int, order: str, max_iter: int) -> DataFrame:
     def farthest(rows: pa.Table, state: pa.Table) -> pa.Table:
         out = []
         if len(rows) and len(state):
-            rows = rows.sort_by(order)
             x, node = _routed(rows, state)
             for n, kind, at in zip(*(state[c].to_pylist() for c in ("node", "kind", "at")), strict=True):
                 mine = np.flatnonzero(node == n)
@@ -324,22 +338,30 @@ def bisect_large(dealt: Dealt, k: int, order: str, max_iter: int) -> DataFrame:
                                                         (pa.int32(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.float64())), strict=True)],
                         names=[col, "node", "r", "n", "s"])
 
+    def whole(rows: pa.Table, state: pa.Table) -> pa.Table:
+        some = rows.slice(0, 1)
+        s = [matrix(rows["features"]).sum(axis=0).tolist()] * len(some)
+        return pa.table({col: some[col], "n": pa.array([float(len(rows))] * len(some)), "s": pa.array(s, pa.list_(pa.float64()))})
+
+    def total(parts: DataFrame, *keys: str) -> DataFrame:
+        return parts.groupBy(*keys).agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+
+    mean = F.transform("s", lambda v: v / F.col("n"))
+
     def added(state: DataFrame) -> DataFrame:
         parts = dealt.step(state, sums, f"{col} int, node long, r boolean, n double, s {vec}")
-        total = parts.groupBy(col, "node", "r").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
-        mean = F.transform("s", lambda v: v / F.col("n"))
         side = [F.max(F.when(F.col("r") == r, F.struct(mean.alias("c"), "n"))).alias(c) for r, c in ((False, "_l"), (True, "_r"))]
-        return total.groupBy(col, "node").agg(*side)
+        return total(parts, col, "node", "r").groupBy(col, "node").agg(*side)
 
     def far(state: DataFrame) -> DataFrame:
-        kind = dealt.rows.schema[order].dataType.simpleString()
+        kind = dealt.schema[order].dataType.simpleString()
         found = dealt.step(state, farthest, f"{col} int, node long, d double, o {kind}, x {vec}")
         return found.groupBy(col, "node").agg(F.max_by(F.struct("d", "x"), F.struct("d", (-F.col("o")).alias("o"))).alias("_f"))
 
     # the root: its mean is both sides' at equal centers
     none = F.lit(None).cast(vec)
-    origin = dealt.rows.groupBy(col).agg(F.count(F.lit(1)).cast("double").alias("n"),
-                                         vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("center"))
+    origin = total(dealt.step(dealt.sizes.select(col), whole, f"{col} int, n double, s {vec}"), col).select(
+        col, "n", mean.alias("center"))
     tree = checkpointed(origin.join(F.broadcast(dealt.sizes.select(col)), col, "left_semi").select(
         col, F.lit(1).cast("long").alias("node"), F.lit(LEAF).alias("kind"), "n", "center", none.alias("a"), none.alias("b"), none.alias("at")))
     while True:
@@ -360,11 +382,13 @@ def bisect_large(dealt: Dealt, k: int, order: str, max_iter: int) -> DataFrame:
             got = added(state)
             new = checkpointed(state.join(got, [col, "node"], "left"))
             moved = new.filter((F.col("kind") == CUTTING) & ((F.col("_l.c") != F.col("a")) | (F.col("_r.c") != F.col("b")))).limit(1).count()
-            state = (new.withColumn("a", F.coalesce("_l.c", "a")).withColumn("b", F.coalesce("_r.c", "b")).drop("_l", "_r"))
-            if not moved:
+            if not moved:              # these are the sums at the centers
+                full = new
                 break
-        sides = added(checkpointed(state))
-        full = state.join(sides, [col, "node"], "left")
+            state = (new.withColumn("a", F.coalesce("_l.c", "a")).withColumn("b", F.coalesce("_r.c", "b")).drop("_l", "_r"))
+        else:
+            state = checkpointed(state)
+            full = state.join(added(state), [col, "node"], "left")
         both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
         kind = F.when(F.col("kind") != CUTTING, F.col("kind")).when(both, F.lit(INNER)).otherwise(F.lit(SINGLE))
         full = checkpointed(full.withColumn("_was", F.col("kind")).withColumn("kind", kind))

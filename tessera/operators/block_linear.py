@@ -139,7 +139,7 @@ def fit_planes(rows: DataFrame, s: LinearSettings, n_features: int, n_classes: i
     own block's model."""
     heads, d = _heads(n_classes), n_features + 1
     dealt = deal(rows.select(col, F.xxhash64(order).alias("row"), "y", "role", "features"), "row", col, chunk_rows)
-    train = dealt.only("role = 'train'")
+    train = dealt.only("train")
 
     def chunk(part: pa.Table, state: pa.Table) -> pa.Table:
         if len(part) and len(state) and not state["done"][0].as_py():
@@ -188,7 +188,7 @@ def fit_planes(rows: DataFrame, s: LinearSettings, n_features: int, n_classes: i
                 break
         found = checkpointed(found.unionByName(state))
     state = found
-    accuracy = _own_accuracy(dealt.only("role = 'validate'"), state, heads, d)
+    accuracy = _own_accuracy(dealt.only("validate"), state, heads, d)
     dealt.release()
     return Planes(state.select(col, "best", "loss", "steps"), accuracy, s, n_classes, n_features, col)
 

@@ -123,7 +123,7 @@ def mine_blocks(tx: DataFrame, thresholds: DataFrame, col: str = BLOCK, chunk_ro
     thresholds = thresholds.select(F.col(col).cast("int").alias(col), F.col("threshold").cast("long").alias("threshold"))
     baskets = materialise(baskets)
     dealt = deal(baskets, "items", col, chunk_rows)
-    dealt.rows.count()
+    dealt.chunks.count()
     baskets.unpersist()
     whole, large = dealt.split()
 

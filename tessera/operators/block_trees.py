@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.blocks import BLOCK
-from tessera.operators.lockstep import CHUNK, CHUNK_ROWS, Dealt, checkpointed, deal, matrix, mixed
+from tessera.operators.lockstep import CHUNK_ROWS, Dealt, checkpointed, deal, matrix, mixed
 
 #: cumulative probabilities of Poisson(1)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
@@ -65,13 +65,13 @@ def cuts_by_block(rows: DataFrame, n_features: int, max_bins: int, col: str = BL
 
 
 #: what a binned row keeps
-_BINNED = (CHUNK, "row", "y", "role")
+_BINNED = ("row", "y", "role")
 
 
 def _bin(rows: pa.Table, state: pa.Table, col: str) -> pa.Table:
     x = matrix(rows["features"])
     if not len(state):                          # a block without a row to train on
-        return pa.table({**{c: rows[c].slice(0, 0) for c in (col, *_BINNED)}, "bins": pa.array([], pa.binary())})
+        return pa.table({**{c: rows[c].slice(0, 0) for c in (*_BINNED, col)}, "bins": pa.array([], pa.binary())})
     cuts = state["cuts"][0].as_py()
     out = np.empty(x.shape, np.uint8)
     for f, c in enumerate(cuts):
@@ -352,15 +352,14 @@ def fit_forests(rows: DataFrame, s: TreeSettings, n_features: int, n_classes: in
     block's model."""
     cuts = checkpointed(cuts_by_block(rows.filter("role = 'train'"), n_features, s.max_bins, col))
     dealt = deal(rows.select(col, F.xxhash64(order).alias("row"), "y", "role", "features"), "row", col, chunk_rows)
-    binned = dealt.of(dealt.step(cuts, lambda r, st: _bin(r, st, col),
-                                 f"{CHUNK} int, row long, y int, role string, {col} int, bins binary"))
-    train = binned.only("role = 'train'")
+    binned = dealt.mapped(cuts, lambda r, st: _bin(r, st, col), f"row long, y int, role string, {col} int, bins binary")
+    train = binned.only("train")
     whole, large = train.split()
     grow, kind = _grower(s, n_features, n_classes, col)
     nodes = checkpointed(whole.step(cuts.select(col), grow, kind))
     if large.any():
         nodes = checkpointed(nodes.unionByName(_grown(large, cuts, s, n_features, n_classes)))
-    accuracy = _own_accuracy(binned.only("role = 'validate'"), nodes, n_features, s, n_classes)
+    accuracy = _own_accuracy(binned.only("validate"), nodes, n_features, s, n_classes)
     dealt.release()
     binned.release()
     value = F.when(F.col("feature").isNotNull(), F.col("cuts")[F.col("feature")][F.col("cutbin")])

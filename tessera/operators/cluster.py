@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import sq_distance
 from tessera.operators.block_centers import (bisect_large, bisect_whole, distances, draw_far, farthest_step, kmeans_whole,
-                                             lloyd_sums, nearest, pick_of, weights)
+                                             lloyd_sums, lowest_step, nearest, pick_of, weights)
 from tessera.operators.blocks import BLOCK
 from tessera.operators.lockstep import CHUNK_ROWS, Dealt, checkpointed, deal, matrix
 
@@ -44,11 +44,13 @@ def _bcast(df: DataFrame, n_bytes: int, limit: int = BROADCAST_CENTERS) -> DataF
 
 
 # ---------------------------------------------------------------------- K5
-def init_lowest(points: DataFrame, k: int, order: str = "row_id", col: str = BLOCK) -> DataFrame:
+def init_lowest(points: DataFrame | Dealt, k: int, order: str = "row_id", col: str = BLOCK) -> DataFrame:
     """Initial centers: the ``k`` points with the lowest ``order`` per block
     (cluster = rank - 1).  ``row_number() <= k`` lets Spark keep only k rows
     per block in every task before the shuffle (window group limit)."""
     w = Window.partitionBy(col).orderBy(order)
+    if isinstance(points, Dealt):
+        points = lowest_step(points, k, order)
     return (points.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
             .select(col, (F.col("_r") - 1).cast("int").alias("cluster"), F.col("features").alias("center")))
 
@@ -59,7 +61,7 @@ def init_farthest(points: DataFrame | Dealt, k: int, order: str = "row_id", col:
     far (ties -> lowest ``order``).  One pass per center, all blocks at once;
     deterministic."""
     dealt = points if isinstance(points, Dealt) else deal(points.select(col, order, "features"), order, col)
-    centers = checkpointed(init_lowest(dealt.rows, 1, order, col).join(F.broadcast(dealt.sizes.select(col)), col, "left_semi"))
+    centers = checkpointed(init_lowest(dealt, 1, order, col))
     for c in range(1, k):
         far = farthest_step(dealt, centers, order)
         centers = checkpointed(centers.unionByName(far.select(col, F.lit(c).alias("cluster"), "center")))
@@ -83,7 +85,7 @@ def init_oversampled(points: DataFrame | Dealt, k: int, order: str = "row_id", c
         raise ValueError("rounds and over must be positive")
     size = int(np.ceil(over * k))
     dealt = points if isinstance(points, Dealt) else deal(points.select(col, order, "features"), order, col)
-    found = checkpointed(init_lowest(dealt.rows, 1, order, col).join(F.broadcast(dealt.sizes.select(col)), col, "left_semi"))
+    found = checkpointed(init_lowest(dealt, 1, order, col))
     for r in range(rounds):
         drawn = draw_far(dealt, found, order, size, seed, r)
         found = checkpointed(found.unionByName(drawn.withColumn("cluster", F.col("cluster") + (1 + r * size))))
@@ -146,7 +148,7 @@ def local_kmeans(points: DataFrame, k: int, steps: int = 10, order: str = "row_i
     if large.any():
         mine = F.broadcast(large.sizes.select(col))
         start = given if given is not None else (
-            init_lowest(large.rows, k, order, col) if init == "lowest" else init_farthest(large, k, order, col))
+            init_lowest(large, k, order, col) if init == "lowest" else init_farthest(large, k, order, col))
         centers = checkpointed(start.join(mine, col, "left_semi"))
         n = center_bytes(centers)
         for _ in range(steps):

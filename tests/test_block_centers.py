@@ -117,3 +117,23 @@ def test_bisecting_jobs_do_not_grow_with_the_blocks(spark):
         jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"bisect-{blocks}")))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_a_step_reads_packed_chunks_as_they_lie(spark):
+    """One cached row a chunk, in order: a step sorts and moves the state alone."""
+    v = _points(spark)
+    dealt = K.deal(v, "row_id", "block_id", 70)
+    assert dealt.chunks.count() <= dealt.sizes.agg(F.sum("_n")).first()[0] < 30
+    step = C.weights(dealt, K.init_lowest(dealt, 3))
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    step = plan[plan.index("FlatMapCoGroupsInArrow"):].split("InMemoryTableScan")[0]
+    assert "Sort" not in step and "Exchange" not in step
+    assert step.count("\n") < 6
+    got = sorted((r.row_id, r.block_id) for r in dealt.rows.collect())
+    assert got == sorted((r.row_id, r.block_id) for r in v.collect())
+
+
+def test_null_ids_are_lowest_in_chunks(spark):
+    v = spark.createDataFrame([(None, 0, [7.0]), (1, 0, [1.0]), (2, 0, [2.0]), (3, 1, [3.0])], "row_id LONG, block_id INT, features ARRAY<DOUBLE>")
+    rows, chunks = (sorted(map(tuple, K.init_lowest(x, 2).collect())) for x in (v, K.deal(v, "row_id", "block_id", 1)))
+    assert rows == chunks
