@@ -62,9 +62,9 @@ def _unpacked(chunks: pa.Table, kind: pa.Schema, role: str | None) -> pa.Table:
 
 @dataclass
 class Dealt:
-    """Rows packed by chunk, one row a chunk, cached in sorted partitions of whole chunks,
-    and the number of chunks ``_n`` of each block.  A step reads the chunks as they lie:
-    it neither sorts nor converts rows."""
+    """Rows packed by chunk, one row a chunk, cached in partitions of whole chunks, and the
+    number of chunks ``_n`` of each block.  A step brings a task's chunks in order, few packed
+    rows: it neither sorts nor converts the rows in them."""
 
     chunks: DataFrame               # block, chunk, the chunk's rows in the order of their ids
     sizes: DataFrame
@@ -135,11 +135,11 @@ def _chunk_schema(rows: DataFrame, col: str) -> str:
 
 
 def _kept(chunks: DataFrame, sizes: DataFrame, col: str) -> DataFrame:
-    """Cached, by block and chunk; small tables in fewer partitions than a shuffle has."""
+    """Cached by block and chunk; small tables in fewer partitions than a shuffle has."""
     spark = chunks.sparkSession
     n = sizes.agg(F.sum("_n")).first()[0] or 1
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-n // 4)), n)
-    return materialise(chunks.repartition(parts, col, CHUNK).sortWithinPartitions(col, CHUNK))
+    return materialise(chunks.repartition(parts, col, CHUNK))
 
 
 def deal(rows: DataFrame, order: str = "row_id", col: str = BLOCK, chunk_rows: int = CHUNK_ROWS) -> Dealt:
