@@ -286,6 +286,12 @@ def nth_in_group(df: DataFrame, group: str, order: str, fraction: float, cells:
     passes are the logarithm of the range to the number of bins (about ``cells`` in
     all groups).  Values must lie within 2^62 of 0.
     """
+    return _nth_and_take(df, group, order, fraction, cells).drop("take")
+
+
+def _nth_and_take(df: DataFrame, group: str, order: str, fraction: float, cells: int = 1 << 20) -> DataFrame:
+    """``nth_in_group`` with ``take``: how many of the rows that hold the value itself lie
+    among the first ``floor(fraction * n)``."""
     ensure_checkpoint_dir(df.sparkSession)
     rows = materialise(df.select(F.col(group).alias("g"), F.col(order).cast("long").alias("v")).filter("v is not null"))   # 16 bytes a row
     found = (rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -304,22 +310,31 @@ def nth_in_group(df: DataFrame, group: str, order: str, fraction: float, cells:
                              F.expr("if(bin is null, hi, least(hi, lo + (bin + 1) * step - 1))").alias("hi"),
                              F.expr("want - coalesce(before, 0)").alias("want")).checkpoint(eager=True)
     rows.unpersist()
-    return found.select(F.col("g").alias(group), "n", F.when(F.col("want") > 0, F.col("lo")).alias("nth"))
+    return found.select(F.col("g").alias(group), "n", F.when(F.col("want") > 0, F.col("lo")).alias("nth"), F.col("want").alias("take"))
 
 
 def holdout_in_block(df: DataFrame, order: str, fraction: float = 0.9, col: str = BLOCK,
                      out: str = "role") -> DataFrame:
     """The first ``floor(fraction * n_b)`` rows of each block (by
-    ``order``, unique in a block) are ``train``, the rest ``validate``.
+    ``order``) are ``train``, the rest ``validate``.
 
     For an integer ``order`` the cut of each block is found by counting and meets
-    the rows as a broadcast of one row a block: no row is shuffled.  Other orders
-    take an exact distributed rank.
+    the rows as a broadcast of one row a block: no row is shuffled but those that
+    share the id at the cut, which a hash of their columns puts in order.  Other
+    orders (unique in a block) take an exact distributed rank.
     """
     if df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long"):
-        cut = nth_in_group(df, col, order, fraction).select(F.col(col).alias("_g"), F.col("nth").alias("_nth"))
+        cut = _nth_and_take(df, col, order, fraction).select(F.col(col).alias("_g"), F.col("nth").alias("_nth"), F.col("take").alias("_take"))
+        near = df.join(F.broadcast(cut), F.col(col) == F.col("_g"), "left")
+        at_cut = F.coalesce(F.col(order) == F.col("_nth"), F.lit(False))
         role = F.when(F.col(order) <= F.col("_nth"), F.lit("train")).otherwise(F.lit("validate"))
-        return df.join(F.broadcast(cut), F.col(col) == F.col("_g"), "left").withColumn(out, role).drop("_g", "_nth")
+        tagged = near.withColumn(out, role)
+        many = near.filter(at_cut).groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.first("_take").alias("take"))
+        if many.filter("n > take").limit(1).count():
+            place = F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(*df.columns)))
+            ranked = near.filter(at_cut).withColumn(out, F.when(place <= F.col("_take"), F.lit("train")).otherwise(F.lit("validate")))
+            tagged = tagged.filter(~at_cut).unionByName(ranked)
+        return tagged.drop("_g", "_nth", "_take")
     ranked = rank_within(df, col, order, "_pos", size_out="_n_b")
     cut = F.floor(F.lit(float(fraction)) * F.col("_n_b")).cast("long")
     return (ranked.withColumn(out, F.when(F.col("_pos") <= cut, F.lit("train")).otherwise(F.lit("validate")))

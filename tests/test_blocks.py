@@ -134,3 +134,14 @@ def test_plan_size_zero_is_the_whole_table(spark):
     out = {r["size"]: r["n"] for r in B.blocks_by_plan(df, plan, [0, 1, 2, 5]).groupBy("size").agg(
         F.count("*").alias("n")).collect()}
     assert out == {0: 100, 1: 25, 2: 50, 5: 100}
+
+
+def test_holdout_cuts_between_rows_of_one_id(spark):
+    """Repeated ids at the cut: still floor(fraction * n) rows train, however rows lie."""
+    rows = [(i // 4, i % 2, float(i)) for i in range(200)] + [(7, 5, float(i)) for i in range(11)] + [(None, 5, 0.0)]
+    v = spark.createDataFrame(rows, "row_id LONG, block_id INT, x DOUBLE")
+    got = [B.holdout_in_block(x, "row_id", 0.85) for x in (v, v.repartition(7))]
+    for tagged in got:
+        n = {(r.block_id, r.role): r["count"] for r in tagged.groupBy("block_id", "role").count().collect()}
+        assert n == {(0, "train"): 85, (0, "validate"): 15, (1, "train"): 85, (1, "validate"): 15, (5, "train"): 9, (5, "validate"): 3}
+    assert sorted(map(str, got[0].collect())) == sorted(map(str, got[1].collect()))
