@@ -90,9 +90,11 @@ class Dealt:
         near = (state.join(F.broadcast(self.sizes), self.col)              # 12 bytes a block
                 .withColumn(CHUNK, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n"))
         kind, role = to_arrow_schema(self.schema), self.role
+        nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
         def run(chunks: pa.Table, near: pa.Table) -> pa.Table:
-            return fn(_unpacked(chunks, kind, role), near)
+            rows = _unpacked(chunks, kind, role)
+            return fn(rows, near) if len(rows) or len(near) else nothing
 
         return cogrouped(self.chunks, near, run, schema, self.col, CHUNK)
 
@@ -138,7 +140,7 @@ def _kept(chunks: DataFrame, sizes: DataFrame, col: str) -> DataFrame:
     """Cached by block and chunk; small tables in fewer partitions than a shuffle has."""
     spark = chunks.sparkSession
     n = sizes.agg(F.sum("_n")).first()[0] or 1
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-n // 4)), n)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-n // 4)))
     return materialise(chunks.repartition(parts, col, CHUNK))
 
 
