@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import sq_distance
+from tessera.operators.bisecting import fit_bisecting
 from tessera.operators.block_centers import (bisect_large, bisect_whole, distances, draw_far, farthest_step, kmeans_whole,
                                              lloyd_sums, lowest_step, nearest, pick_of, weights)
 from tessera.operators.blocks import BLOCK
@@ -191,14 +192,16 @@ def pooled_centers(local: DataFrame, k: int, col: str = BLOCK) -> DataFrame:
 
 def fit_centers(points: DataFrame, k: int, algo: str = "kmeans", seed: int = 1,
                 max_iter: int = 20):
-    """K1/K2/K7: MLlib KMeans or BisectingKMeans on ``features``.
-    Returns (model, centers DataFrame ``center_id, center``)."""
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
-    cls = {"kmeans": KMeans, "bisectingkmeans": BisectingKMeans}.get(algo)
-    if cls is None:
+    """K1/K2/K7: MLlib KMeans or bisecting k-means (``bisecting``, with MLlib's model) on
+    ``features``.  Returns (model, centers DataFrame ``center_id, center``)."""
+    if algo not in ("kmeans", "bisectingkmeans"):
         raise ValueError("algo must be 'kmeans' or 'bisectingkmeans'")
-    model = cls(k=k, seed=seed, maxIter=max_iter, featuresCol="vec").fit(
-        points.withColumn("vec", array_to_vector("features")))
+    if algo == "bisectingkmeans":
+        model = fit_bisecting(points, k, seed, max_iter)
+    else:
+        from pyspark.ml.clustering import KMeans
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="vec").fit(
+            points.withColumn("vec", array_to_vector("features")))
     return model, model_centers(points.sparkSession, model)
 
 
