@@ -1,8 +1,8 @@
 """K2, K7: bisecting k-means of all rows, the clusters of a level cut together.
 
 The rules are those of MLlib's BisectingKMeans (Steinbach et al. 2000): every
-cluster of the level is cut from two starts beside its mean, drawn from the seed; if
-that were too many leaves, the largest are cut.  What differs is the way: rows are packed
+cluster of the level is cut from two starts beside its mean, drawn from the seed in MLlib's
+order of clusters; if that were too many leaves, the largest are cut.  What differs is the way: rows are packed
 where they lie, many to an Arrow buffer, so a pass is matrix products and sends sums
 only; a level ends as soon as no center moves (all further passes would repeat
 the last); and a level reads the rows of the clusters that it cuts, not all.
@@ -43,6 +43,47 @@ class Draws:
         return np.array([((self._next(26) << 27) + self._next(27)) * 2.0**-53 for _ in range(n)])
 
 
+def _spread(n: int) -> int:
+    """Murmur3 of a 32-bit number, by which Spark's tables of a task place their keys."""
+    def turned(v: int, by: int) -> int:
+        return (v << by | v >> (32 - by)) & 0xFFFFFFFF
+
+    h = turned(turned(n * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def _mixed(n: int) -> int:
+    """The hash by which Scala's maps place a number."""
+    n &= 0xFFFFFFFF
+    h = n + (~(n << 9) & 0xFFFFFFFF) & 0xFFFFFFFF
+    h ^= h >> 14
+    h = h + (h << 4) & 0xFFFFFFFF
+    return h ^ h >> 10
+
+
+def _listed(nodes: list[int], shift: int = 0) -> list[int]:
+    """The order of Scala's maps: up to four keys as they came, more by five bits at a time."""
+    if len(nodes) <= 4 and not shift:
+        return nodes
+    slots = {}
+    for n in nodes:
+        slots.setdefault(_mixed(n) >> shift & 31, []).append(n)
+    order = [slots[i] for i in sorted(slots)]
+    return [g[0] for g in order if len(g) == 1] + [n for g in order if len(g) > 1 for n in _listed(g, shift + 5)]
+
+
+def _in_turn(nodes, parts: int) -> list[int]:
+    """The order in which MLlib draws starts for clusters: that of a map of the sums that ``parts``
+    partitions return."""
+    size = 64
+    while len(nodes) > 0.7 * size:
+        size *= 2
+    return _listed(sorted(nodes, key=lambda n: (n % parts, _spread(n & 0xFFFFFFFF) & (size - 1), n)))
+
+
 def _checked(column: pa.Array) -> np.ndarray:
     """(n, d) doubles; null, not finite or unequally long vectors are errors."""
     if column.null_count:
@@ -168,11 +209,12 @@ def bisect(points: DataFrame, k: int, seed: int, max_iter: int) -> dict[int, tup
         # the root is the only child of node 0; the second pass gives its cost about its mean
         root = packed.withColumn("node", F.lit(0).cast("long"))
         active = _settled(root, {1: np.zeros(d)}, 2, d)
+        parts = int(points.sparkSession.conf.get("spark.default.parallelism", None) or packed.rdd.getNumPartitions())
         tree, draws, need, level = dict(active), Draws(seed), k - 1, 1
         while active and need > 0 and level < LEVELS:
-            cut = [n for n in sorted(active) if active[n][2] > EPSILON * active[n][0]]
+            cut = [n for n in _in_turn(active, parts) if active[n][2] > EPSILON * active[n][0]]
             if len(cut) > need:
-                cut = sorted(cut, key=lambda n: -active[n][0])[:need]
+                cut = _listed(sorted(cut, key=lambda n: -active[n][0])[:need])
             if not cut:
                 break
             if level > 1:

@@ -18,11 +18,11 @@ def _groups(n, seed=1):
     return rng.normal(0, 0.2, (n, 2)) + np.array([(0, 0), (9, 1), (1, 8), (20, 20)])[rng.integers(0, 4, n)]
 
 
-@pytest.mark.parametrize("d,k", [(2, 7), (5, 10)])
-def test_the_tree_is_that_of_mllib(spark, tmp_path, d, k):
+@pytest.mark.parametrize("d,k,parts", [(2, 7, 8), (5, 10, 1), (3, 40, 3)])
+def test_the_tree_is_that_of_mllib(spark, tmp_path, d, k, parts):
     """Overlapping groups, so that the passes end by their number, too."""
     rng = np.random.default_rng(d)
-    df = _frame(spark, rng.normal(0, 1, (2000, d)) + rng.integers(0, 8, (2000, 1)) * rng.normal(0, 3, (1, d)))
+    df = _frame(spark, rng.normal(0, 1, (2000, d)) + rng.integers(0, 8, (2000, 1)) * rng.normal(0, 3, (1, d)), parts)
     vec = df.withColumn("vec", array_to_vector("features"))
     want = BisectingKMeans(k=k, seed=42, maxIter=5, featuresCol="vec").fit(vec)
     got = T.fit_bisecting(df, k, 42, 5)
