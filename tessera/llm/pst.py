@@ -29,11 +29,13 @@ Scoring.  The longest retained suffix of the tokens before is the state that giv
 probability.  In logarithms that is a sum of one value an n-gram: of the
 token itself, of each retained context (log b / (n + alpha)), and of each of its
 own symbols (what P lies above the share of the suffix).  The tree is therefore
-one table (key, c, value) in the checkpoint folder, joined to the n-grams of the
-corpus.  N-grams of at least ``hot`` of all training tokens (at most (depth + 1) / hot rows) and a Bloom
-bitmap of fixed size of all others are shipped, so no join key is hot and n-grams
-that the tree does not hold are not shuffled; where the bitmap is full, more rows are, with the same result.
-N-grams are keyed by 64-bit hashes.
+one table (key, c, value) in the checkpoint folder, which the n-grams of the corpus meet by key.
+N-grams of at least ``hot`` of all training tokens (at most (depth + 1) / hot rows) and Bloom
+bitmaps of fixed size, of all others and of the retained contexts, are shipped, so n-grams
+that the tree does not hold are not shuffled; where a bitmap is full, more rows are, with the same result.
+N-grams are keyed by 64-bit hashes.  What is counted or looked up is shuffled in packed rows, one a task's
+pending rows and range of keys: sorted keys as differences, by bytes, compressed.  The ranges grow in number
+with the corpus, so a task's rows do not.
 
 Null and empty texts consist of the end token; very long ones are walked whole, a task holds one
 at a time.  Rows of null id are in fold null: they train nothing, held_out is null.  Repeated rows
@@ -45,18 +47,23 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from ..session import ensure_checkpoint_dir
 from .common import bitmap, fold, in_bitmap
 
+U64 = K.U64
 START, END = K.U64(0x5354415254), K.U64(0x454E44)  # keys of the start mark and the end token
+TEXTS, TOKEN = 1 << 14, 1 << 15     # a part of the corpus has at most 2 * TEXTS texts; the mark of a token's row
+CHUNK = 1 << 18     # bytes of text at a time
 
 
 @dataclass(frozen=True)
@@ -101,55 +108,115 @@ def grams(seq: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-def sums(batches: Iterator[pa.RecordBatch], of, names: list[str], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Count equal rows of the key columns that ``of`` gives for a chunk; memory is bounded by ``limit``
-    pending rows, after which the partial sums are sent on."""
-    parts, held = [], 0
-
-    def merged():
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort(cols[-2::-1])    # by the first column: its repeats lie together and compress in the shuffle
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for c in cols[:-1]:
-            new[1:] |= c[order][1:] != c[order][:-1]
-        at = np.flatnonzero(new)
-        return [*(c[order[at]] for c in cols[:-1]), np.add.reduceat(cols[-1][order], at) if len(at) else cols[-1]]
-
-    def rows(cols):
-        for i in range(0, len(cols[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([*(pa.array(K.signed(c[i:i + (1 << 16)])) for c in cols[:-1]),
-                                              pa.array(cols[-1][i:i + (1 << 16)])], names=[*names, "c"])
-
-    for b in batches:
-        for _, _, data, offs in K.chunks(b.column(0)):
-            cols = of(data, offs)
-            parts.append([*cols, np.ones(len(cols[0]), np.int64)])
-            held += len(cols[0])
-            if held > limit:
-                parts = [merged()]
-                held = len(parts[0][0])
-                if held > limit // 2:
-                    yield from rows(parts[0])
-                    parts, held = [], 0
-    if parts:
-        yield from rows(merged())
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, c) of every word of all rows of ``texts``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sums(batches, lambda data, offs: [K.words(data, offs)[0]], ["key"])
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def planes(x: np.ndarray) -> bytes:
+    """x packed: first all lowest bytes, then the next, so that what is alike lies together, behind the size."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unplanes(packed: bytes, kind: type) -> np.ndarray:
+    size = int(np.frombuffer(packed, np.int64, 1)[0])
+    raw = pa.decompress(memoryview(packed)[8:], decompressed_size=size, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return planes(np.diff(x, prepend=U64(0)))
+
+
+def unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, U64), dtype=U64)
+
+
+def buckets(total: int, size: int) -> int:
+    """So many ranges of keys that each has about ``size`` of ``total`` rows: what a task holds does not grow."""
+    return max(8, -(-total // size))
+
+
+def cuts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n buckets begins in the sorted keys, and the end."""
+    return np.searchsorted(((keys >> U64(32)) * U64(n)) >> U64(32), np.arange(n + 1).astype(U64))
+
+
+def bucket(key: str, n: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(n).cast("long"), 32).cast("int")
+
 
+def merged(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Add up the last column of rows of the same key, the first one; the others depend on it.  Sorted by key."""
+    order = np.argsort(cols[0])
+    key = cols[0][order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    return [key[at], *(c[order[at]] for c in cols[1:-1]), np.add.reduceat(cols[-1][order], at, dtype=cols[-1].dtype) if len(at) else cols[-1]]
+
+
+def counted(texts: DataFrame, of, n: int, longer: bool, least: int = 1, limit: int = 1 << 19) -> DataFrame:
+    """(key, ctx, parent, c), for words (key, c), of the keys that ``of`` gives for a chunk ``least`` times or more
+    in all.  A task adds up to ``limit`` of its rows, then sends them on, packed, one row a bucket of keys."""
+    def pack(cols: list[np.ndarray]) -> pa.RecordBatch:
+        at = cuts(cols[0], n)
+        got = [], [], [], []
+        for i in np.flatnonzero(at[1:] > at[:-1]):
+            part = [c[at[i]:at[i + 1]] for c in cols]
+            if longer:      # by context: its repeats are steps of 0
+                order = np.argsort(part[1])
+                part = [c[order] for c in part[1:]]
+            for x, y in zip(got, (int(i), steps(part[0]), part[1].tobytes() if longer else b"", planes(part[-1])), strict=True):
+                x.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, (pa.int32(), *[pa.binary()] * 3), strict=True)],
+                                          names=["bucket", "first", "second", "c"])
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Add the n-gram's key to (ctx, parent, ...)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            ctx, parent = (b.column(i).to_numpy().view(K.U64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(pair(ctx, parent))), *b.columns], names=["key", *b.schema.names])
-    return rows.mapInArrow(run, "key long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+            for _, _, data, offs in K.chunks(b.column(0), CHUNK):
+                cols = of(data, offs)
+                parts.append([*cols, np.ones(len(cols[0]), np.uint32)])
+                held += len(cols[0])
+                if held > limit:
+                    parts = [merged([np.concatenate(x) for x in zip(*parts, strict=True)])]
+                    held = len(parts[0][0])
+                    if held > limit // 2:
+                        yield pack(parts[0])
+                        parts, held = [], 0
+        if held:
+            yield pack(merged([np.concatenate(x) for x in zip(*parts, strict=True)]))
+
+    def add(rows: pa.Table) -> pa.Table:
+        first = np.concatenate([unsteps(x.as_py()) for x in rows["first"]])
+        c = np.concatenate([unplanes(x.as_py(), np.uint32) for x in rows["c"]]).astype(np.int64)
+        if longer:
+            second = np.concatenate([np.frombuffer(x.as_py(), U64) for x in rows["second"]])
+            cols = merged([pair(first, second), first, second, c])
+        else:
+            cols = merged([first, c])
+        often = cols[-1] >= least
+        return pa.table([*(pa.array(K.signed(x[often])) for x in cols[:-1]), pa.array(cols[-1][often])],
+                        names=["key", "ctx", "parent", "c"] if longer else ["key", "c"])
+
+    return (texts.select("text").mapInArrow(run, "bucket int, first binary, second binary, c binary").groupBy("bucket")
+            .applyInArrow(add, "key long, ctx long, parent long, c long" if longer else "key long, c long"))
+
+
+def word_counts(texts: DataFrame, n: int = 8) -> DataFrame:
+    """(key, c) of every word of all rows of ``texts``."""
+    return counted(texts, lambda data, offs: [K.words(data, offs)[0]], n, False)
+
+
+@contextmanager
+def settings(spark: SparkSession):
+    """The shuffle files of a query go when it ends, not when the driver happens to collect its garbage, and few texts
+    at a time go to Python."""
+    names = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {x: spark.conf.get(x, None) for x in names}
+    try:
+        for x, value in names.items():
+            spark.conf.set(x, value)
+        yield
+    finally:
+        for x, value in before.items():
+            spark.conf.unset(x) if value is None else spark.conf.set(x, value)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -158,14 +225,18 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/pst-{uuid.uuid4().hex}"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def level(texts: DataFrame, prev: DataFrame, d: int, p: Params, folder: str) -> tuple[DataFrame, DataFrame]:
+def level(texts: DataFrame, prev: DataFrame, d: int, p: Params, folder: str, n: int) -> tuple[DataFrame, DataFrame]:
     """Contexts of d tokens from the level before (key, c, p): the n-grams (key, c, p, value) and the
-    retained contexts (ctx, share), value and share in log10."""
+    retained contexts (ctx, n, share), value and share in log10."""
     contexts = prev.filter(F.col("c") >= p.min_context)
     may = bitmap(contexts, p.bits), bitmap(prev.filter(F.col("c") >= p.min_pair), p.bits)
     bits = p.bits
@@ -176,13 +247,10 @@ def level(texts: DataFrame, prev: DataFrame, d: int, p: Params, folder: str) ->
         at = np.flatnonzero(place >= d)
         at = at[in_bitmap(may[0], g[at - 1], bits)]
         at = at[in_bitmap(may[1], g[at], bits)]
-        return [g[at - 1], g[at]]
+        ctx, parent = g[at - 1], g[at]
+        return [pair(ctx, parent), ctx, parent]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sums(batches, of, ["ctx", "parent"])
-
-    seen = (texts.select("text").mapInArrow(run, "ctx long, parent long, c long").groupBy("ctx", "parent")
-            .agg(F.sum("c").alias("c")).filter(F.col("c") >= p.min_pair))
+    seen = counted(texts, of, n, True, p.min_pair)
     rows = stored(seen.join(prev.select(F.col("key").alias("parent"), F.col("p").alias("q")), "parent"), f"{folder}/seen{d}")
     n, c, q, b = (F.col(x) for x in "ncqb")
     state = (rows.groupBy("ctx").agg(F.sum("c").alias("own"))
@@ -194,9 +262,9 @@ def level(texts: DataFrame, prev: DataFrame, d: int, p: Params, folder: str) ->
                   .select("ctx", "n", "b", F.log10(b / every).alias("share")), f"{folder}/kept{d}")
     own = F.when(F.col("share").isNull(), q).otherwise((c + b * q) / every)
     rows = rows.join(kept, "ctx", "left").select(
-        "ctx", "parent", "c", own.alias("p"),
+        "key", "c", own.alias("p"),
         F.when(F.col("share").isNull(), 0.0).otherwise(F.log10(own) - F.log10(q) - F.col("share")).alias("value"))
-    return stored(_keyed(rows).drop("ctx", "parent"), f"{folder}/level{d}"), kept.select("ctx", "share")
+    return stored(rows, f"{folder}/level{d}"), kept.select("ctx", "n", "share")
 
 
 @dataclass(frozen=True)
@@ -208,109 +276,188 @@ class Totals:
     unknown: float
 
 
-def train(texts: DataFrame, p: Params = Params()) -> tuple[DataFrame, Totals]:
-    """The tree's table (key, words, c, value) from all rows of ``texts``; c counts the n-gram, words is the
-    count of a token and 0 for longer ones and the start."""
+def volume(texts: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of text."""
+    return texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+
+
+def train(texts: DataFrame, p: Params = Params(), folder: str = "") -> tuple[DataFrame, Totals]:
+    """The tree's table (key, words, c, value, kept) from all rows of ``texts``; c counts the n-gram, words is the
+    count of a token and 0 for longer ones and the start, kept marks the retained contexts."""
     spark = texts.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/pst-{uuid.uuid4().hex}"
-    counts = stored(word_counts(texts), f"{folder}/words")
-    ends = texts.count()
+    folder = folder or _folder(spark)
+    ends, size = volume(texts)
+    counts = stored(word_counts(texts, buckets(size // 4, 1 << 21)), f"{folder}/words")
     n, kinds, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     t = Totals(ends, n + ends, kinds + (ends > 0), (once + 1) / (n + ends + 2))
     marks = spark.createDataFrame([(int(START), 0, ends), (int(END), ends, ends)], "key long, words long, c long")
     root = counts.select("key", F.col("c").alias("words"), "c").union(marks.filter("c > 0"))
     share = F.col("c") * ((1 - t.unknown) / max(t.total, 1))
     root = root.withColumn("p", share).withColumn("value", F.when(F.col("words") > 0, F.log10("p")).otherwise(0.0))
-    parts, prev = [root.select("key", "words", "c", "value")], root
+    none, no = F.lit(0).cast("long"), F.lit(False)
+    parts, prev = [root.select("key", "words", "c", "value", no.alias("kept"))], root
     for d in range(1, p.depth + 1):
-        prev, kept = level(texts, prev, d, p, folder)
-        parts.append(prev.select("key", F.lit(0).cast("long").alias("words"), "c", "value"))
-        parts.append(kept.select(F.col("ctx").alias("key"), F.lit(0).cast("long"), F.lit(0).cast("long"), "share"))
+        prev, kept = level(texts, prev, d, p, folder, buckets(t.total, 1 << 20))
+        parts.append(prev.filter("value != 0").select("key", none, "c", "value", no))
+        parts.append(kept.select("ctx", none, "n", "share", F.lit(True)))
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    out = out.groupBy("key").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("value").alias("value"))
+    out = out.groupBy("key").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("value").alias("value"),
+                                F.max("kept").alias("kept"))
     tree = stored(out.filter("words > 0 or value != 0"), f"{folder}-tree")
     _remove(spark, folder)
     return tree, t
 
 
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(table) == 0:
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return i, table[i] == x
-
-
-def score(docs: DataFrame, tree: DataFrame, t: Totals, p: Params) -> DataFrame:
-    """Two sorts of rows.  One a text: its sums over what the task knows (base, score),
-    n = tokens * 2**32 + known ones, and a key that spreads them.  One an occurrence of another n-gram that the
-    tree may hold: its key, and n = -1 for a token, 0 for longer ones.  ``row`` signs the text."""
-    hot = tree.filter((F.col("c") >= max(1.0, p.hot * t.total)) | F.col("key").isin(int(START), int(END)))
+class Sorted:
+    """Sorted keys, and where those of each of their highest bits begin."""
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, U64(63 - len(keys).bit_length())
+        self.first = np.searchsorted(keys, np.arange(1 << (64 - int(self.shift)), dtype=U64) << self.shift)
+        self.first = np.append(self.first, len(keys)).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each x, and whether it is there."""
+        h = (x >> self.shift).astype(np.int64)
+        i, end = self.first[h], self.first[h + 1]
+        hit, left = np.zeros(len(x), bool), np.flatnonzero(i < end)
+        while len(left):
+            key, want = self.keys[i[left]], x[left]
+            hit[left[key == want]] = True
+            left = left[key < want]
+            i[left] += 1
+            left = left[i[left] < end[left]]
+        return i, hit
+
+
+def score(docs: DataFrame, tree: DataFrame, t: Totals, p: Params, limit: int = 1 << 20) -> DataFrame:
+    """doc_id, n_tokens, n_known, base and score of every row of docs.  A task gathers up to about ``limit`` n-grams of
+    its texts, a part, takes the values of the hot ones itself and asks each bucket of the tree for the sums of the
+    others over the part's texts, in one row: sorted keys, and the text of each (``who``, a token has bit 15).  A
+    bucket meets its range of the tree and gives one row back; a part's rows are added up in one place.  The
+    texts' own sums go the same way.  Rows of docs need the same order when a task runs again, as a scan's have."""
+    common = max(1.0, p.hot * t.total)
+    hot = tree.filter((F.col("c") >= common) | F.col("key").isin(int(START), int(END)))
     got = hot.select("key", "words", "value").toArrow()  # at most (depth + 1) / hot rows of 24 bytes
-    keys = got["key"].to_numpy().view(K.U64)
+    keys = got["key"].to_numpy().view(U64)
     order = np.argsort(keys)
-    keys, count, value = keys[order], got["words"].to_numpy()[order], got["value"].to_numpy()[order]
-    may = bitmap(tree.filter(F.col("c") < max(1.0, p.hot * t.total)), p.bits)
+    count, value = got["words"].to_numpy()[order], got["value"].to_numpy()[order]
+    nodes_here = Sorted(keys[order])
+    may, may_ctx = bitmap(tree.filter(F.col("c") < common), p.bits), bitmap(tree.filter("kept"), p.bits)
     den, unknown = np.log10(t.total + t.kinds + 1.0), np.log10(t.unknown)
     depth, bits = p.depth, p.bits
+    n_buckets = buckets(volume(docs)[1] // 4, 1 << 23)
+
+    def part(chunks: list, number: int) -> pa.RecordBatch:
+        """The rows of a part: the texts' own and one a bucket."""
+        ids = pa.concat_arrays([c[0] for c in chunks])
+        own = np.concatenate([c[1] for c in chunks], axis=1)
+        key, who = (np.concatenate([c[i] for c in chunks]) for i in (2, 3))
+        order = np.argsort(key)
+        key, who = key[order], who[order]
+        at = cuts(key, n_buckets)
+        has = np.flatnonzero(at[1:] > at[:-1])
+        to = [number % n_buckets, *has.tolist()]
+        asked = [b"", *(steps(key[at[i]:at[i + 1]]) for i in has)]
+        asks = [planes(np.arange(len(ids), dtype=np.uint16)), *(planes(who[at[i]:at[i + 1]]) for i in has)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(to, pa.int32()), pa.array([number] * len(to), pa.int64()),
+             pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * len(to)], pa.int32()), ids),
+             pa.array([planes(own.reshape(-1)), *[b""] * len(has)], pa.binary()), pa.array(asked, pa.binary()), pa.array(asks, pa.binary())],
+            names=["bucket", "part", "ids", "own", "keys", "who"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, data, offs in K.chunks(b.column(1)):
-                n = hi - lo
-                seq, doc, place = tokens(data, offs)
-                size = np.bincount(doc, minlength=n) - 1
-                row = K.mix(K.per_text(np.add, K.mix(seq ^ K.mix(place.astype(K.U64), 14), 11), doc, n), 12)
-                base, mine, known = -den * size, np.zeros(n), np.zeros(n, np.int64)
-                later_key, later_doc, later_n = [K.mix(row, 13)], [np.arange(n)], []
-                for d, g in enumerate(grams(seq, depth)):
-                    at = np.flatnonzero(place >= d)
-                    key, of = g[at], doc[at]
-                    i, hit = _find(keys, key)
-                    mine += np.bincount(of[hit], weights=value[i[hit]], minlength=n)
-                    rest = ~hit & in_bitmap(may, key, bits)
-                    if d == 0:
-                        c = count[i[hit]]
-                        base += np.bincount(of[hit], weights=np.log10(c + 1.0), minlength=n)
-                        known += np.bincount(of[hit][c > 0], minlength=n)
-                        new = ~hit & ~rest & (place[at] > 0)
-                        mine += unknown * np.bincount(of[new], minlength=n)
-                        rest &= place[at] > 0
-                    later_key.append(key[rest])
-                    later_doc.append(of[rest])
-                    later_n.append(np.full(int(rest.sum()), -1 if d == 0 else 0, np.int64))
-                key, at = np.concatenate(later_key), np.concatenate(later_doc)
-                zeros = np.zeros(len(at) - n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(key)), b.column(0).slice(lo, n).take(pa.array(at)), pa.array(K.signed(row[at])),
-                     pa.array(np.concatenate([(size << 32) + known, *later_n])),
-                     pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([mine, zeros]))],
-                    names=["key", "doc_id", "row", "n", "base", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "key long, doc_id long, row long, n long, base double, score double")
+        number, parts, held, texts = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(first, TEXTS)
+                for lo, hi, data, offs in K.chunks(b.column(1), CHUNK):
+                    n = hi - lo
+                    if texts + n > 2 * TEXTS or held > limit:
+                        yield part(parts, number)
+                        number, parts, held, texts = number + 1, [], 0, 0
+                    seq, doc, place = tokens(data, offs)
+                    size = np.bincount(doc, minlength=n) - 1
+                    base, mine, known = -den * size, np.zeros(n), np.zeros(n, np.int64)
+                    later_key, later_who, before = [], [], None
+                    for d, g in enumerate(grams(seq, depth)):
+                        at = np.flatnonzero(place >= d)
+                        key, of = g[at], doc[at]
+                        i, hit = nodes_here.find(key)
+                        mine += np.bincount(of[hit], weights=value[i[hit]], minlength=n)
+                        rest = ~hit & in_bitmap(may, key, bits)
+                        if d == 0:
+                            c = count[i[hit]]
+                            base += np.bincount(of[hit], weights=np.log10(c + 1.0), minlength=n)
+                            known += np.bincount(of[hit][c > 0], minlength=n)
+                            new = ~hit & ~rest & (place[at] > 0)
+                            mine += unknown * np.bincount(of[new], minlength=n)
+                            rest &= place[at] > 0
+                        else:       # a symbol of a retained context, or one itself
+                            rest &= in_bitmap(may_ctx, before[at - 1], bits) | in_bitmap(may_ctx, key, bits)
+                        before = g
+                        later_key.append(key[rest])
+                        later_who.append((of[rest] + texts).astype(np.uint16) | np.uint16(TOKEN if d == 0 else 0))
+                    later_key, later_who = np.concatenate(later_key), np.concatenate(later_who)
+                    ids = b.column(0).take(pa.array(np.arange(lo, hi)))     # a slice would hold the texts
+                    parts.append((ids, np.array([size, known, base, mine], float), later_key, later_who))
+                    held, texts = held + len(later_key) + n, texts + n
+        if parts:
+            yield part(parts, number)
+
+    def look(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        keys = tree["key"].to_numpy().view(U64)
+        order = np.argsort(keys)
+        nodes, count, value = Sorted(keys[order]), tree["words"].to_numpy()[order], tree["value"].to_numpy()[order]
+        out = [], [], [], []
+        for number, ids, own, asked, who in zip(*(rows[x] for x in ("part", "ids", "own", "keys", "who")), strict=True):
+            own, who = own.as_py(), who.as_py()
+            if not own:
+                key, text = unsteps(asked.as_py()), unplanes(who, np.uint16)
+                token, text = text >= TOKEN, (text % TOKEN).astype(np.int64)
+                i, hit = nodes.find(key)
+                got = np.full(len(key), unknown) * token
+                got[hit] = value[i[hit]]
+                c = np.zeros(len(key), np.int64)
+                c[hit] = count[i[hit]]
+                c[~token] = 0
+                some = np.flatnonzero(np.bincount(text))
+                own = np.array([np.bincount(text, weights=x)[some] for x in (c > 0, np.log10(c + 1.0), got)])
+                own, who = planes(own.reshape(-1)), planes(some.astype(np.uint16))
+            for x, y in zip(out, (number, ids, own, who), strict=True):
+                x.append(y.as_py() if isinstance(y, pa.Scalar) else y)
+        return pa.table([pa.array(x, f) for x, f in zip(out, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)],
+                        names=["part", "ids", "own", "who"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        ids = rows["ids"].combine_chunks().flatten()
+        sums = np.zeros((4, len(ids)))
+        for own, who in zip(rows["own"], rows["who"], strict=True):
+            who = unplanes(who.as_py(), np.uint16)
+            got = unplanes(own.as_py(), float).reshape(-1, len(who))
+            sums[4 - len(got):, who] += got
+        return pa.table([ids, pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])],
+                        names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    asks = docs.select("doc_id", "text").mapInArrow(run, "bucket int, part long, ids array<long>, own binary, keys binary, who binary")
+    nodes = tree.filter(F.col("c") < common).select("key", "words", "value", bucket("key", n_buckets).alias("bucket"))
+    return (asks.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(look, "part long, ids array<long>, own binary, who binary")
+            .groupBy("part").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base double, score double"))
 
 
 def lm_scores(docs: DataFrame, learn, p: Params = Params()) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every row of docs
     (doc_id, text); ``learn`` is the condition of the training rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tree, t = train(docs.filter(learn), p)
-    rows = score(docs, tree, t, p).join(tree.select("key", "words", "value"), "key", "left")
-    own, token, c = F.col("n") > 0, F.col("n") < 0, F.coalesce("words", F.lit(0))
-    value = F.coalesce("value", F.when(token, F.lit(float(np.log10(t.unknown)))).otherwise(0.0))
-    # rows of one id and text share their occurrences: m of them, so the sums are m-fold
-    out = rows.groupBy("doc_id", "row").agg(
-        F.sum(own.cast("long")).alias("m"), F.max("n").alias("n"), F.count_if(token & (c > 0)).alias("more"),
-        F.sum(F.when(own, F.col("base")).when(token, F.log10(c + 1)).otherwise(0.0)).alias("base"),
-        F.sum(F.when(own, F.col("score")).otherwise(value)).alias("score"))
-    return out.select(
-        "doc_id", F.shiftright("n", 32).alias("n_tokens"),
-        (F.col("n").bitwiseAND(F.lit(2**32 - 1)) + (F.col("more") / F.col("m")).cast("long")).alias("n_known"),
-        F.lit(int(t.total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"),
-        (F.col("score") / F.col("m")).alias("score"),
-        F.explode(F.array_repeat(F.lit(0), F.col("m").cast("int"))).alias("_m")).drop("_m")
+    with settings(docs.sparkSession):
+        folder = _folder(docs.sparkSession)
+        tree, t = train(docs.filter(learn), p, folder)
+        scores = stored(score(docs, tree, t, p), f"{folder}-scores")
+        _remove(docs.sparkSession, f"{folder}-tree")
+    return scores.select(
+        "doc_id", "n_tokens", "n_known", F.lit(int(t.total)).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score")
 
 
 def op6(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -356,6 +357,52 @@ def test_context_decides_the_score(docs_of):
     assert abs(got[held].base_score - got[other].base_score) < 1e-9
 
 
+def test_suffix_tree_leaves_no_shuffle_files(spark, docs_of):
+    """Each level's shuffle goes with its query, and the tree with the scores: the disk holds one at a time."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    def files():
+        return {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+                if f.startswith("shuffle_")}
+    names = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, kept = files(), [spark.conf.get(x) for x in names]
+    rows = [(i, "the old man and the sea are far from the new town") for i in range(60)]
+    assert len(pst.op6(docs_of(rows)).collect()) == 60
+    for _ in range(50):     # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert [spark.conf.get(x) for x in names] == kept
+
+
+def test_packed_counts(docs_of):
+    """Rows that meet from many small sendings; every key in its bucket."""
+    texts, _, _ = some_texts(60, 8, vocabulary=40)
+    df = docs_of(list(enumerate([*texts, "", None, texts[0]])))
+    want = Counter(w for t in [*texts, texts[0]] for w in words(t))
+    for n, limit in ((1, 1 << 19), (8, 10), (300, 100)):
+        of = lambda data, offs: [K.words(data, offs)[0]]
+        got = [r.c for r in pst.counted(df, of, n, False, 2, limit).collect()]
+        assert sorted(got) == sorted(c for c in want.values() if c >= 2)
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64, endpoint=False))
+    assert (pst.unsteps(pst.steps(keys)) == keys).all()
+    asked = np.concatenate([keys, keys + K.U64(1), np.array([0, 2**64 - 1], K.U64)])
+    for table in (keys, keys[:1], keys[:0]):
+        i, hit = pst.Sorted(table).find(asked)
+        assert (hit == np.isin(asked, table)).all() and (table[i[hit]] == asked[hit]).all()
+
+
+def test_parts_of_any_size_give_the_same_scores(spark, docs_of):
+    texts, _, _ = some_texts(60, 8, vocabulary=40)
+    df = docs_of([(None if i % 9 == 4 else i % 50, t) for i, t in enumerate([*texts, "", None, texts[0], texts[0]])]).select("doc_id", "text")
+    p = pst.Params(hot=0.05)
+    tree, t = pst.train(df, p)
+    one, many = (sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, round(r.base, 8), round(r.score, 8)) for r in
+                        pst.score(df.repartition(k, "text"), tree, t, p, limit).collect() if r.doc_id is not None)
+                 for k, limit in ((1, 1 << 20), (3, 5)))
+    assert one == many and len(one) == sum(i % 9 != 4 for i in range(len(texts) + 4))
+
+
 @pytest.mark.parametrize("hot", [1e-9, 0.02, 1.0])
 def test_lm_scores(spark, docs_of, hot):
     texts, _, _ = some_texts(60, 8, vocabulary=40)
