@@ -207,8 +207,9 @@ def word_counts(texts: DataFrame, n: int = 8) -> DataFrame:
 @contextmanager
 def settings(spark: SparkSession):
     """The shuffle files of a query go when it ends, not when the driver happens to collect its garbage, and few texts
-    at a time go to Python."""
-    names = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    or packed rows at a time go to Python."""
+    names = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+             "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
     before = {x: spark.conf.get(x, None) for x in names}
     try:
         for x, value in names.items():
@@ -347,7 +348,7 @@ def score(docs: DataFrame, tree: DataFrame, t: Totals, p: Params, limit: int = 1
     may, may_ctx = bitmap(tree.filter(F.col("c") < common), p.bits), bitmap(tree.filter("kept"), p.bits)
     den, unknown = np.log10(t.total + t.kinds + 1.0), np.log10(t.unknown)
     depth, bits = p.depth, p.bits
-    n_buckets = buckets(volume(docs)[1] // 4, 1 << 23)
+    n_buckets = buckets(volume(docs)[1] // 4, 1 << 22)
 
     def part(chunks: list, number: int) -> pa.RecordBatch:
         """The rows of a part: the texts' own and one a bucket."""
